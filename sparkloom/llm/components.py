@@ -15,7 +15,7 @@ def _written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): for every node of the bigint edges (u, v) that has another one linked, and
+    """(node, root): for every node of the edges (u, v), of any one ordered type, that has another one linked, and
     ``root`` the smallest node of its component.
 
     Alternates large-star and small-star rounds until the edges no longer change: O(log^2) rounds, and the
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregation and joins it to the edges, so a hub's edges are spread by the skew join. Every round is
     written to the shared folder. Loops and repeated edges do no harm, null ends are dropped.
     """
-    e = edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).filter("u != v").distinct()
+    e = edges.select("u", "v").filter("u != v").distinct()
     e, path = _written(e, "cc-edges")
     last = None
     for _ in range(most_rounds):
