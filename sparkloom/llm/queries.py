@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .quality_classifier import quality
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
 from .url_filters import filter_urls
 from .warc import round_trip
@@ -28,6 +29,10 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, sf_dir, "documents"), F.array("source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -69,6 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing_sources": op2_mixing_sources,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,

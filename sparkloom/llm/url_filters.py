@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     (source, target) urls. Null or unparsable urls have empty host and path, no alias and the default; a null
     html has no edge; repeated rows are judged alike. Other columns of ``pages`` are not read.
     """
-    edges = page_edges(pages, url, html)
+    edges = materialize(page_edges(pages, url, html), "url-edges")
     if redirects is not None:
         more = redirects.select(url_key(F.col("source")).alias("u"), url_key(F.col("target")).alias("v")).dropna()
         edges = edges.unionByName(more)
