@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.bpe import encode_documents
 from sparkloom.llm.common import materialize, read_table
-from sparkloom.llm.quality_rules import quality_rules
+from sparkloom.llm.mixing import mixed_rows
+from sparkloom.llm.quality_rules import keep_good
+from sparkloom.llm.simhash import keep_one
+from sparkloom.llm.suffix_dedup import without_repeats
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules reject go."""
+    return keep_good(docs)
 
 
-STAGES = [("quality rules", keep_good)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates stays."""
+    return keep_one(docs)
 
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 200 that occur again anywhere leave the texts."""
+    return without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix to the sources' target weights takes it."""
+    return mixed_rows(docs, F.array("source"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests, a row per row of the mix."""
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", passage_dedup),
+    ("mixing sources", mix),
+    ("byte-level BPE", encode),
+]
+
+#: The outlier, component and mixing stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

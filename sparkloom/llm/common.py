@@ -65,3 +65,8 @@ def words_of(text: Column) -> Column:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written with ``__row``, a number of its own for each row: ids that are null or repeat
+    cannot mix rows up."""
+    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), tag)

@@ -12,7 +12,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, numbered, words_of
 
 SEED = 7
 #: Parts of the seeded order whose sums are taken first; only the part in which the cut falls is
@@ -116,8 +116,9 @@ def mix_sources(
     text: str = "text",
     most_times: int = 3,
     seed: int = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, sources, size, source_size, target, taken): how many words the mix takes of each
+    """(doc_id, *keep, sources, size, source_size, target, times, taken): how many words the mix takes of each
     row of ``docs``, repeats counted. ``membership`` gives its sources, an array<string>.
 
     Sources in code-point order, null last, take ``weights`` in turn. source_size and target are sums over
@@ -134,6 +135,7 @@ def mix_sources(
     d = materialize(
         docs.select(
             F.col(doc_id).alias("doc_id"),
+            *keep,
             members.alias("sources"),
             F.size(words_of(F.col(text))).cast("bigint").alias("size"),
             draw.alias("draw"),
@@ -183,7 +185,7 @@ def mix_sources(
     inside = rows.filter(F.col("part") == F.col("cut"))
     inside = inside.withColumn("more", (F.col("before") + F.sum("size").over(walk) <= F.col("due")).cast("bigint"))
     outside = rows.filter(~F.col("part").eqNullSafe(F.col("cut"))).withColumn("more", (F.col("part") <= F.coalesce("last", F.lit(-1))).cast("bigint"))
-    drawn = materialize(inside.unionByName(outside).select("doc_id", "sources", "size", "draw", "source_size", "target", "passes", "due", "more"), "mix-drawn")
+    drawn = materialize(inside.unionByName(outside).select("doc_id", *keep, "sources", "size", "draw", "source_size", "target", "passes", "due", "more"), "mix-drawn")
     # then, twice, the largest document that fits what is left
     for _ in range(2):
         left = drawn.groupBy("sources").agg((F.max("due") - F.sum(F.col("size") * F.col("more"))).alias("left"))
@@ -195,4 +197,13 @@ def mix_sources(
         drawn = drawn.join(fit, "sources", "left").withColumn("more", F.col("more") + F.coalesce(fits, F.lit(False)).cast("bigint"))
         drawn = materialize(drawn.drop("f_draw", "f_id", "f_size"), "mix-drawn")
     times = F.col("passes") + F.col("more")
-    return drawn.select("doc_id", "sources", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return drawn.select("doc_id", *keep, "sources", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, membership: Column, weights: tuple[float, ...] = (5, 2, 1), doc_id: str = "doc_id", text: str = "text", most_times: int = 3, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns. A row without a word
+    is never taken."""
+    rows = numbered(docs, "mix-rows")
+    times = mix_sources(rows, membership, weights, doc_id, text, most_times, seed, keep=("__row",))
+    taken = times.filter("taken > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__time"))
+    return rows.join(taken, "__row").select(*docs.columns)

@@ -158,27 +158,8 @@ def robust_parameters(rows: DataFrame, floors: dict[str, float], coverage: float
     return params
 
 
-def quality_rules(
-    docs: DataFrame,
-    text: str = "text",
-    by: tuple[str, ...] = ("lang", "source"),
-    keep: list[str] | None = None,
-    least_rows: int = 100,
-    coverage: float = 0.75,
-    steps: int = 3,
-    quantile: float = 0.99999,
-) -> DataFrame:
-    """Per row of ``docs``: the ``keep`` columns (all by default), then the statistics, ``d2`` (squared
-    Mahalanobis distance from the group's robust centre) and ``kept``.
-
-    ``kept`` is false if the base rules fail (under 50 words, or over half of the words in repeated
-    3-word windows) or ``d2`` lies beyond the chi-square ``quantile``. Rows that fail the base rules
-    take no part in the estimates. A group with fewer than ``least_rows`` others is judged
-    against all rows together; nulls of ``by`` form groups of their own. Null and empty texts
-    fail; repeated rows are judged alike; an empty table gives an empty result. A column of ``docs``
-    named like a statistic may not be among ``keep``; ``keep`` is otherwise free.
-    """
-    keep = list(keep if keep is not None else docs.columns)
+def _judge(docs: DataFrame, text: str, by: tuple[str, ...], keep: list[str], least_rows: int, coverage: float, steps: int, quantile: float) -> DataFrame:
+    """The ``keep`` columns as __k0, __k1, ... with the statistics, d2 and __kept."""
     inner = [f"__k{i}" for i in range(len(keep))]
     group = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"g{i}") for i, c in enumerate(by)]), {"ignoreNullFields": "false"})
     d = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)], F.col(text).alias("__text"), group.alias("__own"))
@@ -203,9 +184,35 @@ def quality_rules(
     grouped = d.join(own, "__own", "left").withColumn("grp", F.coalesce("grp", F.lit(POOLED)))
     judged = _distances(grouped, params, list(FLOORS), "left")
     good_enough = F.coalesce(F.col("d2") <= chi2_quantile(quantile, len(FLOORS)), F.lit(True))
-    return judged.select(
-        *[F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)],
-        *STATISTICS,
-        "d2",
-        (~F.col("base_failed") & good_enough).alias("kept"),
-    )
+    return judged.select(*inner, *STATISTICS, "d2", (~F.col("base_failed") & good_enough).alias("__kept"))
+
+
+def quality_rules(
+    docs: DataFrame,
+    text: str = "text",
+    by: tuple[str, ...] = ("lang", "source"),
+    keep: list[str] | None = None,
+    least_rows: int = 100,
+    coverage: float = 0.75,
+    steps: int = 3,
+    quantile: float = 0.99999,
+) -> DataFrame:
+    """Per row of ``docs``: the ``keep`` columns (all by default), then the statistics, ``d2`` (squared
+    Mahalanobis distance from the group's robust centre) and ``kept``.
+
+    ``kept`` is false if the base rules fail (under 50 words, or over half of the words in repeated
+    3-word windows) or ``d2`` lies beyond the chi-square ``quantile``. Rows that fail the base rules
+    take no part in the estimates. A group with fewer than ``least_rows`` others is judged
+    against all rows together; nulls of ``by`` form groups of their own. Null and empty texts
+    fail; repeated rows are judged alike; an empty table gives an empty result. Columns of ``docs``
+    may have any names; one that is kept and named like a statistic comes out twice.
+    """
+    keep = list(keep if keep is not None else docs.columns)
+    d = _judge(docs, text, by, keep, least_rows, coverage, steps, quantile)
+    return d.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *STATISTICS, "d2", F.col("__kept").alias("kept"))
+
+
+def keep_good(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), least_rows: int = 100, coverage: float = 0.75, steps: int = 3, quantile: float = 0.99999) -> DataFrame:
+    """The rows of ``docs`` that the quality rules keep, with its columns."""
+    d = _judge(docs, text, by, docs.columns, least_rows, coverage, steps, quantile)
+    return d.filter("__kept").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])

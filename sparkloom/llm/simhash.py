@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 from .components import connected_components
 
 RADIUS = 2
@@ -148,3 +148,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of = materialize(roots.join(least, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates, by row and not by id: repeated and
+    null ids are rows like any others."""
+    rows = numbered(docs, "simhash-rows")
+    found = near_duplicates(rows, "__row", text, radius, tile)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)

@@ -21,7 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -243,14 +244,14 @@ def _counted_windows(strings: DataFrame, window: int) -> DataFrame:
     return rows.join(twice, ["h1", "h2"]).select("anchor", "digest", "from", (F.col("from") + window).alias("to"))
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
     """(k, doc_id, text): k is the id where ids are all there and distinct, else a hash of id and text (equal
     rows then share a key, and with it the result)."""
     ids = docs.select(F.col(doc_id).alias("i"))
     n, there, least = ids.groupBy("i").count().agg(F.sum("count"), F.count("i"), F.max(F.col("i").isNull())).first()
     unique = (n or 0) == there and not least and docs.schema[doc_id].dataType.typeName() in ("long", "integer", "short", "byte")
     k = F.col(doc_id).cast("bigint") if unique else F.xxhash64(F.col(doc_id), F.col(doc_id).isNull(), F.col(text))
-    return docs.select(k.alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return docs.select(k.alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
 
 
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, piece: int = PIECE, batch: int = BATCH, hot: int = HOT) -> DataFrame:
@@ -285,19 +286,22 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, piece: int = PIECE, b
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, piece: int = PIECE, batch: int = BATCH, hot: int = HOT, kept: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row of ``docs``: every byte that is
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, row]) per row of ``docs``: every byte that is
     covered by a ``window``-byte string which also starts anywhere else in the collection is removed.
 
     Texts are their UTF-8 bytes, a null text has none; matches never cross rows, overlaps count, and strings
     are judged on the input. A text shorter than ``window`` stays as it is; rows that repeat
     each other are copies like any others. ``kept``: the remaining bytes as a text, where a character that
-    lost some of its bytes goes; null stays null. Other columns of ``docs`` are not read.
+    lost some of its bytes goes (null stays null), and all other columns of ``docs`` in a struct.
     """
     keyed = _keyed(docs, doc_id, text)
     found = materialize(repeated_spans(keyed, window, piece, batch, hot), "suffix-spans")
-    rows = keyed.join(found, "k", "left").select("doc_id", "text", "spans")
+    if kept:
+        keyed = _keyed(docs, doc_id, text, F.struct(*[c for c in docs.columns if c != text]).alias("row"))
+    rows = keyed.join(found, "k", "left").select("doc_id", "text", "spans", *["row"] * kept)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept]
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), *[T.StringType()] * kept]
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True)], *[rows.schema["row"]] * kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,6 +324,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 for col, v in zip(cols, values, strict=False):
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))], names=names)
+            made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made, *([b.column(3)] if kept else [])], names=[*names, *["row"] * kept])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * kept)
+    return rows.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of its texts, and ``n_chars`` (where it is a column)
+    counted anew. Rows stay, also where no text is left."""
+    d = remove_repeats(docs, doc_id, text, window, kept=True)
+    new = {text: F.col("kept"), n_chars: F.length("kept").cast("bigint")}
+    return d.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
