@@ -12,8 +12,6 @@ from ..functions import text as X
 from .fixtures import CHUNKS, chunks, table
 from .registry import query
 
-T = F.col("text")
-
 
 def on_table(name: str, source: str, key: str, column: Callable[[], Column], sql: str) -> None:
     """A query of ``key`` and the function's value for each row of a table."""
@@ -43,41 +41,41 @@ BUCKET_SQL = (
     "lambda a, c: xor((((a * 33) % 4294967296) + 4294967296 + 2147483648) % 4294967296 - 2147483648, c))"
 )
 
-on_table("file_hash", "documents", "doc_id", lambda: F.sha2(T, 256), "sha256(text)")
-on_table("tok_sparse", "documents", "doc_id", lambda: F.array_join(X.sparse_tokens(T), " "), f"array_to_string({SPARSE_SQL}, ' ')")
-on_table("tok_guard", "benchmark", "item_id", lambda: F.array_join(F.array_sort(X.guard_tokens(T)), " "), "array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_@.]+'), lambda t: length(t) >= 2))), ' ')")
-on_table("heuristic_tokens", "documents", "doc_id", lambda: X.heuristic_tokens(T), "CAST(ceil(length(text) / 4.0) AS BIGINT)")
+on_table("file_hash", "documents", "doc_id", lambda: F.sha2(F.col("text"), 256), "sha256(text)")
+on_table("tok_sparse", "documents", "doc_id", lambda: F.array_join(X.sparse_tokens(F.col("text")), " "), f"array_to_string({SPARSE_SQL}, ' ')")
+on_table("tok_guard", "benchmark", "item_id", lambda: F.array_join(F.array_sort(X.guard_tokens(F.col("text"))), " "), "array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_@.]+'), lambda t: length(t) >= 2))), ' ')")
+on_table("heuristic_tokens", "documents", "doc_id", lambda: X.heuristic_tokens(F.col("text")), "CAST(ceil(length(text) / 4.0) AS BIGINT)")
 on_table(
     "est_tokens_cyr",
     "documents",
     "doc_id",
-    lambda: X.script_tokens(T),
+    lambda: X.script_tokens(F.col("text")),
     "CASE WHEN length(text) = 0 THEN 0 ELSE CAST(ceil(length(text) / (4 - 2 * (CAST(length(regexp_replace(text, '[^\u0400-\u04ff]', '', 'g')) AS DOUBLE) / length(text)))) AS BIGINT) END",
 )
-on_table("take_last_tokens", "documents", "doc_id", lambda: X.last_tokens(T, 40), "right(text, 160)")
-on_table("truncate_to_budget", "documents", "doc_id", lambda: X.truncate_to_budget(T, 700), "left(text, 2800)")
-on_table("canonical_ws", "documents", "doc_id", lambda: X.canonical_whitespace(T), "trim(regexp_replace(text, '\\s+', ' ', 'g'))")
-on_table("slugify", "benchmark", "item_id", lambda: X.slugify(T), "left(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 60)")
-on_table("sanitize_header", "documents", "doc_id", lambda: X.sanitize_header(T), "regexp_replace(text, '[\\n\\r\u2028\u2029]+', ' ', 'g')")
-on_table("compact_snippet", "documents", "doc_id", lambda: X.compact_snippet(T), "CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END")
+on_table("take_last_tokens", "documents", "doc_id", lambda: X.last_tokens(F.col("text"), 40), "right(text, 160)")
+on_table("truncate_to_budget", "documents", "doc_id", lambda: X.truncate_to_budget(F.col("text"), 700), "left(text, 2800)")
+on_table("canonical_ws", "documents", "doc_id", lambda: X.canonical_whitespace(F.col("text")), "trim(regexp_replace(text, '\\s+', ' ', 'g'))")
+on_table("slugify", "benchmark", "item_id", lambda: X.slugify(F.col("text")), "left(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 60)")
+on_table("sanitize_header", "documents", "doc_id", lambda: X.sanitize_header(F.col("text")), "regexp_replace(text, '[\\n\\r\u2028\u2029]+', ' ', 'g')")
+on_table("compact_snippet", "documents", "doc_id", lambda: X.compact_snippet(F.col("text")), "CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END")
 on_table("redact_url", "pages", "page_id", lambda: X.redact_url(F.col("url")), "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)")
-on_table("classify_query", "benchmark", "item_id", lambda: X.classify_query(T), """CASE
+on_table("classify_query", "benchmark", "item_id", lambda: X.classify_query(F.col("text")), """CASE
   WHEN regexp_matches(text, '(?i)увімкнути|\\benable\\b|\\bactivate\\b|without ollama|без ollama')
        AND regexp_matches(text, '(?i:bge-m3-onnx)|ONNX_EMBED|(?i:\\bprovider\\b)|(?i:провайдер)') THEN 'provider-activation'
   WHEN regexp_matches(text, '(?i)\\benv\\b|environment variable|config\\.json|\\bprovider\\b|провайдер') THEN 'config-env'
   WHEN regexp_matches(text, '(?i)де знаходиться|location in source|\\bsource\\b|експортує|\\bexports\\b|entry point|which file|where is') THEN 'source-navigation'
   WHEN regexp_matches(text, '[A-Z][A-Z_]{2,}[A-Z0-9]|[a-z][A-Za-z]{2,}[A-Z][A-Za-z]*|src/|\\.js\\b|\\.md\\b|@\\d+') THEN 'exact-token'
   ELSE 'semantic' END""")
-on_table("summary_tier", "documents", "doc_id", lambda: X.summary_tier(X.script_tokens(T)), "CASE WHEN ceil(length(text) / 4.0) < 300 THEN 'short' WHEN ceil(length(text) / 4.0) < 1500 THEN 'medium' ELSE 'structured' END")
-on_table("length_bucket", "documents", "doc_id", lambda: X.length_bucket(X.heuristic_tokens(T)), "CAST(CASE WHEN ceil(length(text) / 4.0) <= 16 THEN 16 WHEN ceil(length(text) / 4.0) <= 32 THEN 32 WHEN ceil(length(text) / 4.0) <= 64 THEN 64 WHEN ceil(length(text) / 4.0) <= 128 THEN 128 WHEN ceil(length(text) / 4.0) <= 256 THEN 256 END AS BIGINT)")
-on_table("has_pdf_structure", "documents", "doc_id", lambda: F.regexp_count(T, F.lit(r"(?m)^#{1,6} ")) >= 3, "len(regexp_extract_all(text, '(?m)^#{1,6} ')) >= 3")
-on_table("output_cap", "documents", "doc_id", lambda: F.ceil(F.length(T) / 3) + 64, "CAST(ceil(length(text) / 3.0) AS BIGINT) + 64")
-on_table("embed_fits", "documents", "doc_id", lambda: X.heuristic_tokens(T) <= 512, "ceil(length(text) / 4.0) <= 512")
+on_table("summary_tier", "documents", "doc_id", lambda: X.summary_tier(X.script_tokens(F.col("text"))), "CASE WHEN ceil(length(text) / 4.0) < 300 THEN 'short' WHEN ceil(length(text) / 4.0) < 1500 THEN 'medium' ELSE 'structured' END")
+on_table("length_bucket", "documents", "doc_id", lambda: X.length_bucket(X.heuristic_tokens(F.col("text"))), "CAST(CASE WHEN ceil(length(text) / 4.0) <= 16 THEN 16 WHEN ceil(length(text) / 4.0) <= 32 THEN 32 WHEN ceil(length(text) / 4.0) <= 64 THEN 64 WHEN ceil(length(text) / 4.0) <= 128 THEN 128 WHEN ceil(length(text) / 4.0) <= 256 THEN 256 END AS BIGINT)")
+on_table("has_pdf_structure", "documents", "doc_id", lambda: F.regexp_count(F.col("text"), F.lit(r"(?m)^#{1,6} ")) >= 3, "len(regexp_extract_all(text, '(?m)^#{1,6} ')) >= 3")
+on_table("output_cap", "documents", "doc_id", lambda: F.ceil(F.length(F.col("text")) / 3) + 64, "CAST(ceil(length(text) / 3.0) AS BIGINT) + 64")
+on_table("embed_fits", "documents", "doc_id", lambda: X.heuristic_tokens(F.col("text")) <= 512, "ceil(length(text) / 4.0) <= 512")
 
-on_chunks("split_sentences", lambda: F.array_join(X.sentences(T), "¶"), """array_to_string(CASE WHEN len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]+|[^.!?\\n]+$'), lambda x: trim(x)), lambda x: x <> '')) = 0 THEN [text]
+on_chunks("split_sentences", lambda: F.array_join(X.sentences(F.col("text")), "¶"), """array_to_string(CASE WHEN len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]+|[^.!?\\n]+$'), lambda x: trim(x)), lambda x: x <> '')) = 0 THEN [text]
   ELSE list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]+|[^.!?\\n]+$'), lambda x: trim(x)), lambda x: x <> '') END, '¶')""")
 on_chunks("deterministic_context", lambda: X.deterministic_context(F.col("source_file"), F.col("section")), "source_file || ' › ' || section")
-on_chunks("embed_input", lambda: F.concat(X.deterministic_context(F.col("source_file"), F.col("section")), F.lit("\n\n"), T), "source_file || ' › ' || section || chr(10) || chr(10) || text")
+on_chunks("embed_input", lambda: F.concat(X.deterministic_context(F.col("source_file"), F.col("section")), F.lit("\n\n"), F.col("text")), "source_file || ' › ' || section || chr(10) || chr(10) || text")
 on_chunks("dir_prefix", lambda: X.dir_prefix(F.col("source_file"), 1), "source || '/'")
 on_chunks("normalize_tag", lambda: F.array_join(X.normalize_tags(F.array(F.concat(F.lit(" "), F.upper("lang"), F.lit(" Tag ")), F.col("source"), F.col("source"))), ","), "lower(lang) || '-tag,' || source")
 on_chunks("merge_tags", lambda: F.array_join(X.merge_tags(F.col("tags"), F.array("source", F.lit("generated"))), ","), "lang || ',' || source || ',generated'")
@@ -95,13 +93,13 @@ def uuid_sql(name: str) -> str:
 on_chunks("chunk_id", lambda: I.chunk_id(F.lit("main"), F.col("source_file"), F.col("chunk_index")), uuid_sql("'main' || chr(0) || source_file || chr(0) || chunk_index || chr(0) || '2'"))
 on_chunks("node_id", lambda: I.node_id(F.col("source_file"), F.col("section"), F.lit("section"), F.lit(1)), uuid_sql("'node:' || chr(0) || '' || chr(0) || source_file || chr(0) || section || chr(0) || 'section' || chr(0) || '1'"))
 on_chunks("skeleton_point_id", lambda: I.skeleton_point_id(F.lit("main"), F.col("source_file")), uuid_sql("'point:main' || chr(0) || source_file || chr(0) || '2'"))
-on_table("evaluation_id", "benchmark", "item_id", lambda: I.evaluation_id("q", T), "'q-' || left(sha1(text), 16)")
+on_table("evaluation_id", "benchmark", "item_id", lambda: I.evaluation_id("q", F.col("text")), "'q-' || left(sha1(text), 16)")
 
 
 @query("hash_bucket", f"WITH t AS (SELECT DISTINCT unnest({SPARSE_SQL}) AS token FROM documents) SELECT token, CAST(abs({BUCKET_SQL.format('token')}) % 1048576 AS BIGINT) AS bucket FROM t")
 def hash_bucket(spark, sf_dir):
     """Each distinct term's bucket: terms are made distinct before they are hashed."""
-    tokens = table(spark, sf_dir, "documents").select(F.explode(X.sparse_tokens(T)).alias("token")).distinct()
+    tokens = table(spark, sf_dir, "documents").select(F.explode(X.sparse_tokens(F.col("text"))).alias("token")).distinct()
     return tokens.select("token", X.hash_bucket(F.col("token")).alias("bucket"))
 
 
@@ -113,7 +111,7 @@ def hash_bucket(spark, sf_dir):
     SELECT item_id, token, technical FROM k WHERE n = 1""",
 )
 def tok_query(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.query_tokens(T)).alias("token", "technical"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.query_tokens(F.col("text"))).alias("token", "technical"))
 
 
 @query("is_technical", f"SELECT DISTINCT token, {TECH_SQL.format('token')} AS technical FROM (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS token FROM benchmark)")
@@ -124,12 +122,12 @@ def is_technical(spark, sf_dir):
 
 @query("sanitize_summary")
 def sanitize_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.sanitize_summary(T).alias("summary"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.sanitize_summary(F.col("text")).alias("summary"))
 
 
 @query("safe_last_tokens")
 def safe_last_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.safe_last_tokens(T, 40).alias("tail"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.safe_last_tokens(F.col("text"), 40).alias("tail"))
 
 
 @query(
@@ -138,7 +136,7 @@ def safe_last_tokens(spark, sf_dir):
        OR coalesce(list_contains({quoted(X.FOLLOW_UP_WORDS)}, regexp_replace(lower(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1]), '[^\\p{{L}}\\p{{N}}]', '', 'g')), false)) AS follow_up FROM conversations""",
 )
 def looks_like_follow_up(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.looks_like_follow_up(T, F.col("turn") > 0).alias("follow_up"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.looks_like_follow_up(F.col("text"), F.col("turn") > 0).alias("follow_up"))
 
 
 URL_PATH = "regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1)"
