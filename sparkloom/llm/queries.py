@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle_sql
 from .bpe import encode_documents
 from .common import read_table
 from .fingerprints import fingerprint_edits
@@ -86,4 +87,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_mixing_sources": oracle_sql.MIXING, "op10_warc": oracle_sql.WARC}
