@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = keyed.join(found, "k", "left").select("doc_id", "text", "spans", *["row"] * kept)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept]
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), *[T.StringType()] * kept]
-    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True)], *[rows.schema["row"]] * kept])
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True)], *([rows.schema["row"]] if kept else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
