@@ -33,3 +33,35 @@ SELECT page_id, payload_bytes,
       + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER) + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER), 1)), '') AS payload_digest,
   CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f
 """
+
+URLS = r"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT *, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+link AS (
+  SELECT url AS base, host, path, trim(regexp_replace(x, '^["'']|["'']$', '', 'g')) AS link FROM (
+    SELECT url, host, path, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b[^>]*>')), '(?is)\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS x FROM p
+    UNION ALL
+    SELECT url, host, path, regexp_extract(regexp_replace(regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>')), '(?is)\bcontent\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g'), '(?is)\burl\s*=\s*(.*)$', 1) AS x FROM p)
+  WHERE contains(url, '://')),
+target AS (SELECT base, CASE WHEN l = '' THEN NULL WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN starts_with(l, '//') THEN split_part(base, '://', 1) || ':' || l
+    WHEN starts_with(l, '/') THEN split_part(base, '://', 1) || '://' || host || l WHEN starts_with(l, '?') THEN split_part(base, '://', 1) || '://' || host || path || l WHEN starts_with(l, '#') THEN base
+    ELSE split_part(base, '://', 1) || '://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || l END AS target
+  FROM (SELECT *, replace(link, '&amp;', '&') AS l FROM link)),
+every_url AS (SELECT url FROM pages WHERE contains(url, '://') UNION SELECT target FROM target WHERE contains(target, '://')),
+keyed AS (SELECT url, translate(split_part(url, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || CASE WHEN regexp_extract(r, '^[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(r, '^[^/?#]*([^?#]*)', 1) END || regexp_extract(r, '^[^?#]*(\?[^#]*)', 1) AS node
+  FROM (SELECT url, substr(url, strpos(url, '://') + 3) AS r FROM every_url)),
+edge AS (SELECT a.node AS a, b.node AS b FROM target JOIN keyed a ON a.url = base JOIN keyed b ON b.url = target WHERE a.node <> b.node),
+sides AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT a AS node, a AS other FROM sides UNION SELECT r.node, s.b FROM reach r JOIN sides s ON s.a = r.other),
+root AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+site AS (SELECT node, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT node, substr(node, strpos(node, '://') + 3) AS r FROM (SELECT DISTINCT node FROM keyed))),
+rules AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS t(verdict, h, prefix)),
+own AS (SELECT DISTINCT node, first_value(verdict) OVER (PARTITION BY node ORDER BY length(h || prefix) DESC) AS verdict FROM site JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix)),
+said AS (SELECT coalesce(root.root, own.node) AS root, bool_or(verdict = 'allow') AS allowed FROM own LEFT JOIN root ON root.node = own.node GROUP BY 1),
+mine AS (SELECT page_id, first_value(verdict) OVER w AS verdict, first_value(h || prefix) OVER w AS rule, row_number() OVER w AS i FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix)
+  WINDOW w AS (PARTITION BY page_id ORDER BY length(h || prefix) DESC))
+SELECT p.page_id, p.host, p.path, mine.rule, coalesce(mine.verdict, CASE WHEN said.allowed IS NULL OR said.allowed THEN 'allow' ELSE 'block' END) AS verdict, coalesce(root.root, keyed.node) AS alias_root
+FROM p LEFT JOIN mine ON mine.page_id = p.page_id AND i = 1 LEFT JOIN keyed ON keyed.url = p.url LEFT JOIN root ON root.node = keyed.node LEFT JOIN said ON said.root = coalesce(root.root, keyed.node)
+"""

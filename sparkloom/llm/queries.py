@@ -87,4 +87,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL = {"op2_mixing_sources": oracle_sql.MIXING, "op10_warc": oracle_sql.WARC}
+ORACLE_SQL = {"op5_url_filters": oracle_sql.URLS, "op2_mixing_sources": oracle_sql.MIXING, "op10_warc": oracle_sql.WARC}
