@@ -195,7 +195,7 @@ def quality_rules(
     least_rows: int = 100,
     coverage: float = 0.75,
     steps: int = 3,
-    quantile: float = 0.99999,
+    quantile: float = 0.999999,
 ) -> DataFrame:
     """Per row of ``docs``: the ``keep`` columns (all by default), then the statistics, ``d2`` (squared
     Mahalanobis distance from the group's robust centre) and ``kept``.
@@ -212,7 +212,7 @@ def quality_rules(
     return d.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *STATISTICS, "d2", F.col("__kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), least_rows: int = 100, coverage: float = 0.75, steps: int = 3, quantile: float = 0.99999) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), least_rows: int = 100, coverage: float = 0.75, steps: int = 3, quantile: float = 0.999999) -> DataFrame:
     """The rows of ``docs`` that the quality rules keep, with its columns."""
     d = _judge(docs, text, by, docs.columns, least_rows, coverage, steps, quantile)
     return d.filter("__kept").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])
