@@ -62,11 +62,10 @@ def train(texts: list[str], labels: np.ndarray, smooth: float = 1.0, ridge: floa
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(weight, prior)
     stamp = np.zeros(1 << BITS, dtype=np.int64)
-    found = [ngrams(t, stamp) for t in texts]
     size = 1 << BITS
     count = [np.zeros(size), np.zeros(size)]
-    for f, y in zip(found, labels, strict=True):
-        count[int(y)][f] += 1
+    for t, y in zip(texts, labels, strict=True):  # features are made twice rather than held
+        count[int(y)][ngrams(t, stamp)] += 1
     n0, n1 = (labels == 0).sum(), labels.sum()
     ratio = np.log((count[1] + smooth) / (n1 + 2 * smooth)) - np.log((count[0] + smooth) / (n0 + 2 * smooth))
     # features that the toxic label makes e times as frequent, by more than chance would
@@ -74,7 +73,7 @@ def train(texts: list[str], labels: np.ndarray, smooth: float = 1.0, ridge: floa
     keep = np.flatnonzero((count[0] + count[1] >= least) & (ratio >= 1) & (clear >= 4))
     of = np.full(size, -1, dtype=np.int64)
     of[keep] = np.arange(len(keep))
-    cols = [c[c >= 0] for c in (of[f] for f in found)]
+    cols = [c[c >= 0] for c in (of[ngrams(t, stamp)] for t in texts)]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     col = np.concatenate(cols) if cols else np.empty(0, dtype=np.int64)
     scale = ratio[keep][col]
