@@ -233,3 +233,33 @@ def ignored(path: Column, patterns: list[str]) -> Column:
             continue
         out = out | ((base == p) if "/" not in p and "*" not in p else path.rlike(glob_regex(p)) | base.rlike(glob_regex(p)))
     return out
+
+
+# Frequent words by which a language is told.
+LANGUAGE_WORDS = {
+    "de": "der die das und ist nicht von ein eine mit zu den dem des",
+    "en": "the and of to in is that for it with as was be on",
+    "es": "el la los las que y en un una por con para del no",
+    "fr": "le la les et des est que dans un une pour du qui pas",
+}
+
+
+def _is_word(profile: str):
+    return lambda w: F.array_contains(_words(profile.split()), w)
+
+
+def language_hint(text: Column, least: int = 100) -> Column:
+    """The language most of whose frequent words the text has; of equals the first by code; null for a text of
+    fewer than ``least`` characters or without any."""
+    words = F.split(F.lower(F.regexp_replace(text, r"```[\s\S]*?```", " ")), r"[^\p{L}]+")
+    counts = F.array(*[F.struct((-F.size(F.filter(words, _is_word(v)))).alias("n"), F.lit(k).alias("lang")) for k, v in LANGUAGE_WORDS.items()])
+    best = F.array_min(counts)
+    return F.when((F.length(text) >= least) & (best["n"] < 0), best["lang"])
+
+
+def parse_model_json(raw: Column, schema: str) -> Column:
+    """The JSON in a model's answer: fences and what stands around the outermost braces or brackets go; null where
+    it does not parse."""
+    bare = F.regexp_replace(raw, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", "")
+    body = F.coalesce(F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1), F.lit("")), bare)
+    return F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema))

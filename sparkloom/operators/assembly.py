@@ -95,3 +95,12 @@ def anchor_window(segments: DataFrame, anchor: Column, most: int) -> DataFrame:
     off = F.col("position") - anchor
     near = Window.partitionBy("scope").orderBy(F.abs(off), off).rowsBetween(Window.unboundedPreceding, 0)
     return segments.withColumn("used", F.sum(heuristic_tokens(F.col("text")) + 1).over(near)).filter((F.col("used") <= most) | (off == 0))
+
+
+def assemble(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """(source_file, text): a file's chunks in order, where a chunk that is a placeholder ``[[id]]`` is the entity
+    (node_id, content) it names, or stays as it is where there is none; empty chunks go."""
+    named = F.nullif(F.regexp_extract(F.trim("text"), r"^\[\[(.+)\]\]$", 1), F.lit(""))
+    d = chunks.withColumn("node_id", named).join(entities, "node_id", "left").withColumn("text", F.coalesce("content", "text"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    return d.filter(F.trim("text") != "").groupBy("source_file").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))

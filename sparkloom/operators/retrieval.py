@@ -212,3 +212,11 @@ def expand_window(hits: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
     return found.withColumn("__n", F.row_number().over(order)).filter(F.col("is_match") | (F.col("__n") == 1)).drop("__n")
 
 
+
+
+def hashed_embedding(docs: DataFrame, key: str, text: str = "text", size: int = 64) -> DataFrame:
+    """(key, dim, value): a deterministic unit vector, the sparse weights folded to ``size`` dimensions; the default
+    where no embedding model is given."""
+    v = sparse_encode(docs, key, text).groupBy(key, (F.col("bucket") % size).alias("dim")).agg(F.sum("weight").alias("v"))
+    n = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
+    return v.select(key, "dim", (F.col("v") / n).alias("value"))

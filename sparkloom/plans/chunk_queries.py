@@ -208,3 +208,33 @@ def entity_context(spark, sf_dir):
 @query("redact_errors", "SELECT doc_id, 'fail token=[redacted] at ' || lang AS value FROM documents")
 def redact_errors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.redact_secrets(F.concat(F.lit("fail token="), F.md5("text"), F.lit(" at "), "lang")).alias("value"))
+
+
+def hint_sql(profile: str) -> str:
+    words = "[" + ", ".join(f"'{w}'" for w in profile.split()) + "]"
+    return f"len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: list_contains({words}, w)))"
+
+
+HINTS = ", ".join(f"{hint_sql(v)} AS {k}" for k, v in X.LANGUAGE_WORDS.items())
+
+
+@query("language_hint", f"""WITH n AS (SELECT doc_id, length(text) AS chars, {HINTS} FROM documents)
+  SELECT doc_id, CASE WHEN chars < 100 OR greatest(de, en, es, fr) = 0 THEN NULL WHEN de >= greatest(en, es, fr) THEN 'de' WHEN en >= greatest(es, fr) THEN 'en' WHEN es >= fr THEN 'es' ELSE 'fr' END AS lang FROM n""")
+def language_hint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.language_hint(F.col("text")).alias("lang"))
+
+
+@query("parse_llm_json", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE doc_id END AS id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE lang END AS tag FROM documents")
+def parse_llm_json(spark, sf_dir):
+    body = F.concat(F.lit('{"id": '), "doc_id", F.lit(', "tag": "'), "lang", F.lit('"}'))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: "), body, F.lit(" done"))).otherwise(F.lit("{broken"))
+    d = table(spark, sf_dir, "documents").select("doc_id", X.parse_model_json(raw, "id bigint, tag string").alias("j"))
+    return d.select("doc_id", "j.id", "j.tag")
+
+
+@query("assemble", f"""{CHUNKS} SELECT source_file, string_agg(CASE WHEN chunk_index % 3 = 1 THEN '> ' || text ELSE text END, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM chunks GROUP BY source_file""")
+def assemble(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    id_of = F.concat("source_file", F.lit("#"), "chunk_index")
+    marked = c.select("source_file", "chunk_index", F.when(F.col("chunk_index") % 3 == 1, F.concat(F.lit("[["), id_of, F.lit("]]"))).otherwise(F.col("text")).alias("text"))
+    return A.assemble(marked, c.filter("chunk_index % 3 = 1").select(id_of.alias("node_id"), F.concat(F.lit("> "), "text").alias("content")))

@@ -368,3 +368,8 @@ def round_robin_pool(spark, sf_dir):
 @query("task_synthesis", "SELECT md5(text) AS passage, count(*) AS n, count(DISTINCT lang) > 1 AS inconsistent FROM documents GROUP BY 1")
 def task_synthesis(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("passage")).agg(F.count("*").alias("n"), (F.countDistinct("lang") > 1).alias("inconsistent"))
+
+
+@query("dense_embed", f"{SPARSE}, v AS (SELECT id AS doc_id, bucket % 64 AS dim, sum(weight) AS v FROM sc GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM v GROUP BY doc_id) SELECT doc_id, dim, round(v / n, 6) AS value FROM v JOIN n USING (doc_id)")
+def dense_embed(spark, sf_dir):
+    return R.hashed_embedding(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "dim", F.round("value", 6).alias("value"))
