@@ -108,6 +108,45 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, most_times: int) -> l
     return [sum(flow.room[e ^ 1] for e in arcs) for arcs in taken]
 
 
+def _fill(drawn: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``drawn`` with ``more`` 1 also for the largest undrawn row that fits what its pattern is still due,
+    and so on until no undrawn row with a word fits; of equal sizes the first in the seeded order.
+
+    What is due is less than one document here, so sizes are counted, the counts of a pattern (a row per
+    size, not per document) are walked from the largest down, and a size that is not taken whole is cut
+    by parts of the seeded order, of which only the one with the cut is ranked.
+    """
+    part = F.shiftright("draw", 52 - PARTS_BITS)
+    left = drawn.groupBy("sources").agg((F.max("due") - F.sum(F.col("size") * F.col("more"))).alias("left"))
+    left = materialize(left.filter("left > 0"), "mix-left")
+    fit = drawn.filter("more = 0").join(left, "sources").filter("0 < size and size <= left")
+    counts = materialize(fit.groupBy("sources", "size", part.alias("part")).agg(F.count("*").alias("n"), F.first("left").alias("left")), "mix-counts")
+    sizes = counts.groupBy("sources", "size").agg(F.sum("n").alias("n"), F.first("left").alias("left"))
+    offers = sizes.groupBy("sources").agg(F.first("left").alias("left"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("offers"))
+
+    def take(state, offer):
+        n = F.least(offer["n"], F.floor(state["left"] / offer["size"]))
+        pick = F.struct(offer["size"].alias("size"), n.alias("want"), offer["n"].alias("n"))
+        picks = F.when(n > 0, F.concat(state["picks"], F.array(pick))).otherwise(state["picks"])
+        return F.struct((state["left"] - n * offer["size"]).alias("left"), picks.alias("picks"))
+
+    none = F.expr("cast(array() as array<struct<size: bigint, want: bigint, n: bigint>>)")
+    picks = offers.select("sources", F.explode(F.aggregate("offers", F.struct("left", none.alias("picks")), take)["picks"]).alias("pick"))
+    picks = materialize(picks.select("sources", "pick.*"), "mix-picks")
+    so_far = Window.partitionBy("sources", "size").orderBy("part")
+    parts = counts.drop("left").join(picks.filter("want < n").select("sources", "size", "want"), ["sources", "size"])
+    parts = parts.withColumn("through", F.sum("n").over(so_far)).filter("through - n < want and want <= through")
+    cuts = parts.select("sources", "size", F.col("part").alias("cut"), (F.col("want") - F.col("through") + F.col("n")).alias("rest"))
+    picks = materialize(picks.select("sources", "size", F.lit(True).alias("picked")).join(cuts, ["sources", "size"], "left"), "mix-cuts")
+    rows = drawn.withColumn("part", part).join(picks, ["sources", "size"], "left")
+    at_cut = F.coalesce((F.col("more") == 0) & (F.col("part") == F.col("cut")), F.lit(False))
+    walk = Window.partitionBy("sources", "size").orderBy("draw", "doc_id", *keep)
+    ranked = rows.filter(at_cut).withColumn("more", (F.row_number().over(walk) <= F.col("rest")).cast("bigint"))
+    taken = F.coalesce(F.col("picked") & (F.col("cut").isNull() | (F.col("part") < F.col("cut"))), F.lit(False))
+    others = rows.filter(~at_cut).withColumn("more", F.greatest("more", taken.cast("bigint")))
+    return materialize(ranked.unionByName(others).select(*drawn.columns), "mix-filled")
+
+
 def mix_sources(
     docs: DataFrame,
     membership: Column,
@@ -124,7 +163,7 @@ def mix_sources(
     Sources in code-point order, null last, take ``weights`` in turn. source_size and target are sums over
     the row's sources. A row's size is its words (null text: 0). Passes are whole
     but for a pattern's last, which takes documents in the order of a seeded digest as long as they fit
-    what is due, then twice the largest that fits the rest (rows equal to it with it). A null or empty membership is the null source. Rows that repeat an
+    what is due, then the largest that fits the rest, again and again until none is left that does. A null or empty membership is the null source. Rows that repeat an
     id have one digest and stand in order of size. Reruns agree; an empty table gives an empty result.
 
     The driver holds one row per distinct membership pattern, which is metadata, not data.
@@ -186,16 +225,7 @@ def mix_sources(
     inside = inside.withColumn("more", (F.col("before") + F.sum("size").over(walk) <= F.col("due")).cast("bigint"))
     outside = rows.filter(~F.col("part").eqNullSafe(F.col("cut"))).withColumn("more", (F.col("part") <= F.coalesce("last", F.lit(-1))).cast("bigint"))
     drawn = materialize(inside.unionByName(outside).select("doc_id", *keep, "sources", "size", "draw", "source_size", "target", "passes", "due", "more"), "mix-drawn")
-    # then, twice, the largest document that fits what is left
-    for _ in range(2):
-        left = drawn.groupBy("sources").agg((F.max("due") - F.sum(F.col("size") * F.col("more"))).alias("left"))
-        left = materialize(left.filter("left > 0"), "mix-left")
-        fit = drawn.filter("more = 0").join(left, "sources").filter("0 < size and size <= left")
-        fit = fit.groupBy("sources").agg(F.min(F.struct((-F.col("size")).alias("size"), "draw", "doc_id")).alias("fit"))
-        fit = materialize(fit.select("sources", F.col("fit.draw").alias("f_draw"), F.col("fit.doc_id").alias("f_id"), (-F.col("fit.size")).alias("f_size")), "mix-fit")
-        fits = (F.col("more") == 0) & (F.col("draw") == F.col("f_draw")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size"))
-        drawn = drawn.join(fit, "sources", "left").withColumn("more", F.col("more") + F.coalesce(fits, F.lit(False)).cast("bigint"))
-        drawn = materialize(drawn.drop("f_draw", "f_id", "f_size"), "mix-drawn")
+    drawn = _fill(drawn, keep)
     times = F.col("passes") + F.col("more")
     return drawn.select("doc_id", *keep, "sources", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 

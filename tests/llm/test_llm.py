@@ -96,6 +96,20 @@ def test_mixing(spark, docs, rows):
     assert mixing.mix_sources(docs.limit(0), F.array("source")).count() == 0
 
 
+def test_mixing_fills_until_nothing_fits(spark):
+    # many long documents, and short ones that fill what is left at the cut one by one
+    for seed in range(3):
+        sizes = [400 + 7 * i for i in range(12)] + [30 + 11 * (i % 4) for i in range(9)]
+        data = [(i, "w " * n, "en", f"s{i % 2}", 1) for i, n in enumerate(sizes)]
+        got = mixing.mix_sources(spark.createDataFrame(data, SCHEMA), F.array("source"), seed=seed).collect()
+        for s in ("s0", "s1"):
+            own = [r for r in got if r["sources"] == [s]]
+            left = int(own[0]["target"] + 0.5) - sum(r["taken"] for r in own)
+            least = min(r["times"] for r in own)
+            assert left >= 0 and {r["times"] for r in own} <= {least, least + 1}
+            assert not left or all(r["size"] > left for r in own if r["times"] == least)
+
+
 def test_mixing_overlapping_sources():
     take = mixing.route([(("a",), 100), (("a", "b"), 50), (("b",), 10)], {"a": 100, "b": 60}, 3)
     assert take == [100, 50, 10]
