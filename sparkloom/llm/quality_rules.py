@@ -19,6 +19,8 @@ SYMBOLS = "#*$%&|<>"
 #: The transformed vector, with the least scale each part is given (a part that is constant
 #: over a group would otherwise reject every other value).
 FLOORS = {"v_length": 0.6, "v_word": 0.08, "v_symbol": 0.12, "v_line": 0.15, "v_repeat": 0.15}
+#: Chosen on half of the labels, held against the other half (see the README).
+QUANTILE = 0.9999
 POOLED = "pooled"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -195,7 +197,7 @@ def quality_rules(
     least_rows: int = 100,
     coverage: float = 0.75,
     steps: int = 3,
-    quantile: float = 0.999999,
+    quantile: float = QUANTILE,
 ) -> DataFrame:
     """Per row of ``docs``: the ``keep`` columns (all by default), then the statistics, ``d2`` (squared
     Mahalanobis distance from the group's robust centre) and ``kept``.
@@ -212,7 +214,7 @@ def quality_rules(
     return d.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *STATISTICS, "d2", F.col("__kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), least_rows: int = 100, coverage: float = 0.75, steps: int = 3, quantile: float = 0.999999) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), least_rows: int = 100, coverage: float = 0.75, steps: int = 3, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``docs`` that the quality rules keep, with its columns."""
     d = _judge(docs, text, by, docs.columns, least_rows, coverage, steps, quantile)
     return d.filter("__kept").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])

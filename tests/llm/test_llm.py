@@ -220,6 +220,14 @@ def test_quality_outliers(spark):
     assert all(got[r[0]] for r in good) and not any(got[r[0]] for r in bad)
 
 
+def test_quality_outliers_of_one_part(spark):
+    # two words in five end in a symbol, and nothing else is odd
+    good = [(i, prose(100 + i, i), "en", "a", 1) for i in range(150)]
+    bad = [(1000 + i, " ".join(w + "$" * (k % 5 < 2) for k, w in enumerate(prose(120, 700 + i).split())), "en", "a", 1) for i in range(15)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(good + bad, SCHEMA)).collect()}
+    assert all(got[r[0]] for r in good) and not any(got[r[0]] for r in bad)
+
+
 def test_chi_square():
     assert quality_rules.chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
 
