@@ -128,13 +128,21 @@ def mmr(spark, sf_dir):
     return R.mmr(dense_lane(spark, sf_dir, 100).join(corpus.select("id", "vec"), "id"), 0.5, 10)
 
 
-def chunk_hits(spark, sf_dir):
-    """Benchmark queries against chunks: the first chunk that shares the most query terms, per document hit."""
-    lane = sparse_lane(spark, sf_dir, 20).select("qid", F.col("id").alias("doc_id"), "rank", "score")
-    first = chunks(spark, sf_dir).filter("chunk_index = 0")
+def chunk_hits(spark, sf_dir, top=10):
+    """Benchmark queries against chunks: of all chunks of each document hit, the first that holds the most
+    query terms. Documents are fetched to the depth that reranking to ``top`` asks for."""
+    lane = sparse_lane(spark, sf_dir, max(4 * top, top + 5)).select("qid", F.col("id").alias("doc_id"), "rank", "score")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    hits = lane.join(first, "doc_id").join(b, "qid")
-    return hits.withColumnRenamed("doc_id", "id")
+    asked = lane.join(b.withColumn("__terms", F.map_keys(X.query_tokens(F.col("query")))), "qid")
+    every = asked.join(chunks(spark, sf_dir), "doc_id")
+    shared = F.size(F.filter("__terms", lambda t: F.lower("text").contains(t)))
+    best = every.groupBy("qid", "doc_id").agg(
+        F.first("query").alias("query"),
+        F.first("rank").alias("rank"),
+        F.first("score").alias("score"),
+        F.min(F.struct((-shared).alias("order"), "chunk_index", "total_chunks", "source_file", "lang", "source", "section", "text", "tags", "point_kind")).alias("c"),
+    )
+    return best.select("qid", F.col("doc_id").alias("id"), "rank", "score", "query", "c.*").drop("order")
 
 
 @query("rerank_det")

@@ -1,5 +1,6 @@
 """Invariants and worked examples of operators that SQL does not hold."""
 
+import os
 import uuid
 
 import pytest
@@ -94,3 +95,39 @@ def test_citations_and_cursor(spark):
     assert one(spark, lambda: A.strip_node_marks(F.lit("a [node: x.y] b [node: z]"), ["x.y"])) == "a [node: x.y] b "
     state = one(spark, lambda: A.decode_cursor(A.encode_cursor(F.struct(F.lit("ü?>").alias("s"))), "s string"))
     assert state["s"] == "ü?>"
+
+
+def test_rerank_takes_the_best_chunk_of_every_hit(spark):
+    from sparkloom.plans import retrieval_queries as Q
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    lines = {}
+    for r in Q.chunks(spark, sf).select("doc_id", "chunk_index", "text", "section", "source_file", "tags").collect():
+        lines.setdefault(r["doc_id"], []).append(r)
+    terms = {r["item_id"]: r["q"] for r in Q.table(spark, sf, "benchmark").select("item_id", X.query_tokens(F.col("text")).alias("q")).collect()}
+    got = {(r["qid"], r["id"]): r for r in Q.chunk_hits(spark, sf).collect()}
+    lane = {(r["qid"], r["id"]): r["rank"] for r in Q.sparse_lane(spark, sf, 40).collect()}
+    assert {k: r["rank"] for k, r in got.items()} == lane and max(lane.values()) == 40
+    pools = {}
+    for (q, d), rank in lane.items():
+        best = min(lines[d], key=lambda c, q=q: (-sum(t in c["text"].lower() for t in terms[q]), c["chunk_index"]))
+        assert (got[q, d]["chunk_index"], got[q, d]["text"]) == (best["chunk_index"], best["text"])
+        hits = lambda where, q=q: sum(3 if t else 1 for w, t in terms[q].items() if w in where.lower())
+        score = 1 / rank + min(hits(best["source_file"]) * 0.08, 0.24) + min(hits(best["section"]) * 0.06, 0.18)
+        score += min(hits(" ".join(best["tags"])) * 0.05, 0.15) + min(hits(best["text"]) * 0.01, 0.05)
+        score -= 0.02 * (best["chunk_index"] == 0 and sum(terms[q].values()) >= 2)
+        pools.setdefault(q, []).append((-round(score, 9), rank, d))
+    assert any(r["chunk_index"] > 0 for r in got.values())
+    # each document is one file, so the greedy choice is the order of scores, but for the protected first hit
+    want = {}
+    for q, pool in pools.items():
+        pool.sort()
+        first = next(p for p in pool if p[1] == 1)
+        if pool[0] != first and first[0] - pool[0][0] < 0.05:
+            pool.remove(first)
+            pool.insert(0, first)
+        want[q] = [p[2] for p in pool[:10]]
+    found = {}
+    for r in sorted(Q.rerank_det(spark, sf).collect(), key=lambda r: r["new_rank"]):
+        found.setdefault(r["qid"], []).append(r["id"])
+    assert found == want
