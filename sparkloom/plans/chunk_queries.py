@@ -44,6 +44,11 @@ def tiny_code(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.tiny_code(F.lit("code_block"), F.substring("text", 1, 90)).alias("tiny"))
 
 
+@query("tiny_code_whole", "SELECT doc_id, NOT ((len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 12) OR len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 16) AS tiny FROM (SELECT doc_id, text AS code FROM documents)")
+def tiny_code_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.tiny_code(F.lit("code_block"), F.col("text")).alias("tiny"))
+
+
 @query("content_bearing", f"{CHUNKS} SELECT source_file, chunk_index, coalesce(point_kind, '') = 'retrieval_content' AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) >= 4 AS content FROM chunks")
 def content_bearing(spark, sf_dir):
     c = C.content_bearing(F.coalesce("point_kind", F.lit("")), F.lit("paragraph"), F.col("text"))

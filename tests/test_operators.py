@@ -131,3 +131,11 @@ def test_rerank_takes_the_best_chunk_of_every_hit(spark):
     for r in sorted(Q.rerank_det(spark, sf).collect(), key=lambda r: r["new_rank"]):
         found.setdefault(r["qid"], []).append(r["id"])
     assert found == want
+
+
+def test_tiny_code_whole_reads_past_the_first_characters(spark, tmp_path):
+    from sparkloom.plans import chunk_queries as Q
+
+    spark.createDataFrame([(1, "a" * 100 + " b" * 20), (2, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["tiny"] for r in Q.tiny_code_whole(spark, str(tmp_path)).collect()} == {1: False, 2: True}
+    assert {r["doc_id"]: r["tiny"] for r in Q.tiny_code(spark, str(tmp_path)).collect()} == {1: True, 2: True}
