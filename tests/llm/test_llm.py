@@ -377,6 +377,50 @@ def test_warc_index(pages, tmp_path):
     assert gzip.decompress(one.read_bytes()).startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_of_repeated_and_missing_ids(spark):
+    data = [(1, "A"), (2, "B"), (5, "A"), (5, "B"), (5, "C"), (None, "A"), (None, "D"), (None, "D"), (7, "E"), (7, "E"), (8, "E"), (9, None), (10, "")]
+    d = spark.createDataFrame([(i, f"http://h{k % 3}.com/", t) for k, (i, t) in enumerate(data)], "page_id long, url string, html string")
+    least = {}
+    for i, t in data:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    want = []
+    for i, t in data:
+        first = least.get(t or "")
+        again = i is not None and i > first
+        want.append((i, base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode(), "revisit" if again else "response", first if again else None))
+    got = warc.round_trip(d).collect()
+    assert sorted(map(str, [(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got])) == sorted(map(str, want))
+
+
+def test_warc_archives_share_a_folder(spark, pages, tmp_path):
+    at, rows = f"file://{tmp_path}/a", pages.select("page_id", "url", "html")
+    one, two = warc.write_archives(rows, at), warc.write_archives(rows.filter("page_id < 7"), at)
+    assert warc.read_archives(one, at).count() == rows.count() and warc.read_archives(two, at).count() == 7
+    # every payload lies in the first run's archives, and a revisit names its response's record, url and date
+    heads, payloads = [], set()
+    for f in {r["file"] for r in one.collect()}:
+        assert gzip.decompress((tmp_path / "a" / f).read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+    for r in warc.read_archives(one, at, payload=True).collect():
+        payloads |= {bytes(r["payload"])} if r["payload"] is not None else set()
+    assert payloads == {(r["html"] or "").encode() for r in rows.collect()}
+    raw = warc.record(3, "http://b.com/", b"x", 1, "D", (1, "http://a.com/"))
+    assert f"WARC-Refers-To: {warc.record_id(1, 'http://a.com/', 'D')}\r\n".encode() in raw
+    assert b"WARC-Refers-To-Target-URI: http://a.com/\r\nWARC-Refers-To-Date: " in raw
+
+
+def test_warc_looks_up_many_keys_in_blocks(spark, tmp_path):
+    # one url with captures in many blocks and parts, beside others
+    data = [(i, "http://hot.com/" if i % 3 else f"http://h{i}.com/", f"{i}") for i in range(120)]
+    d = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    at, index = f"file://{tmp_path}/a", f"file://{tmp_path}/i"
+    built = warc.Index(warc.build_index(warc.write_archives(d, at), index, block_lines=4), index, at)
+    asked = spark.createDataFrame([("http://hot.com/",), ("http://h6.com/",), ("http://absent.com/",), (None,), ("http://hot.com/#x",)], "url string")
+    found = warc.look_up(asked, built).collect()
+    assert sorted(r["page_id"] for r in found) == sorted([6, *(i for i in range(120) if i % 3)])
+    assert len(list(built.blocks(warc.surt("http://hot.com/")))) > 10 > len(list(built.blocks(warc.surt("http://h6.com/"))))
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline as P
 
