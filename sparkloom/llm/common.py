@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,19 +10,14 @@ from pyspark.sql import functions as F
 #: The white space of every word rule here: space, and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 
-_own_dir: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or (where that is
-    unset, as in tests) a temporary one of our own."""
+    unset, as in tests) one in the warehouse, which they share as well."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    return _own_dir[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

@@ -1,9 +1,12 @@
 """Quality rules: word and line statistics of each text, and robust multivariate outliers.
 
-Everything here is DataFrame expressions. Minimum covariance determinant per (language, source):
-start from coordinate-wise medians and MADs, then concentration steps (keep the ``coverage``
-nearest rows of each group, take their mean and covariance) as grouped aggregates over the
-written statistics; a group's parameters are one small row.
+Everything here is DataFrame expressions. Minimum covariance determinant per (language, source), of
+groups of any size: from two deterministic starts (coordinate-wise medians with MADs, and medians with the
+floors alone), concentration steps (keep the ``coverage`` nearest rows of each group, take their mean and
+covariance) as grouped aggregates over the written statistics, and of both the estimate of the smaller
+determinant. Each group's estimate is then drawn towards that of all rows together, which counts as ``PRIOR``
+rows of the group: a group of many rows keeps its own, one of few leans on the whole, and
+nothing changes at any one size. A group's parameters are one small row.
 """
 
 from __future__ import annotations
@@ -21,6 +24,11 @@ SYMBOLS = "#*$%&|<>"
 FLOORS = {"v_length": 0.6, "v_word": 0.08, "v_symbol": 0.12, "v_line": 0.15, "v_repeat": 0.15}
 #: Chosen on half of the labels, held against the other half (see the README).
 QUANTILE = 0.9999
+#: Rows of a group that the estimate over all rows counts as.
+PRIOR = 100
+#: Groups whose parameters (some 200 bytes each) are broadcast at most; those of more are joined, with
+#: each group's rows dealt to SALTS tasks.
+MOST_BROADCAST, SALTS = 20_000, 32
 POOLED = "pooled"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -117,9 +125,19 @@ def _cholesky(n: int, cov) -> list[tuple[str, Column]]:
     return out
 
 
-def _distances(rows: DataFrame, params: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+def _with_parameters(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
+    """``rows`` with the columns of ``params`` (a row per ``grp``, ``groups`` of them) beside them; rows
+    without any stay."""
+    if groups <= MOST_BROADCAST:
+        return rows.join(F.broadcast(params), "grp", "left")
+    salted = params.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["grp", "__salt"], "left").drop("__salt")
+
+
+def _distances(rows: DataFrame, params: DataFrame, groups: int, names: list[str]) -> DataFrame:
     """Adds ``d2``, the squared Mahalanobis distance from the group's centre."""
-    d = rows.join(params, "grp", how)
+    d = _with_parameters(rows, params, groups)
     for i, v in enumerate(names):
         rest = F.col(v) - F.col(f"m_{i}")
         for k in range(i):
@@ -129,38 +147,73 @@ def _distances(rows: DataFrame, params: DataFrame, names: list[str], how: str =
     return d.withColumn("d2", total).select(*rows.columns, "d2")
 
 
-def robust_parameters(rows: DataFrame, floors: dict[str, float], coverage: float, steps: int) -> DataFrame:
-    """A row per ``grp`` of ``rows`` (a written table with the columns of ``floors``): centre m_i
-    and Cholesky factor l_i_j of the minimum-covariance-determinant estimate.
+def _pairs(n: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(n) for j in range(i + 1)]
+
+
+def _factored(d: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """``keep``, m_i and the Cholesky factor l_i_j of the covariances c_i_j."""
+    for name, value in _cholesky(n, lambda i, j: F.col(f"c_{i}_{j}")):
+        d = d.withColumn(name, value)
+    return d.select(*keep, *[f"m_{i}" for i in range(n)], *[f"l_{i}_{j}" for i, j in _pairs(n)])
+
 
-    A group's rows never meet in one task: medians and cuts are mergeable sketches, means and
-    products are sums. The floors are added to the variances.
+def robust_parameters(rows: DataFrame, floors: dict[str, float], coverage: float, steps: int, prior: float = PRIOR) -> tuple[DataFrame, int]:
+    """A row per ``grp`` of ``rows`` (a written table with the columns of ``floors``), and one for POOLED, all rows
+    together: centre m_i and Cholesky factor l_i_j of the minimum-covariance-determinant estimate,
+    drawn towards the pooled one; and the number of rows.
+
+    A group's rows never meet in one task: medians and cuts are mergeable sketches (exact up to 2,000 rows), means
+    and products are sums. The floors are added to the variances, so a group of one row has an estimate, too.
+    Both starts of a group go through the same jobs as two groups.
     """
     names = list(floors)
     n = len(names)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    pairs = _pairs(n)
     correction = coverage / _gamma_p(n / 2 + 1, chi2_quantile(coverage, n) / 2)
 
+    groups = rows.select("grp").distinct().count()
     start = materialize(rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5, 2000).alias(f"m_{i}") for i, v in enumerate(names)]), "mcd-median")
-    dev = rows.join(start, "grp")
+    dev = _with_parameters(rows, start, groups)
     spread = dev.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 2000).alias(f"s_{i}") for i, v in enumerate(names)])
-    first = [(F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(floors[names[i]])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in pairs]
-    params = materialize(start.join(spread, "grp").select("grp", *[f"m_{i}" for i in range(n)], *first), "mcd-start")
-    for _ in range(steps):
-        near = _distances(rows, params, names)
+
+    def diagonal(scale) -> Column:
+        return F.struct(*[(scale(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in pairs])
+
+    floor = [F.lit(float(floors[v])) for v in names]
+    starts = F.array(diagonal(lambda i: F.greatest(1.4826 * F.col(f"s_{i}"), floor[i])), diagonal(lambda i: floor[i]))
+    first = start.join(spread, "grp").select("grp", *[f"m_{i}" for i in range(n)], F.posexplode(starts).alias("start", "l"))
+    tagged = F.concat(F.col("start").cast("string"), F.lit(":"), F.col("grp"))
+    params = materialize(first.select(tagged.alias("grp"), *[f"m_{i}" for i in range(n)], "l.*"), "mcd-start")
+    twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))).select(tagged.alias("grp"), *names)
+    for step in range(steps):
+        near = _distances(twice, params, 2 * groups, names)
         cut = materialize(near.groupBy("grp").agg(F.percentile_approx("d2", coverage, 2000).alias("cut")), "mcd-cut")
-        half = near.join(cut, "grp").filter(F.col("d2") <= F.col("cut"))
+        half = _with_parameters(near, cut, 2 * groups).filter(F.col("d2") <= F.col("cut"))
         sums = half.groupBy("grp").agg(
+            F.count("*").alias("h"),
             *[F.avg(v).alias(f"m_{i}") for i, v in enumerate(names)],
             *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i, j in pairs],
         )
-        for name, value in _cholesky(n, lambda i, j: F.col(f"c_{i}_{j}") * correction + (floors[names[i]] ** 2 if i == j else 0.0)):
-            sums = sums.withColumn(name, value)
-        params = materialize(sums.select("grp", *[f"m_{i}" for i in range(n)], *[f"l_{i}_{j}" for i, j in pairs]), "mcd-step")
-    return params
-
-
-def _judge(docs: DataFrame, text: str, by: tuple[str, ...], keep: list[str], least_rows: int, coverage: float, steps: int, quantile: float) -> DataFrame:
+        regular = [(F.col(f"c_{i}_{j}") * correction + (floors[names[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in pairs]
+        sums = materialize(sums.select("grp", "h", *[f"m_{i}" for i in range(n)], *regular), "mcd-step")
+        params = _factored(sums, n, ["grp"])
+    log_det = sum((F.log(f"l_{i}_{i}") for i in range(1, n)), F.log("l_0_0"))
+    better = params.select(F.split_part(F.col("grp"), F.lit(":"), F.lit(1)).alias("start"), F.expr("substr(grp, 3)").alias("own"), log_det.alias("log_det"))
+    better = better.groupBy("own").agg(F.min(F.struct("log_det", "start"))["start"].alias("start"))
+    best = better.select(F.concat("start", F.lit(":"), "own").alias("grp"), F.col("own"))
+    best = materialize(sums.join(best, "grp").drop("grp").withColumnRenamed("own", "grp"), "mcd-best")
+
+    whole = best.filter(F.col("grp") == POOLED).first()
+    if whole is None:  # no row, no parameters
+        return _factored(best, n, ["grp"]), groups
+    own = F.when(F.col("grp") == POOLED, F.lit(1.0)).otherwise(F.col("h") / (F.col("h") + F.lit(float(prior))))
+    mixed = lambda c: (F.col("__w") * F.col(c) + (1 - F.col("__w")) * F.lit(whole[c])).alias(c)
+    drawn = best.withColumn("__w", own).select("grp", *[mixed(f"m_{i}") for i in range(n)], *[mixed(f"c_{i}_{j}") for i, j in pairs])
+    return materialize(_factored(drawn, n, ["grp"]), "mcd-params"), groups
+
+
+def _judge(docs: DataFrame, text: str, by: tuple[str, ...], keep: list[str], prior: float, coverage: float, steps: int, quantile: float) -> DataFrame:
     """The ``keep`` columns as __k0, __k1, ... with the statistics, d2 and __kept."""
     inner = [f"__k{i}" for i in range(len(keep))]
     group = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"g{i}") for i, c in enumerate(by)]), {"ignoreNullFields": "false"})
@@ -178,13 +231,9 @@ def _judge(docs: DataFrame, text: str, by: tuple[str, ...], keep: list[str], lea
         ),
         "quality-stats",
     )
-    good = d.filter(~F.col("base_failed")).select(F.col("__own").alias("grp"), *FLOORS)
-    large = materialize(good.groupBy("grp").count().filter(F.col("count") >= least_rows).select("grp"), "quality-groups")
-    both = good.join(large, "grp", "left_semi").unionByName(good.withColumn("grp", F.lit(POOLED)))
-    params = robust_parameters(both, FLOORS, coverage, steps)
-    own = large.select(F.col("grp").alias("__own"), F.col("grp"))
-    grouped = d.join(own, "__own", "left").withColumn("grp", F.coalesce("grp", F.lit(POOLED)))
-    judged = _distances(grouped, params, list(FLOORS), "left")
+    good = d.filter(~F.col("base_failed")).select(F.explode(F.array("__own", F.lit(POOLED))).alias("grp"), *FLOORS)
+    params, groups = robust_parameters(good, FLOORS, coverage, steps, prior)
+    judged = _distances(d.withColumnRenamed("__own", "grp"), params, groups, list(FLOORS))
     good_enough = F.coalesce(F.col("d2") <= chi2_quantile(quantile, len(FLOORS)), F.lit(True))
     return judged.select(*inner, *STATISTICS, "d2", (~F.col("base_failed") & good_enough).alias("__kept"))
 
@@ -194,7 +243,7 @@ def quality_rules(
     text: str = "text",
     by: tuple[str, ...] = ("lang", "source"),
     keep: list[str] | None = None,
-    least_rows: int = 100,
+    prior: float = PRIOR,
     coverage: float = 0.75,
     steps: int = 3,
     quantile: float = QUANTILE,
@@ -204,17 +253,17 @@ def quality_rules(
 
     ``kept`` is false if the base rules fail (under 50 words, or over half of the words in repeated
     3-word windows) or ``d2`` lies beyond the chi-square ``quantile``. Rows that fail the base rules
-    take no part in the estimates. A group with fewer than ``least_rows`` others is judged
-    against all rows together; nulls of ``by`` form groups of their own. Null and empty texts
+    take no part in the estimates. Every group has an estimate of its own, drawn towards that of all
+    rows together as if ``prior`` rows stood for them; nulls of ``by`` form groups of their own. Null and empty texts
     fail; repeated rows are judged alike; an empty table gives an empty result. Columns of ``docs``
     may have any names; one that is kept and named like a statistic comes out twice.
     """
     keep = list(keep if keep is not None else docs.columns)
-    d = _judge(docs, text, by, keep, least_rows, coverage, steps, quantile)
+    d = _judge(docs, text, by, keep, prior, coverage, steps, quantile)
     return d.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *STATISTICS, "d2", F.col("__kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), least_rows: int = 100, coverage: float = 0.75, steps: int = 3, quantile: float = QUANTILE) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), prior: float = PRIOR, coverage: float = 0.75, steps: int = 3, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``docs`` that the quality rules keep, with its columns."""
-    d = _judge(docs, text, by, docs.columns, least_rows, coverage, steps, quantile)
+    d = _judge(docs, text, by, docs.columns, prior, coverage, steps, quantile)
     return d.filter("__kept").select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -228,6 +228,55 @@ def test_quality_outliers_of_one_part(spark):
     assert all(got[r[0]] for r in good) and not any(got[r[0]] for r in bad)
 
 
+def numpy_mcd(x, floors, coverage, steps):
+    """(centre, covariance, rows within the cut) of one group, of the better of two starts."""
+    n = x.shape[1]
+    q = quality_rules.chi2_quantile(coverage, n)
+    correction = coverage / quality_rules._gamma_p(n / 2 + 1, q / 2)
+    at = lambda v, p: np.sort(v, axis=0)[int(np.ceil(p * len(v))) - 1]
+    middle, found = at(x, 0.5), []
+    for scale in (np.maximum(1.4826 * at(np.abs(x - middle), 0.5), floors), floors):
+        centre, cov = middle, np.diag(scale**2)
+        for _ in range(steps):
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            near = x[d2 <= at(d2, coverage) + 1e-12]
+            centre, cov = near.mean(axis=0), np.atleast_2d(np.cov(near.T, bias=True)) * correction + np.diag(floors**2)
+        found.append((np.linalg.slogdet(cov)[1], centre, cov, len(near)))
+    return min(found, key=lambda f: f[0])[1:]
+
+
+def test_robust_estimate_of_each_group(spark):
+    r = np.random.default_rng(4)
+    names = list(quality_rules.FLOORS)
+    floors = np.array(list(quality_rules.FLOORS.values()))
+    groups = {}
+    for k, n in enumerate((1, 2, 7, 60, 400)):
+        x = r.normal(k, 0.3 + 0.1 * k, (n, 5))
+        x[: n // 5] += 6
+        groups[f"g{k}"] = x
+    groups[quality_rules.POOLED] = np.concatenate(list(groups.values()))
+    data = [(g, *map(float, row)) for g, x in groups.items() for row in x]
+    d = spark.createDataFrame(data, ["grp", *names])
+    found, n_groups = quality_rules.robust_parameters(d, quality_rules.FLOORS, 0.75, 3)
+    got = {row["grp"]: row for row in found.collect()}
+    assert n_groups == len(got) == 6
+    pooled = numpy_mcd(groups[quality_rules.POOLED], floors, 0.75, 3)
+    for g, x in groups.items():
+        centre, cov, h = numpy_mcd(x, floors, 0.75, 3)
+        w = 1.0 if g == quality_rules.POOLED else h / (h + quality_rules.PRIOR)
+        centre, cov = w * centre + (1 - w) * pooled[0], w * cov + (1 - w) * pooled[1]
+        factor = np.array([[got[g][f"l_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose([got[g][f"m_{i}"] for i in range(5)], centre, atol=1e-6)
+        assert np.allclose(factor @ factor.T, cov, atol=1e-6)
+
+
+def test_quality_parameters_by_salted_join(spark, docs, monkeypatch):
+    judged = lambda: sorted((r["doc_id"], r["kept"], round(r["d2"] or -1.0, 6)) for r in quality_rules.quality_rules(docs, keep=["doc_id"]).collect())
+    want = judged()
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", 0)
+    assert judged() == want
+
+
 def test_chi_square():
     assert quality_rules.chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
 
