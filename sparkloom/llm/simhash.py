@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, numbered
 from .components import connected_components
@@ -25,6 +26,8 @@ WORDS = 3
 SEED = 42
 BLOCKS = 4
 TILE = 2048
+#: Tiles of a key that are compared with as many of another in one place.
+GROUP = 8
 _AT_ONCE = 1 << 16
 
 
@@ -52,13 +55,13 @@ def simhash(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed bigint."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.fromiter((simhash(t) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": found.view(np.int64)})
+            found = np.fromiter((simhash(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInPandas(run, "doc_id bigint, fp bigint")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return d.mapInArrow(run, T.StructType([d.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def _nearby(radius: int) -> list[int]:
@@ -100,29 +103,33 @@ def _stars(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nd
     return values[linked], values[label[linked]]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, group: int = GROUP) -> DataFrame:
     """(u, v) edges over the distinct bigint column ``fp`` whose components are those of all pairs at
     ``radius`` or fewer bits: each pair of tiles yields a spanning forest of its links."""
     key = sum((F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("bigint") * (1 << (8 * i)) for i in range(1, BLOCKS)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFF))).cast("bigint"))
     keyed = prints.select("fp", key.alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")), "simhash-keys")
-    parts = sizes.select("key", F.ceil(F.col("n") / tile).alias("parts"))
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    sizes = materialize(sizes, "simhash-keys")
     tiles = (
-        keyed.join(parts, "key")
+        keyed.join(sizes, "key")
         .groupBy("key", F.pmod(F.xxhash64("fp"), "parts").alias("part"))
         .agg(F.collect_list("fp").alias("fps"))
     )
     tiles = materialize(tiles, "simhash-tiles")
     steps = F.array(*[F.lit(x).cast("bigint") for x in _nearby(radius)])
-    pairs = sizes.select("key", F.explode(F.transform(steps, lambda x: F.col("key") + x)).alias("key2")).join(sizes.select(F.col("key").alias("key2")), "key2", "left_semi")
-    left = tiles.select("key", "part", F.col("fps").alias("a"))
-    right = tiles.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("fps").alias("b"))
-    both = left.join(pairs, "key").join(right, "key2").filter("key != key2 or part <= part2")
+    pairs = sizes.select("key", "parts", F.explode(F.transform(steps, lambda x: F.col("key") + x)).alias("key2"))
+    pairs = materialize(pairs.join(sizes.select(F.col("key").alias("key2"), F.col("parts").alias("parts2")), "key2"), "simhash-pairs")
+    # the tiles of a key are dealt in groups, and a place compares one group of each key: the most common
+    # key's pairs, whose number is the square of its tiles, are spread over many places
+    groups = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(parts) - 1) / group)))
+    left = tiles.select("key", "part", F.col("fps").alias("a"), F.floor(F.col("part") / group).alias("group"))
+    left = left.join(pairs.select("key", "key2", "parts2"), "key").withColumn("group2", groups("parts2")).filter("key != key2 or group <= group2")
+    right = tiles.select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("fps").alias("b"), F.floor(F.col("part") / group).alias("group2"))
+    right = right.join(pairs.select("key", "key2", "parts"), "key2").withColumn("group", groups("parts")).filter("key != key2 or group <= group2")
+    both = left.drop("parts2").join(right.drop("parts"), ["key", "group", "key2", "group2"]).filter("key != key2 or part <= part2")
     both = both.select("a", "b", ((F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2"))).alias("same"))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, same in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 u, v = _stars(np.asarray(a.values).view(np.uint64), np.asarray(b.values).view(np.uint64), same.as_py(), radius)
@@ -137,8 +144,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``radius`` or fewer differing bits, itself included.
 
     Null, empty and blank texts have fingerprint 0 and link like any other; equal fingerprints are one node,
-    so copies cost nothing more. A null id keeps its row and gets the component of its
-    fingerprint (null if no id reaches it). Other columns of ``docs`` are not read.
+    so copies cost nothing more. Ids are of any one ordered type. A null id keeps its row and gets the component
+    of its fingerprint (null if no id reaches it); rows that repeat an id each have their own fingerprint, and
+    the id stands for all of them. Texts are read whole, of any length. An empty table gives an empty
+    result. Other columns of ``docs`` are not read.
     """
     prints = materialize(fingerprints(docs, doc_id, text), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
