@@ -15,6 +15,9 @@ from .common import let, words_of
 
 K = 128
 WORDS = 5
+#: Bytes of text that a bucket of neighbours holds on average, and how many buckets there are at most
+#: (their bounds are a list of as many ids on the driver).
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 16
 _SPAN = float(2**64)
 
 
@@ -86,12 +89,18 @@ def with_next(docs: DataFrame, doc_id: str, text: str, buckets: int | None = Non
     """(doc_id, text, bucket, ghost), where rows of a bucket in (ghost, doc_id, text) order are
     neighbours and the row after a bucket's last is a ghost: a copy of the next bucket's first row.
 
-    Bounds are quantiles of the ids, a bounded list; no task sees more than a bucket. After the
-    largest id comes the smallest. Repeated ids stand in order of their texts, null ids first.
+    Bounds are quantiles of the ids, a bounded list; their number follows the bytes of the texts, and no task
+    sees more than a bucket (whose rows are sorted, and spilled where they do not fit). After the
+    largest id comes the smallest. Repeated ids stand in order of their texts, null ids first. Ids are
+    integers; of any other type they are refused.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema[doc_id].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be an integer column to have an ascending order of neighbours; it is {kind}")
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if buckets is None:
+        size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
     shares = [i / buckets for i in range(1, buckets)] or [0.5]
     row = d.agg(F.percentile_approx("doc_id", shares, 10 * buckets).alias("q"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     bounds = sorted({b for b in (row["q"] or []) if b != row["low"]})

@@ -145,7 +145,7 @@ def test_simhash_tiles_lose_no_link(spark):
         prints |= {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(8)}
     prints = sorted(prints)
     d = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
-    found = components.connected_components(simhash.links(d, tile=5))
+    found = components.connected_components(simhash.links(d, tile=5, group=2))
     root = {r["node"] % 2**64: r["root"] for r in found.collect()}
     label = list(range(len(prints)))
     near = [[j for j, q in enumerate(prints) if (p ^ q).bit_count() <= 2] for p in prints]
@@ -188,6 +188,32 @@ def test_fingerprints(spark, docs, rows):
     assert fingerprints.fingerprint_edits(same).count() == 3
 
 
+def test_simhash_of_text_ids_and_null_ids(spark):
+    t = prose(60, 4)
+    d = spark.createDataFrame([("b", t), ("a", t), (None, t), (None, prose(60, 5)), ("c", prose(60, 6)), ("c", None)], "doc_id string, text string").withColumn("fp", F.lit("clash"))
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(d).collect())
+    assert got == [("None", "None"), ("None", "a"), ("a", "a"), ("b", "a"), ("c", "c"), ("c", "c")]
+
+
+def test_simhash_of_a_very_long_text():
+    t = prose(200_000, 1)
+    assert len(t) > 800_000 and simhash.simhash(t) == brute_simhash(t)
+
+
+def test_fingerprints_of_neighbours_in_many_buckets(spark):
+    data = [(7 * i, prose(12 + i % 9, i // 2)) for i in range(60)]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    rows = fingerprints.with_next(d, "doc_id", "text", buckets=9).collect()
+    assert len({r["bucket"] for r in rows}) == 9
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(d).collect()}
+    shingles = lambda t: {tuple(WORD.findall(t)[i : i + 5]) for i in range(max(1, len(WORD.findall(t)) - 4))}
+    for (i, t), (_, nxt) in zip(data, data[1:] + data[:1], strict=True):
+        a, b = shingles(t), shingles(nxt)
+        assert got[i]["near_next"] == pytest.approx(len(a & b) / len(a | b), abs=1e-9)
+    with pytest.raises(TypeError):
+        fingerprints.fingerprint_edits(d.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_sketches_merge(spark):
     a, b = prose(700, 8), prose(500, 9)
     row = spark.createDataFrame([(a, b, a + " " + b)], "a string, b string, c string").select(*[fingerprints.sketch(F.col(c), 64).alias(c) for c in "abc"])
