@@ -3,11 +3,14 @@
 Candidates. Every window of ``window`` bytes is keyed by the hash of one k-byte piece of it, chosen by its
 content alone (the leftmost least hash), and consecutive windows with the same piece form a segment.
 Equal windows have equal keys, so a segment whose key occurs once holds no repeat, and where all segments
-of a key are equal all their windows repeat. Only the distinct segments of the other keys are sorted.
+of a key are equal all their windows repeat. Only the distinct segments of the other keys are sorted. A key
+with very many of them (a common line, say, in ever other surroundings) is split by keying its segments anew
+with a longer piece, at last by the whole window.
 
 Sorting. A collection of segments is indexed column by column: each round inserts one more symbol of
 every segment, from its end, into the collection's Burrows-Wheeler transform and renews the common
-prefixes at the places of insertion. The transform is held as the sorted occurrences (symbol, place), in which the
+prefixes at the places of insertion: two neighbours of one symbol share one symbol more than the least common
+prefix between the places of what follows them. The transform is held as the sorted occurrences (symbol, place), in which the
 index of an entry is the order of the suffix it begins. A symbol is ``PACK`` bytes: each segment is taken
 at PACK shifts, so that a window of any start is a whole number of symbols, and rounds are PACK times fewer.
 A collection is bounded and its tables are arrays read and written in sequence.
@@ -32,7 +35,7 @@ PIECE = 64
 PACK = 8
 #: Suffixes of a collection at which the next key starts a new one.
 BATCH = 400_000
-#: A key with more distinct segments than this is settled window by window, by aggregation.
+#: A key with more distinct segments than this is split by a longer piece.
 HOT = 4000
 _CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
@@ -92,19 +95,41 @@ class Segmenter:
             yield keys, starts + i, ends + i
 
 
-def collection_order(words: np.ndarray, ends: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix order of a collection, column by column.
+class RangeLeast:
+    """Least values of ranges of an array, from the least of every run of 1, 2, 4, ... entries."""
+
+    def __init__(self, values: np.ndarray, longest: int) -> None:
+        self.runs = [values]
+        step = 1
+        while 2 * step <= longest:
+            last = self.runs[-1]
+            self.runs.append(np.minimum(last[:-step], last[step:]))
+            step *= 2
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The least of values[first..last], ends included, for each pair."""
+        out = np.empty(len(first), dtype=self.runs[0].dtype)
+        level = np.frexp(last - first + 1)[1] - 1
+        for k in np.unique(level):
+            these = level == k
+            run = self.runs[k]
+            out[these] = np.minimum(run[first[these]], run[last[these] - (1 << int(k)) + 1])
+        return out
+
+
+def collection_tables(words: np.ndarray, ends: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order of a collection and its common prefixes, column by column.
 
     ``words`` holds the symbols of all strings (dense ids, concatenated), ``ends`` the end and
     ``lengths`` the length of each. Returns (order, common): the start in ``words`` of each suffix in
-    order, and whether it shares ``depth`` symbols with the one before it.
+    order, and how many symbols, up to ``most``, it shares with the one before it.
     """
     m = len(ends)
-    stop = np.repeat(ends, lengths)
+    kind = np.uint8 if most < 256 else np.int32
     occ = np.empty(0, dtype=np.int64)  # symbol << 32 | place of what follows it, sorted
     order = np.empty(0, dtype=np.int64)
-    common = np.zeros(0, dtype=bool)
-    place = np.arange(m, dtype=np.int64)  # of each string's suffix so far; the empty ones come first
+    common = np.zeros(m, dtype=kind)  # the empty suffixes, one of each string, come first
+    place = np.arange(m, dtype=np.int64)  # of each string's suffix so far
     longest_first = np.argsort(-lengths, kind="stable")
     sorted_lengths = -lengths[longest_first]
     for column in range(1, int(lengths.max(initial=0)) + 1):
@@ -116,35 +141,38 @@ def collection_order(words: np.ndarray, ends: np.ndarray, lengths: np.ndarray, d
         into = np.searchsorted(occ, key)
         at = into + np.arange(len(key))
         n = len(occ)
-        moved = np.zeros(m + n, dtype=np.int64)
-        np.cumsum(np.bincount(into, minlength=n + 1)[:n], out=moved[m:])
         old = np.ones(n + len(key), dtype=bool)
         old[at] = False
-        for_all = np.empty(n + len(key), dtype=np.int64)
-        for_all[old], for_all[at] = occ, key
-        for_all += moved[for_all & _LOW]
-        occ = for_all
+        merged = np.empty(n + len(key), dtype=np.int64)
+        merged[old], merged[at] = occ, key
+        # common prefixes change only at what came in and at what now follows it
+        touched = np.concatenate((at, at[at + 1 < len(merged)] + 1))
+        touched = touched[touched > 0]
+        touched = touched[(merged[touched] >> 32) == (merged[touched - 1] >> 32)]
+        first, last = (merged[touched - 1] & _LOW) + 1, merged[touched] & _LOW
+        renewed = np.zeros(m + len(merged), dtype=kind)
+        renewed[m:][old] = common[m:]
+        renewed[m + at] = 0
+        renewed[m + at[at + 1 < len(merged)] + 1] = 0
+        if len(touched):
+            least = RangeLeast(common, int((last - first).max()) + 1)(first, last)
+            renewed[m + touched] = np.minimum(least, most - 1) + 1
+        common = renewed
+        moved = np.zeros(m + n, dtype=np.int64)
+        np.cumsum(np.bincount(into, minlength=n + 1)[:n], out=moved[m:])
+        merged += moved[merged & _LOW]
+        occ = merged
         suffix = np.empty_like(occ)
         suffix[old], suffix[at] = order, start
         order = suffix
-        shared = np.zeros(len(occ), dtype=bool)
-        shared[old] = common
-        common = shared
         place[active] = m + at
-        # common prefixes change only at what came in and at what now follows it
-        touched = np.unique(np.concatenate((at, at + 1)))
-        touched = touched[(touched > 0) & (touched < len(order))]
-        common[touched] = False
-        a, b = order[touched - 1], order[touched]
-        long = (stop[a] - a >= depth) & (stop[b] - b >= depth)
-        touched, a, b = touched[long], a[long], b[long]
-        for d in range(depth):
-            same = words[a + d] == words[b + d]
-            touched, a, b = touched[same], a[same], b[same]
-            if not len(a):
-                break
-        common[touched] = True
-    return order, common
+    return order, common[m:]
+
+
+def collection_order(words: np.ndarray, ends: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order of a collection, and whether each suffix shares ``depth`` symbols with the one before it."""
+    order, common = collection_tables(words, ends, lengths, depth)
+    return order, common >= depth
 
 
 def repeated_windows(strings: list[bytes], window: int = WINDOW, pack: int = PACK) -> tuple[np.ndarray, np.ndarray]:
@@ -229,21 +257,6 @@ def _sorted_windows(strings: DataFrame, window: int, batch: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor bigint, digest bigint, from bigint, to bigint")
 
 
-def _counted_windows(strings: DataFrame, window: int) -> DataFrame:
-    """The same for strings of hot keys: each window's 128-bit digest is aggregated over all of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for anchor, digest, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                n = len(raw) - window + 1
-                marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + window]) for i in range(n)), dtype=np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, digest)), pa.array(np.arange(n)), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())], names=["anchor", "digest", "from", "h1", "h2"])
-
-    rows = materialize(strings.select("anchor", "digest", "raw").mapInArrow(run, "anchor bigint, digest bigint, from bigint, h1 bigint, h2 bigint"), "suffix-hot")
-    twice = rows.groupBy("h1", "h2").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b").select("h1", "h2")
-    return rows.join(twice, ["h1", "h2"]).select("anchor", "digest", "from", (F.col("from") + window).alias("to"))
-
-
 def _keyed(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
     """(k, doc_id, text): k is the id where ids are all there and distinct, else a hash of id and text (equal
     rows then share a key, and with it the result)."""
@@ -254,15 +267,24 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
     return docs.select(k.alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
 
 
+def longer_piece(piece: int, window: int) -> int:
+    """The piece by which a key is split that a piece of ``piece`` bytes leaves too common: half-way to the
+    window, then the window itself."""
+    half = (window - piece) // 2
+    return piece + half if half >= 32 else window
+
+
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, piece: int = PIECE, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """(k, spans): for each document of (k, text) with a repeat, its covered spans [from, to), unmerged."""
     segments = materialize(_segments(keyed.select("k", "text"), window, piece), "suffix-segments")
-    keys = segments.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("n > 1")
-    hits = segments.join(keys.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor")
-    hits = materialize(hits, "suffix-hits")
+    # tables of their own, so that joins have plain exchanges on both sides and a common key's rows are split
+    keys = segments.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("mixed")).filter("n > 1")
+    keys = materialize(keys.select("anchor", "mixed"), "suffix-keys")
+    hits = materialize(segments.join(keys, "anchor"), "suffix-hits")
     distinct = hits.filter("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "size")).alias("one"))
     distinct = materialize(distinct.select("anchor", "digest", "n", "one.*"), "suffix-distinct")
-    many = distinct.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
+    many = distinct.groupBy("anchor").count().filter(F.col("count") > (hot if piece < window else 1 << 62))
+    many = materialize(many.select("anchor", F.lit(True).alias("hot")), "suffix-many")
     wanted = distinct.join(many, "anchor", "left").select("k", F.struct("anchor", "digest", "start", "size", F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
     wanted = wanted.groupBy("k").agg(F.collect_list("s").alias("s"))
 
@@ -274,8 +296,13 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, piece: int = PIECE, b
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["anchor", "digest", "hot", "raw"])
 
     strings = keyed.join(wanted, "k").select("text", "s").mapInArrow(cut, "anchor bigint, digest bigint, hot boolean, raw binary")
-    strings = materialize(strings, "suffix-strings")
-    parts = _sorted_windows(strings.filter("not hot"), window, batch).unionByName(_counted_windows(strings.filter("hot"), window))
+    strings = materialize(strings.withColumn("k", F.monotonically_increasing_id()), "suffix-strings")
+    parts = _sorted_windows(strings.filter("not hot"), window, batch)
+    if many.take(1):
+        # equal windows lie in segments of one key: keyed anew, those of hot keys are documents of their own
+        split = repeated_spans(strings.filter("hot").select("k", F.col("raw").alias("text")), window, longer_piece(piece, window), batch, hot)
+        split = strings.filter("hot").select("k", "anchor", "digest").join(split.select("k", F.explode("spans").alias("s")), "k")
+        parts = parts.unionByName(split.select("anchor", "digest", "s.from", "s.to"))
     # a segment that occurs twice as a whole repeats as a whole
     whole = distinct.filter("n > 1").select("anchor", "digest", F.lit(0).cast("bigint").alias("from"), F.col("size").cast("bigint").alias("to"))
     parts = materialize(parts.unionByName(whole), "suffix-parts")

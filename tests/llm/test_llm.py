@@ -73,6 +73,43 @@ def test_collection_order_is_the_suffix_order():
     assert list(common[1:]) == [a[:4] == b[:4] and len(a) >= 4 and len(b) >= 4 for a, b in zip(suffixes, suffixes[1:], strict=False)]
 
 
+def test_collection_tables_hold_common_prefixes():
+    r = np.random.default_rng(1)
+    for letters, most in ((2, 50), (3, 6), (1, 300)):
+        lengths = r.integers(0, 25, 30)
+        words = r.integers(0, letters, int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        order, common = suffix_dedup.collection_tables(words, ends, lengths, most)
+        stop = np.repeat(ends, lengths)
+        suffixes = [tuple(words[i : stop[i]]) for i in order]
+        shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert suffixes == sorted(suffixes)
+        assert list(common[1:]) == [min(most, shared(a, b)) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+
+
+def test_least_of_ranges():
+    r = np.random.default_rng(2)
+    v = r.integers(0, 200, 100).astype(np.uint8)
+    a = r.integers(0, 100, 50)
+    b = np.minimum(99, a + r.integers(0, 60, 50))
+    assert suffix_dedup.RangeLeast(v, 60)(a, b).tolist() == [v[i : j + 1].min() for i, j in zip(a, b, strict=True)]
+
+
+def test_suffix_dedup_across_the_border_of_chunks(spark, monkeypatch):
+    # texts of several chunks, whose repeats cross the chunks' borders
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 2000)
+    monkeypatch.setattr(suffix_dedup.Segmenter, "_made", {})
+    shared = prose(300, 50)
+    texts = [prose(1500, 51) + shared + prose(900, 52), prose(400, 53) + " " + shared, prose(2000, 54)]
+    assert len(texts[0]) > 5000
+    split = suffix_dedup.Segmenter.get(200, 64).split
+    for t in texts:
+        found = [(a, b) for _, starts, ends in split(t.encode()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        assert sorted(w for a, b in found for w in range(a, b - 199)) == list(range(len(t.encode()) - 199))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[2] == 0 and got[0] == got[1] >= len(shared)
+
+
 def test_suffix_dedup_of_rows_without_ids(spark):
     t = prose(80, 1)
     d = spark.createDataFrame([(None, t), (None, t), (1, t), (1, prose(80, 2)), (1, None)], "doc_id long, text string")
