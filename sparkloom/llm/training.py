@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 def crc_remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
@@ -24,10 +25,15 @@ def sample_ids(rows: DataFrame, doc_id: str, most: int, seed: int = 0) -> list[i
     return [r["i"] for r in ids.orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(most).collect()]
 
 
-def texts_of(docs: DataFrame, ids: list[int], doc_id: str, text: str, columns: dict[str, Column] | None = None) -> pd.DataFrame:
-    """The rows of a bounded list of ids, by a filter that is pushed to the scan."""
-    more = [c.alias(k) for k, c in (columns or {}).items()]
-    return docs.filter(F.col(doc_id).isin(ids)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more).toPandas()
+def sample_rows(docs: DataFrame, ids: dict[int, int], doc_id: str, text: str, tag: str) -> DataFrame:
+    """(doc_id, text, y) of a bounded list of ids and their marks, written: one row for each id (of rows that
+    repeat it the first by text), wherever the executors read it. The texts do not come to the driver."""
+    spark = docs.sparkSession
+    kind = docs.schema[doc_id].dataType.simpleString()
+    few = spark.createDataFrame(sorted(ids.items()), f"doc_id {kind}, y int")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return materialize(rows.select("doc_id", "text", "y"), tag)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
