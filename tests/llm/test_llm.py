@@ -374,6 +374,99 @@ def test_quality_classifier(spark):
     assert quality_classifier.quality(d, y.limit(0)).count() == 401
 
 
+def numeric_gradient(f, w):
+    step = 1e-6 * np.eye(len(w))
+    return np.array([(f(w + e) - f(w - e)) / 2e-6 for e in step])
+
+
+def test_toxicity_loss_and_ratios():
+    r = np.random.default_rng(3)
+    has = r.random((40, 6)) < 0.4
+    labels = (r.random(40) < 0.3).astype(float)
+    with_0, with_1 = has[labels == 0].sum(axis=0), has[labels == 1].sum(axis=0)
+    n0, n1 = int((labels == 0).sum()), int(labels.sum())
+    ratio = toxicity.log_count_ratio(with_0, with_1, n0, n1)
+    assert ratio == pytest.approx([np.log((b + 1) / (n1 + 2) / ((a + 1) / (n0 + 2))) for a, b in zip(with_0, with_1, strict=True)])
+    row, col = np.nonzero(has)
+    w = r.normal(size=7)
+    share = (n1 + 0.5) / 41
+    weight = np.array([(0.5 / share if y else 0.5 / (1 - share)) ** 0.5 for y in labels])
+
+    def brute(w):
+        z = (has * ratio) @ w[:-1] + w[-1]
+        p = 1 / (1 + np.exp(-z))
+        return -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / weight.sum() + 0.05 * (w[:-1] ** 2).sum()
+
+    value, gradient = toxicity.loss(w, row, col, ratio, labels, ridge=0.1)
+    assert value == pytest.approx(brute(w)) and gradient == pytest.approx(numeric_gradient(brute, w), abs=1e-6)
+
+
+def test_toxicity_features(monkeypatch):
+    def brute(t):
+        s = " " + " ".join(t.lower().split()) + " "
+        out = set()
+        for n in toxicity.SIZES:
+            for i in range(len(s) - n + 1):
+                key = 0
+                for c in s[i : i + n]:
+                    key = (key * 0x100000001B3 + ord(c)) % 2**64
+                out.add(((key + n) * 0x9E3779B97F4A7C15) % 2**64 >> (64 - toxicity.BITS))
+        return out
+
+    for t in ("", "a", "Ünï  cödé 漢字😀\n x", prose(60, 3)):
+        want = brute(t)
+        assert set(toxicity.distinct(t).tolist()) == want
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "_CHUNK", 7)
+            assert set(toxicity.distinct(t).tolist()) == want
+    assert len(toxicity.distinct(None)) == 0
+    # one character is one character, whatever its bytes
+    assert len(toxicity.distinct("漢字漢字")) == len(toxicity.distinct("xyxy"))
+
+
+def test_non_negative_risk():
+    r = np.random.default_rng(5)
+    p, u, prior = r.normal(1, 1, 9), r.normal(-1, 1, 12), 0.4
+    soft = lambda z: np.log1p(np.exp(z))
+    negative = lambda p, u: soft(u).mean() - prior * soft(p).mean()
+    for shift in (0.0, -9.0):  # the second has a negative estimate, which is undone
+        q = u + shift
+        value, g_p, g_u = quality_classifier.non_negative_risk(p, q, prior)
+        assert value == pytest.approx(prior * soft(-p).mean() + max(0.0, negative(p, q)))
+        if negative(p, q) >= 0:
+            risk = lambda p, u: prior * soft(-p).mean() + negative(p, u)
+        else:
+            risk = lambda p, u: -negative(p, u)
+        assert g_p == pytest.approx(numeric_gradient(lambda p: risk(p, q), p), abs=1e-6)
+        assert g_u == pytest.approx(numeric_gradient(lambda u: risk(p, u), q), abs=1e-6)
+
+
+def test_classifiers_of_odd_tables(spark):
+    long = prose(60_000, 9)
+    data = [(i, prose(60, i) + (" zzylq wwuxv" if i % 3 == 0 else " plain"), "x", "x") for i in range(120)]
+    data += [(5, data[5][1], "y", "y"), (5, None, "y", "y"), (None, "a b", None, None), (900, long, "z", "z"), (901, "", "z", "z")]
+    d = spark.createDataFrame(data, "doc_id long, text string, score string, held_out string").withColumns({c: F.lit("x") for c in ("y", "predicted", "features")})
+    y = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 120)] + [(7, 1, 0), (5000, 1, 1), (None, 1, 1), (11, None, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    for f in (toxicity.toxicity, quality_classifier.quality):
+        got = f(d, y).collect()
+        assert len(got) == len(data) and all(0 <= r["score"] <= 1 for r in got)
+        assert sorted(map(str, got)) == sorted(map(str, f(d, y).collect()))
+        assert len({r["score"] for r in got if r["doc_id"] == 5}) <= 2
+        assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+        assert f(d.limit(0), y).count() == 0 and f(d, y.limit(0)).count() == len(data)
+
+
+def test_counts_above_cuts_are_of_all_documents(spark):
+    texts = [prose(40 + i, i) for i in range(70)] + [None, ""]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    x = quality_classifier.vectors(texts)
+    model = quality_classifier.first_model(x[:30], x[30:])
+    out = model.outputs(texts)
+    cuts = np.sort(quality_classifier.prior_cuts(out[:30]))
+    n, above = quality_classifier._counts_above(d, "text", model, cuts)
+    assert n == 72 and np.abs(above - [(out >= c).sum() for c in cuts]).max() <= 1
+
+
 def test_class_prior():
     r = np.random.default_rng(2)
     p, u = r.normal(2, 1, 4000), np.concatenate([r.normal(2, 1, 2800), r.normal(-4, 1, 1200)])
