@@ -166,7 +166,8 @@ def mix_sources(
     what is due, then the largest that fits the rest, again and again until none is left that does. A null or empty membership is the null source. Rows that repeat an
     id have one digest and stand in order of size. Reruns agree; an empty table gives an empty result.
 
-    The driver holds one row per distinct membership pattern, which is metadata, not data.
+    The driver holds one row per distinct membership pattern, which is metadata, not data; the flow among them
+    takes a search for each path it fills and suits some thousands of patterns.
     """
     spark = docs.sparkSession
     members = F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(membership, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(membership)))

@@ -1,7 +1,7 @@
 """SQL for the queries of this subpackage that SQL can express."""
 
 MIXING = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
                   CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS draw FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][1 + (k - 1) % 3] AS DOUBLE) AS w FROM s),
@@ -11,15 +11,16 @@ l AS (SELECT *, (sum(n) OVER () - coalesce(sum(3 * n) OVER before, 0)) / CAST(su
 f AS (SELECT min(j) AS j, arg_min(level, j) AS level FROM l WHERE level <= 3 * n / w),
 t AS (SELECT source, n, CASE WHEN f.j IS NULL OR l.j < f.j THEN 3e0 * n ELSE least(3e0 * n, f.level * w) END AS target FROM l CROSS JOIN f),
 q AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(target + 0.5) AS BIGINT) // n END AS passes, CASE WHEN n = 0 THEN 0 ELSE CAST(floor(target + 0.5) AS BIGINT) % n END AS due FROM t),
-a AS (SELECT d.*, n, target, passes, due, CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= due THEN 1 ELSE 0 END AS more
+a AS (SELECT d.*, n, target, passes, due, row_number() OVER () AS i, CASE WHEN sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= due THEN 1 ELSE 0 END AS more
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-b0 AS (SELECT *, due - sum(size * more) OVER (PARTITION BY source) AS room FROM a),
-b AS (SELECT *, CASE WHEN more = 0 AND size > 0 AND size <= room THEN 1 ELSE 0 END AS can FROM b0),
-b1 AS (SELECT *, CASE WHEN more = 1 OR (can = 1 AND row_number() OVER (PARTITION BY source ORDER BY can DESC, size DESC, draw, doc_id) = 1) THEN 1 ELSE 0 END AS more1 FROM b),
-c0 AS (SELECT *, due - sum(size * more1) OVER (PARTITION BY source) AS room1 FROM b1),
-c AS (SELECT *, CASE WHEN more1 = 0 AND size > 0 AND size <= room1 THEN 1 ELSE 0 END AS can1 FROM c0),
-c1 AS (SELECT *, CASE WHEN more1 = 1 OR (can1 = 1 AND row_number() OVER (PARTITION BY source ORDER BY can1 DESC, size DESC, draw, doc_id) = 1) THEN 1 ELSE 0 END AS more2 FROM c)
-SELECT doc_id, size, n AS source_size, target, CAST(size * (passes + more2) AS BIGINT) AS taken FROM c1
+-- what is left of a source's last pass goes, one document a step, to the largest undrawn one that fits
+step AS (SELECT source, CAST(max(due) - sum(size * more) AS BIGINT) AS room, CAST([] AS BIGINT[]) AS picks FROM a GROUP BY source
+  UNION ALL
+  SELECT source, any_value(room) - arg_min(size, rank), list_append(any_value(picks), arg_min(i, rank)) FROM (
+    SELECT s.source, s.room, s.picks, a.size, a.i, {'s': -size, 'd': draw, 'j': doc_id} AS rank
+    FROM step s JOIN a ON a.source IS NOT DISTINCT FROM s.source AND a.more = 0 AND a.size BETWEEN 1 AND s.room AND NOT list_contains(s.picks, a.i)) GROUP BY source),
+picked AS (SELECT unnest(arg_max(picks, len(picks))) AS i, 1 AS extra FROM step GROUP BY source)
+SELECT doc_id, size, n AS source_size, target, CAST(size * (passes + more + coalesce(extra, 0)) AS BIGINT) AS taken FROM a LEFT JOIN picked USING (i)
 """
 
 WARC = r"""

@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -155,6 +156,48 @@ def test_mixing_overlapping_sources():
     assert mixing.targets([10, 1000], [5, 1], 3) == [30.0, 980.0]
 
 
+def test_mixing_routes_overlaps_at_the_least_cost():
+    r = random.Random(2)
+    for _ in range(25):
+        names = ["a", "b"]
+        patterns = [(("a",), r.randint(0, 2)), (("a", "b"), r.randint(0, 2)), (("b",), r.randint(0, 2))]
+        quotas = {x: r.randint(0, 5) for x in names}
+        cost = lambda took: sum(j // n for (_, n), t in zip(patterns, took, strict=True) for j in range(t) if n)
+        best = None
+        for took in itertools.product(*(range(3 * n + 1) for _, n in patterns)):
+            # what both sources share goes to either
+            fits = any(took[0] + to_a <= quotas["a"] and took[2] + took[1] - to_a <= quotas["b"] for to_a in range(took[1] + 1))
+            if fits and (best is None or (-sum(took), cost(took)) < best):
+                best = (-sum(took), cost(took))
+        got = mixing.route(patterns, quotas, 3)
+        assert (-sum(got), cost(got)) == best
+
+
+def test_mixing_of_overlapping_sources_by_rows(spark):
+    data = [(i, "w " * (3 + i % 5), ["a", "b"][: 1 + i % 2] if i % 3 else ["b"]) for i in range(60)]
+    data += [(7, "w w", ["a"]), (None, "w", ["b", "a"]), (None, None, None), (8, "", [])]
+    d = spark.createDataFrame(data, "doc_id long, text string, of array<string>").withColumns({c: F.lit("x") for c in ("size", "taken", "draw", "part")})
+    got = mixing.mix_sources(d, F.col("of"), weights=(3, 1)).collect()
+    assert len(got) == len(data) and all(x["taken"] == x["times"] * x["size"] <= 3 * x["size"] for x in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(d.repartition(7), F.col("of"), weights=(3, 1)).collect()))
+    by = collections.Counter()
+    for x in got:
+        by[tuple(x["sources"])] += x["size"]
+    patterns = sorted(by.items(), key=lambda p: tuple((y is None, y or "") for y in p[0]))
+    of = collections.Counter()
+    for m, n in patterns:
+        for y in m:
+            of[y] += n
+    names = sorted(of, key=lambda y: (y is None, y or ""))
+    share = mixing.targets([of[y] for y in names], [(3, 1)[i % 2] for i in range(len(names))], 3)
+    whole = sum(n for _, n in patterns)
+    quotas = {y: int(t * whole / sum(of.values()) + 0.5) for y, t in zip(names, share, strict=True)}
+    for (m, _), due in zip(patterns, mixing.route(patterns, quotas, 3), strict=True):
+        own = [x for x in got if tuple(x["sources"]) == m]
+        left, least = due - sum(x["taken"] for x in own), min(x["times"] for x in own)
+        assert left == 0 or left > 0 and not any(0 < x["size"] <= left for x in own if x["times"] == least)
+
+
 def brute_simhash(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORD.findall(low)
