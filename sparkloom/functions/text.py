@@ -26,6 +26,10 @@ PROVIDER = r"(?i:bge-m3-onnx)|ONNX_EMBED|(?i:\bprovider\b)|(?i:провайде
 NAVIGATION = r"(?i)де знаходиться|location in source|\bsource\b|експортує|\bexports\b|entry point|which file|where is"
 EXACT_TOKEN = r"[A-Z][A-Z_]{2,}[A-Z0-9]|[a-z][A-Za-z]{2,}[A-Z][A-Za-z]*|src/|\.js\b|\.md\b|@\d+"
 CONFIG_ENV = r"(?i)\benv\b|environment variable|config\.json|\bprovider\b|провайдер"
+CONFIG_WORDS = """
+qdrant_url qdrant_key dense_provider sparse_provider onnx_embed rerank_enabled rerank_model link_enabled max_chunk_tokens
+min_chunk_tokens source_root collection context_model bench_provider env environment config.json configuration змінні середовища
+""".split()
 PREAMBLE = (
     r"(?i)^(okay|ok[,!\s]|sure|certainly|of course|great[,!]|here[‘’]?s\b|here is\b|let me\b|let[‘’]?s\b|i[‘’]?ll\b|i can\b|as an ai|ось |звичайно|гаразд[,!]|давай)"
 )
@@ -33,6 +37,24 @@ SUMMARY_TIERS = (300, 1500)
 LENGTH_BUCKETS = (16, 32, 64, 128, 256)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def word_runs(text: Column, size: int, inner: bool = False) -> Column:
+    """array<string>: the distinct runs of ``size`` words of a text, between white space; ``inner``: without its first
+    and last word, which may be parts of words. Empty where there are too few."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+    def runs(w: Column) -> Column:
+        n = F.size(w) - size + 1
+        low, high = (2, n - 1) if inner else (1, n)
+        return F.when(high >= low, F.array_distinct(F.transform(F.sequence(F.lit(low), high), lambda i: F.array_join(F.slice(w, i, size), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, runs)
+
+
 def _words(items: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in items])
 
@@ -107,7 +129,8 @@ def canonical_whitespace(text: Column) -> Column:
 
 
 def strip_page_markers(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?m)^-- \d+ of \d+ --$", "")
+    """Text without the page marks ``-- 3 of 9 --`` of a converted page file, wherever they stand."""
+    return F.regexp_replace(text, r"--\s*\d+\s*of\s*\d+\s*--", "")
 
 
 def slugify(text: Column) -> Column:
@@ -124,6 +147,17 @@ def frontmatter_value(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def frontmatter(text: Column) -> Column:
+    """map<string, array<string>> of the ``k: v`` lines between the text's first two ``---`` lines; values are split
+    at commas, brackets and quotes around them go. Of a repeated key the last counts; empty without front matter."""
+    body = F.regexp_extract(F.regexp_replace(text, r"\r\n?", "\n"), r"^---\n([\s\S]*?)\n---(?:\n|$)", 1)
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"^[\w-]+:"))
+    bare = lambda v: F.regexp_replace(F.regexp_replace(F.trim(v), r"^\[|\]$", ""), r"[\"']", "")
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("k"), frontmatter_value(bare(F.regexp_extract(x, r"^[\w-]+:(.*)$", 1))).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
 def normalize_tag(tag: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(tag)), r"\s+", "-")
 
@@ -132,6 +166,19 @@ def normalize_tags(tags: Column, low: int = 2, high: int = 39) -> Column:
     return F.array_distinct(F.filter(F.transform(tags, normalize_tag), lambda t: (F.length(t) >= low) & (F.length(t) <= high)))
 
 
+def combined_tags(tags: Column) -> Column:
+    """Tags of the combined prompt: 2 to 40 characters."""
+    return normalize_tags(tags, 2, 40)
+
+
+def listed_tags(raw: Column, most: int = 6) -> Column:
+    """Tags of a model that answers in lines or with commas: bullets and numbers go, then all but ``a-z``, ``0-9``
+    and ``-``; the first ``most`` distinct ones."""
+    parts = F.transform(F.split(F.lower(raw), r"[,\n]"), lambda x: F.trim(F.regexp_replace(x, r"^[\s\-*•\d.)]+", "")))
+    clean = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s+", "-"), "[^a-z0-9-]", ""), "^-+|-+$", ""))
+    return F.slice(F.array_distinct(F.filter(clean, lambda x: (F.length(x) >= 2) & (F.length(x) <= 39))), 1, most)
+
+
 def merge_tags(existing: Column, generated: Column) -> Column:
     return F.array_distinct(F.concat(existing, generated))
 
@@ -152,9 +199,33 @@ def redact_secrets(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\b((?:api[-_]?key|token|secret|password)\s*[=:]\s*)\S+", "$1[redacted]")
 
 
+#: scheme, user info, host and port of a url; a host has no white space, quotes or brackets.
+_ORIGIN = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#\\]*@)?([^\s/?#\\@\"'<>^`{|}:]+|\[[0-9A-Fa-f:.]+\])(?::(\d{0,5}))?(?=[/?#\\]|\s*$)"
+_DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+
+
 def redact_url(url: Column) -> Column:
-    """scheme://host of a url."""
-    return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    """``scheme://host[:port]`` of a url, without user, password, path, query and fragment; a default port goes.
+    ``(not set)`` for null or empty, ``(invalid URL)`` where there is no scheme or host."""
+    scheme, host, port = F.lower(F.regexp_extract(url, _ORIGIN, 1)), F.lower(F.regexp_extract(url, _ORIGIN, 2)), F.regexp_extract(url, _ORIGIN, 3)
+    usual = F.lit(False)
+    for name, number in _DEFAULT_PORTS.items():
+        usual = usual | ((scheme == name) & (port == number))
+    shown = F.concat(scheme, F.lit("://"), host, F.when((port == "") | usual, "").otherwise(F.concat(F.lit(":"), port)))
+    return F.when(F.coalesce(url, F.lit("")) == "", "(not set)").when(scheme == "", "(invalid URL)").otherwise(shown)
+
+
+def redact_errors(message: Column, secrets: list[str | None] = ()) -> Column:
+    """An error message without the given secrets, its http urls cut to scheme and host where they have user
+    info, a query or a path; empty for null."""
+    out = F.coalesce(message, F.lit(""))
+    for x in secrets:
+        if x:
+            out = F.replace(out, F.lit(x), F.lit("[REDACTED]"))
+    pieces = F.split(F.regexp_replace(out, r"(https?://[^\s\"')]+)", "\u0001$1\u0001"), "\u0001")
+    bare = lambda u: F.regexp_extract(u, r"^https?://[^/?#@]+/?$", 0) == u
+    shown = lambda u: F.when(u.rlike(r"^https?://") & ~bare(u) & (redact_url(u) != "(invalid URL)"), redact_url(u)).otherwise(u)
+    return F.array_join(F.transform(pieces, shown), "")
 
 
 def sanitize_header(text: Column) -> Column:
@@ -175,21 +246,50 @@ def deterministic_context(source_file: Column, section: Column) -> Column:
     return F.array_join(F.filter(F.array(source_file, section), lambda x: x != ""), " › ")
 
 
-def classify_query(text: Column, label: Column | None = None) -> Column:
-    """A query's class by ordered rules; a label decides the first two where it is given."""
-    label = label if label is not None else F.lit("")
-    return (
-        F.when((label == "provider-activation") | (text.rlike(ACTIVATION) & text.rlike(PROVIDER)), "provider-activation")
-        .when((label == "config-env") | text.rlike(CONFIG_ENV), "config-env")
-        .when(text.rlike(NAVIGATION), "source-navigation")
-        .when(text.rlike(EXACT_TOKEN), "exact-token")
-        .otherwise("semantic")
-    )
+def entity_context(heading_path: Column, label: Column, before: Column, most: int = 500) -> Column:
+    """What an entity is embedded with: its heading path, a label, and the end of the prose before it, of which
+    placeholders, headings and marks are taken out. Parts that are empty are left out."""
+    prose = F.regexp_replace(F.coalesce(before, F.lit("")), r"(?m)^\s*(?:#{1,6}\s.*|\[\[.*\]\])\s*$", "")
+    prose = F.trim(F.regexp_replace(F.regexp_replace(prose, r"[*_`>]+", ""), r"\s+", " "))
+    parts = F.array(F.coalesce(heading_path, F.lit("")), F.coalesce(label, F.lit("")), F.right(prose, F.lit(most)))
+    return F.array_join(F.filter(parts, lambda x: x != ""), " — ")
+
+
+def _activation(text: Column, label: Column) -> Column:
+    return (label == "provider-activation") | (text.rlike(ACTIVATION) & text.rlike(PROVIDER))
+
+
+def _config_words(text: Column, label: Column) -> Column:
+    out = label == "config-env"
+    for word in CONFIG_WORDS:
+        out = out | F.contains(F.lower(text), F.lit(word))
+    return out
+
+
+def classify_query(text: Column, label: Column | None = None, variant: str = "v3") -> Column:
+    """A query's class by ordered rules; a label decides config-env and provider-activation where it is given.
+
+    ``v1`` knows no config-env and reads no label; ``v2`` asks for config words first; ``v3`` asks for
+    activation first and then for a few config patterns, ``v3-words`` for the config words of ``v2``.
+    """
+    label = F.coalesce(label, F.lit("")) if label is not None else F.lit("")
+    activation, unlabelled = F.lit("provider-activation"), F.lit("")
+    words, pattern = _config_words(text, label), (label == "config-env") | text.rlike(CONFIG_ENV)
+    first = {
+        "v1": [(_activation(text, unlabelled), activation)],
+        "v2": [(words, F.lit("config-env")), (_activation(text, unlabelled), activation)],
+        "v3": [(_activation(text, label), activation), (pattern, F.lit("config-env"))],
+        "v3-words": [(_activation(text, label), activation), (words, F.lit("config-env"))],
+    }[variant]
+    out = F.when(text.rlike(NAVIGATION), "source-navigation").when(text.rlike(EXACT_TOKEN), "exact-token").otherwise("semantic")
+    for test, name in reversed(first):
+        out = F.when(test, name).otherwise(out)
+    return out
 
 
 def looks_like_follow_up(question: Column, has_context: Column, short: int = 12) -> Column:
     words = F.filter(F.split(question, r"\s+"), lambda w: w != "")
-    first = F.regexp_replace(F.lower(F.get(words, F.lit(0))), r"[^\p{L}\p{N}]", "")
+    first = F.regexp_replace(F.lower(F.get(words, F.lit(0))), r"[^\p{L}]", "")
     return has_context & ((F.size(words) < short) | F.coalesce(F.array_contains(_words(FOLLOW_UP_WORDS), first), F.lit(False)))
 
 

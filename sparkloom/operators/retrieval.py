@@ -17,18 +17,29 @@ INTRO_PENALTY, PROTECT, FILE_PENALTY = 0.02, 0.05, (0.0, 0.05, 0.10, 0.15)
 SPECIAL_IDS = (0, 1, 2, 3, 250001)
 
 
-def sparse_encode(docs: DataFrame, key: str, text: str = "text", avg_length: bool = False) -> DataFrame:
+def _buckets(terms: DataFrame) -> DataFrame:
+    """(term, bucket) of the distinct terms: each is hashed once, however many rows have it."""
+    return terms.select("term").distinct().select("term", hash_bucket(F.col("term")).alias("bucket"))
+
+
+def sparse_encode(docs: DataFrame, key: str, text: str = "text", avg_length: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """(key, bucket, weight): saturated term frequencies, colliding buckets added up. With ``avg_length``
-    lengths are normalised by the corpus mean; without it the norm is 1."""
-    terms = docs.select(key, F.explode(sparse_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("f"))
+    lengths are normalised by the corpus mean; without it the norm is 1. ``wanted`` (bucket): only these
+    buckets are encoded, and terms of others go before anything is counted."""
+    tokens = docs.select(key, F.explode(sparse_tokens(F.col(text))).alias("term"))
+    dictionary = _buckets(tokens)
+    if wanted is not None:
+        dictionary = dictionary.join(wanted.select("bucket").distinct(), "bucket", "left_semi")
+    rows = tokens if avg_length or wanted is None else tokens.join(dictionary.select("term"), "term", "left_semi")
+    terms = rows.groupBy(key, "term").agg(F.count("*").alias("f"))
     norm: Column = F.lit(1.0)
     if avg_length:
         n = terms.groupBy(key).agg(F.sum("f").alias("n"))
-        mean = n.agg(F.avg("n").alias("mean"))
-        terms = terms.join(n, key).crossJoin(F.broadcast(mean))  # one row
-        norm = 1 - B + B * F.col("n") / F.col("mean")
+        mean = n.agg(F.avg("n")).first()[0]
+        terms = terms.join(n, key)
+        norm = 1 - B + B * F.col("n") / F.lit(mean)
     weight = F.col("f") * (K1 + 1) / (F.col("f") + K1 * norm)
-    return terms.select(key, hash_bucket(F.col("term")).alias("bucket"), weight.alias("w")).groupBy(key, "bucket").agg(F.sum("w").alias("weight"))
+    return terms.withColumn("w", weight).join(dictionary, "term").groupBy(key, "bucket").agg(F.sum("w").alias("weight"))
 
 
 def bm25_idf(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -54,29 +65,94 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_scores(queries: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
-    """(qid, id, score): exact cosines of a small query set against every row, in blocks of the corpus.
+#: Queries that are collected and shipped to the corpus at a time.
+QUERY_BLOCK = 4096
+
+
+def _query_blocks(queries: DataFrame, columns: list[str], block: int):
+    """(qids, unit vectors, other columns) of ``queries``, a bounded block at a time."""
+    q = queries.select("qid", "vec", *columns)
+    blocks = max(1, -(-q.count() // block))
+    for i in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else q
+        rows = part.orderBy("qid").collect()
+        if rows:
+            v = np.array([r["vec"] for r in rows], dtype=np.float64)
+            yield np.array([r["qid"] for r in rows]), v / np.linalg.norm(v, axis=1, keepdims=True), [np.array([r[c] for r in rows]) for c in columns]
+
 
-    ``queries`` (qid, vec) is a stated, bounded set: it is collected and shipped with the task.
-    """
-    rows = queries.select("qid", "vec").orderBy("qid").collect()
-    ids = [r["qid"] for r in rows]
-    q = np.array([r["vec"] for r in rows], dtype=np.float64)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
+def _cosines(vectors, q: np.ndarray, digits: int) -> np.ndarray:
+    m = np.vstack(vectors).astype(np.float64)
+    return np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, digits)
 
-    def run(batches):
-        for b in batches:
-            if len(b):
-                m = np.vstack(b["vec"].to_numpy()).astype(np.float64)
-                s = np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, digits)
-                yield pd.DataFrame({"qid": np.tile(ids, len(b)), "id": np.repeat(b["id"].to_numpy(), len(ids)), "score": s.ravel()})
 
-    return corpus.select("id", "vec").mapInPandas(run, "qid bigint, id bigint, score double")
+def dense_scores(queries: DataFrame, corpus: DataFrame, digits: int = 6, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, id, score): exact cosines of a stated query set against every row, in blocks of queries and batches
+    of the corpus. With ``k`` a batch hands on only what may be among a query's first k (ties included)."""
+    spark = corpus.sparkSession
+    out = spark.createDataFrame([], "qid bigint, id bigint, score double")
+    for ids, q, _ in _query_blocks(queries, [], block):
+        shipped = spark.sparkContext.broadcast((ids, q))
+
+        def run(batches, shipped=shipped):
+            ids, q = shipped.value
+            for b in batches:
+                if len(b):
+                    s = _cosines(b["vec"].to_numpy(), q, digits)
+                    if k is not None and len(b) > k:
+                        row, col = np.nonzero(s >= np.partition(s, len(b) - k, axis=0)[len(b) - k])
+                    else:
+                        row, col = np.nonzero(np.ones(s.shape, dtype=bool))
+                    yield pd.DataFrame({"qid": ids[col], "id": b["id"].to_numpy()[row], "score": s[row, col]})
+
+        out = out.unionByName(corpus.select("id", "vec").mapInPandas(run, "qid bigint, id bigint, score double"))
+    return out
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Cosine nearest, ties by id; filters are applied to ``corpus`` before it comes here."""
-    return ranked(dense_scores(queries, corpus), [F.desc("score"), F.asc("id")], limit=k)
+    return ranked(dense_scores(queries, corpus, k=k), [F.desc("score"), F.asc("id")], limit=k)
+
+
+def dense_best_ranks(queries: DataFrame, corpus: DataFrame, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, best): the rank of the first row that has its query's label, for queries (qid, vec, q_label) and a corpus
+    (id, vec, label); a query without such a row is left out. Ranks are counted, not sorted: a pass finds
+    each query's best such row, another counts the rows before it."""
+    spark = corpus.sparkSession
+    out = spark.createDataFrame([], "qid bigint, best bigint")
+    for ids, q, (labels,) in _query_blocks(queries, ["q_label"], block):
+        shipped = spark.sparkContext.broadcast((ids, q, labels))
+
+        def first(batches, shipped=shipped):
+            ids, q, labels = shipped.value
+            for b in batches:
+                s = _cosines(b["vec"].to_numpy(), q, digits)
+                s[b["label"].to_numpy()[:, None] != labels[None, :]] = -np.inf
+                order = np.argsort(b["id"].to_numpy(), kind="stable")
+                at = order[np.argmax(s[order], axis=0)]  # of equal scores the least id
+                score = s[at, np.arange(len(ids))]
+                there = np.isfinite(score)
+                yield pd.DataFrame({"qid": ids[there], "score": score[there], "id": b["id"].to_numpy()[at][there]})
+
+        found = corpus.select("id", "vec", "label").mapInPandas(first, "qid bigint, score double, id bigint")
+        best = found.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("qid", "b.s", "b.id").collect()
+        at = {r["qid"]: (-r["s"], r["id"]) for r in best}  # a row for each query of the block
+        keep = np.array([i in at for i in ids.tolist()], dtype=bool)
+        if not keep.any():
+            continue
+        marks = spark.sparkContext.broadcast((ids[keep], q[keep], np.array([at[i][0] for i in ids[keep].tolist()]), np.array([at[i][1] for i in ids[keep].tolist()])))
+
+        def before(batches, marks=marks):
+            ids, q, score, mark = marks.value
+            total = np.zeros(len(ids), dtype=np.int64)
+            for b in batches:
+                s = _cosines(b["vec"].to_numpy(), q, digits)
+                total += ((s > score) | ((s == score) & (b["id"].to_numpy()[:, None] < mark))).sum(axis=0)
+            yield pd.DataFrame({"qid": ids, "n": total})
+
+        counts = corpus.select("id", "vec").mapInPandas(before, "qid bigint, n bigint")
+        out = out.unionByName(counts.groupBy("qid").agg((F.sum("n") + 1).alias("best")))
+    return out
 
 
 def sparse_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -85,8 +161,15 @@ def sparse_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
 
 
-def fuse_rrf(lanes: list[DataFrame], k: int = RRF_K, rank_base: int = 1) -> DataFrame:
-    """(qid, id, score) of 1/(k + rank) added over lanes of 1-based ranks."""
+def sparse_search(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, text: str = "text") -> DataFrame:
+    """(qid, id, score) of text queries against texts. Documents are encoded in the queries' buckets only."""
+    q = sparse_encode(queries, query_key, text).withColumnRenamed(query_key, "qid")
+    return sparse_scores(q, sparse_encode(docs, doc_key, text, wanted=q).withColumnRenamed(doc_key, "id"))
+
+
+def fuse_rrf(lanes: list[DataFrame], k: int = RRF_K, rank_base: int = 0) -> DataFrame:
+    """(qid, id, score) of 1/(k + rank) added over lanes of 1-based ranks. ``rank_base`` is what a lane's first
+    rank counts as: 0 by default, as the server that is modelled does; 1 as its manual says."""
     parts = [lane.select("qid", "id", (1.0 / (k + F.col("rank") - 1 + rank_base)).alias("s")) for lane in lanes]
     union = parts[0]
     for p in parts[1:]:
@@ -104,6 +187,12 @@ def weighted_rrf(dense: DataFrame, sparse: DataFrame, k: int, ratio: float) -> D
     return both.withColumn("score", F.round(one + two, 9))
 
 
+def rank_weighted(fused: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` of a weighted fusion; ties by dense rank, sparse rank, id, a missing rank last."""
+    order = [F.desc("score"), F.asc_nulls_last("d_rank"), F.asc_nulls_last("s_rank"), F.asc("id")]
+    return ranked(fused, order, limit=limit)
+
+
 def mmr(candidates: DataFrame, diversity: float, limit: int) -> DataFrame:
     """(qid, id, rank) by greedy marginal relevance; ``candidates`` (qid, id, score, vec) are a bounded
     list per query."""
@@ -129,18 +218,19 @@ def rerank_scores(hits: DataFrame) -> DataFrame:
     tokens = query_tokens(F.col("query"))
 
     def hit_sum(where: Column) -> Column:
-        pairs = F.map_entries(F.col("__q"))
-        return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when(where.contains(p["key"]), F.when(p["value"], 3.0).otherwise(1.0)).otherwise(0.0))
+        """Each word of the field that is a query token adds 1, or 3 where the token is technical."""
+        words = F.regexp_extract_all(F.lower(F.coalesce(where, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0)
+        return F.aggregate(words, F.lit(0.0), lambda s, w: s + F.when(F.col("__q")[w].isNull(), 0.0).when(F.col("__q")[w], 3.0).otherwise(1.0))
 
     boost = lambda n, b: F.least(n * b, F.lit(b * 3))
     technical = F.size(F.filter(F.map_values(F.col("__q")), lambda t: t))
     intro = F.when((F.col("chunk_index") == 0) & (technical >= 2), INTRO_PENALTY).otherwise(0.0)
     score = (
         1.0 / F.col("rank")
-        + boost(hit_sum(F.lower("source_file")), SOURCE_BOOST)
-        + boost(hit_sum(F.lower("section")), SECTION_BOOST)
-        + boost(hit_sum(F.lower(F.array_join("tags", " "))), TAG_BOOST)
-        + F.least(hit_sum(F.lower("text")) * TEXT_BOOST, F.lit(TEXT_MOST))
+        + boost(hit_sum(F.col("source_file")), SOURCE_BOOST)
+        + boost(hit_sum(F.col("section")), SECTION_BOOST)
+        + boost(hit_sum(F.array_join("tags", " ")), TAG_BOOST)
+        + F.least(hit_sum(F.col("text")) * TEXT_BOOST, F.lit(TEXT_MOST))
         - intro
     )
     return hits.withColumn("__q", tokens).withColumn("det_score", F.round(score, 9)).drop("__q")
@@ -197,9 +287,18 @@ def blend_guard(hits: DataFrame, protect: float = 0.05) -> DataFrame:
     return d.withColumn("new_rank", F.row_number().over(order)).drop("first", "top")
 
 
+def gap_trigger(hits: DataFrame, least: float = 0.10) -> DataFrame:
+    """(qid, fires): whether the first score leads the second by less than ``least`` of itself, which asks for a
+    second opinion; a query of one hit does not fire."""
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
+    g = hits.groupBy("qid").agg(at(1).alias("s1"), at(2).alias("s2"))
+    return g.select("qid", F.coalesce((F.col("s1") - F.col("s2")) / F.col("s1") < least, F.lit(False)).alias("fires"))
+
+
 def collapse_to_docs(hits: DataFrame, chunk_docs: DataFrame) -> DataFrame:
-    """(qid, doc_id, score, chunk_count): the best chunk of each document."""
-    return hits.join(chunk_docs, "id").groupBy("qid", "doc_id").agg(F.max("score").alias("score"), F.count("*").alias("chunk_count"))
+    """(qid, doc_id, score, chunk_count): the best chunk of each document; hits of no known document are one row
+    with a null doc_id per query."""
+    return hits.join(chunk_docs, "id", "left").groupBy("qid", "doc_id").agg(F.max("score").alias("score"), F.count("*").alias("chunk_count"))
 
 
 def expand_window(hits: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
@@ -212,11 +311,25 @@ def expand_window(hits: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
     return found.withColumn("__n", F.row_number().over(order)).filter(F.col("is_match") | (F.col("__n") == 1)).drop("__n")
 
 
-
-
 def hashed_embedding(docs: DataFrame, key: str, text: str = "text", size: int = 64) -> DataFrame:
     """(key, dim, value): a deterministic unit vector, the sparse weights folded to ``size`` dimensions; the default
     where no embedding model is given."""
     v = sparse_encode(docs, key, text).groupBy(key, (F.col("bucket") % size).alias("dim")).agg(F.sum("weight").alias("v"))
-    n = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
-    return v.select(key, "dim", (F.col("v") / n).alias("value"))
+    n = v.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    return v.join(n, key).select(key, "dim", (F.col("v") / F.col("n")).alias("value"))
+
+
+def dense_vectors(long: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """(key, vec) of the long form (key, dim, value); missing dimensions are 0. A vector of other than ``size``
+    dimensions is an error."""
+    by = F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int"), "value")))
+    wide = long.groupBy(key).agg(by.alias("m"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    beyond = F.exists(F.map_keys("m"), lambda i: (i < 0) | (i >= size))
+    return wide.select(key, F.when(beyond, F.raise_error(F.lit(f"a vector has a dimension beyond {size}"))).otherwise(whole).alias("vec"))
+
+
+def check_dimensions(vectors: DataFrame, size: int, column: str = "vec") -> DataFrame:
+    """``vectors`` as they are; reading one of another length fails."""
+    wrong = F.raise_error(F.format_string(f"a vector has %d dimensions, not {size}", F.size(column)))
+    return vectors.withColumn(column, F.when(F.size(column) == size, F.col(column)).otherwise(wrong))

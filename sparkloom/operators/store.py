@@ -45,9 +45,35 @@ def path_contained(path: Column) -> Column:
     return ~path.rlike(r"^([/\\]|[A-Za-z]:)") & inside
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows of ``stored`` whose key is not incoming, and the incoming rows."""
-    return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """Rows of ``stored`` whose key is not incoming, and of the incoming rows of each key the latest by ``order``
+    (the last by all its columns where none is given, so that reruns agree). A null key is a key like any other."""
+    # one column tells which row is the latest: an aggregate, so a key with very many rows is combined before it moves
+    rank = F.struct(*([order.alias("__o")] if order is not None else []), *[F.col(c) for c in incoming.columns])
+    latest = incoming.groupBy(F.col(key).alias("__key")).agg(F.max(rank).alias("__r")).select(*[F.col("__r")[c].alias(c) for c in incoming.columns])
+    known = latest.select(F.col(key).alias("__key"))
+    return stored.join(known, stored[key].eqNullSafe(F.col("__key")), "left_anti").unionByName(latest)
+
+
+def set_payload(points: DataFrame, which: Column, values: dict[str, Column]) -> DataFrame:
+    """``points`` with ``values`` merged into the rows that ``which`` holds; other columns stay."""
+    new = {k: F.when(F.coalesce(which, F.lit(False)), v).otherwise(F.col(k) if k in points.columns else F.lit(None)) for k, v in values.items()}
+    return points.withColumns(new)
+
+
+def delete_payload_keys(points: DataFrame, which: Column, keys: list[str]) -> DataFrame:
+    """``points`` without the values of ``keys`` where ``which`` holds."""
+    return points.withColumns({k: F.when(~F.coalesce(which, F.lit(False)), F.col(k)) for k in keys})
+
+
+def delete_where(points: DataFrame, which: Column) -> DataFrame:
+    """``points`` without the rows that ``which`` holds; rows of which it is not known stay."""
+    return points.filter(~F.coalesce(which, F.lit(False)))
+
+
+def delete_by_source(points: DataFrame, files: DataFrame, key: str = "source_file") -> DataFrame:
+    """``points`` without those of the listed files."""
+    return points.join(files.select(key).distinct(), key, "left_anti")
 
 
 def delete_trailing(stored: DataFrame, kept: DataFrame) -> DataFrame:
@@ -74,13 +100,35 @@ def duplicate_groups(points: DataFrame) -> DataFrame:
     return n.filter("n > 1").withColumn("extra", F.col("n") - 1)
 
 
+#: What an embedding's provider is told by, and the whole of what makes two points of a place the same.
+PROVIDER_FIELDS = ("dense_provider", "dense_model", "sparse_provider")
+SIGNATURE_FIELDS = ("file_hash", "tags", "context", *PROVIDER_FIELDS, "embedding_schema_version", "vector_size")
+
+
 def duplicate_classify(points: DataFrame) -> DataFrame:
-    """What sets the points of a duplicated place apart: the first of hash, provider, tags, context that
-    takes more than one value, else exact."""
-    g = points.groupBy("source_file", "chunk_index").agg(F.count("*").alias("n"), *[F.countDistinct(c).alias(f"d_{c}") for c in ("file_hash", "provider", "tag", "context")])
-    kind = F.lit("exact")
-    for c in ("context", "tag", "provider", "file_hash"):
-        kind = F.when(F.col(f"d_{c}") > 1, F.lit(c)).otherwise(kind)
+    """(source_file, chunk_index, n, kind) of each duplicated place: exact-duplicate where all its points agree, else
+    the first of different-file-hash, different-provider-or-schema, different-tags-and-context, different-tags
+    and different-context that holds, else partial-difference. Nulls are values, and no tags are no tags."""
+    tags = F.coalesce(F.to_json("tags"), F.lit("[]"))
+    values = {
+        "all": F.struct(*[(tags if f == "tags" else F.coalesce(F.md5(F.col(f)), F.lit("")) if f == "context" else F.col(f)).alias(f) for f in SIGNATURE_FIELDS]),
+        "hash": F.struct("file_hash"),
+        "tags": F.struct(tags.alias("t")),
+        "context": F.struct(F.coalesce(F.md5("context"), F.lit("")).alias("c")),
+        "provider": F.struct(*PROVIDER_FIELDS),
+        "schema": F.struct("embedding_schema_version"),
+    }
+    g = points.groupBy("source_file", "chunk_index").agg(F.count("*").alias("n"), *[F.countDistinct(F.to_json(v, {"ignoreNullFields": "false"})).alias(f"d_{k}") for k, v in values.items()])
+    more = lambda k: F.col(f"d_{k}") > 1
+    kind = (
+        F.when(~more("all"), "exact-duplicate")
+        .when(more("hash"), "different-file-hash")
+        .when(more("provider") | more("schema"), "different-provider-or-schema")
+        .when(more("tags") & more("context"), "different-tags-and-context")
+        .when(more("tags"), "different-tags")
+        .when(more("context"), "different-context")
+        .otherwise("partial-difference")
+    )
     return g.filter("n > 1").select("source_file", "chunk_index", "n", kind.alias("kind"))
 
 
@@ -94,7 +142,15 @@ def cleanup_plan(points: DataFrame, expected: Column) -> DataFrame:
     return p.select("source_file", "chunk_index", "point_id", action.alias("action"))
 
 
-def payload_consistency(points: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: how many identities the points have, and whether all share one."""
-    one = F.struct(*[F.col(f) for f in fields])
-    return points.agg(F.count("*").alias("n"), F.countDistinct(one).alias("identities"), (F.countDistinct(one) <= 1).alias("consistent"))
+def payload_consistency(points: DataFrame, fields: list[str], key: str) -> DataFrame:
+    """One row: how many points and identities there are, whether all share one, and the first disagreement: the
+    least ``key`` whose identity is not that of the least key of all (null where all agree)."""
+    one = F.to_json(F.struct(*[F.col(f) for f in fields]), {"ignoreNullFields": "false"})
+    by = points.select(F.col(key), one.alias("one")).groupBy("one").agg(F.count("*").alias("n"), F.min(F.col(key)).alias("k"))
+    out = by.agg(F.sum("n").alias("n"), F.count("*").alias("identities"), F.sort_array(F.collect_list(F.struct("k", "one"))).alias("firsts"))
+    return out.select(
+        F.coalesce("n", F.lit(0)).alias("n"),
+        "identities",
+        (F.col("identities") <= 1).alias("consistent"),
+        F.get("firsts", F.lit(1))["k"].alias("first_other"),
+    )

@@ -1,7 +1,7 @@
 """Canonical inputs derived from the tables, in Spark and as SQL common table expressions.
 
-A document's non-blank lines are its chunks; embeddings split into queries and corpus; benchmark
-passages are text queries whose relevant documents contain them.
+A document's non-blank lines are its chunks; embeddings whose id is divisible by 50 are queries against all of
+them; benchmark passages are text queries whose relevant documents contain them.
 """
 
 from __future__ import annotations
@@ -74,15 +74,15 @@ WITH md AS (
 
 
 def dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(qid, vec) of the first twenty vectors, and (id, vec, label) of the rest."""
+    """(qid, vec, q_label) of every vector whose id is divisible by 50, and (id, vec, label) of all."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
-    queries = e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "vec", F.col("label").alias("q_label"))
-    return queries, e.filter("vec_id >= 20").select(F.col("vec_id").alias("id"), "vec", "label")
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "vec", F.col("label").alias("q_label"))
+    return queries, e.select(F.col("vec_id").alias("id"), "vec", "label")
 
 
 DENSE = """
-WITH dense_q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label AS q_label FROM embeddings WHERE vec_id < 20),
-dense_c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id >= 20),
+WITH dense_q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS vec, label AS q_label FROM embeddings WHERE vec_id % 50 = 0),
+dense_c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
 cos AS (SELECT qid, id, q_label, label, round(list_dot_product(q.vec, c.vec)
         / sqrt(list_dot_product(q.vec, q.vec) * list_dot_product(c.vec, c.vec)), 6) AS score FROM dense_q q, dense_c c),
 dense_run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cos)

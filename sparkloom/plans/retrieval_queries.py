@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import retrieval as R
+from ..operators import search as H
 from .fixtures import CHUNKS, DENSE, chunks, dense, table
 from .registry import query
-from .text_queries import BUCKET_SQL, SPARSE_SQL
+from .text_queries import BUCKET_SQL, SPARSE_SQL, TECH_SQL, quoted
 
 TERMS = f"WITH toks AS (SELECT doc_id, unnest({SPARSE_SQL}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS f FROM toks GROUP BY doc_id, term)"
 B_TERM = f"CAST(abs({BUCKET_SQL.format('term')}) % 1048576 AS BIGINT)"
@@ -21,22 +22,43 @@ sq AS (SELECT item_id AS qid, {B_TERM} AS bucket, sum(f * 2.5e0 / (f + 1.5e0)) A
 ss AS (SELECT qid, id, round(sum(sq.weight * sc.weight), 6) AS score FROM sq JOIN sc USING (bucket) GROUP BY qid, id),
 sparse_run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ss)"""
 QRELS = "qrels AS (SELECT item_id AS qid, doc_id AS id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+#: Both lanes over one corpus: the sparse encodings, and the same folded to 64 dimensions as unit vectors.
+LANES = f"""{SPARSE}, dv AS (SELECT id, bucket % 64 AS dim, sum(weight) AS v FROM sc GROUP BY 1, 2), dl AS (SELECT id, sqrt(sum(v * v)) AS n FROM dv GROUP BY id),
+qv AS (SELECT qid, bucket % 64 AS dim, sum(weight) AS v FROM sq GROUP BY 1, 2), ql AS (SELECT qid, sqrt(sum(v * v)) AS n FROM qv GROUP BY qid),
+dots AS (SELECT qid, id, sum(qv.v * dv.v) AS dot FROM qv JOIN dv USING (dim) GROUP BY qid, id),
+ds AS (SELECT ql.qid, dl.id, round(coalesce(dot, 0) / (ql.n * dl.n), 6) AS score FROM ql CROSS JOIN dl LEFT JOIN dots ON dots.qid = ql.qid AND dots.id = dl.id),
+lane_d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ds)"""
+
+
+def corpus(spark, sf_dir):
+    """Documents as a search collection's rows."""
+    d = table(spark, sf_dir, "documents")
+    source = F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), "doc_id", F.lit(".md"))
+    return d.select(F.col("doc_id").alias("id"), "text", source.alias("source_file"), F.array("lang", "source").alias("tags"), F.lit(None).cast("string").alias("point_kind"))
+
+
+def asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def sparse_lane(spark, sf_dir, k=None):
-    corpus = R.sparse_encode(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("doc_id", "id")
-    queries = R.sparse_encode(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "qid")
-    return R.ranked(R.sparse_scores(queries, corpus), [F.desc("score"), F.asc("id")], limit=k)
+    scores = R.sparse_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id")
+    return R.ranked(scores, [F.desc("score"), F.asc("id")], limit=k)
+
 
+def hashed(d, key):
+    return R.dense_vectors(R.hashed_embedding(d, key), key)
 
-def dense_lane(spark, sf_dir, k=None):
-    queries, corpus = dense(spark, sf_dir)
-    return R.ranked(R.dense_scores(queries, corpus), [F.desc("score"), F.asc("id")], limit=k)
 
+def text_dense_lane(spark, sf_dir, k):
+    """The dense lane of the benchmark's passages over the documents, by hashed embeddings of both."""
+    scores = R.dense_scores(hashed(asked(spark, sf_dir), "qid"), hashed(corpus(spark, sf_dir), "id"), k=k)
+    return R.ranked(scores, [F.desc("score"), F.asc("id")], limit=k)
 
-def dense_qrels(spark, sf_dir):
-    queries, corpus = dense(spark, sf_dir)
-    return queries.select("qid", F.col("q_label").alias("label")).join(corpus.select("id", "label"), "label").select("qid", "id", F.lit(1).alias("rel"))
+
+def dense_lane(spark, sf_dir, k):
+    queries, vectors = dense(spark, sf_dir)
+    return R.dense_topk(queries, vectors, k)
 
 
 @query("sparse_encode", f"{SPARSE} SELECT id AS doc_id, bucket, round(weight, 6) AS weight FROM sc")
@@ -84,8 +106,8 @@ def dense_topk(spark, sf_dir):
 
 @query("dense_topk_filtered", f"{DENSE}, f AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cos WHERE label % 2 = 0) SELECT * FROM f WHERE rank <= 10")
 def dense_topk_filtered(spark, sf_dir):
-    queries, corpus = dense(spark, sf_dir)
-    return R.dense_topk(queries, corpus.filter("label % 2 = 0"), 10).withColumn("rank", F.col("rank").cast("bigint"))
+    queries, vectors = dense(spark, sf_dir)
+    return R.dense_topk(queries, vectors.filter("label % 2 = 0"), 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("sparse_topk", f"{SPARSE} SELECT qid, id, score, rank FROM sparse_run WHERE rank <= 10")
@@ -93,39 +115,57 @@ def sparse_topk(spark, sf_dir):
     return sparse_lane(spark, sf_dir, 10).select("qid", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-HYBRID = f"""{DENSE}, text_run AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY label = q_label DESC, id) AS rank FROM cos)"""
+@query("hybrid_rrf", f"""{LANES}, u AS (SELECT qid, id, 1e0 / (60 + rank - 1) AS s FROM lane_d WHERE rank <= 20 UNION ALL SELECT qid, id, 1e0 / (60 + rank - 1) FROM sparse_run WHERE rank <= 20),
+  f AS (SELECT qid, id, round(sum(s), 9) AS score FROM u GROUP BY qid, id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) SELECT * FROM r WHERE rank <= 10""")
+def hybrid_rrf(spark, sf_dir):
+    """Dense and sparse lanes over the documents, each to twice the depth, fused by reciprocal ranks from 0."""
+    return H.hybrid_search(*H.lanes_of(H.Collection(corpus(spark, sf_dir)), asked(spark, sf_dir), F.lit(True), 10), 10)
 
 
-def second_lane(spark, sf_dir):
-    """A second ranking of the dense corpus: rows of the query's label first, then by id."""
-    queries, corpus = dense(spark, sf_dir)
-    scored = R.dense_scores(queries, corpus).join(corpus.select("id", "label"), "id").join(F.broadcast(queries.select("qid", "q_label")), "qid")
-    return R.ranked(scored, [F.desc(F.col("label") == F.col("q_label")), F.asc("id")])
+IN_FILTER = "SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3'"
 
 
-@query("hybrid_rrf", f"""{HYBRID}, u AS (SELECT qid, id, 1e0 / (60 + rank) AS s FROM dense_run WHERE rank <= 20 UNION ALL SELECT qid, id, 1e0 / (60 + rank) FROM text_run WHERE rank <= 20),
+@query("hybrid_filtered", f"""{LANES}, a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM ds WHERE id IN ({IN_FILTER})), b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM ss WHERE id IN ({IN_FILTER})),
+  u AS (SELECT qid, id, 1e0 / (60 + r - 1) AS s FROM a WHERE r <= 20 UNION ALL SELECT qid, id, 1e0 / (60 + r - 1) FROM b WHERE r <= 20),
   f AS (SELECT qid, id, round(sum(s), 9) AS score FROM u GROUP BY qid, id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) SELECT * FROM r WHERE rank <= 10""")
-def hybrid_rrf(spark, sf_dir):
-    fused = R.fuse_rrf([dense_lane(spark, sf_dir, 20), second_lane(spark, sf_dir).filter("rank <= 20")])
-    return R.ranked(fused, [F.desc("score"), F.asc("id")], limit=10).withColumn("rank", F.col("rank").cast("bigint"))
+def hybrid_filtered(spark, sf_dir):
+    """The filter holds in both lanes, before either is ranked."""
+    request = H.validate_search_request({"collection": "main", "query": "passages", "top": 10, "tags": ["fr", "src3"]})
+    return H.run_search({"main": H.Collection(corpus(spark, sf_dir))}, request, asked(spark, sf_dir))
 
 
-@query("rrf_rank_base", f"""{HYBRID}, u AS (SELECT qid, id, 1e0 / (2 + rank - 1) AS s FROM dense_run WHERE rank <= 20 UNION ALL SELECT qid, id, 1e0 / (2 + rank - 1) FROM text_run WHERE rank <= 20) SELECT qid, id, round(sum(s), 9) AS score FROM u GROUP BY qid, id""")
+@query("dense_only_fallback", f"{LANES} SELECT qid, id, score, rank FROM lane_d WHERE rank <= 10")
+def dense_only_fallback(spark, sf_dir):
+    """A collection whose profile has no sparse lane."""
+    found = H.Collection(corpus(spark, sf_dir), profile={"dense": "hashed", "sparse": None})
+    return H.run_search({"main": found}, H.validate_search_request({"collection": "main", "query": "passages", "top": 10}), asked(spark, sf_dir))
+
+
+@query("run_search", "SELECT * FROM (VALUES ('absent', 'collection_not_found'), ('blank', 'embedding_unresolved'), ('other', 'embedding_unsupported')) AS t(collection, error)")
+def run_search(spark, sf_dir):
+    """What stands in the way of a search, by collection."""
+    known = {"blank": H.Collection(corpus(spark, sf_dir), profile=None), "other": H.Collection(corpus(spark, sf_dir), profile={"dense": "model-x", "sparse": None})}
+    errors = [(c, H.run_search(known, H.SearchRequest(c, "q"), asked(spark, sf_dir)).error) for c in ("absent", "blank", "other")]
+    return spark.createDataFrame(errors, "collection string, error string")
+
+
+@query("rrf_rank_base", f"""{LANES}, u AS (SELECT qid, id, 1e0 / (2 + rank) AS s FROM lane_d WHERE rank <= 20 UNION ALL SELECT qid, id, 1e0 / (2 + rank) FROM sparse_run WHERE rank <= 20) SELECT qid, id, round(sum(s), 9) AS score FROM u GROUP BY qid, id""")
 def rrf_rank_base(spark, sf_dir):
-    return R.fuse_rrf([dense_lane(spark, sf_dir, 20), second_lane(spark, sf_dir).filter("rank <= 20")], k=2, rank_base=0)
+    return R.fuse_rrf([text_dense_lane(spark, sf_dir, 20), sparse_lane(spark, sf_dir, 20)], k=2, rank_base=1)
 
 
-@query("weighted_rrf", f"""{HYBRID}, d AS (SELECT * FROM dense_run WHERE rank <= 50), t AS (SELECT * FROM text_run WHERE rank <= 50)
-  SELECT coalesce(d.qid, t.qid) AS qid, coalesce(d.id, t.id) AS id, round(coalesce(1e0 / (60 + d.rank - 1), 0) + coalesce(1e0 / (60 + t.rank / (1e0 / (60 * 3e0 + 1)) - 1), 0), 9) AS score
-  FROM d FULL JOIN t ON d.qid = t.qid AND d.id = t.id""")
+@query("weighted_rrf", f"""{LANES}, d AS (SELECT * FROM lane_d WHERE rank <= 50), t AS (SELECT * FROM sparse_run WHERE rank <= 50),
+  f AS (SELECT coalesce(d.qid, t.qid) AS qid, coalesce(d.id, t.id) AS id, d.rank AS d_rank, t.rank AS s_rank, round(coalesce(1e0 / (60 + d.rank - 1), 0) + coalesce(1e0 / (60 + t.rank / (1e0 / (60 * 3e0 + 1)) - 1), 0), 9) AS score
+  FROM d FULL JOIN t ON d.qid = t.qid AND d.id = t.id), r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d_rank NULLS LAST, s_rank NULLS LAST, id) AS rank FROM f) SELECT * FROM r WHERE rank <= 20""")
 def weighted_rrf(spark, sf_dir):
-    return R.weighted_rrf(dense_lane(spark, sf_dir, 50), second_lane(spark, sf_dir).filter("rank <= 50"), 60, 0.25).select("qid", "id", "score")
+    fused = R.weighted_rrf(text_dense_lane(spark, sf_dir, 50), sparse_lane(spark, sf_dir, 50), 60, 0.25)
+    return R.rank_weighted(fused, 20).select("qid", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("mmr")
 def mmr(spark, sf_dir):
-    _, corpus = dense(spark, sf_dir)
-    return R.mmr(dense_lane(spark, sf_dir, 100).join(corpus.select("id", "vec"), "id"), 0.5, 10)
+    _, vectors = dense(spark, sf_dir)
+    return R.mmr(dense_lane(spark, sf_dir, 100).join(vectors.select("id", "vec"), "id"), 0.5, 10)
 
 
 def chunk_hits(spark, sf_dir, top=10):
@@ -133,8 +173,8 @@ def chunk_hits(spark, sf_dir, top=10):
     query terms. Documents are fetched to the depth that reranking to ``top`` asks for."""
     lane = sparse_lane(spark, sf_dir, max(4 * top, top + 5)).select("qid", F.col("id").alias("doc_id"), "rank", "score")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    asked = lane.join(b.withColumn("__terms", F.map_keys(X.query_tokens(F.col("query")))), "qid")
-    every = asked.join(chunks(spark, sf_dir), "doc_id")
+    wanted = lane.join(b.withColumn("__terms", F.map_keys(X.query_tokens(F.col("query")))), "qid")
+    every = wanted.join(chunks(spark, sf_dir), "doc_id")
     shared = F.size(F.filter("__terms", lambda t: F.lower("text").contains(t)))
     best = every.groupBy("qid", "doc_id").agg(
         F.first("query").alias("query"),
@@ -150,6 +190,28 @@ def rerank_det(spark, sf_dir):
     return R.rerank_diverse(R.rerank_scores(chunk_hits(spark, sf_dir)), 10)
 
 
+TOKENS = """q_raw AS (SELECT item_id AS qid, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS raw, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), 1) AS pos FROM benchmark),
+q_tok AS (SELECT qid, lower(raw) AS w, CASE WHEN TECH THEN 3e0 ELSE 1e0 END AS weight FROM (SELECT *, row_number() OVER (PARTITION BY qid, lower(raw) ORDER BY pos DESC) AS n FROM q_raw WHERE NOT list_contains(STOP, lower(raw))) WHERE n = 1)"""
+TOKENS = TOKENS.replace("TECH", TECH_SQL.format("raw")).replace("STOP", quoted(X.QUERY_STOP_WORDS))
+
+
+def field_sql(name: str, column: str) -> str:
+    """Weights of the words of a hit's field that are query tokens, every occurrence counted."""
+    return f"""{name} AS (SELECT f.qid, f.id, sum(q.weight) AS s FROM (SELECT qid, id, unnest(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM hit) f JOIN q_tok q ON q.qid = f.qid AND q.w = f.w GROUP BY 1, 2)"""
+
+
+@query("rerank_scores", f"""{SPARSE}, {TOKENS}, hit AS (SELECT qid, id, rank, source || '/' || lang || '/doc-' || doc_id || '.md' AS source_file, lang AS section, lang || ' ' || source AS tags, text, id % 2 AS chunk_index FROM sparse_run JOIN documents ON id = doc_id WHERE rank <= 40),
+  {field_sql('f_source', 'source_file')}, {field_sql('f_section', 'section')}, {field_sql('f_tags', 'tags')}, {field_sql('f_text', 'text')}, tech AS (SELECT qid, count(*) FILTER (WHERE weight = 3) AS n FROM q_tok GROUP BY qid)
+  SELECT hit.qid, hit.id, round(1e0 / rank + least(coalesce(a.s, 0) * 0.08, 0.24) + least(coalesce(b.s, 0) * 0.06, 0.18) + least(coalesce(c.s, 0) * 0.05, 0.15) + least(coalesce(d.s, 0) * 0.01, 0.05)
+    - CASE WHEN chunk_index = 0 AND coalesce(tech.n, 0) >= 2 THEN 0.02 ELSE 0 END, 6) AS det_score
+  FROM hit LEFT JOIN f_source a USING (qid, id) LEFT JOIN f_section b USING (qid, id) LEFT JOIN f_tags c USING (qid, id) LEFT JOIN f_text d USING (qid, id) LEFT JOIN tech USING (qid)""")
+def rerank_scores(spark, sf_dir):
+    """Scores of the first stage's documents as whole texts."""
+    d = corpus(spark, sf_dir).withColumns({"section": F.get("tags", F.lit(0)), "chunk_index": F.col("id") % 2})
+    hits = sparse_lane(spark, sf_dir, 40).select("qid", "id", "rank").join(d, "id").join(asked(spark, sf_dir).withColumnRenamed("text", "query"), "qid")
+    return R.rerank_scores(hits).select("qid", "id", F.round("det_score", 6).alias("det_score"))
+
+
 @query("rerank_ce", f"{SPARSE} , h AS (SELECT qid, id, rank FROM sparse_run WHERE rank <= 40), r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY length(text) DESC, rank) AS new_rank FROM h JOIN documents ON id = doc_id) SELECT * FROM r WHERE new_rank <= 10")
 def rerank_ce(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("n"))
@@ -159,10 +221,18 @@ def rerank_ce(spark, sf_dir):
 
 @query("colbert_maxsim", f"{DENSE} SELECT qid, id, round((greatest(list_dot_product(q.vec[1:16], c.vec[1:16]), list_dot_product(q.vec[1:16], c.vec[17:32])) + greatest(list_dot_product(q.vec[17:32], c.vec[1:16]), list_dot_product(q.vec[17:32], c.vec[17:32]))) / 2, 6) AS score FROM dense_q q, dense_c c")
 def colbert_maxsim(spark, sf_dir):
-    queries, corpus = dense(spark, sf_dir)
+    """Every pair, which is what this query reports: a block of queries is shipped to the rows."""
+    queries, vectors = dense(spark, sf_dir)
     parts = lambda v: F.array(F.slice(v, 1, 16), F.slice(v, 17, 16))
-    both = corpus.select("id", parts("vec").alias("d")).crossJoin(F.broadcast(queries.select("qid", parts("vec").alias("q"))))  # twenty queries
-    return both.select("qid", "id", F.round(R.maxsim(F.col("q"), F.col("d")), 6).alias("score"))
+    out = spark.createDataFrame([], "qid bigint, id bigint, score double")
+    n = queries.count()
+    blocks = max(1, -(-n // R.QUERY_BLOCK))
+    for i in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        asked = F.broadcast(part.agg(F.collect_list(F.struct("qid", parts("vec").alias("q"))).alias("qs")))  # one row of at most QUERY_BLOCK queries
+        both = vectors.select("id", parts("vec").alias("d")).join(asked).select("id", "d", F.explode("qs").alias("x"))
+        out = out.unionByName(both.select(F.col("x.qid").alias("qid"), "id", F.round(R.maxsim(F.col("x.q"), F.col("d")), 6).alias("score")))
+    return out
 
 
 @query("colbert_guard", f"""{DENSE}, h AS (SELECT qid, id, rank, CAST(id % 17 AS DOUBLE) AS second FROM dense_run WHERE rank <= 20),
@@ -180,10 +250,16 @@ def stable_sort(spark, sf_dir):
     return chunks(spark, sf_dir).select("source_file", "chunk_index", F.row_number().over(w).cast("bigint").alias("rank"))
 
 
-@query("collapse_to_docs", f"{DENSE} SELECT qid, label AS doc_id, max(score) AS score, count(*) AS chunk_count FROM dense_run WHERE rank <= 50 GROUP BY qid, label")
+@query("collapse_to_docs", f"{DENSE} SELECT qid, nullif(label, 0) AS doc_id, max(score) AS score, count(*) AS chunk_count FROM dense_run WHERE rank <= 50 GROUP BY 1, 2")
 def collapse_to_docs(spark, sf_dir):
-    _, corpus = dense(spark, sf_dir)
-    return R.collapse_to_docs(dense_lane(spark, sf_dir, 50).select("qid", "id", "score"), corpus.select("id", F.col("label").alias("doc_id")))
+    """Vectors with label 0 belong to no document: their hits are told as unmapped."""
+    _, vectors = dense(spark, sf_dir)
+    return R.collapse_to_docs(dense_lane(spark, sf_dir, 50).select("qid", "id", "score"), vectors.filter("label != 0").select("id", F.col("label").alias("doc_id")))
+
+
+@query("gap_trigger", f"{DENSE} SELECT qid, coalesce((max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END)) / max(CASE WHEN rank = 1 THEN score END) < 0.1, false) AS fires FROM dense_run GROUP BY qid")
+def gap_trigger(spark, sf_dir):
+    return R.gap_trigger(dense_lane(spark, sf_dir, 2))
 
 
 HITS = f"{CHUNKS}, hits AS (SELECT doc_id % 50 AS qid, source_file, chunk_index, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY length(text) DESC, source_file, chunk_index) AS rank FROM chunks), top AS (SELECT * FROM hits WHERE rank <= 20)"
@@ -224,12 +300,28 @@ def metric_sql(run: str, gain: str, none: str) -> str:
 RUN100 = "run AS (SELECT * FROM sparse_run WHERE rank <= 100)"
 
 
+SHINGLE = 3
+
+
 def judged(spark, sf_dir):
-    """Passages held by documents: a word that both have narrows the pairs before the containment test."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    # forty passages at every scale
+    """(qid, id, rel): the documents that hold a passage word for word.
+
+    A passage's inner words stand in such a document as they are. Its rarest run of three of them narrows the pairs by
+    an equi-join, the text is searched only in those. Passages of fewer inner words are searched in every
+    document; that side is broadcast only if it is small.
+    """
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage")).withColumn("runs", X.word_runs(F.col("passage"), SHINGLE, inner=True))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return d.join(F.broadcast(b), d["text"].contains(b["passage"])).select("qid", "id", F.lit(1).alias("rel"))
+    long = F.size("runs") > 0
+    inner = b.select("qid", "passage", F.explode("runs").alias("run"))
+    in_docs = d.select("id", F.explode(X.word_runs(F.col("text"), SHINGLE)).alias("run"))
+    in_docs = in_docs.join(inner.select("run").distinct(), "run", "left_semi")
+    often = in_docs.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = inner.join(often, "run", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r"))
+    pairs = rarest.filter("r.n > 0").select("qid", "r.run").join(in_docs, "run").select("qid", "id")
+    found = pairs.join(b.select("qid", "passage"), "qid").join(d, "id").filter(F.contains("text", "passage")).select("qid", "id")
+    short = d.join(b.filter(~long).select("qid", "passage"), F.contains("text", "passage")).select("qid", "id")
+    return found.unionByName(short).select("qid", "id", F.lit(1).alias("rel"))
 
 
 @query("retrieval_metrics", f"{SPARSE}, {QRELS}, {RUN100}, {metric_sql('run', 'CAST(rel AS DOUBLE)', '0e0')} SELECT * FROM m")
@@ -247,9 +339,15 @@ def aggregate_metrics(spark, sf_dir):
     return E.aggregate_metrics(E.per_query(sparse_lane(spark, sf_dir, 100), judged(spark, sf_dir)))
 
 
-@query("lane_overlap", f"{HYBRID}, b AS (SELECT d.qid, count(*) AS shared FROM dense_run d JOIN text_run t ON d.qid = t.qid AND d.id = t.id WHERE d.rank <= 10 AND t.rank <= 10 GROUP BY d.qid) SELECT q.qid, coalesce(shared, 0) AS shared FROM dense_q q LEFT JOIN b ON b.qid = q.qid")
+@query("lane_overlap", f"{LANES}, b AS (SELECT d.qid, count(*) AS shared FROM lane_d d JOIN sparse_run t ON d.qid = t.qid AND d.id = t.id WHERE d.rank <= 10 AND t.rank <= 10 GROUP BY d.qid) SELECT q.qid, coalesce(shared, 0) AS shared FROM ql q LEFT JOIN b ON b.qid = q.qid")
 def lane_overlap(spark, sf_dir):
-    return E.lane_overlap(dense_lane(spark, sf_dir), second_lane(spark, sf_dir), 10)
+    return E.lane_overlap(text_dense_lane(spark, sf_dir, 10), sparse_lane(spark, sf_dir, 10), 10)
+
+
+@query("relevant_overlap", f"""{LANES}, {QRELS}, m AS (SELECT q.qid, d.id IS NOT NULL AS x, t.id IS NOT NULL AS y FROM qrels q LEFT JOIN (SELECT * FROM lane_d WHERE rank <= 10) d ON d.qid = q.qid AND d.id = q.id LEFT JOIN (SELECT * FROM sparse_run WHERE rank <= 10) t ON t.qid = q.qid AND t.id = q.id)
+  SELECT count(*) FILTER (WHERE x AND NOT y) AS first_only, count(*) FILTER (WHERE y AND NOT x) AS second_only, count(*) FILTER (WHERE x AND y) AS both, count(*) FILTER (WHERE NOT x AND NOT y) AS neither FROM m""")
+def relevant_overlap(spark, sf_dir):
+    return E.relevant_overlap(text_dense_lane(spark, sf_dir, 10), sparse_lane(spark, sf_dir, 10), judged(spark, sf_dir), 10)
 
 
 @query("window_recall", f"""{HITS}, want AS (SELECT doc_id % 50 AS qid, source_file, chunk_index FROM chunks WHERE chunk_index = 1)
@@ -259,65 +357,208 @@ def window_recall(spark, sf_dir):
     return E.window_recall(window_hits(spark, sf_dir), wanted, 20, 1)
 
 
-BEST = "best_d AS (SELECT qid, min(rank) AS best FROM dense_run WHERE label = q_label GROUP BY qid), best_t AS (SELECT r.qid, min(r.rank) AS best FROM text_run r JOIN dense_c c ON c.id = r.id JOIN dense_q q ON q.qid = r.qid WHERE label = q_label GROUP BY r.qid)"
+def runs_sql(depth: int) -> str:
+    """Both lanes and their fusion as modes, and per-query nDCG at 10 of each."""
+    return f"""{LANES}, {QRELS}, fused AS (SELECT qid, id, round(sum(s), 9) AS score FROM (SELECT qid, id, 1e0 / (60 + rank - 1) AS s FROM lane_d WHERE rank <= 20 UNION ALL SELECT qid, id, 1e0 / (60 + rank - 1) FROM sparse_run WHERE rank <= 20) GROUP BY qid, id),
+hybrid_run AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused),
+runs AS (SELECT 'dense' AS mode, qid, id, rank FROM lane_d WHERE rank <= {depth} UNION ALL SELECT 'sparse', qid, id, rank FROM sparse_run WHERE rank <= {depth} UNION ALL SELECT 'hybrid', qid, id, rank FROM hybrid_run WHERE rank <= {min(depth, 10)}),
+grades AS (SELECT qid, id, CASE WHEN id % 3 = 0 THEN 2 ELSE 3 END AS rel FROM qrels),
+hit AS (SELECT runs.*, coalesce(grades.rel, 0) AS rel FROM runs LEFT JOIN grades ON grades.qid = runs.qid AND grades.id = runs.id),
+one AS (SELECT mode, qid, sum(CASE WHEN rel > 0 AND rank <= 10 THEN 1e0 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN rel >= 3 THEN rank END) AS best, min(CASE WHEN rel >= 2 THEN rank END) AS support,
+  sum(CASE WHEN rank <= 10 THEN (pow(2e0, rel) - 1) / log2(rank + 1) ELSE 0 END) AS xdcg FROM hit GROUP BY mode, qid),
+ideal AS (SELECT qid, sum(CASE WHEN i <= 10 THEN 1e0 / log2(i + 1) ELSE 0 END) AS idcg, sum(CASE WHEN i <= 10 THEN (pow(2e0, rel) - 1) / log2(i + 1) ELSE 0 END) AS xidcg, max(rel) AS top FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, id) AS i FROM grades) GROUP BY qid),
+scored AS (SELECT one.mode, one.qid, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 9) AS ndcg, best FROM one LEFT JOIN ideal ON ideal.qid = one.qid)"""
+
+
+def modes(spark, sf_dir, depth=10):
+    """(mode, qid, id, rank) of the dense lane, the sparse lane and their fusion."""
+    d, t = text_dense_lane(spark, sf_dir, max(20, depth)), sparse_lane(spark, sf_dir, max(20, depth))
+    fused = R.ranked(R.fuse_rrf([d.filter("rank <= 20"), t.filter("rank <= 20")]), [F.desc("score"), F.asc("id")], limit=10)
+    of = lambda run, mode, n: run.filter(F.col("rank") <= n).select(F.lit(mode).alias("mode"), "qid", "id", F.col("rank").cast("bigint").alias("rank"))
+    return of(d, "dense", depth).unionByName(of(t, "sparse", depth)).unionByName(of(fused, "hybrid", 10))
+
+
+def grades(spark, sf_dir):
+    return judged(spark, sf_dir).select("qid", "id", F.when(F.col("id") % 3 == 0, 2).otherwise(3).alias("rel"))
+
+
+def scored(spark, sf_dir, mode):
+    return E.per_query(modes(spark, sf_dir).filter(F.col("mode") == mode), judged(spark, sf_dir)).select("qid", "ndcg")
+
 
+@query("rescue_harm", f"""{runs_sql(10)}, c AS (SELECT coalesce(a.qid, b.qid) AS qid, round(coalesce(b.ndcg, 0) - coalesce(a.ndcg, 0), 9) AS delta FROM (SELECT * FROM scored WHERE mode = 'dense') a FULL JOIN (SELECT * FROM scored WHERE mode = 'hybrid') b ON a.qid = b.qid)
+  SELECT qid, delta, CASE WHEN delta > 1e-9 THEN 'rescue' WHEN delta < -1e-9 THEN 'harm' ELSE 'tie' END AS kind FROM c""")
+def rescue_harm(spark, sf_dir):
+    return E.rescue_harm(scored(spark, sf_dir, "dense"), scored(spark, sf_dir, "hybrid"))
 
-def best_ranks(run, qrels):
-    return run.join(qrels, ["qid", "id"], "left_semi").groupBy("qid").agg(F.min("rank").cast("bigint").alias("best"))
 
+@query("representative_cases", f"""{runs_sql(10)}, c AS (SELECT a.qid, round(b.ndcg - a.ndcg, 9) AS delta FROM (SELECT * FROM scored WHERE mode = 'dense') a JOIN (SELECT * FROM scored WHERE mode = 'sparse') b ON a.qid = b.qid),
+  k AS (SELECT *, CASE WHEN delta > 0 THEN 'rescue' ELSE 'harm' END AS kind, row_number() OVER (PARTITION BY delta > 0 ORDER BY abs(delta) DESC, qid) AS place FROM c WHERE abs(delta) > 1e-9) SELECT * FROM k WHERE place <= 3""")
+def representative_cases(spark, sf_dir):
+    cases = E.rescue_harm(scored(spark, sf_dir, "dense"), scored(spark, sf_dir, "sparse"))
+    return E.representative_cases(cases).withColumn("place", F.col("place").cast("bigint"))
 
-@query("regression_flags", f"""{HYBRID}, {BEST} SELECT coalesce(a.qid, b.qid) AS qid, CASE WHEN a.best <= 3 AND (b.best IS NULL OR b.best > 3) THEN 'regression' WHEN b.best = 1 AND (a.best IS NULL OR a.best > 1) THEN 'improvement' ELSE 'same' END AS flag FROM best_d a FULL JOIN best_t b ON a.qid = b.qid""")
+
+@query("metric_parity", f"{runs_sql(10)}, m AS (SELECT mode, avg(ndcg) AS ndcg, avg(1e0 / best) AS mrr FROM scored GROUP BY mode) SELECT mode, unnest(['ndcg', 'mrr']) AS metric, unnest([mode <> 'sparse', mode <> 'dense' OR mrr IS NULL]) AS ok FROM m")
+def metric_parity(spark, sf_dir):
+    """Means against a report that is wrong in two places."""
+    m = modes(spark, sf_dir)
+    ndcg = E.per_query(m.withColumn("qid", F.struct("mode", "qid")), judged(spark, sf_dir).join(m.select("mode").distinct()).withColumn("qid", F.struct("mode", "qid")))
+    first = E.exact_ranks(m, grades(spark, sf_dir)).groupBy("mode").agg(F.avg(1.0 / F.col("best")).alias("mrr"))
+    found = ndcg.groupBy("qid.mode").agg(F.avg("ndcg").alias("ndcg")).join(first, "mode", "left")
+    told = found.select("mode", (F.col("ndcg") + F.when(F.col("mode") == "sparse", 1e-3).otherwise(1e-12)).alias("ndcg"), F.when(F.col("mode") == "dense", None).otherwise(F.col("mrr")).alias("mrr"))
+    return E.metric_parity(found, told, ["ndcg", "mrr"], "mode")
+
+
+@query("overall_verdict", f"""{runs_sql(10)}, d AS (SELECT b.mode, b.ndcg - a.ndcg AS x FROM (SELECT * FROM scored WHERE mode = 'dense') a JOIN scored b ON a.qid = b.qid WHERE b.mode <> 'dense'),
+  s AS (SELECT mode, avg(x) AS mean, min(x) AS low, max(x) AS high FROM d GROUP BY mode), v AS (SELECT count(*) FILTER (WHERE (low > 0 OR high < 0) AND mean > 0) AS up, count(*) FILTER (WHERE (low > 0 OR high < 0) AND mean <= 0) AS down FROM s)
+  SELECT CASE WHEN up > 0 AND down > 0 THEN 'FUSION_DATASET_DEPENDENT' WHEN up > 0 THEN 'FUSION_COMPLEMENTARY' WHEN down > 0 THEN 'FUSION_SPARSE_DEGRADES' ELSE 'FUSION_ANALYSIS_INCONCLUSIVE' END AS verdict FROM v""")
+def overall_verdict(spark, sf_dir):
+    """Each mode against the dense lane, with the range of the differences as its interval."""
+    base = scored(spark, sf_dir, "dense").withColumnRenamed("ndcg", "a")
+    rows = [base.join(scored(spark, sf_dir, m), "qid").select((F.col("ndcg") - F.col("a")).alias("x")).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high")) for m in ("sparse", "hybrid")]
+    return E.overall_verdict(rows[0].unionByName(rows[1]))
+
+
+GRADED = "grades_k AS (SELECT qid, id, CASE WHEN id % 3 = 0 THEN 2 ELSE 3 END AS rel FROM qrels)"
+
+
+@query("graded_recall", f"""{SPARSE}, {QRELS}, {GRADED}, t AS (SELECT qid, count(*) AS total FROM grades_k WHERE rel >= 3 GROUP BY qid), f AS (SELECT r.qid, count(*) AS n, min(rank) AS best FROM sparse_run r JOIN grades_k g ON g.qid = r.qid AND g.id = r.id AND g.rel >= 3 WHERE rank <= 10 GROUP BY r.qid),
+  q AS (SELECT DISTINCT qid FROM sparse_run UNION SELECT qid FROM grades_k) SELECT q.qid, CASE WHEN total IS NOT NULL THEN n IS NOT NULL END AS hit, CASE WHEN total IS NOT NULL THEN round(coalesce(n, 0) / CAST(total AS DOUBLE), 9) END AS recall, CASE WHEN total IS NOT NULL THEN round(coalesce(1e0 / best, 0), 9) END AS mrr
+  FROM q LEFT JOIN t ON t.qid = q.qid LEFT JOIN f ON f.qid = q.qid""")
+def graded_recall(spark, sf_dir):
+    return E.graded(sparse_lane(spark, sf_dir, 10), grades(spark, sf_dir), 10)
+
+
+@query("required_evidence", f"""{SPARSE}, {QRELS}, g AS (SELECT qid, id % 2 AS grp, max(CASE WHEN EXISTS (SELECT 1 FROM sparse_run r WHERE r.qid = qrels.qid AND r.id = qrels.id AND r.rank <= 5) THEN 1 ELSE 0 END) AS has FROM qrels GROUP BY 1, 2) SELECT qid, min(has) = 1 AS covered FROM g GROUP BY qid""")
+def required_evidence(spark, sf_dir):
+    groups = judged(spark, sf_dir).select("qid", (F.col("id") % 2).alias("grp"), "id")
+    return E.required_evidence(sparse_lane(spark, sf_dir, 5), groups, 5)
+
+
+@query("negative_absence", f"""{SPARSE}, w AS (SELECT item_id AS qid, unnest(string_split(text, ' ')[1:3]) AS token FROM benchmark), f AS (SELECT r.qid, lower(d.text || ' ' || d.lang) AS hay FROM sparse_run r JOIN documents d ON d.doc_id = r.id WHERE rank = 1)
+  SELECT w.qid, NOT bool_or(coalesce(contains(hay, lower(token)), false)) AS absent FROM w LEFT JOIN f ON f.qid = w.qid GROUP BY w.qid""")
+def negative_absence(spark, sf_dir):
+    first = sparse_lane(spark, sf_dir, 1).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("section")), "id")
+    tokens = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(F.split("text", " "), 1, 3)).alias("token"))
+    return E.negative_absence(first, tokens)
+
+
+@query("ndcg_binary", f"""{SPARSE}, {QRELS}, r AS (SELECT qid, rank, source AS file FROM sparse_run JOIN documents ON doc_id = id WHERE rank <= 10), e AS (SELECT DISTINCT qid, source AS file FROM qrels JOIN documents ON doc_id = id),
+  n AS (SELECT qid, least(count(*), 10) AS n FROM e GROUP BY qid), i AS (SELECT qid, list_sum(list_transform(range(1, n + 1), lambda x: 1e0 / log2(x + 1))) AS idcg FROM n), d AS (SELECT r.qid, sum(1e0 / log2(rank + 1)) AS dcg FROM r JOIN e ON e.qid = r.qid AND e.file = r.file GROUP BY r.qid)
+  SELECT q.qid, round(coalesce(dcg / idcg, 0), 9) AS ndcg FROM (SELECT DISTINCT qid FROM r) q LEFT JOIN i ON i.qid = q.qid LEFT JOIN d ON d.qid = q.qid""")
+def ndcg_binary(spark, sf_dir):
+    of = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"))
+    return E.ndcg_binary(sparse_lane(spark, sf_dir, 10).join(of, "id"), judged(spark, sf_dir).join(of, "id"), 10)
+
+
+ROUTING = """SELECT {by}mode, count(*) FILTER (WHERE top >= 3 AND best = 1) AS rank1, round(avg(CASE WHEN top >= 3 THEN CASE WHEN best <= 3 THEN 1 ELSE 0 END END), 6) AS recall_3, round(avg(CASE WHEN top >= 3 THEN CASE WHEN best <= 5 THEN 1 ELSE 0 END END), 6) AS recall_5,
+  round(avg(CASE WHEN top >= 3 THEN CASE WHEN best <= 10 THEN 1 ELSE 0 END END), 6) AS recall_k, round(avg(CASE WHEN support <= 10 THEN 1 ELSE 0 END), 6) AS support_k, round(avg(CASE WHEN top >= 3 THEN CASE WHEN best <= 10 THEN 1e0 / best ELSE 0 END END), 6) AS mrr10,
+  round(avg(CASE WHEN xidcg > 0 THEN coalesce(xdcg, 0) / xidcg ELSE 0 END), 6) AS ndcg, count(*) AS n
+  FROM (SELECT i.*, m.mode FROM ideal i CROSS JOIN (SELECT DISTINCT mode FROM runs) m) e LEFT JOIN one USING (mode, qid) GROUP BY {by}mode"""
+
+
+@query("routing_metrics", f"{runs_sql(10)} {ROUTING.format(by='')}")
+def routing_metrics(spark, sf_dir):
+    return E.routing_metrics(modes(spark, sf_dir), grades(spark, sf_dir))
+
+
+@query("per_class", f"{runs_sql(10)}, typed AS (SELECT *, 'class' || (qid % 3) AS type FROM ideal), ideal2 AS (SELECT * FROM typed) {ROUTING.format(by='type, ').replace('FROM ideal i', 'FROM ideal2 i')}")
+def per_class(spark, sf_dir):
+    return E.routing_metrics(modes(spark, sf_dir), grades(spark, sf_dir).withColumn("type", F.concat(F.lit("class"), (F.col("qid") % 3).cast("string"))), by=["type"])
+
+
+@query("ordering_loss", f"""{runs_sql(20)}, p AS (SELECT qid, max(CASE WHEN mode = 'hybrid' THEN best END) AS base_rank, max(CASE WHEN mode = 'dense' THEN best END) AS guarded_rank, max(CASE WHEN mode = 'sparse' THEN best END) AS raw_rank FROM one GROUP BY qid)
+  SELECT *, CASE WHEN coalesce(raw_rank > base_rank, false) AND coalesce(guarded_rank > raw_rank, false) THEN 'mixed' WHEN coalesce(raw_rank > base_rank, false) THEN 'CE' ELSE 'guard' END AS cause, round(1e0 / base_rank - 1e0 / guarded_rank, 9) AS mrr_loss FROM p WHERE base_rank <= 2 AND guarded_rank > base_rank AND guarded_rank <= 3""")
+def ordering_loss(spark, sf_dir):
+    return E.ordering_loss(E.exact_ranks(modes(spark, sf_dir, 20), grades(spark, sf_dir)), "hybrid", "dense", "sparse")
+
+
+@query("regression_flags", f"""{runs_sql(10)}, b AS (SELECT mode, qid, min(rank) AS best FROM hit WHERE rel > 0 GROUP BY mode, qid)
+  SELECT coalesce(a.qid, b.qid) AS qid, CASE WHEN a.best <= 3 AND (b.best IS NULL OR b.best > 3) THEN 'regression' WHEN b.best = 1 AND (a.best IS NULL OR a.best > 1) THEN 'improvement' ELSE 'same' END AS flag
+  FROM (SELECT * FROM b WHERE mode = 'hybrid') a FULL JOIN (SELECT * FROM b WHERE mode = 'dense') b ON a.qid = b.qid""")
 def regression_flags(spark, sf_dir):
-    qrels = dense_qrels(spark, sf_dir)
-    return E.regression_flags(best_ranks(dense_lane(spark, sf_dir), qrels), best_ranks(second_lane(spark, sf_dir), qrels))
+    best = modes(spark, sf_dir).join(judged(spark, sf_dir), ["qid", "id"], "left_semi").groupBy("mode", "qid").agg(F.min("rank").alias("best"))
+    return E.regression_flags(best.filter("mode = 'hybrid'"), best.filter("mode = 'dense'"))
 
 
-@query("best_exact_rank", f"{HYBRID}, {BEST} SELECT qid, best FROM best_d")
+@query("best_exact_rank", f"{DENSE} SELECT qid, min(rank) AS best FROM dense_run WHERE label = q_label GROUP BY qid")
 def best_exact_rank(spark, sf_dir):
-    return best_ranks(dense_lane(spark, sf_dir), dense_qrels(spark, sf_dir))
+    return R.dense_best_ranks(*dense(spark, sf_dir))
 
 
-@query("retrieval_report", f"""{HYBRID}, {BEST} SELECT round(avg(CASE WHEN best <= 1 THEN 1e0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN best <= 10 THEN 1e0 ELSE 0 END), 6) AS recall_k, round(avg(1e0 / best), 6) AS mrr,
-  quantile_disc(best, 0.5) AS p50, quantile_disc(best, 0.95) AS p95, median(best) AS median FROM best_d""")
-def retrieval_report(spark, sf_dir):
-    b = best_ranks(dense_lane(spark, sf_dir), dense_qrels(spark, sf_dir))
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    rank = lambda p: F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY best) AS BIGINT)")
-    return b.agg(share(F.col("best") <= 1).alias("recall_1"), share(F.col("best") <= 10).alias("recall_k"), F.round(F.avg(1.0 / F.col("best")), 6).alias("mrr"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.median("best").alias("median"))
+REPORT = f"""{SPARSE}, {QRELS}, q AS (SELECT item_id AS qid, item_id % 4 = 0 AS negative, lower(regexp_extract(text, '[\\p{{L}}\\p{{N}}_]+')) AS token, CAST(length(text) AS DOUBLE) AS latency FROM benchmark),
+  h AS (SELECT r.qid, rank, source AS file, lang AS section, list_concat(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), [lower(lang)]) AS w FROM sparse_run r JOIN documents ON doc_id = id WHERE rank <= 10),
+  x AS (SELECT q.qid, list_distinct(list(source) FILTER (WHERE source IS NOT NULL)) AS files FROM q LEFT JOIN qrels ON qrels.qid = q.qid LEFT JOIN documents ON doc_id = qrels.id GROUP BY q.qid),
+  j AS (SELECT h.*, list_contains(files, file) AS good, list_contains(w, token) AS has, token FROM h JOIN x USING (qid) JOIN q USING (qid)),
+  p AS (SELECT qid, min(CASE WHEN good THEN rank END) AS best, sum(CASE WHEN good THEN 1e0 / log2(rank + 1) ELSE 0 END) AS dcg, bool_or(good AND section = 'en') AS section_hit, bool_or(good AND has) AS token_hit, bool_or(rank = 1 AND has) AS strong, count(DISTINCT file) AS found, count(*) AS n FROM j GROUP BY qid),
+  e AS (SELECT q.*, p.best, p.dcg, p.section_hit, p.token_hit, p.strong, p.found, p.n, len(coalesce(files, [])) AS nf FROM q LEFT JOIN p USING (qid) LEFT JOIN x USING (qid))"""
 
 
-@query("trigger_eval", f"""{DENSE}, s AS (SELECT qid, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2, max(CASE WHEN rank = 1 THEN CAST(label <> q_label AS INTEGER) END) AS miss FROM dense_run GROUP BY qid),
-  g AS (SELECT unnest([0.02, 0.05, 0.1, 0.2]) AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE (s1 - s2) / s1 < threshold) AS fired, count(*) FILTER (WHERE (s1 - s2) / s1 < threshold AND miss = 1) AS caught, count(*) FILTER (WHERE miss = 1) AS missed FROM s, g GROUP BY threshold""")
+@query("retrieval_report", f"""{REPORT} SELECT round(avg(CASE WHEN best <= 1 THEN 1 ELSE 0 END) FILTER (WHERE NOT negative), 6) AS recall_1, round(avg(CASE WHEN best <= 10 THEN 1 ELSE 0 END) FILTER (WHERE NOT negative), 6) AS recall_k, round(avg(coalesce(1e0 / best, 0)) FILTER (WHERE NOT negative), 6) AS mrr,
+  round(avg(CASE WHEN nf > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, least(nf, 10) + 1), lambda i: 1e0 / log2(i + 1))) ELSE 0 END) FILTER (WHERE NOT negative), 6) AS ndcg,
+  round(avg(CASE WHEN section_hit THEN 1 ELSE 0 END) FILTER (WHERE NOT negative), 6) AS section_hit, round(avg(CASE WHEN token_hit THEN 1 ELSE 0 END) FILTER (WHERE NOT negative), 6) AS token_hit, round(avg(CASE WHEN coalesce(strong, false) THEN 0 ELSE 1 END) FILTER (WHERE negative), 6) AS negative_pass,
+  round(avg(CASE WHEN n > 0 THEN 1 - found / CAST(n AS DOUBLE) ELSE 0 END) FILTER (WHERE NOT negative), 6) AS duplicate_rate, round(avg(coalesce(found, 0)) FILTER (WHERE NOT negative), 6) AS diversity, round(avg(latency), 6) AS latency,
+  quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.95) AS p95, count(*) FILTER (WHERE NOT negative) AS n_positive, count(*) FILTER (WHERE negative) AS n_negative FROM e""")
+def retrieval_report(spark, sf_dir):
+    """Every fourth passage counts as a negative, its first word as the token that must not be hit."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("lang").alias("section"), "text")
+    token = F.lower(F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % 4 == 0).alias("negative"), F.array(token).alias("all_tokens"), F.length("text").cast("double").alias("latency"))
+    files = judged(spark, sf_dir).join(d.select("id", "file"), "id").groupBy("qid").agg(F.collect_set("file").alias("files"))
+    q = q.join(files, "qid", "left").withColumns({"files": F.coalesce("files", F.array().cast("array<string>")), "sections": F.array(F.lit("en")), "any_tokens": F.array().cast("array<string>")})
+    return E.retrieval_report(sparse_lane(spark, sf_dir, 10).select("qid", "id", "rank").join(d, "id"), q, 10)
+
+
+@query("trigger_eval", f"""{DENSE}, b AS (SELECT qid, min(CASE WHEN label = q_label AND id <> qid THEN rank END) AS best, max(CASE WHEN rank = 2 THEN score END) AS s2, max(CASE WHEN rank = 6 THEN score END) AS s6 FROM dense_run GROUP BY qid),
+  s AS (SELECT s2 - s6 AS signal, best IS NULL OR best > 6 AS miss, coalesce(best <= 11, false) AS recovers FROM b), g AS (SELECT unnest([0.02, 0.05, 0.1, 0.2]) AS threshold), x AS (SELECT CAST(threshold AS DOUBLE) AS threshold, signal < threshold AS fired, miss, recovers FROM s, g)
+  SELECT threshold, round(count(*) FILTER (WHERE fired) / CAST(count(*) AS DOUBLE), 6) AS trigger_rate, round(count(*) FILTER (WHERE fired AND miss) / CAST(nullif(count(*) FILTER (WHERE miss), 0) AS DOUBLE), 6) AS miss_recall, round(count(*) FILTER (WHERE fired AND miss) / CAST(nullif(count(*) FILTER (WHERE fired), 0) AS DOUBLE), 6) AS precision,
+  round(count(*) FILTER (WHERE fired AND NOT miss) / CAST(nullif(count(*) FILTER (WHERE NOT miss), 0) AS DOUBLE), 6) AS false_positive_rate, round(count(*) FILTER (WHERE fired AND miss AND recovers) / CAST(nullif(count(*) FILTER (WHERE fired AND miss), 0) AS DOUBLE), 6) AS recovery FROM x GROUP BY threshold""")
 def trigger_eval(spark, sf_dir):
-    queries, corpus = dense(spark, sf_dir)
-    lane = dense_lane(spark, sf_dir, 2).join(corpus.select("id", "label"), "id").join(F.broadcast(queries.select("qid", "q_label")), "qid")
-    at = lambda r, c: F.max(F.when(F.col("rank") == r, c))
-    s = lane.groupBy("qid").agg(at(1, F.col("score")).alias("s1"), at(2, F.col("score")).alias("s2"), at(1, F.col("label") != F.col("q_label")).alias("miss"))
-    s = s.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.02, 0.05, 0.1, 0.2)])))
-    fired = (F.col("s1") - F.col("s2")) / F.col("s1") < F.col("threshold")
-    return s.groupBy("threshold").agg(F.count_if(fired).alias("fired"), F.count_if(fired & F.col("miss")).alias("caught"), F.count_if("miss").alias("missed"))
-
-
-@query("agent_policies", f"{HYBRID}, {BEST} SELECT a.qid, CASE WHEN a.best <= 1 THEN 1 WHEN b.best <= 1 THEN 2 ELSE 0 END AS calls FROM best_d a JOIN best_t b ON a.qid = b.qid")
+    """The score spread of the five nearest others as the signal; a miss has none of the query's label among them."""
+    queries, vectors = dense(spark, sf_dir)
+    lane = dense_lane(spark, sf_dir, 11).join(vectors.select("id", "label"), "id").join(queries.select("qid", "q_label"), "qid")
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
+    best = F.min(F.when((F.col("label") == F.col("q_label")) & (F.col("id") != F.col("qid")), F.col("rank")))
+    s = lane.groupBy("qid").agg((at(2) - at(6)).alias("signal"), best.alias("best"))
+    s = s.select("signal", (F.col("best").isNull() | (F.col("best") > 6)).alias("miss"), F.coalesce(F.col("best") <= 11, F.lit(False)).alias("recovers"))
+    return E.trigger_eval(s, [0.02, 0.05, 0.1, 0.2])
+
+
+@query("agent_policies", f"""{DENSE}, r AS (SELECT qid, min(CASE WHEN label = q_label AND id <> qid THEN rank END) AS best, max(CASE WHEN rank <= 5 AND abs(id - qid) <= 25 AND id <> qid THEN 1 ELSE 0 END) = 1 AS neighbour FROM dense_run WHERE rank <= 40 GROUP BY qid),
+  s AS (SELECT coalesce(best <= 5, false) AS five, coalesce(best <= 10, false) AS ten, coalesce((best + 1) // 2 <= 10, false) AS deep, neighbour AND NOT coalesce(best <= 5, false) AS look FROM r),
+  p AS (SELECT unnest(['p1', 'p2', 'p3', 'p4', 'p5']) AS policy, unnest([five, ten, five, five, five]) AS one, unnest([five, ten, five OR ten, five OR deep, five OR (look AND ten)]) AS two, unnest([1, 1, CASE WHEN five THEN 1 ELSE 2 END, CASE WHEN five THEN 1 ELSE 2 END, CASE WHEN look THEN 2 ELSE 1 END]) AS calls FROM s)
+  SELECT policy, round(avg(CAST(one AS INTEGER)), 6) AS success_1, round(avg(CAST(two AS INTEGER)), 6) AS success_2, round(avg(calls), 6) AS calls FROM p GROUP BY policy""")
 def agent_policies(spark, sf_dir):
-    qrels = dense_qrels(spark, sf_dir)
-    a, b = best_ranks(dense_lane(spark, sf_dir), qrels), best_ranks(second_lane(spark, sf_dir), qrels).withColumnRenamed("best", "other")
-    return a.join(b, "qid").select("qid", F.when(F.col("best") <= 1, 1).when(F.col("other") <= 1, 2).otherwise(0).alias("calls"))
+    """Reranking stands for halving a rank, a window for the next ten; a neighbour is an id within 25."""
+    queries, vectors = dense(spark, sf_dir)
+    lane = dense_lane(spark, sf_dir, 40).join(vectors.select("id", "label"), "id").join(queries.select("qid", "q_label"), "qid")
+    other = F.col("id") != F.col("qid")
+    r = lane.groupBy("qid").agg(
+        F.min(F.when((F.col("label") == F.col("q_label")) & other, F.col("rank"))).alias("best"),
+        F.bool_or((F.col("rank") <= 5) & (F.abs(F.col("id") - F.col("qid")) <= 25) & other).alias("neighbour"),
+    )
+    return E.agent_policies(r.withColumns({"reranked": F.floor((F.col("best") + 1) / 2), "window": F.col("best") <= 10}))
 
 
 @query("paired_bootstrap")
 def paired_bootstrap(spark, sf_dir):
-    qrels = dense_qrels(spark, sf_dir)
-    a = E.per_query(dense_lane(spark, sf_dir, 100), qrels).select("qid", F.col("ndcg").alias("a"))
-    b = E.per_query(second_lane(spark, sf_dir).filter("rank <= 100"), qrels).select("qid", F.col("ndcg").alias("b"))
+    a, b = scored(spark, sf_dir, "dense").withColumnRenamed("ndcg", "a"), scored(spark, sf_dir, "hybrid").withColumnRenamed("ndcg", "b")
     return E.paired_bootstrap(a.join(b, "qid"))
 
 
-@query("oracle_max", f"{HYBRID}, {BEST} SELECT round(avg(greatest(1e0 / a.best, 1e0 / b.best)), 6) AS oracle FROM best_d a JOIN best_t b ON a.qid = b.qid")
+@query("oracle_max", f"{runs_sql(10)} SELECT round(avg(greatest(coalesce(a.ndcg, 0), coalesce(b.ndcg, 0))), 6) AS oracle FROM (SELECT * FROM scored WHERE mode = 'dense') a FULL JOIN (SELECT * FROM scored WHERE mode = 'sparse') b ON a.qid = b.qid")
 def oracle_max(spark, sf_dir):
-    qrels = dense_qrels(spark, sf_dir)
-    a, b = best_ranks(dense_lane(spark, sf_dir), qrels), best_ranks(second_lane(spark, sf_dir), qrels).withColumnRenamed("best", "other")
-    return a.join(b, "qid").agg(F.round(F.avg(F.greatest(1.0 / F.col("best"), 1.0 / F.col("other"))), 6).alias("oracle"))
+    """Mean of the better lane's nDCG."""
+    a, b = scored(spark, sf_dir, "dense").withColumnRenamed("ndcg", "a"), scored(spark, sf_dir, "sparse").withColumnRenamed("ndcg", "b")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return a.join(b, "qid", "full").agg(F.round(F.avg(F.greatest(zero("a"), zero("b"))), 6).alias("oracle"))
+
+
+@query("tag_fill", "SELECT round(avg(CASE WHEN len(tags) > 0 THEN 1 ELSE 0 END), 6) AS filled, round(avg(len(tags)), 6) AS mean_tags, round(avg(n), 6) AS mean, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95 FROM (SELECT list_filter([lang, source], lambda t: t NOT IN ('en', 'src1')) AS tags, CAST(length(text) AS DOUBLE) AS n FROM documents)")
+def tag_fill(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.filter(F.array("lang", "source"), lambda t: ~t.isin("en", "src1")).alias("tags"), F.length("text").cast("double").alias("n"))
+    return E.tag_fill(d, "n")
 
 
 @query("macro_summary", "SELECT lang, source, round(avg(length(text)), 6) AS mean, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
@@ -332,17 +573,28 @@ def sparse_diagnostics(spark, sf_dir):
     return k.agg(F.round(F.avg("nnz"), 6).alias("mean_nnz"), F.count("*").alias("covered"))
 
 
-@query("fusion_grid", f"""{HYBRID}, g AS (SELECT * FROM (SELECT unnest([2, 60]) AS k), (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]) AS ratio)), d AS (SELECT * FROM dense_run WHERE rank <= 20), t AS (SELECT * FROM text_run WHERE rank <= 20),
-  p AS (SELECT coalesce(d.qid, t.qid) AS qid, coalesce(d.id, t.id) AS id, d.rank AS dr, t.rank AS tr FROM d FULL JOIN t ON d.qid = t.qid AND d.id = t.id)
-  SELECT k, CAST(ratio AS DOUBLE) AS ratio, qid, round(max(coalesce(1e0 / (k + dr - 1), 0) + coalesce(1e0 / (k + tr / (1e0 / (k * (1e0 / ratio - 1) + 1)) - 1), 0)), 9) AS best FROM p, g GROUP BY 1, 2, 3""")
+GRID = [(k, r) for k in (2, 60) for r in (0.1, 0.25, 0.5, 0.75, 1.0)]
+
+
+@query("fusion_grid", f"""{LANES}, {QRELS}, g AS (SELECT * FROM (SELECT unnest([2, 60]) AS k), (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]) AS ratio)), d AS (SELECT * FROM lane_d WHERE rank <= 20), t AS (SELECT * FROM sparse_run WHERE rank <= 20),
+  p AS (SELECT coalesce(d.qid, t.qid) AS qid, coalesce(d.id, t.id) AS id, d.rank AS dr, t.rank AS tr FROM d FULL JOIN t ON d.qid = t.qid AND d.id = t.id),
+  f AS (SELECT k, ratio, qid, id, dr, tr, round(coalesce(1e0 / (k + dr - 1), 0) + coalesce(1e0 / (k + tr / (1e0 / (k * (1e0 / ratio - 1) + 1)) - 1), 0), 9) AS score FROM p, g),
+  o AS (SELECT *, row_number() OVER (PARTITION BY k, ratio, qid ORDER BY score DESC, dr NULLS LAST, tr NULLS LAST, id) AS rank FROM f),
+  b AS (SELECT k, ratio, o.qid, coalesce(max(CASE WHEN q.id IS NOT NULL AND rank <= 10 THEN 1e0 / rank END), 0) AS fused, coalesce(max(CASE WHEN q.id IS NOT NULL AND dr <= 10 THEN 1e0 / dr END), 0) AS base FROM o LEFT JOIN qrels q ON q.qid = o.qid AND q.id = o.id GROUP BY 1, 2, 3),
+  s AS (SELECT k, ratio, qid % 2 AS grp, avg(base) AS bm, avg(fused) AS fm, count(*) AS n FROM b GROUP BY 1, 2, 3), r AS (SELECT k, CAST(ratio AS DOUBLE) AS ratio, round(sum((fm - bm) * n) / sum(n), 6) AS gain, bool_and(fm >= bm) AS safe FROM s GROUP BY 1, 2)
+  SELECT *, row_number() OVER (ORDER BY safe DESC, gain DESC, k, ratio) AS place FROM r""")
 def fusion_grid(spark, sf_dir):
-    d, t = dense_lane(spark, sf_dir, 20), second_lane(spark, sf_dir).filter("rank <= 20")
-    both = d.select("qid", "id", F.col("rank").alias("dr")).join(t.select("qid", "id", F.col("rank").alias("tr")), ["qid", "id"], "full")
-    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("ratio")) for k in (2, 60) for r in (0.1, 0.25, 0.5, 0.75, 1.0)])
-    both = both.withColumn("g", F.explode(grid)).select("*", "g.*")
-    w = 1.0 / (F.col("k") * (1.0 / F.col("ratio") - 1) + 1)
-    score = F.coalesce(1.0 / (F.col("k") + F.col("dr") - 1), F.lit(0.0)) + F.coalesce(1.0 / (F.col("k") + F.col("tr") / w - 1), F.lit(0.0))
-    return both.groupBy("k", "ratio", "qid").agg(F.round(F.max(score), 9).alias("best"))
+    """Reciprocal first ranks of the weighted fusion against the dense lane, per setting; the best safe one first."""
+    d, t = text_dense_lane(spark, sf_dir, 20), sparse_lane(spark, sf_dir, 20)
+    good = judged(spark, sf_dir).select("qid", "id", F.lit(True).alias("good"))
+    out = None
+    for k, ratio in GRID:  # ten settings
+        run = R.ranked(R.weighted_rrf(d, t, k, ratio), [F.desc("score"), F.asc_nulls_last("d_rank"), F.asc_nulls_last("s_rank"), F.asc("id")])
+        best = lambda c: F.coalesce(F.max(F.when(F.col("good") & (F.col(c) <= 10), 1.0 / F.col(c))), F.lit(0.0))
+        one = run.join(good, ["qid", "id"], "left").groupBy("qid").agg(best("rank").alias("fused"), best("d_rank").alias("base"))
+        one = one.select(F.lit(k).alias("k"), F.lit(ratio).alias("ratio"), (F.col("qid") % 2).alias("grp"), "base", "fused")
+        out = one if out is None else out.unionByName(one)
+    return E.safe_candidates(out, ["grp"]).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("trec_run", f"{SPARSE} SELECT qid || chr(9) || 'Q0' || chr(9) || id || chr(9) || rank || chr(9) || 'sparse' AS line FROM sparse_run WHERE rank <= 10")
@@ -365,12 +617,15 @@ def seeded_sample(spark, sf_dir):
     return table(spark, sf_dir, "documents").orderBy(F.sha2(F.concat(F.lit("seed"), "doc_id"), 256), "doc_id").select("doc_id").limit(100)
 
 
-@query("round_robin_pool", f"""{DENSE}, t AS (SELECT qid, id, rank FROM dense_run WHERE rank <= 30 AND label <> q_label), f AS (SELECT id, rank, qid, row_number() OVER (PARTITION BY id ORDER BY rank, qid) AS i FROM t) SELECT id, qid FROM f WHERE i = 1 ORDER BY rank, qid LIMIT 100""")
+@query("round_robin_pool", f"""{DENSE}, t AS (SELECT qid, id, rank FROM dense_run WHERE rank <= 30 AND label <> q_label), f AS (SELECT id, rank, qid, row_number() OVER (PARTITION BY id ORDER BY rank, qid) AS i FROM t),
+  r AS (SELECT qid, id, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS round FROM f WHERE i = 1) SELECT id, qid FROM r ORDER BY round, qid, rank, id LIMIT 100""")
 def round_robin_pool(spark, sf_dir):
-    queries, corpus = dense(spark, sf_dir)
-    t = dense_lane(spark, sf_dir, 30).join(corpus.select("id", "label"), "id").join(F.broadcast(queries.select("qid", "q_label")), "qid").filter("label != q_label")
-    first = t.groupBy("id").agg(F.min(F.struct("rank", "qid")).alias("f"))
-    return first.orderBy("f.rank", "f.qid").limit(100).select("id", F.col("f.qid").alias("qid"))
+    """Near misses in turn: each query's next one a round, queries in order, each row at its first appearance."""
+    queries, vectors = dense(spark, sf_dir)
+    t = dense_lane(spark, sf_dir, 30).join(vectors.select("id", "label"), "id").join(queries.select("qid", "q_label"), "qid").filter("label != q_label")
+    first = t.groupBy("id").agg(F.min(F.struct("rank", "qid")).alias("f")).select("id", "f.*")
+    turns = first.withColumn("round", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    return turns.orderBy("round", "qid", "rank", "id").limit(100).select("id", "qid")
 
 
 @query("task_synthesis", "SELECT md5(text) AS passage, count(*) AS n, count(DISTINCT lang) > 1 AS inconsistent FROM documents GROUP BY 1")
