@@ -42,13 +42,21 @@ def list_tags(chunks: DataFrame, prefix: str = "", contains: str = "", least: in
     return t.groupBy("tag").agg(F.sum("n").alias("chunk_count"), F.count("*").alias("file_count")).filter(F.col("chunk_count") >= least)
 
 
-def find_by_tag(chunks: DataFrame, tags: list[str], match: str = "any") -> DataFrame:
-    """(source_file, sections, n) of the files' chunks with the tags; sections in order of first appearance."""
+def find_by_tag(chunks: DataFrame, tags: list[str], match: str = "any", limit: int | None = None) -> DataFrame:
+    """(source_file, sections, n[, truncated]) of the files' chunks with the tags; sections in order of first
+    appearance. ``limit``: only so many chunks in order of file and index, and whether there are more."""
     wanted = F.array(*[F.lit(t) for t in tags])
     hit = F.arrays_overlap("tags", wanted) if match == "any" else F.size(F.array_except(wanted, "tags")) == 0
-    s = chunks.filter(hit).groupBy("source_file", "section").agg(F.min("chunk_index").alias("first"), F.count("*").alias("n"))
+    found = chunks.filter(hit)
+    more = None
+    if limit is not None:
+        one_more = found.orderBy("source_file", "chunk_index").limit(limit + 1)
+        more = one_more.count() > limit
+        found = one_more.orderBy("source_file", "chunk_index").limit(limit)
+    s = found.groupBy("source_file", "section").agg(F.min("chunk_index").alias("first"), F.count("*").alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct("first", "section")))
-    return s.groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda x: x["section"]), ",").alias("sections"), F.sum("n").alias("n"))
+    out = s.groupBy("source_file").agg(F.array_join(F.transform(ordered, lambda x: x["section"]), ",").alias("sections"), F.sum("n").alias("n"))
+    return out if more is None else out.withColumn("truncated", F.lit(more))
 
 
 def inventory(nodes: DataFrame, by: str, kind: str) -> DataFrame:
@@ -82,3 +90,42 @@ def children_ordered(parents: DataFrame, nodes: DataFrame, limit: int) -> DataFr
     """(parent, node, position): a parent's children by its own list, at most ``limit`` (a stated cap)."""
     listed = parents.select("parent", F.posexplode("children").alias("position", "node"))
     return listed.join(nodes, "node").filter(F.col("position") < limit)
+
+
+def get_children(parents: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
+    """(parent, children, total_children, returned_children, truncated): the known children of each parent in its own
+    order, joined with commas, ``limit`` at most (a stated cap)."""
+    total = parents.select("parent", F.size("children").cast("bigint").alias("total_children"))
+    some = children_ordered(parents, nodes, limit).groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("position", "node"))).alias("c"))
+    d = total.join(some, "parent", "left")
+    n = F.size(F.coalesce("c", F.array().cast("array<struct<position:int,node:string>>"))).cast("bigint")
+    return d.select("parent", F.array_join(F.transform("c", lambda x: x["node"]), ",").alias("children"), "total_children", n.alias("returned_children"), (F.col("total_children") > n).alias("truncated"))
+
+
+def resolve_canonical(points: DataFrame) -> DataFrame:
+    """``points`` (node_id, entity_id, point_kind, text, ...) with fragments replaced: the text and kind of the content
+    point that a fragment's entity_id names, and ``canonical_id``; the point itself where there is none."""
+    whole = points.filter(F.coalesce("point_kind", F.lit("")) != "skeleton_nav").select(F.col("node_id").alias("canonical_id"), F.col("text").alias("__t"), F.col("point_kind").alias("__k"))
+    d = points.join(whole, points["entity_id"] == whole["canonical_id"], "left")
+    resolved = F.col("canonical_id").isNotNull()
+    return d.withColumns({
+        "text": F.when(resolved, F.col("__t")).otherwise(F.col("text")),
+        "point_kind": F.when(resolved, F.col("__k")).otherwise(F.col("point_kind")),
+        "canonical_id": F.coalesce("canonical_id", "node_id"),
+    }).drop("__t", "__k")
+
+
+# Bounds of a preview.
+PREVIEW_DEFAULT, PREVIEW_MIN, PREVIEW_MAX = 1500, 200, 8000
+
+
+def get_nodes(points: DataFrame, wanted: DataFrame, preview: int = PREVIEW_DEFAULT) -> DataFrame:
+    """(node_id, outcome, preview, truncated) for each ``wanted`` node_id: found, nav_node_not_content for a navigation
+    node, not_found; the preview has 200 to 8000 characters of the canonical point's text."""
+    most = max(PREVIEW_MIN, min(PREVIEW_MAX, preview))
+    d = wanted.select("node_id").join(resolve_canonical(points).select("node_id", "text", "point_kind", F.lit(True).alias("there")), "node_id", "left")
+    nav = F.coalesce("point_kind", F.lit("")) == "skeleton_nav"
+    outcome = F.when(F.col("there").isNull(), "not_found").when(nav, "nav_node_not_content").otherwise("found")
+    good = outcome == "found"
+    text = F.coalesce("text", F.lit(""))
+    return d.select("node_id", outcome.alias("outcome"), F.when(good, F.substring(text, 1, most)).alias("preview"), F.when(good, F.length(text) > most).alias("truncated"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import control as K
+from ..sources import jsonl as J
 from .fixtures import table
 from .registry import query
 
@@ -29,11 +30,118 @@ def budget_ledger(spark, sf_dir):
     return K.budget_ledger(events(spark, sf_dir))
 
 
-@query("job_states", "SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n FROM events GROUP BY user_id")
+@query("token_budget_release")
+def token_budget_release(spark, sf_dir):
+    """Every third event gives back half of what it names."""
+    cost = F.when(F.col("event_id") % 3 == 0, -F.col("cost") * 50).otherwise(F.col("cost") * 400)
+    return K.token_bucket(events(spark, sf_dir).withColumn("cost", cost), K.TOKENS_BURST, K.TOKENS_PER_HOUR / 3_600_000)
+
+
+LEDGER = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, event_id % 2 = 0 AS reserve, round(value * 100, 2) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+r AS (SELECT key, event_id, i, CASE WHEN NOT reserve THEN 'unknown_reservation' WHEN cost > 20000 THEN 'request_token_ceiling_exceeded' ELSE 'ok' END AS outcome, CASE WHEN reserve AND cost <= 20000 THEN 1 ELSE 0 END AS calls, CASE WHEN reserve AND cost <= 20000 THEN cost ELSE 0 END AS reserved,
+    CASE WHEN reserve AND cost <= 20000 THEN cost END AS open FROM e WHERE i = 1
+  UNION ALL SELECT e.key, e.event_id, e.i, CASE WHEN e.reserve THEN CASE WHEN r.calls >= 40 THEN 'request_call_ceiling_exceeded' WHEN r.reserved + e.cost > 20000 THEN 'request_token_ceiling_exceeded' ELSE 'ok' END WHEN r.open IS NULL THEN 'unknown_reservation' ELSE 'settled' END,
+    r.calls + CASE WHEN e.reserve AND r.calls < 40 AND r.reserved + e.cost <= 20000 THEN 1 ELSE 0 END,
+    r.reserved + CASE WHEN e.reserve AND r.calls < 40 AND r.reserved + e.cost <= 20000 THEN e.cost WHEN NOT e.reserve AND r.open IS NOT NULL THEN -greatest(0, r.open - e.cost / 10) ELSE 0 END,
+    CASE WHEN e.reserve AND r.calls < 40 AND r.reserved + e.cost <= 20000 THEN e.cost WHEN e.reserve THEN r.open END
+  FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
+SELECT key, event_id, outcome, CAST(calls AS BIGINT) AS calls, round(reserved, 4) AS reserved FROM r"""
+
+
+@query("request_ledger", LEDGER)
+def request_ledger(spark, sf_dir):
+    """Even events reserve under the number 1, odd ones settle it at a tenth of their own cost."""
+    even = F.col("event_id") % 2 == 0
+    cost = F.round(F.col("cost") * 100, 2)
+    e = events(spark, sf_dir).withColumns({"kind": F.when(even, "reserve").otherwise("settle"), "number": F.lit(1), "cost": F.when(even, cost).otherwise(cost / 10)})
+    return K.request_ledger(e, 40, 20_000).withColumn("reserved", F.round("reserved", 4))
+
+
+JOB_STEPS = ["running", "queued", "cancelling", "succeeded", "running", "cancelled", "failed"]
+
+
+@query("job_states", f"""WITH RECURSIVE e AS (SELECT user_id AS key, {JOB_STEPS}[1 + event_id % 7] AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  legal AS (SELECT * FROM (VALUES ('queued', 'running'), ('queued', 'cancelling'), ('queued', 'failed'), ('queued', 'cancelled'), ('running', 'cancelling'), ('running', 'succeeded'), ('running', 'failed'), ('cancelling', 'cancelled'), ('cancelling', 'succeeded'), ('cancelling', 'failed')) AS t(a, b)),
+  j AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, 'queued' AS state, 0 AS changes, 0 AS illegal FROM e
+    UNION ALL SELECT e.key, e.i, CASE WHEN l.b IS NOT NULL THEN e.state ELSE j.state END, j.changes + CASE WHEN l.b IS NOT NULL THEN 1 ELSE 0 END, j.illegal + CASE WHEN l.b IS NULL AND e.state <> j.state THEN 1 ELSE 0 END FROM j JOIN e ON e.key = j.key AND e.i = j.i + 1 LEFT JOIN legal l ON l.a = j.state AND l.b = e.state)
+  SELECT key, arg_max(state, i) AS state, CAST(max(changes) AS BIGINT) AS changes, CAST(max(illegal) AS BIGINT) AS illegal FROM j GROUP BY key""")
 def job_states(spark, sf_dir):
+    """Every user's events as the states of one job, by event id."""
+    step = F.element_at(F.array(*[F.lit(x) for x in JOB_STEPS]), (F.col("event_id") % 7 + 1).cast("int"))
+    return K.job_states(events(spark, sf_dir).withColumn("state", step))
+
+
+@query("last_state", "SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n FROM events GROUP BY user_id")
+def last_state(spark, sf_dir):
     return K.last_state(events(spark, sf_dir))
 
 
+@query("ring_log", "SELECT user_id AS key, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")
+def ring_log(spark, sf_dir):
+    """The last twenty lines of each log, which is what the ring holds."""
+    return K.ring_log(events(spark, sf_dir).select("key", "ts", "event_id"), "key", ["ts", "event_id"], 20).select("key", "event_id")
+
+
+@query("open_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+  n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g), s AS (SELECT user_id AS key, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS z FROM n GROUP BY user_id, s),
+  m AS (SELECT key, a AS start, a AS t, 1 AS d FROM s UNION ALL SELECT key, a, z, -1 FROM s), o AS (SELECT *, sum(d) OVER (PARTITION BY key ORDER BY t, d, start ROWS UNBOUNDED PRECEDING) AS mine, sum(d) OVER (ORDER BY t, d, key, start ROWS UNBOUNDED PRECEDING) AS total FROM m)
+  SELECT key, CAST(epoch_us(start) AS BIGINT) AS start_us, CAST(mine AS BIGINT) AS mine, CAST(total AS BIGINT) AS total, CASE WHEN total > 40 THEN 'store_full' WHEN mine > 2 THEN 'principal_limit' ELSE 'ok' END AS outcome FROM o WHERE d = 1""")
+def open_sessions(spark, sf_dir):
+    s = K.sessions(events(spark, sf_dir), "10 minutes")
+    o = K.open_sessions(s, "6 HOURS", 2, 40)
+    return o.select("key", F.unix_micros("start").alias("start_us"), "mine", F.col("all").alias("total"), "outcome")
+
+
+AUDIT_CASES = [
+    ("index.job_started", "started", '{"jobId": "j", "collection": "c", "pathHash": "0123456789abcdef", "kind": "index"}', None),
+    ("index.job_started", "started", '{"jobId": "j", "pathHash": "0123456789abcdef", "kind": "index"}', "missing:collection"),
+    ("auth.rate_limited", "denied", '{"keyId": "k", "retryAfterSeconds": "soon"}', "invalid:retryAfterSeconds"),
+    ("auth.rate_limited", "denied", '{"keyId": "k", "retryAfterSeconds": 3, "reason": "x"}', None),
+    ("request.host_rejected", "denied", '{"host": "h"}', "unknown:host"),
+    ("request.host_rejected", "maybe", "{}", "bad_outcome"),
+    ("request.other", "denied", "{}", "unknown_type"),
+    ("admin.key_created", "created", "[1]", "bad_fields"),
+    ("index.root_denied", "denied", '{"pathHash": "/etc"}', "invalid:pathHash"),
+]
+
+
+@query("audit_problem", "SELECT event_id, [" + ", ".join("NULL" if c[3] is None else f"'{c[3]}'" for c in AUDIT_CASES) + f"][1 + event_id % {len(AUDIT_CASES)}] AS problem FROM events")
+def audit_problem(spark, sf_dir):
+    """Events of nine kinds; what is wrong with each is stated."""
+    at = (F.col("event_id") % len(AUDIT_CASES) + 1).cast("int")
+    of = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in AUDIT_CASES]), at)
+    return table(spark, sf_dir, "events").select("event_id", K.audit_problem(of(0), of(1), of(2)).alias("problem"))
+
+
+@query("file_progress", "SELECT event_id, round((user_id + [0.05, 0.15, 0.45, 0.55, 0.8, 0.95, 1.0, 0][1 + event_id % 8]) / (user_id + 3), 6) AS share FROM events")
+def file_progress(spark, sf_dir):
+    step = F.element_at(F.array(*[F.lit(x) for x in (*K.STEP_WEIGHTS, "no step")]), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(K.file_progress(step, F.col("user_id"), F.col("user_id") + 3), 6).alias("share"))
+
+
+RETRY_CASES = [
+    (429, False, 0, None, True, 500, "backoff"), (429, False, 1, 3, True, 3000, "retry-after"), (503, False, 2, 1, True, 2000, "backoff"), (503, True, 0, None, False, None, None),
+    (400, False, 0, None, False, None, None), (None, False, 1, None, True, 1000, "backoff"), (500, False, 3, None, False, None, None), (429, False, 0, 60, False, None, None),
+]
+
+
+@query("retry_plan", "SELECT event_id, " + ", ".join(f"{[c[i] for c in RETRY_CASES]}[1 + event_id % 8] AS {name}".replace("None", "NULL").replace("True", "true").replace("False", "false") for i, name in ((4, "retry"), (5, "delay_ms"), (6, "source"))) + " FROM events")
+def retry_plan(spark, sf_dir):
+    """Failures of eight kinds; what follows each is stated."""
+    at = (F.col("event_id") % len(RETRY_CASES) + 1).cast("int")
+    of = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in RETRY_CASES]), at)
+    plan = K.retry_plan(of(0), of(1), of(2), 4, of(3), first_ms=500)
+    return table(spark, sf_dir, "events").select("event_id", plan.alias("p")).select("event_id", "p.*")
+
+
+@query("jsonl_rotation", """WITH RECURSIVE l AS (SELECT event_type AS sink, event_id AS seq, length(props) + 1 AS size, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+  r AS (SELECT sink, seq, i, 0 AS file, size AS used FROM l WHERE i = 1 UNION ALL SELECT l.sink, l.seq, l.i, r.file + CASE WHEN r.used + l.size > 4000 THEN 1 ELSE 0 END, CASE WHEN r.used + l.size > 4000 THEN l.size ELSE r.used + l.size END FROM r JOIN l ON l.sink = r.sink AND l.i = r.i + 1)
+  SELECT sink, seq, file FROM r QUALIFY file >= max(file) OVER (PARTITION BY sink) - 4""")
+def jsonl_rotation(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.col("event_type").alias("sink"), F.col("event_id").alias("seq"), F.col("props").alias("line"))
+    return J.kept(J.rotated(lines, 4000)).select("sink", "seq", "file")
+
+
 @query("continuations", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events),
   s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g) SELECT user_id AS key, count(*) AS n, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS us FROM s GROUP BY user_id, s""")
 def continuations(spark, sf_dir):

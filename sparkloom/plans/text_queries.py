@@ -58,7 +58,35 @@ on_table("canonical_ws", "documents", "doc_id", lambda: X.canonical_whitespace(F
 on_table("slugify", "benchmark", "item_id", lambda: X.slugify(F.col("text")), "left(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 60)")
 on_table("sanitize_header", "documents", "doc_id", lambda: X.sanitize_header(F.col("text")), "regexp_replace(text, '[\\n\\r\u2028\u2029]+', ' ', 'g')")
 on_table("compact_snippet", "documents", "doc_id", lambda: X.compact_snippet(F.col("text")), "CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END")
-on_table("redact_url", "pages", "page_id", lambda: X.redact_url(F.col("url")), "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)")
+#: Every page's url in six shapes by its id, and its host by cutting at slashes.
+HOST_SQL = "lower(split_part(url, '/', 3))"
+REDACT_SQL = f"""CASE page_id % 6 WHEN 0 THEN '(not set)' WHEN 1 THEN '(invalid URL)' WHEN 2 THEN split_part(url, ':', 1) || '://' || {HOST_SQL}
+  WHEN 3 THEN split_part(url, ':', 1) || '://' || {HOST_SQL} || ':8080' WHEN 4 THEN 'https://' || {HOST_SQL} ELSE split_part(url, ':', 1) || '://' || {HOST_SQL} END"""
+
+
+def shown_urls() -> Column:
+    host, rest = F.element_at(F.split("url", "/"), 3), F.concat(F.lit("/"), F.array_join(F.slice(F.split("url", "/"), 4, 99), "/"))
+    scheme = F.element_at(F.split("url", ":"), 1)
+    kind = F.col("page_id") % 6
+    return (
+        F.when(kind == 0, F.lit(None).cast("string"))
+        .when(kind == 1, F.concat(F.lit("not a url "), "url"))
+        .when(kind == 2, F.concat(scheme, F.lit("://user:p@ss@"), F.upper(host), rest, F.lit("?key=secret#top")))
+        .when(kind == 3, F.concat(scheme, F.lit("://name@"), host, F.lit(":8080"), rest))
+        .when(kind == 4, F.concat(F.lit("HTTPS://"), host, F.lit(":443?token=1")))
+        .otherwise(F.col("url"))
+    )
+
+
+on_table("redact_url", "pages", "page_id", lambda: X.redact_url(shown_urls()), REDACT_SQL)
+on_table(
+    "redact_messages",
+    "pages",
+    "page_id",
+    lambda: X.redact_errors(F.concat(F.lit("key k-123 failed at https://user:pw@h"), "page_id", F.lit(".org/x?k=k-123 and http://plain.org, retry http://a.org/b")), ["k-123", None]),
+    "'key [REDACTED] failed at https://h' || page_id || '.org and http://plain.org, retry http://a.org'",
+)
+on_table("page_markers", "documents", "doc_id", lambda: X.strip_page_markers(F.concat(F.lit("-- 1 of 3 --\n"), "lang", F.lit(" -- 2of 3-- "), "source", F.lit(" --3 of x--"))), "chr(10) || lang || '  ' || source || ' --3 of x--'")
 on_table("classify_query", "benchmark", "item_id", lambda: X.classify_query(F.col("text")), """CASE
   WHEN regexp_matches(text, '(?i)увімкнути|\\benable\\b|\\bactivate\\b|without ollama|без ollama')
        AND regexp_matches(text, '(?i:bge-m3-onnx)|ONNX_EMBED|(?i:\\bprovider\\b)|(?i:провайдер)') THEN 'provider-activation'
@@ -66,6 +94,24 @@ on_table("classify_query", "benchmark", "item_id", lambda: X.classify_query(F.co
   WHEN regexp_matches(text, '(?i)де знаходиться|location in source|\\bsource\\b|експортує|\\bexports\\b|entry point|which file|where is') THEN 'source-navigation'
   WHEN regexp_matches(text, '[A-Z][A-Z_]{2,}[A-Z0-9]|[a-z][A-Za-z]{2,}[A-Z][A-Za-z]*|src/|\\.js\\b|\\.md\\b|@\\d+') THEN 'exact-token'
   ELSE 'semantic' END""")
+#: Queries of known classes by item id: what each variant says of them is stated, not computed.
+CLASS_CASES = [
+    ("enable the bge-m3-onnx provider", "provider-activation", "provider-activation", "provider-activation"),
+    ("where is the entry point", "source-navigation", "source-navigation", "source-navigation"),
+    ("MAX_TOKENS default", "exact-token", "exact-token", "exact-token"),
+    ("how do I wash a cat", "semantic", "semantic", "semantic"),
+    ("enable provider by config.json", "provider-activation", "config-env", "provider-activation"),
+    ("the collection of an article", "semantic", "config-env", "config-env"),
+    ("rerank_model names", "semantic", "config-env", "config-env"),
+]
+for _variant, _at in (("v1", 1), ("v2", 2), ("v3-words", 3)):
+    on_table(
+        f"classify_query_{_variant.replace('-', '_')}",
+        "documents",
+        "doc_id",
+        lambda v=_variant: X.classify_query(F.element_at(F.array(*[F.lit(c[0]) for c in CLASS_CASES]), (F.col("doc_id") % len(CLASS_CASES) + 1).cast("int")), None, v),
+        "[" + ", ".join(f"'{c[_at]}'" for c in CLASS_CASES) + f"][1 + doc_id % {len(CLASS_CASES)}]",
+    )
 on_table("summary_tier", "documents", "doc_id", lambda: X.summary_tier(X.script_tokens(F.col("text"))), "CASE WHEN ceil(length(text) / 4.0) < 300 THEN 'short' WHEN ceil(length(text) / 4.0) < 1500 THEN 'medium' ELSE 'structured' END")
 on_table("length_bucket", "documents", "doc_id", lambda: X.length_bucket(X.heuristic_tokens(F.col("text"))), "CAST(CASE WHEN ceil(length(text) / 4.0) <= 16 THEN 16 WHEN ceil(length(text) / 4.0) <= 32 THEN 32 WHEN ceil(length(text) / 4.0) <= 64 THEN 64 WHEN ceil(length(text) / 4.0) <= 128 THEN 128 WHEN ceil(length(text) / 4.0) <= 256 THEN 256 END AS BIGINT)")
 on_table("has_pdf_structure", "documents", "doc_id", lambda: F.regexp_count(F.col("text"), F.lit(r"(?m)^#{1,6} ")) >= 3, "len(regexp_extract_all(text, '(?m)^#{1,6} ')) >= 3")
@@ -78,6 +124,8 @@ on_chunks("deterministic_context", lambda: X.deterministic_context(F.col("source
 on_chunks("embed_input", lambda: F.concat(X.deterministic_context(F.col("source_file"), F.col("section")), F.lit("\n\n"), F.col("text")), "source_file || ' › ' || section || chr(10) || chr(10) || text")
 on_chunks("dir_prefix", lambda: X.dir_prefix(F.col("source_file"), 1), "source || '/'")
 on_chunks("normalize_tag", lambda: F.array_join(X.normalize_tags(F.array(F.concat(F.lit(" "), F.upper("lang"), F.lit(" Tag ")), F.col("source"), F.col("source"))), ","), "lower(lang) || '-tag,' || source")
+on_chunks("combined_tags", lambda: F.array_join(X.combined_tags(F.array(F.upper("lang"), F.lit("x"), F.concat(F.lit(" Two  Words "), "section"), F.upper("lang"), F.lit("y" * 41), F.lit("z" * 40))), ","), f"lang || ',two-words-' || section || ',{'z' * 40}'")
+on_chunks("listed_tags", lambda: F.array_join(X.listed_tags(F.concat(F.lit("- One\n* TWO words\n3. thr(ee)\n"), "lang", F.lit(", "), "lang", F.lit(", five, six, x, seven, eight"))), ","), "'one,two-words,three,' || lang || ',five,six'")
 on_chunks("merge_tags", lambda: F.array_join(X.merge_tags(F.col("tags"), F.array("source", F.lit("generated"))), ","), "lang || ',' || source || ',generated'")
 on_chunks("audit_hash", lambda: I.audit_hash(F.col("source_file")), "left(sha256(source_file), 16)")
 
@@ -133,7 +181,7 @@ def safe_last_tokens(spark, sf_dir):
 @query(
     "looks_like_follow_up",
     f"""SELECT conv_id, turn, turn > 0 AND (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 12
-       OR coalesce(list_contains({quoted(X.FOLLOW_UP_WORDS)}, regexp_replace(lower(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1]), '[^\\p{{L}}\\p{{N}}]', '', 'g')), false)) AS follow_up FROM conversations""",
+       OR coalesce(list_contains({quoted(X.FOLLOW_UP_WORDS)}, regexp_replace(lower(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1]), '[^\\p{{L}}]', '', 'g')), false)) AS follow_up FROM conversations""",
 )
 def looks_like_follow_up(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.looks_like_follow_up(F.col("text"), F.col("turn") > 0).alias("follow_up"))
