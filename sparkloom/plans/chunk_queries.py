@@ -8,19 +8,40 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import assembly as A
 from ..operators import chunking as C
+from ..operators import skeleton_chunks as K
 from ..sources.files import strip_html
 from .fixtures import CHUNKS, MARKDOWN, chunks, markdown, table
 from .registry import query
 
 
-@query("md_skeleton", f"""{MARKDOWN} SELECT source_file, sum(CASE WHEN k = 'table' THEN 1 ELSE 0 END)::BIGINT AS tables, sum(CASE WHEN k = 'code' THEN 1 ELSE 0 END)::BIGINT AS code, sum(CASE WHEN k = 'checklist' THEN 1 ELSE 0 END)::BIGINT AS checklists
-  FROM md, (SELECT unnest(['table', 'code', 'checklist']) AS k) GROUP BY source_file""")
-def md_skeleton(spark, sf_dir):
-    n = C.md_skeleton(markdown(spark, sf_dir))
-    count = lambda k, a: F.count_if(F.col("node_type") == k).alias(a)
-    return n.filter(F.col("structural_path").endswith("/overview") & (F.col("node_type") != "table") | (F.col("node_type") == "table") & F.col("text").startswith("| lang") | F.col("structural_path").endswith("/tasks")).groupBy("source_file").agg(
-        count("table", "tables"), count("code_block", "code"), count("checklist", "checklists")
+def plain_markdown(spark, sf_dir):
+    """Pages whose lines of text are paragraphs, whatever they hold: each begins with a word and stands alone."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("w "), F.trim(F.regexp_replace(x, r"\s+", " "))))
+    head = F.array(F.concat(F.lit("# Document "), "doc_id"), F.lit("## Overview"))
+    tail = F.array(
+        F.concat(F.lit("| lang | source |\n| --- | --- |\n| "), "lang", F.lit(" | "), "source", F.lit(" |")),
+        F.lit("<aside>note</aside>"),
+        F.concat(F.lit("```py\n# no heading\nprint("), "doc_id", F.lit(")\n```")),
+        F.lit("## Tasks"),
+        F.lit("- [x] read\n- [ ] check"),
     )
+    return d.select(F.concat("lang", F.lit("/doc-"), "doc_id", F.lit(".md")).alias("source_file"), F.array_join(F.concat(head, lines, tail), "\n\n").alias("markdown"))
+
+
+PLAIN = """WITH l AS (SELECT doc_id, lang, source, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: 'w ' || trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS ls FROM documents),
+f AS (SELECT *, lang || '/doc-' || doc_id || '.md' AS source_file, 'document-' || doc_id || '/overview' AS o, len(ls) AS n FROM l),
+nodes AS (SELECT source_file, 'paragraph' AS node_type, o AS structural_path, i AS ordinal, 3 + 2 * i AS start_line, i - 1 AS node_order, ls[i] AS text FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f)
+  UNION ALL SELECT source_file, 'table', o, 1, 5 + 2 * n, n, '| lang | source |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' | ' || source || ' |' FROM f
+  UNION ALL SELECT source_file, 'unknown', o, 1, 9 + 2 * n, n + 1, '<aside>note</aside>' FROM f
+  UNION ALL SELECT source_file, 'code_block', o, 1, 11 + 2 * n, n + 2, '```py' || chr(10) || '# no heading' || chr(10) || 'print(' || doc_id || ')' || chr(10) || '```' FROM f
+  UNION ALL SELECT source_file, 'checklist', 'document-' || doc_id || '/tasks', 1, 18 + 2 * n, n + 3, '- [x] read' || chr(10) || '- [ ] check' FROM f)"""
+
+
+@query("md_skeleton", f"{PLAIN} SELECT source_file, node_type, structural_path, CAST(ordinal AS INTEGER) AS ordinal, CAST(start_line AS INTEGER) AS start_line, CAST(node_order AS INTEGER) AS node_order, text FROM nodes")
+def md_skeleton(spark, sf_dir):
+    """Every node of every page."""
+    return C.md_skeleton(plain_markdown(spark, sf_dir)).select("source_file", "node_type", "structural_path", "ordinal", "start_line", "node_order", "text")
 
 
 @query("read_markdown")
@@ -28,17 +49,45 @@ def read_markdown(spark, sf_dir):
     return C.md_skeleton(markdown(spark, sf_dir))
 
 
+@query("skeleton_warnings", "SELECT lang || '/doc-' || doc_id || '.md' AS source_file, 'html' AS source_type, 'unknown' AS node_type, CAST(9 + 2 * len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INTEGER) AS start_line, '<aside>note</aside>' AS excerpt FROM documents")
+def skeleton_warnings(spark, sf_dir):
+    return C.skeleton_warnings(plain_markdown(spark, sf_dir)).select("source_file", "source_type", "node_type", "start_line", "excerpt")
+
+
+#: Prose and entities of plain pages: what says less than four words goes, all else is in a chunk.
+WORDS = "len(regexp_split_to_array(trim({0}), '\\s+'))"
+
+
+@query("skeleton_chunk", "SELECT lang || '/doc-' || doc_id || '.md' AS source_file, 0 AS above_budget, 0 AS orphans, 1 AS tables, 1 AS checklists, 0 AS lost_prose, 0 AS gaps FROM documents")
+def skeleton_chunk(spark, sf_dir):
+    """What must hold of every page's chunks: nothing above the budget, a placeholder for each entity, one table and one
+    checklist, no prose lost but pieces of under four words, and indexes without gaps."""
+    pages = plain_markdown(spark, sf_dir)
+    c = K.skeleton_chunks(pages, 128)
+    marks = r"\[(?:table|checklist) node: [^\n]*\]"
+    said = lambda x: F.regexp_count(x, F.lit(r"\S*[\p{L}\p{N}]\S*"))
+    prose = F.when(F.col("node_type") == "paragraph", F.regexp_replace(F.regexp_replace("text", marks, ""), r"`# no heading print\(\d+\)`|<aside>note</aside>", "")).otherwise("")
+    whole = c.groupBy("source_file").agg(
+        F.count_if((F.col("point_kind") == "retrieval_content") & (F.col("node_type") != "paragraph") & (X.heuristic_tokens(F.col("text")) > 128)).alias("above_budget"),
+        F.sum(F.size(F.regexp_extract_all("text", F.lit(marks), 0)) * (F.col("node_type") == "paragraph").cast("int")).alias("marks"),
+        F.count_if((F.col("node_type") == "table") & (F.coalesce("fragment_index", F.lit(0)) == 0) & F.col("chunk_index").isNotNull()).alias("tables"),
+        F.count_if((F.col("node_type") == "checklist") & F.col("chunk_index").isNotNull()).alias("checklists"),
+        F.sum(said(prose)).alias("kept"),
+        (F.max("total_chunks") - F.countDistinct("chunk_index")).alias("gaps"),
+    )
+    lines = F.filter(F.split("markdown", "\n\n"), lambda x: x.startswith("w "))
+    # of a page's pieces, two for every 128 tokens at most, one that says under four words goes
+    may_go = 3 * (F.floor(X.heuristic_tokens(F.col("markdown")) / 64) + 2)
+    before = pages.select("source_file", said(F.array_join(lines, " ")).alias("prose"), may_go.alias("may_go"))
+    d = whole.join(before, "source_file")
+    return d.select("source_file", "above_budget", F.when(F.col("marks") >= 1, 0).otherwise(1).alias("orphans"), "tables", "checklists", F.when(F.col("prose") - F.col("kept") <= F.col("may_go"), 0).otherwise(1).alias("lost_prose"), "gaps")
+
+
 @query("node_policy")
 def node_policy(spark, sf_dir):
     return C.node_policy(C.md_skeleton(markdown(spark, sf_dir))).groupBy("node_type", "policy", "point_kind").agg(F.count("*").alias("n"))
 
 
-@query("skeleton_warnings")
-def skeleton_warnings(spark, sf_dir):
-    n = C.md_skeleton(markdown(spark, sf_dir))
-    return n.filter(~F.col("node_type").isin(*C.NODE_POLICY)).select("source_file", "node_type", F.substring("text", 1, 200).alias("excerpt"))
-
-
 @query("tiny_code", "SELECT doc_id, NOT ((len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 12) OR len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 16) AS tiny FROM (SELECT doc_id, left(text, 90) AS code FROM documents)")
 def tiny_code(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.tiny_code(F.lit("code_block"), F.substring("text", 1, 90)).alias("tiny"))
@@ -55,12 +104,17 @@ def content_bearing(spark, sf_dir):
     return chunks(spark, sf_dir).select("source_file", "chunk_index", c.alias("content"))
 
 
-@query("legacy_sections", f"""{MARKDOWN}, l AS (SELECT source_file, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS pos FROM md),
-  h AS (SELECT source_file, pos, line, CASE WHEN x <> '' AND length(x) <= 120 AND NOT regexp_matches(x, '[.!?]$') THEN x END AS h FROM (SELECT *, trim(regexp_extract(line, '^#{{1,6}} (.+)', 1)) AS x FROM l)),
-  n AS (SELECT source_file, h, count(h) OVER w AS no, coalesce(last_value(h IGNORE NULLS) OVER w, '') AS section FROM h WINDOW w AS (PARTITION BY source_file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-  SELECT source_file, section, count(*) AS n_lines FROM n WHERE h IS NULL GROUP BY source_file, no, section""")
+#: Pages with headings of both kinds around the text's own lines, neutral ones.
+SECTION_LINES = """WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: 'w ' || trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS ls FROM documents)
+SELECT doc_id AS source_file, unnest(['', 'First part', 'Second']) AS section, unnest([CAST(2 AS BIGINT), len(ls) + 3, 1]) AS n_lines FROM l"""
+
+
+@query("legacy_sections", SECTION_LINES)
 def legacy_sections(spark, sf_dir):
-    return C.legacy_sections(markdown(spark, sf_dir))
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("w "), F.trim(F.regexp_replace(x, r"\s+", " "))))
+    page = F.concat(F.array(F.lit("intro"), F.lit("# Ends like a sentence."), F.lit("**First part**"), F.lit("=====")), lines, F.array(F.lit("# Also one!"), F.lit("Nor this."), F.lit("---"), F.lit("## Second"), F.lit("end")))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), F.array_join(page, "\n").alias("markdown"))
+    return C.legacy_sections(d)
 
 
 def split_query(name, splitter):
@@ -73,7 +127,44 @@ split_query("recursive_split", C.recursive_split)
 split_query("budget_variants", lambda t: C.recursive_split(t, 128, strict=True))
 split_query("sentence_pack", lambda t: C.sentence_pack(t, 128))
 split_query("merge_short", lambda t: C.merge_short(C.recursive_split(t, 64), 48))
-split_query("greedy_group", lambda t: ["\n".join(g) for g in C.greedy_group(t.split("\n"), 256)])
+
+
+def whole(pieces, squeeze=True):
+    """(doc_id, text, above, gaps): the pieces of each document put together again, how many are above 128 heuristic
+    tokens, and whether their numbers have gaps."""
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "")
+    g = pieces.groupBy("doc_id").agg(parts.alias("all"), F.count_if(X.heuristic_tokens(F.col("text")) > 128).alias("above"), (F.max("total_chunks") - F.countDistinct("chunk_index")).alias("gaps"))
+    return g.select("doc_id", F.md5(F.regexp_replace("all", r"\s+", "") if squeeze else F.col("all")).alias("text"), "above", "gaps")
+
+
+#: No character but white space is lost, nothing is above the budget, the numbering has no gap.
+KEPT = "SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS text, 0 AS above, 0 AS gaps FROM documents WHERE trim(text) <> ''"
+
+
+@query("budget_kept", KEPT)
+def budget_kept(spark, sf_dir):
+    return whole(C.chunk_texts(table(spark, sf_dir, "documents"), "doc_id", "text", lambda t: C.recursive_split(t, 128, strict=True)))
+
+
+@query("recursive_kept", KEPT.replace("0 AS above, ", ""))
+def recursive_kept(spark, sf_dir):
+    return whole(C.chunk_texts(table(spark, sf_dir, "documents"), "doc_id", "text", lambda t: C.recursive_split(t, 128))).drop("above")
+
+
+@query("merge_short_kept", "SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS text, 0 AS gaps FROM documents WHERE trim(text) <> ''")
+def merge_short_kept(spark, sf_dir):
+    return whole(C.chunk_texts(table(spark, sf_dir, "documents"), "doc_id", "text", lambda t: C.merge_short(C.recursive_split(t, 64), 48))).drop("above")
+
+
+LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents"
+
+
+@query("greedy_group", f"""WITH RECURSIVE l AS ({LINES}), g AS (SELECT doc_id, i, 0 AS chunk_index, length(line) AS used FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, g.chunk_index + CASE WHEN ceil((g.used + 1 + length(l.line)) / 4.0) > 256 THEN 1 ELSE 0 END, CASE WHEN ceil((g.used + 1 + length(l.line)) / 4.0) > 256 THEN length(l.line) ELSE g.used + 1 + length(l.line) END FROM g JOIN l ON l.doc_id = g.doc_id AND l.i = g.i + 1)
+  SELECT g.doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, string_agg(line, chr(10) ORDER BY g.i) AS text FROM g JOIN l ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY 1, 2""")
+def greedy_group(spark, sf_dir):
+    out = C.chunk_texts(table(spark, sf_dir, "documents"), "doc_id", "text", lambda t: ["\n".join(g) for g in C.greedy_group(t.split("\n"), 256)])
+    return out.select("doc_id", "chunk_index", "text")
 
 
 @query("char_split", "SELECT doc_id, unnest(range(0, CAST(ceil(length(text) / 512.0) AS BIGINT))) AS chunk_index, CAST(ceil(length(text) / 512.0) AS BIGINT) AS total_chunks, substr(text, 1 + 512 * unnest(range(0, CAST(ceil(length(text) / 512.0) AS BIGINT))), 512) AS text FROM documents")
@@ -81,11 +172,23 @@ def char_split(spark, sf_dir):
     return C.chunk_texts(table(spark, sf_dir, "documents"), "doc_id", "text", lambda t: C.char_split(t, 128))
 
 
+def as_table(spark, sf_dir):
+    rows = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("| "), F.replace(x, F.lit("|"), F.lit("/")), F.lit(" |"))), "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("| text |\n| --- |\n"), rows).alias("t"))
+
+
 @query("table_split")
 def table_split(spark, sf_dir):
-    rows = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("| "), F.replace(x, F.lit("|"), F.lit("/")), F.lit(" |"))), "\n")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("| text |\n| --- |\n"), rows).alias("t"))
-    return C.chunk_texts(d, "doc_id", "t", lambda t: C.split_table(t, 256))
+    return C.chunk_texts(as_table(spark, sf_dir), "doc_id", "t", lambda t: C.split_table(t, 256))
+
+
+@query("table_kept", "SELECT doc_id, md5(regexp_replace(replace(text, '|', '/'), '\\s+', '', 'g')) AS text, 0 AS above FROM documents")
+def table_kept(spark, sf_dir):
+    """Fragments without header, bars and labels are the cells again, and none is above the budget."""
+    pieces = C.chunk_texts(as_table(spark, sf_dir), "doc_id", "t", lambda t: C.split_table(t, 256))
+    cells = F.regexp_replace(F.regexp_replace("text", r"^\| text \|\n\| --- \|\n", ""), r"(?m)^\| | \(text continued\) \|$| \|$|^\|$", "")
+    above = pieces.groupBy("doc_id").agg(F.count_if(X.heuristic_tokens(F.col("text")) > 256).alias("above"))
+    return whole(pieces.withColumn("text", cells)).drop("above", "gaps").join(above, "doc_id")
 
 
 @query("checklist_split")
@@ -94,10 +197,27 @@ def checklist_split(spark, sf_dir):
     return C.chunk_texts(d, "doc_id", "t", lambda t: C.split_checklist(t, 256))
 
 
+def as_code(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("```py\n"), "text", F.lit("\n```")).alias("t"))
+
+
 @query("code_split")
 def code_split(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("```py\n"), "text", F.lit("\n```")).alias("t"))
-    return C.chunk_texts(d, "doc_id", "t", lambda t: C.split_code(t, 256))
+    return C.chunk_texts(as_code(spark, sf_dir), "doc_id", "t", lambda t: C.split_code(t, 256))
+
+
+@query("code_kept", "SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS text, 0 AS above FROM documents")
+def code_kept(spark, sf_dir):
+    pieces = C.chunk_texts(as_code(spark, sf_dir), "doc_id", "t", lambda t: C.split_code(t, 256))
+    above = pieces.groupBy("doc_id").agg(F.count_if(X.heuristic_tokens(F.col("text")) > 256).alias("above"))
+    return whole(pieces.withColumn("text", F.regexp_replace("text", r"^```py\n|\n```$", ""))).drop("above", "gaps").join(above, "doc_id")
+
+
+@query("overlap_sentences", f"""{CHUNKS}, p AS (SELECT source_file, chunk_index, text, lag(text) OVER (PARTITION BY source_file, section ORDER BY chunk_index) AS prev FROM chunks),
+  s AS (SELECT *, list_filter(list_transform(regexp_extract_all(prev, '[^.!?\\n]+[.!?\\n]+|[^.!?\\n]+$'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM p), t AS (SELECT *, CASE WHEN prev IS NULL THEN '' WHEN len(ss) = 0 THEN trim(prev) ELSE array_to_string(ss[greatest(1, len(ss) - 1):], ' ') END AS tail FROM s)
+  SELECT source_file, chunk_index, CASE WHEN tail = '' OR starts_with(text, tail) THEN '' ELSE tail END AS overlap FROM t""")
+def overlap_sentences(spark, sf_dir):
+    return C.overlap_sentences(chunks(spark, sf_dir), ["source_file", "section"], "chunk_index").select("source_file", "chunk_index", "overlap")
 
 
 @query("overlap", f"""{CHUNKS}, p AS (SELECT source_file, chunk_index, text, coalesce(lag(text) OVER (PARTITION BY source_file, section ORDER BY chunk_index), '') AS prev, 4 * least(80, greatest(0, 512 - CAST(ceil(length(text) / 4.0) AS BIGINT))) AS room FROM chunks),
@@ -106,14 +226,15 @@ def overlap(spark, sf_dir):
     return C.overlap_previous(chunks(spark, sf_dir), ["source_file", "section"], "chunk_index").select("source_file", "chunk_index", "overlap")
 
 
-@query("entity_refs", f"{CHUNKS} SELECT source_file, section, chunk_index, '[[' || section || '/t — ' || lang || ']]' AS line, section || '#long' AS node_id FROM chunks WHERE chunk_index % 5 = 0")
+@query("entity_refs", f"""{CHUNKS} SELECT source_file, section, chunk_index, '[table node: ' || section || '/t — ' || lang || ']' AS line, section || '#long' AS node_id FROM chunks WHERE chunk_index % 5 = 0
+  UNION ALL SELECT source_file, section, chunk_index, '[checklist node: gone]', NULL FROM chunks WHERE chunk_index % 5 = 1""")
 def entity_refs(spark, sf_dir):
+    """The longest of three paths that begin the line, one of which is a fragment's; and orphans."""
     c = chunks(spark, sf_dir)
-    marked = c.withColumn("text", F.when(F.col("chunk_index") % 5 == 0, F.concat(F.lit("prose\n[["), "section", F.lit("/t — "), "lang", F.lit("]]"))).otherwise("prose"))
+    mark = F.when(F.col("chunk_index") % 5 == 0, F.concat(F.lit("prose\n[table node: "), "section", F.lit("/t — "), "lang", F.lit("]"))).when(F.col("chunk_index") % 5 == 1, "[checklist node: gone]\nprose").otherwise("prose")
     s = c.select("source_file", "section").distinct()
-    long = s.select("source_file", "section", F.concat("section", F.lit("/t")).alias("node_path"), F.concat("section", F.lit("#long")).alias("node_id"))
-    short = s.select("source_file", "section", F.col("section").alias("node_path"), F.concat("section", F.lit("#short")).alias("node_id"))
-    return C.attach_entity_refs(marked, long.unionByName(short))
+    entity = lambda path, node, whole: s.select("source_file", "section", F.concat("section", F.lit(path)).alias("node_path"), F.concat("section", F.lit(node)).alias("node_id"), F.lit(whole).cast("string").alias("entity_id"))
+    return C.attach_entity_refs(c.withColumn("text", mark), entity("/t", "#long", None).unionByName(entity("", "#short", None)).unionByName(entity("/t — ", "#part", "whole")))
 
 
 @query("read_pandoc")

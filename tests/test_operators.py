@@ -1,6 +1,7 @@
 """Invariants and worked examples of operators that SQL does not hold."""
 
 import os
+import re
 import uuid
 
 import pytest
@@ -112,7 +113,8 @@ def test_rerank_takes_the_best_chunk_of_every_hit(spark):
     for (q, d), rank in lane.items():
         best = min(lines[d], key=lambda c, q=q: (-sum(t in c["text"].lower() for t in terms[q]), c["chunk_index"]))
         assert (got[q, d]["chunk_index"], got[q, d]["text"]) == (best["chunk_index"], best["text"])
-        hits = lambda where, q=q: sum(3 if t else 1 for w, t in terms[q].items() if w in where.lower())
+        # every occurrence of an equal word counts, a part of a word does not
+        hits = lambda where, q=q: sum((3 if terms[q][w] else 1) for w in re.findall(r"\w+", where.lower()) if w in terms[q])
         score = 1 / rank + min(hits(best["source_file"]) * 0.08, 0.24) + min(hits(best["section"]) * 0.06, 0.18)
         score += min(hits(" ".join(best["tags"])) * 0.05, 0.15) + min(hits(best["text"]) * 0.01, 0.05)
         score -= 0.02 * (best["chunk_index"] == 0 and sum(terms[q].values()) >= 2)
@@ -133,6 +135,126 @@ def test_rerank_takes_the_best_chunk_of_every_hit(spark):
     assert found == want
 
 
+def test_rerank_scores_count_words(spark):
+    from sparkloom.operators import retrieval as R
+
+    rows = [(1, "art", 1, "x.md", "s", ["t"], "part only", 1), (2, "art", 1, "x.md", "s", ["t"], "part of art and art", 1), (3, "art", 2, "art/b.md", "Art, art", ["art", "art-art"], None, 1), (4, "myFunc_a use_b", 1, "", None, None, "", 0)]
+    d = spark.createDataFrame(rows, "id long, query string, rank long, source_file string, section string, tags array<string>, text string, chunk_index long").withColumn("qid", F.col("id"))
+    got = {r["id"]: r["det_score"] for r in R.rerank_scores(d).collect()}
+    assert got == {1: 1.0, 2: pytest.approx(1.02), 3: pytest.approx(0.5 + 0.08 + 0.12 + 0.15), 4: pytest.approx(0.98)}
+
+
+def test_dense_topk_in_blocks_and_batches(spark):
+    import numpy as np
+
+    from sparkloom.operators import retrieval as R
+
+    r = np.random.default_rng(1)
+    v = r.integers(-2, 3, (300, 4)).astype(float)  # many ties
+    v[~v.any(axis=1)] = 1
+    d = spark.createDataFrame([(i, x.tolist(), int(i % 7)) for i, x in enumerate(v)], "id long, vec array<double>, label int").repartition(5)
+    q = d.filter("id % 50 = 0").select(F.col("id").alias("qid"), "vec", F.col("label").alias("q_label"))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want, best = {}, {}
+    for i in range(0, 300, 50):
+        order = sorted(range(300), key=lambda j, i=i: (-round(float(unit[j] @ unit[i]), 6), j))
+        want[i], best[i] = order[:9], next(k for k, j in enumerate(order, 1) if j % 7 == i % 7)
+    got = R.ranked(R.dense_scores(q, d, k=9, block=2), [F.desc("score"), F.asc("id")], limit=9).collect()
+    assert {i: [x["id"] for x in sorted(got, key=lambda x: x["rank"]) if x["qid"] == i] for i in want} == want
+    assert {x["qid"]: x["best"] for x in R.dense_best_ranks(q, d, block=4).collect()} == best
+
+
+def test_search_requests():
+    from sparkloom.operators import search as H
+
+    good = H.validate_search_request({"collection": "c", "query": "q", "window": 2})
+    assert (good.top, good.window, good.window_format, good.tags) == (3, 2, "compact", None)
+    assert H.validate_search_request({"collection": "c", "query": "q", "windowFormat": "full"}).window_format is None
+    for bad in ([], {"query": "q"}, {"collection": "c", "query": " "}, {"collection": "c", "query": "q", "top": 0}, {"collection": "c", "query": "q", "top": 2.5}, {"collection": "c", "query": "q", "tags": []}, {"collection": "c", "query": "q", "windowFormat": "x"}):
+        with pytest.raises(H.BadRequest):
+            H.validate_search_request(bad)
+    assert H.clamp_tool_request("99", -1) == (20, 0) and H.clamp_tool_request(None, "x") == (5, 0)
+    assert [H.prefetch(n) for n in (1, 3, 20)] == [2, 6, 40]
+
+
+def test_pieces_of_splitters():
+    text = "one two three. four five!\n\nsix\n\n" + "long " * 60
+    assert C.recursive_split("a. b. c.", 1) == ["a.", "b.", "c."]
+    assert C.recursive_split("aaaa bbbb\n\ncccc", 3) == ["aaaa bbbb", "cccc"]
+    assert all(C.count_heuristic(p) <= 8 for p in C.recursive_split(text, 8, strict=True))
+    assert C.recursive_split(text, 8, count=lambda t: len(t.split())) == C.recursive_split(text, 8, count=lambda t: len(t.split()))
+    assert C.sentence_pack("a. b. c.", 1) == ["a.", "b.", "c."]
+    assert C.merge_short(["a", "b", "c"], 5, scopes=[1, 1, 2]) == ["a\n\nb", "c"]
+    assert C.merge_short(["x" * 40, "a"], 5) == ["x" * 40 + "\n\na"]
+    # the count of a pile is that of the joined text, whatever the counter
+    for count in (C.count_heuristic, lambda t: len(t.split())):
+        for g in C.packed(["aa bb", "cc", "dd ee ff", "g"], 3, " ", count):
+            assert len(g) == 1 or count(" ".join(g)) <= 3
+
+
+def test_split_of_long_table_rows():
+    table = "| name | note | x |\n| --- | --- | --- |\n| a\\|b | " + "word " * 60 + "|  |\n| c | d | e |"
+    parts = C.split_table(table, 30)
+    assert all(C.count_heuristic(p) <= 30 and p.startswith("| name | note | x |\n| --- | --- | --- |\n") for p in parts)
+    rows = [C._cells(line) for p in parts for line in p.split("\n")[2:]]
+    first = [r for r in rows if "(note continued)" in r[1]]
+    assert "".join(r[1].replace(" (note continued)", "") for r in first).replace(" ", "") == "word" * 60
+    assert first[0][0] == "a|b" and all(r[0] == "(name continued)" for r in first[1:]) and all(r[2] == "(x continued)" for r in first)
+    assert rows[-1] == ["c", "d", "e"]
+    with pytest.raises(C.RowUnsplittable):
+        C.split_table(table, 12)
+    code = "```py\n" + "x" * 300 + "\ny\n```"
+    parts = C.split_code(code, 20)
+    assert all(C.count_heuristic(p) <= 20 and p.startswith("```py\n") and p.endswith("\n```") for p in parts)
+    assert "".join("".join(p.split("\n")[1:-1]) for p in parts) == "x" * 300 + "y"
+    todo = "- [ ] short\n- [x] " + "long " * 40 + "\n- [ ] end"
+    parts = C.split_checklist(todo, 20)
+    assert all(C.count_heuristic(p) <= 20 for p in parts) and parts[0] == "- [ ] short" and parts[-1] == "- [ ] end" and parts[2].startswith("  (continued) ")
+    assert C.split_checklist("- [ ] a\n- [x] b", 20) == ["- [ ] a\n- [x] b"]
+
+
+def test_outline_and_warnings(spark):
+    md = "# A\nTitle\n=====\ntext\n\n<div>\nx\n</div>\n\n[^1]: note\n\n## B\nmore\n\n## B\nagain"
+    n = C.outline(md)
+    assert [(x.kind, x.path, x.ordinal) for x in n] == [("section", "a", 1), ("section", "title", 2), ("paragraph", "title", 1), ("unknown", "title", 1), ("unknown", "title", 2), ("section", "title/b", 1), ("paragraph", "title/b", 1), ("section", "title/b", 2), ("paragraph", "title/b", 2)]
+    w = C.skeleton_warnings(spark.createDataFrame([("f", md), ("g", None)], "source_file string, markdown string")).collect()
+    assert [(r["source_type"], r["start_line"], r["excerpt"]) for r in w] == [("html", 6, "<div>\nx\n</div>"), ("footnoteDefinition", 10, "[^1]: note")]
+
+
+def test_headings_that_are_underlined(spark):
+    md = "Intro line\n\nFirst\n=====\none\ntwo\nNot one.\n---\nthree\n## Second\nfour\n--\nfive"
+    got = C.legacy_sections(spark.createDataFrame([("f", md)], "source_file string, markdown string")).collect()
+    assert sorted((r["section"], r["n_lines"]) for r in got) == [("", 2), ("First", 5), ("four", 1)]
+
+
+def test_skeleton_chunks():
+    from sparkloom.operators.skeleton_chunks import chunk_file
+
+    md = "---\nt: x\n---\n# One\nsome prose that says a thing\n\n| a | b |\n| - | - |\n| 1 | 2 |\n\nmore prose after the table here\n\n```\nx = 1\n```\n\n## Two\n\n- [x] done thing\n- [ ] other thing\n\nclosing words of the second section"
+    got = chunk_file("f.md", md)
+    assert [c["node_type"] for c in got] == ["paragraph", "table", "paragraph", "checklist", "paragraph"]
+    assert got[0]["text"] == "some prose that says a thing\n\n[table node: f.md#one/table-1 — | a | b |]"
+    assert got[1]["context"] == "One — table — some prose that says a thing [table node: f.md#one/table-1 — | a | b |]" or got[1]["context"] == "One — table — some prose that says a thing"
+    assert got[2]["text"] == "more prose after the table here\n\n`x = 1`"
+    assert got[4]["text"].startswith("[checklist node: f.md#one/two/checklist-1") and got[4]["section"] == "Two"
+    assert [c["chunk_index"] for c in got] == list(range(5))
+    assert chunk_file("f.md", "") == []
+
+
+def test_skeleton_chunks_split_entities():
+    from sparkloom.operators.skeleton_chunks import chunk_file
+
+    table = "| a | b |\n| - | - |\n" + "\n".join(f"| row {i} | {'w' * 20} |" for i in range(40))
+    got = chunk_file("f.md", "# One\nwords before the table stand here\n\n" + table, most=60)
+    raw = [c for c in got if c["point_kind"] == "entity_raw"]
+    parts = [c for c in got if c["entity_path"]]
+    assert len(raw) == 1 and raw[0]["raw_content"] == table and raw[0]["chunk_index"] is None and raw[0]["text"] == ""
+    assert [c["fragment_index"] for c in parts] == list(range(len(parts))) and {c["fragment_count"] for c in parts} == {len(parts)}
+    assert [r for c in parts for r in c["text"].split("\n")[2:]] == table.split("\n")[2:]
+    assert all(C.count_heuristic(c["text"]) <= 60 for c in parts)
+    assert {c["total_chunks"] for c in got} == {len(got) - 1}
+
+
 def test_tiny_code_whole_reads_past_the_first_characters(spark, tmp_path):
     from sparkloom.plans import chunk_queries as Q
 
