@@ -246,12 +246,12 @@ def deterministic_context(source_file: Column, section: Column) -> Column:
     return F.array_join(F.filter(F.array(source_file, section), lambda x: x != ""), " › ")
 
 
-def entity_context(heading_path: Column, label: Column, before: Column, most: int = 500) -> Column:
-    """What an entity is embedded with: its heading path, a label, and the end of the prose before it, of which
-    placeholders, headings and marks are taken out. Parts that are empty are left out."""
-    prose = F.regexp_replace(F.coalesce(before, F.lit("")), r"(?m)^\s*(?:#{1,6}\s.*|\[\[.*\]\])\s*$", "")
-    prose = F.trim(F.regexp_replace(F.regexp_replace(prose, r"[*_`>]+", ""), r"\s+", " "))
-    parts = F.array(F.coalesce(heading_path, F.lit("")), F.coalesce(label, F.lit("")), F.right(prose, F.lit(most)))
+def entity_context(heading_path: Column, label: Column, near: Column, most: int = 500) -> Column:
+    """What an entity is embedded with: its heading path, a label, and the beginning of the prose beside it, without
+    lines that are placeholders and with single spaces. Parts that are empty are left out."""
+    lines = F.filter(F.split(F.trim(F.coalesce(near, F.lit(""))), "\n"), lambda x: ~F.trim(x).rlike(r"^\[[^\]]*node: "))
+    prose = F.trim(F.regexp_replace(F.array_join(lines, " "), r"\s+", " "))
+    parts = F.array(F.coalesce(heading_path, F.lit("")), F.coalesce(label, F.lit("")), F.left(prose, F.lit(most)))
     return F.array_join(F.filter(parts, lambda x: x != ""), " — ")
 
 

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import assembly as A
 from ..operators import chunking as C
+from ..operators import documents as D
 from ..operators import skeleton_chunks as K
 from ..sources.files import strip_html
 from .fixtures import CHUNKS, MARKDOWN, chunks, markdown, table
 from .registry import query
 
 
-def plain_markdown(spark, sf_dir):
+def plain_markdown(spark, sf_dir, without=""):
     """Pages whose lines of text are paragraphs, whatever they hold: each begins with a word and stands alone."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").withColumn("text", F.translate("text", without, ""))
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("w "), F.trim(F.regexp_replace(x, r"\s+", " "))))
     head = F.array(F.concat(F.lit("# Document "), "doc_id"), F.lit("## Overview"))
     tail = F.array(
@@ -62,7 +63,8 @@ WORDS = "len(regexp_split_to_array(trim({0}), '\\s+'))"
 def skeleton_chunk(spark, sf_dir):
     """What must hold of every page's chunks: nothing above the budget, a placeholder for each entity, one table and one
     checklist, no prose lost but pieces of under four words, and indexes without gaps."""
-    pages = plain_markdown(spark, sf_dir)
+    # a piece that begins with ### reads as a heading, which says nothing by the rule
+    pages = plain_markdown(spark, sf_dir, without="#")
     c = K.skeleton_chunks(pages, 128)
     marks = r"\[(?:table|checklist) node: [^\n]*\]"
     said = lambda x: F.regexp_count(x, F.lit(r"\S*[\p{L}\p{N}]\S*"))
@@ -263,9 +265,14 @@ def build_evidence(spark, sf_dir):
 BLOCK = "'[' || n || '] (' || source_file || ' § ' || section || ')' || chr(10) || text"
 
 
-@query("fit_context", f"{EVIDENCE}, u AS (SELECT qid, n, sum(CAST(ceil(length({BLOCK}) / 4.0) AS BIGINT)) OVER (PARTITION BY qid ORDER BY n) AS used FROM evidence) SELECT qid, n, CAST(used AS BIGINT) AS used FROM u WHERE used <= 3072")
+SYSTEM, STRUCTURAL_RULE = "Answer from the numbered sources only.", " Quote a node by its mark."
+
+
+@query("fit_context", f"""{EVIDENCE}, e AS (SELECT *, key LIKE 'node-scope:%' AS structural FROM evidence), u AS (SELECT qid, n, CAST(ceil(({len(SYSTEM)} + CASE WHEN bool_or(structural) OVER w THEN {len(STRUCTURAL_RULE)} ELSE 0 END + sum(length({BLOCK})) OVER w + 2 * (n - 1)) / 4.0) AS BIGINT) AS used FROM e WINDOW w AS (PARTITION BY qid ORDER BY n))
+  SELECT qid, n, used FROM u WHERE used <= 4096 - 1024""")
 def fit_context(spark, sf_dir):
-    return A.fit_context(A.build_evidence(hits(spark, sf_dir)), 3072).select("qid", "n", "used")
+    e = A.build_evidence(hits(spark, sf_dir)).withColumn("node_id", F.when(F.col("key").startswith("node-scope:"), F.col("key")))
+    return A.fit_context(e, 4096, system=SYSTEM, structural_rule=STRUCTURAL_RULE).select("qid", "n", "used")
 
 
 @query("prompt_blocks", f"{EVIDENCE} SELECT qid, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY n) AS prompt FROM evidence GROUP BY qid")
@@ -273,13 +280,26 @@ def prompt_blocks(spark, sf_dir):
     return A.prompts(A.build_evidence(hits(spark, sf_dir)))
 
 
+@query("node_blocks", f"""{EVIDENCE} SELECT qid, n, '[' || n || '] (' || source_file || ' § ' || section || CASE WHEN n % 2 = 0 THEN ' [node: ' || source_file || '#p-' || n || ']' ELSE '' END || ')' || chr(10) || text AS block FROM evidence""")
+def node_blocks(spark, sf_dir):
+    e = A.build_evidence(hits(spark, sf_dir)).withColumn("node_path", F.when(F.col("n") % 2 == 0, F.concat("source_file", F.lit("#p-"), "n")))
+    return e.select("qid", "n", A.node_block().alias("block"))
+
+
+@query("history_block", "SELECT conv_id, string_agg(role || ': ' || regexp_replace(text, '[\\n\\r\u2028\u2029]+', ' ', 'g'), chr(10) ORDER BY turn) AS history FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+def history_block(spark, sf_dir):
+    return A.history_block(table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant")))
+
+
 @query("citations", """WITH a AS (SELECT doc_id, 'See [1] and [' || (doc_id % 7) || '], also [3] and [1].' AS answer FROM documents), c AS (SELECT doc_id, unnest(['1', CAST(doc_id % 7 AS VARCHAR), '3', '1']) AS x, unnest([1, 2, 3, 4]) AS pos FROM a),
-  f AS (SELECT doc_id, CAST(x AS INTEGER) AS x, min(pos) AS pos FROM c GROUP BY 1, 2)
-  SELECT doc_id, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE x BETWEEN 1 AND 4), '') AS valid, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE NOT x BETWEEN 1 AND 4), '') AS invalid FROM f GROUP BY doc_id""")
+  f AS (SELECT doc_id, CAST(x AS INTEGER) AS x, min(pos) AS pos FROM c WHERE doc_id % 5 <> 0 GROUP BY 1, 2)
+  SELECT d.doc_id, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE x BETWEEN 1 AND 4), '') AS valid, coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE NOT x BETWEEN 1 AND 4), '') AS invalid, d.doc_id % 5 = 0 AS refused FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id""")
 def citations(spark, sf_dir):
+    """Every fifth answer is a refusal."""
     answer = F.concat(F.lit("See [1] and ["), F.col("doc_id") % 7, F.lit("], also [3] and [1]."))
+    answer = F.when(F.col("doc_id") % 5 == 0, f" {A.REFUSAL}\n").otherwise(answer)
     c = table(spark, sf_dir, "documents").select("doc_id", A.citations(answer, F.array(*[F.lit(i) for i in range(1, 5)])).alias("c"))
-    return c.select("doc_id", F.array_join("c.valid", ",").alias("valid"), F.array_join("c.invalid", ",").alias("invalid"))
+    return c.select("doc_id", F.array_join("c.valid", ",").alias("valid"), F.array_join("c.invalid", ",").alias("invalid"), "c.refused")
 
 
 @query("history_budget", """WITH w AS (SELECT conv_id, turn, count(*) OVER v AS m, sum(length(text)) OVER v AS c, sum(ceil(length(text) / 4.0)) OVER v AS t FROM conversations WHERE role IN ('user', 'assistant')
@@ -288,6 +308,21 @@ def history_budget(spark, sf_dir):
     return A.history_budget(table(spark, sf_dir, "conversations"), 4, 1200, 200)
 
 
+@query("history_with_summary", """WITH s AS (SELECT conv_id, repeat('word ', CAST(conv_id % 90 AS INTEGER) * 10) AS summary FROM conversations GROUP BY conv_id), n AS (SELECT conv_id, summary, CAST(ceil(length(summary) / 4.0) AS BIGINT) AS need FROM s),
+  w AS (SELECT c.conv_id, turn, need, summary, count(*) OVER v AS m, sum(length(text)) OVER v AS k, sum(ceil(length(text) / 4.0)) OVER v AS t FROM conversations c JOIN n ON n.conv_id = c.conv_id WHERE role IN ('user', 'assistant') WINDOW v AS (PARTITION BY c.conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))
+  SELECT conv_id, turn, length(summary) AS summary_chars FROM w WHERE m <= 20 AND k <= 12000 AND t <= CASE WHEN need > 400 THEN 0 ELSE 400 - need END""")
+def history_with_summary(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    s = c.select("conv_id").distinct().withColumn("summary", F.expr("repeat('word ', CAST(conv_id % 90 AS INT) * 10)"))
+    return A.history_with_summary(c, s, tokens=400).select("conv_id", "turn", F.length("kept_summary").cast("bigint").alias("summary_chars"))
+
+
+@query("compaction_fit", """WITH t AS (SELECT conv_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, sum(length(role) + 2 + length(text)) OVER w + row_number() OVER w - 1 AS chars FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, any_value(n) AS n, coalesce(max(CASE WHEN n + 2 >= 4 AND i <= n - 1 AND ceil(chars / 4.0) <= 90 THEN i END), 0) AS compact FROM t GROUP BY conv_id""")
+def compaction_fit(spark, sf_dir):
+    return A.compaction_fit(table(spark, sf_dir, "conversations"), 90, at=4, retain=1)
+
+
 @query("compaction_plan", "SELECT conv_id, count(*) AS n, CAST(CASE WHEN count(*) + 2 >= 8 THEN greatest(count(*) - 4, 0) ELSE 0 END AS BIGINT) AS compact FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
 def compaction_plan(spark, sf_dir):
     return A.compaction_plan(table(spark, sf_dir, "conversations"))
@@ -306,11 +341,85 @@ def cursor_page(spark, sf_dir):
     return d.select("doc_id", "s.scope", "s.edge")
 
 
-@query("anchor_window", f"""{CHUNKS}, s AS (SELECT source_file AS scope, chunk_index AS position, text, chunk_index - total_chunks // 2 AS off FROM chunks),
-  u AS (SELECT *, sum(CAST(ceil(length(text) / 4.0) AS BIGINT) + 1) OVER (PARTITION BY scope ORDER BY abs(off), off) AS used FROM s) SELECT scope, position FROM u WHERE used <= 400 OR off = 0""")
+def line_documents(spark, sf_dir):
+    """Documents whose segments are their lines."""
+    c = chunks(spark, sf_dir)
+    segment = F.struct(F.lit("prose").alias("kind"), F.concat("source_file", F.lit("#"), "chunk_index").alias("node_path"), F.col("chunk_index").cast("int").alias("chunk_index"), F.lit("paragraph").alias("node_type"), F.col("text").alias("content"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", segment.alias("s")))), lambda x: x["s"])
+    return c.groupBy(F.col("source_file").alias("scope")).agg(ordered.alias("segments"))
+
+
+def middle(documents):
+    return documents.select("scope", F.get("segments", F.floor(F.size("segments") / 2).cast("int"))["node_path"].alias("anchor"))
+
+
+ROOM = 100
+
+
+@query("anchor_window", f"""{CHUNKS.replace('WITH doc_lines', 'WITH RECURSIVE doc_lines', 1)}, arr AS (SELECT source_file AS scope, list(CASE WHEN ceil(length(text) / 4.0) > {ROOM} THEN {len(D.OVERSIZED_NOTE)} ELSE length(text) END ORDER BY chunk_index) AS c, list(ceil(length(text) / 4.0) > {ROOM} ORDER BY chunk_index) AS big, sum(length(text)) + 2 * (count(*) - 1) AS total, count(*) AS n, count(*) // 2 AS a FROM chunks GROUP BY source_file),
+  w AS (SELECT scope, c, big, n, a AS lo, a AS hi, c[a + 1] AS used, true AS back, 0 AS step FROM arr WHERE ceil(total / 4.0) > {ROOM}
+    UNION ALL SELECT scope, c, big, n, CASE WHEN way THEN lo - 1 ELSE lo END, CASE WHEN way THEN hi ELSE hi + 1 END, used + 2 + CASE WHEN way THEN c[lo] ELSE c[hi + 2] END, NOT back, step + 1
+    FROM (SELECT *, CASE WHEN back AND can_b THEN true WHEN NOT back AND can_f THEN false ELSE can_b END AS way FROM (SELECT *, lo > 0 AND ceil((used + 2 + c[lo]) / 4.0) <= {ROOM} AS can_b, hi < n - 1 AND ceil((used + 2 + c[hi + 2]) / 4.0) <= {ROOM} AS can_f FROM w) WHERE can_b OR can_f)),
+  f AS (SELECT scope, arg_max(lo, step) AS first, arg_max(hi, step) AS last, arg_max(used, step) AS used, any_value(n) AS n, any_value(big) AS big FROM w GROUP BY scope)
+  SELECT scope, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, CAST(ceil(used / 4.0) AS BIGINT) AS returned, first > 0 AS before, last < n - 1 AS after, CAST(len(list_filter(big[first + 1:last + 1], lambda x: x)) AS INTEGER) AS oversized FROM f
+  UNION ALL SELECT scope, 0, CAST(n - 1 AS INTEGER), CAST(ceil(total / 4.0) AS BIGINT), false, false, 0 FROM arr WHERE ceil(total / 4.0) <= {ROOM}""")
 def anchor_window(spark, sf_dir):
-    s = chunks(spark, sf_dir).select(F.col("source_file").alias("scope"), F.col("chunk_index").alias("position"), "text", F.floor(F.col("total_chunks") / 2).alias("mid"))
-    return A.anchor_window(s, F.col("mid"), 400).select("scope", "position")
+    """The window around each document's middle line."""
+    d = line_documents(spark, sf_dir)
+    return D.windows(d, middle(d), ROOM).select("scope", "first", "last", "returned", "before", "after", "oversized")
+
+
+@query("cursor_walk", f"{CHUNKS} SELECT source_file AS scope, CAST(count(*) AS INTEGER) AS seen FROM chunks GROUP BY source_file")
+def cursor_walk(spark, sf_dir):
+    """The window and the pages that its cursors lead to show every segment."""
+    d = line_documents(spark, sf_dir)
+    return D.windows(d, middle(d), ROOM, follow=True).select("scope", "seen")
+
+
+@query("window_errors", f"{CHUNKS} SELECT DISTINCT source_file AS scope, 'anchor_not_in_scope' AS error FROM chunks")
+def window_errors(spark, sf_dir):
+    d = line_documents(spark, sf_dir)
+    return D.windows(d, d.select("scope", F.lit("elsewhere#0").alias("anchor")), ROOM).select("scope", "error")
+
+
+@query("anchored_content", f"""{CHUNKS} SELECT source_file || '#' || chunk_index AS anchor, CASE WHEN point_kind = 'skeleton_nav' THEN 'anchor_is_navigation' WHEN chunk_index % 2 = 1 THEN 'no_section_scope' END AS error FROM chunks
+  UNION ALL SELECT 'absent-' || doc_id, 'anchor_not_found' FROM documents""")
+def anchored_content(spark, sf_dir):
+    """Every point as a section's anchor, and as many that are not there; points of odd index have no section above."""
+    c = chunks(spark, sf_dir)
+    of = F.concat("source_file", F.lit("#"), "chunk_index")
+    p = c.select(of.alias("node_id"), "point_kind", F.lit("paragraph").alias("node_type"), F.when(F.col("chunk_index") % 2 == 0, F.concat("source_file", F.lit("/"), "section")).alias("parent_id"), "source_file")
+    nav = c.select(F.concat("source_file", F.lit("/"), "section").alias("node_id"), F.lit("skeleton_nav").alias("point_kind"), F.lit("section").alias("node_type"), F.lit(None).cast("string").alias("parent_id"), "source_file").distinct()
+    absent = table(spark, sf_dir, "documents").select(F.concat(F.lit("absent-"), "doc_id").alias("anchor"))
+    return D.anchored_errors(p.unionByName(nav), c.select(of.alias("anchor")).unionByName(absent), "section")
+
+
+def assembly_chunks(spark, sf_dir):
+    """Chunks of plain pages; those of even documents have stored references, those of every seventh a stale one."""
+    c = K.skeleton_chunks(plain_markdown(spark, sf_dir, without="#"), 512).filter("chunk_index is not null")
+    number = F.regexp_extract("source_file", r"doc-(\d+)\.md$", 1).cast("bigint")
+    mark = F.regexp_extract_all("text", F.lit(r"(?m)^(\[(?:table|checklist) node: .*\])$"), 1)
+    stored = F.transform(mark, lambda m: F.struct(m.alias("placeholder"), F.regexp_extract(m, r"node: ([^ ]+)", 1).alias("node_path")))
+    stale = F.array(F.struct(F.lit("[table node: gone]").alias("placeholder"), F.lit("gone").alias("node_path")))
+    empty = F.array().cast("array<struct<placeholder:string,node_path:string>>")
+    refs = F.concat(F.when(number % 2 == 0, stored).otherwise(empty), F.when((number % 7 == 0) & (F.col("chunk_index") == 0), stale).otherwise(empty))
+    return c.withColumn("refs", refs).withColumnRenamed("source_file", "scope")
+
+
+@query("assemble", """SELECT lang || '/doc-' || doc_id || '.md' AS scope, CASE WHEN doc_id % 2 = 0 THEN 'entity_refs' ELSE 'placeholder_fallback' END AS mode, CAST(2 AS BIGINT) AS entities, CAST(0 AS BIGINT) AS marks_left,
+  concat_ws(',', CASE WHEN doc_id % 2 = 1 THEN 'placeholder_fallback' END, CASE WHEN doc_id % 7 = 0 THEN 'ref_entity_missing' END) AS warnings FROM documents""")
+def assemble(spark, sf_dir):
+    """Whole pages from their chunks: each entity once, at its place, and no placeholder left in the prose."""
+    d = D.assemble(assembly_chunks(spark, sf_dir))
+    prose = F.filter("segments", lambda x: x["kind"] == "prose")
+    left = F.aggregate(prose, F.lit(0), lambda n, x: n + F.size(F.regexp_extract_all(x["content"], F.lit(r"(\[(?:table|checklist) node: )"), 1)))
+    return d.select(
+        "scope",
+        "mode",
+        F.size(F.array_distinct(F.transform(F.filter("segments", lambda x: x["kind"] == "entity"), lambda x: F.regexp_replace(x["node_path"], "/fragment-.*$", "")))).cast("bigint").alias("entities"),
+        left.cast("bigint").alias("marks_left"),
+        F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("warnings"),
+    )
 
 
 @query("wikilinks", "SELECT doc_id, lang AS link FROM documents")
@@ -319,16 +428,22 @@ def wikilinks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.wikilinks(made)).alias("link"))
 
 
-@query("frontmatter", "SELECT doc_id, unnest([lang, source]) AS value FROM documents")
+@query("frontmatter", "SELECT doc_id, unnest(['lang', 'tags', 'tags', 'empty']) AS key, unnest([lang, source, 'two words', NULL]) AS value FROM documents")
 def frontmatter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.frontmatter_value(F.concat("lang", F.lit(" , "), "source", F.lit(",")))).alias("value"))
+    """Pages with front matter, a repeated key and a line that is none."""
+    page = F.concat(F.lit("---\nlang: xx\n# note\ntags: ["), "source", F.lit(", 'two words',]\nempty:\nlang: "), "lang", F.lit("\n---\nbody: no\n"))
+    m = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.frontmatter(page)).alias("key", "values"))
+    return m.select("doc_id", "key", F.explode_outer("values").alias("value"))
 
 
-@query("entity_context", f"""{CHUNKS} SELECT source_file, chunk_index, concat_ws(' — ', source_file || ' › ' || section, nullif(left(lag(text) OVER (PARTITION BY source_file ORDER BY chunk_index), 500), '')) AS context FROM chunks""")
+@query("entity_context", f"""{CHUNKS}, p AS (SELECT *, lag(text) OVER (PARTITION BY source_file ORDER BY chunk_index) AS before FROM chunks)
+  SELECT source_file, chunk_index, concat_ws(' — ', source_file || ' › ' || section, CASE WHEN chunk_index % 2 = 0 THEN 'table' END, nullif(left(trim(regexp_replace(coalesce(before, ''), '\\s+', ' ', 'g')), 500), '')) AS context FROM p""")
 def entity_context(spark, sf_dir):
+    """The line before, with a placeholder under it that is left out."""
     before = F.lag("text").over(Window.partitionBy("source_file").orderBy("chunk_index"))
-    head = X.deterministic_context(F.col("source_file"), F.col("section"))
-    return chunks(spark, sf_dir).select("source_file", "chunk_index", F.concat_ws(" — ", head, F.nullif(F.substring(before, 1, 500), F.lit(""))).alias("context"))
+    near = F.concat(before, F.lit("\n [code block node: x — y]"))
+    c = chunks(spark, sf_dir).withColumn("near", near)
+    return c.select("source_file", "chunk_index", X.entity_context(X.deterministic_context(F.col("source_file"), F.col("section")), F.when(F.col("chunk_index") % 2 == 0, "table"), F.col("near")).alias("context"))
 
 
 @query("redact_errors", "SELECT doc_id, 'fail token=[redacted] at ' || lang AS value FROM documents")
@@ -356,11 +471,3 @@ def parse_llm_json(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: "), body, F.lit(" done"))).otherwise(F.lit("{broken"))
     d = table(spark, sf_dir, "documents").select("doc_id", X.parse_model_json(raw, "id bigint, tag string").alias("j"))
     return d.select("doc_id", "j.id", "j.tag")
-
-
-@query("assemble", f"""{CHUNKS} SELECT source_file, string_agg(CASE WHEN chunk_index % 3 = 1 THEN '> ' || text ELSE text END, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM chunks GROUP BY source_file""")
-def assemble(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    id_of = F.concat("source_file", F.lit("#"), "chunk_index")
-    marked = c.select("source_file", "chunk_index", F.when(F.col("chunk_index") % 3 == 1, F.concat(F.lit("[["), id_of, F.lit("]]"))).otherwise(F.col("text")).alias("text"))
-    return A.assemble(marked, c.filter("chunk_index % 3 = 1").select(id_of.alias("node_id"), F.concat(F.lit("> "), "text").alias("content")))
