@@ -344,6 +344,62 @@ LANGUAGE_WORDS = {
 }
 
 
+# Frequent words of languages in Latin script, and scripts that stand for one language.
+LATIN_WORDS = {
+    "ces": "je že se na to jako jsou ale který nebo",
+    "dan": "og er det ikke til som på af med har",
+    "deu": "der die und das ist nicht ein mit den von",
+    "eng": "the and of to in is that for with was",
+    "fin": "ja on ei se että oli mutta kun niin hän",
+    "fra": "le la les de des et est une que dans pour pas qui un",
+    "hun": "az és hogy nem egy van meg ez mint csak",
+    "ind": "yang dan di untuk dengan tidak ini dari adalah pada",
+    "ita": "il la che di non una per sono con della gli",
+    "nld": "de het een van en niet dat zijn voor met",
+    "pol": "nie się jest że do jak ale lub oraz przez",
+    "por": "não uma os para com de do da em que são mais",
+    "ron": "și este nu care în cu pentru din sau mai",
+    "spa": "el la los las de que y en por una con para del es",
+    "swe": "och att det är inte som på för med har",
+    "tur": "bir ve bu için ile çok değil olarak daha ne",
+    "vie": "và của là không có được cho trong một các",
+}
+SCRIPTS = {
+    "jpn": "[\\u3040-\\u30ff]",
+    "kor": "[\\uac00-\\ud7af]",
+    "cmn": "[\\u4e00-\\u9fff]",
+    "ell": "[\\u0370-\\u03ff]",
+    "heb": "[\\u0590-\\u05ff]",
+    "arb": "[\\u0600-\\u06ff]",
+    "hin": "[\\u0900-\\u097f]",
+    "ukr": "[іїєґІЇЄҐ]",
+    "rus": "[ыэъёЫЭЪЁ]",
+}
+SAMPLE, LEAST_SAMPLE, OWN_SCRIPT = 4000, 100, 0.01
+
+
+def language_of(text: Column, forced: Column | None = None) -> Column:
+    """The language of a text as a three-letter code, from a sample without code: that of a script or of letters which
+    stand for one language, if a hundredth of the sample is in it, else that with the most frequent words; of equals
+    the first by code. Null for a short text or one without any. ``forced``: what it is said to be, unless that is
+    empty or ``auto``."""
+    sample = F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"```[\s\S]*?```", " "), r"`[^`\n]*`", " "), 1, SAMPLE)
+
+    def told(s: Column) -> Column:
+        words = F.split(F.lower(s), r"[^\p{L}]+")
+        by_word = bound(words, lambda w: F.array_min(F.array(*[F.struct((-F.size(F.filter(w, _is_word(v)))).alias("n"), F.lit(k).alias("lang")) for k, v in LATIN_WORDS.items()])))
+        out = F.when(by_word["n"] < 0, by_word["lang"])
+        for k, letters in reversed(SCRIPTS.items()):
+            out = F.when(F.regexp_count(s, F.lit(letters)) >= OWN_SCRIPT * F.length(s), k).otherwise(out)
+        return F.when(F.length(F.trim(s)) >= LEAST_SAMPLE, out)
+
+    found = bound(sample, told)
+    if forced is None:
+        return found
+    said = F.lower(F.trim(F.coalesce(forced, F.lit(""))))
+    return F.when((said != "") & (said != "auto"), said).otherwise(found)
+
+
 def _is_word(profile: str):
     return lambda w: F.array_contains(_words(profile.split()), w)
 

@@ -333,3 +333,18 @@ def check_dimensions(vectors: DataFrame, size: int, column: str = "vec") -> Data
     """``vectors`` as they are; reading one of another length fails."""
     wrong = F.raise_error(F.format_string(f"a vector has %d dimensions, not {size}", F.size(column)))
     return vectors.withColumn(column, F.when(F.size(column) == size, F.col(column)).otherwise(wrong))
+
+
+# The least bounds of the length buckets; what is longer than all is in the last.
+BATCH_BOUNDS = (16, 32, 64, 128, 256)
+
+
+def bucketed_batches(texts: DataFrame, by: list[str], order: str, tokens: Column, most: int = 8) -> DataFrame:
+    """``texts`` with ``bucket`` (0 to 5 by length), ``batch`` (from 0 in each bucket, at most ``most`` rows) and ``place``: the
+    number in the original order, by which results are put back."""
+    bucket = F.lit(len(BATCH_BOUNDS))
+    for i in reversed(range(len(BATCH_BOUNDS))):
+        bucket = F.when(tokens <= BATCH_BOUNDS[i], i).otherwise(bucket)
+    d = texts.withColumn("bucket", bucket.cast("bigint"))
+    in_bucket = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(order)) - 1
+    return d.withColumns({"batch": F.floor(in_bucket / most), "place": (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("bigint")})

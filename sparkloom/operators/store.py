@@ -154,3 +154,62 @@ def payload_consistency(points: DataFrame, fields: list[str], key: str) -> DataF
         (F.col("identities") <= 1).alias("consistent"),
         F.get("firsts", F.lit(1))["k"].alias("first_other"),
     )
+
+
+def whole_number(value: Column) -> Column:
+    """An integer as it is; null for what is none."""
+    number = value.cast("string").try_cast("double")
+    return F.when(number == F.floor(number), number.cast("bigint"))
+
+
+def to_chunk(points: DataFrame) -> DataFrame:
+    """Stored points as chunks: every field there, missing ones null, tags and heading path arrays, indexes integers."""
+    have = lambda c, kind="string": F.col(c).cast(kind) if c in points.columns else F.lit(None).cast(kind)
+    whole = lambda c: whole_number(F.col(c)) if c in points.columns else F.lit(None).cast("bigint")
+    words = "array<string>"
+    return points.select(
+        *[have(c).alias(c) for c in ("source_file", "section", "text", "raw_content", "lang", "context", "node_type", "node_id", "node_path", "parent_id", "entity_id")],
+        *[whole(c).alias(c) for c in ("chunk_index", "total_chunks", "fragment_index", "fragment_count")],
+        F.coalesce(have("tags", words), F.array().cast(words)).alias("tags"),
+        have("heading_path", words).alias("heading_path"),
+        have("score", "double").alias("score"),
+    )
+
+
+def search_results(hits: DataFrame, window: DataFrame | None = None, form: str = "compact", snippet: Column | None = None) -> DataFrame:
+    """(qid, rank, result) of hits (qid, rank and a chunk's fields): the public fields of each as a struct. ``window`` (qid,
+    rank, source_file, chunk_index, section, text, is_match): the chunks around each hit, with snippets or (form
+    ``full``) whole texts, in order."""
+    fields = ["source_file", "chunk_index", "total_chunks", "section", "text", "tags", "score", "node_id"]
+    shown = F.struct(*[F.coalesce("section", F.lit("")).alias(c) if c == "section" else F.col(c) for c in fields])
+    d = hits.select("qid", "rank", shown.alias("result"))
+    if window is None:
+        return d
+    text = F.col("text") if form == "full" else snippet
+    part = F.struct("source_file", "chunk_index", F.coalesce("section", F.lit("")).alias("section"), "is_match", text.alias("text" if form == "full" else "text_snippet"))
+    around = window.groupBy("qid", "rank").agg(F.array_sort(F.collect_list(part)).alias("window_chunks"))
+    return d.join(around, ["qid", "rank"], "left")
+
+
+def list_collections(points: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(collection, points, dense_provider, sparse_provider, profile_state) of every collection with points (collection) or a
+    profile (collection, dense_provider, sparse_provider, valid): valid, invalid or missing; providers of a valid one only."""
+    n = points.groupBy("collection").agg(F.count("*").alias("points"))
+    d = n.join(profiles, "collection", "full")
+    valid = F.coalesce("valid", F.lit(False))
+    state = F.when(valid, "valid").when(F.col("valid").isNull(), "missing").otherwise("invalid")
+    return d.select("collection", F.coalesce("points", F.lit(0)).alias("points"), F.when(valid, F.col("dense_provider")).alias("dense_provider"), F.when(valid, F.col("sparse_provider")).alias("sparse_provider"), state.alias("profile_state"))
+
+
+def backfill_refs_plan(points: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(point_id, action): set where the references that a point's placeholders resolve to now (point_id, refs) are not the
+    stored ones, clear where there are none any more, else unchanged. ``points``: (point_id, refs). Order counts."""
+    empty = F.array().cast("array<string>")
+    d = points.select("point_id", F.coalesce("refs", empty).alias("have")).join(resolved.select("point_id", F.col("refs").alias("want")), "point_id", "left")
+    d = d.withColumn("want", F.coalesce("want", empty))
+    return d.select("point_id", F.when(F.col("have") == F.col("want"), "unchanged").when(F.size("want") == 0, "clear").otherwise("set").alias("action"))
+
+
+def collated(*columns: str) -> list[Column]:
+    """An order by language rules, as people sort names (a, A, b, B), and by code points among equals."""
+    return [x for c in columns for x in (F.collate(F.col(c), "UNICODE"), F.col(c))]

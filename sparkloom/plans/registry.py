@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules whose import registers queries.
-MODULES = ("text_queries", "store_queries", "retrieval_queries", "chunk_queries", "control_queries")
+MODULES = ("text_queries", "store_queries", "retrieval_queries", "chunk_queries", "control_queries", "nav_queries")

@@ -83,15 +83,6 @@ def sparse_max_by_token(spark, sf_dir):
     return R.max_by_token(d, "k")
 
 
-@query("bucketed_batches", """WITH b AS (SELECT doc_id, lang, CASE WHEN length(text) <= 512 THEN 128 WHEN length(text) <= 1024 THEN 256 ELSE 0 END AS bucket FROM documents)
-  SELECT doc_id, lang, CAST(bucket AS BIGINT) AS bucket, (row_number() OVER (PARTITION BY lang, bucket ORDER BY doc_id) - 1) // 16 AS batch FROM b""")
-def bucketed_batches(spark, sf_dir):
-    tokens = X.heuristic_tokens(F.col("text"))
-    b = F.when(tokens <= 128, 128).when(tokens <= 256, 256).otherwise(0).cast("bigint")
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", b.alias("bucket"))
-    return d.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("doc_id")) - 1) / 16))
-
-
 @query("context_fit", f"{CHUNKS} SELECT source_file, chunk_index, CASE WHEN length(text) >= 400 THEN '' ELSE right(source_file || ' › ' || section, 400 - length(text)) END AS context FROM chunks")
 def context_fit(spark, sf_dir):
     context = X.deterministic_context(F.col("source_file"), F.col("section"))

@@ -107,11 +107,6 @@ def is_managed(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), S.is_managed(("p_brand", "odd")).alias("managed"))
 
 
-@query("to_chunk", f"{CHUNKS} SELECT source_file, chunk_index, coalesce(point_kind, 'retrieval_content') AS point_kind, coalesce(section, '') AS section, total_chunks FROM chunks")
-def to_chunk(spark, sf_dir):
-    return chunks(spark, sf_dir).select("source_file", "chunk_index", F.coalesce("point_kind", F.lit("retrieval_content")).alias("point_kind"), F.coalesce("section", F.lit("")).alias("section"), "total_chunks")
-
-
 @query("search_result_projection", f"{CHUNKS} SELECT source_file || '#' || chunk_index AS id, section, CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS snippet FROM chunks WHERE {CONTENT}")
 def search_result_projection(spark, sf_dir):
     return chunks(spark, sf_dir).filter(S.content_only()).select(F.concat("source_file", F.lit("#"), "chunk_index").alias("id"), "section", X.compact_snippet(F.col("text")).alias("snippet"))
@@ -360,18 +355,6 @@ def stale_files(spark, sf_dir):
     return S.stale_files(d, d.filter("doc_id % 4 != 1"), "doc_id")
 
 
-@query("backfill_refs_plan", f"""{CHUNKS}, want AS (SELECT source_file, chunk_index, text FROM chunks WHERE chunk_index % 5 <> 0), have AS (SELECT source_file, chunk_index, CASE WHEN chunk_index % 3 = 0 THEN 'x' ELSE text END AS text FROM chunks WHERE chunk_index % 4 <> 0)
-  SELECT coalesce(w.source_file, h.source_file) AS source_file, coalesce(w.chunk_index, h.chunk_index) AS chunk_index,
-  CASE WHEN w.source_file IS NULL THEN 'clear' WHEN h.text IS DISTINCT FROM w.text THEN 'set' ELSE 'unchanged' END AS action
-  FROM want w FULL JOIN have h ON w.source_file = h.source_file AND w.chunk_index = h.chunk_index""")
-def backfill_refs_plan(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    want = c.filter("chunk_index % 5 != 0").select("source_file", "chunk_index", F.col("text").alias("want"), F.lit(True).alias("w"))
-    have = c.filter("chunk_index % 4 != 0").select("source_file", "chunk_index", F.when(F.col("chunk_index") % 3 == 0, "x").otherwise(F.col("text")).alias("have"))
-    both = want.join(have, ["source_file", "chunk_index"], "full")
-    return both.select("source_file", "chunk_index", F.when(F.col("w").isNull(), "clear").when(~F.col("have").eqNullSafe(F.col("want")), "set").otherwise("unchanged").alias("action"))
-
-
 @query("backfill_tags_select", f"{CHUNKS} SELECT source_file, chunk_index FROM chunks WHERE trim(text) <> '' AND len(list_filter(tags, lambda t: t NOT IN ('en', 'src1'))) = 0")
 def backfill_tags_select(spark, sf_dir):
     left = F.filter("tags", lambda t: ~t.isin("en", "src1"))

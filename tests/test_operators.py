@@ -255,6 +255,131 @@ def test_skeleton_chunks_split_entities():
     assert {c["total_chunks"] for c in got} == {len(got) - 1}
 
 
+def test_languages(spark):
+    from sparkloom.plans import nav_queries as Q
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    code = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa"}
+    rows = [r for r in Q.language_of(spark, sf).collect() if r["found"] is not None]
+    assert sum(code[r["lang"]] == r["found"] for r in rows) >= 0.93 * len(rows) > 100
+    texts = [("Це довгий текст українською мовою, який має досить літер для того, щоб його впізнали. " * 2, "ukr"), ("Это длинный текст на русском языке, в котором достаточно букв, чтобы его узнали мы все. " * 2, "rus"), ("日本語のテキストはひらがなで分かります。" * 8, "jpn"), ("short", None), (None, None), ("```\n" + "the and of " * 50 + "```", None)]
+    d = spark.createDataFrame(texts, "t string, want string")
+    assert all(r["want"] == r["got"] for r in d.select("want", X.language_of(F.col("t")).alias("got")).collect())
+    assert d.select(X.language_of(F.col("t"), F.lit("DEU")).alias("x")).first()["x"] == "deu"
+
+
+def test_read_files(spark, tmp_path):
+    from sparkloom.sources.files import read_files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / ".hidden").mkdir()
+    for name in ("a/x.md", "a/y.TXT", "a/z.bin", ".hidden/h.md", "a/.dot.md", "skip.md", "b.html"):
+        (tmp_path / name).write_text(name)
+    got = {r["path"].rsplit("/", 1)[1]: (bytes(r["content"]), r["file_hash"]) for r in read_files(spark, str(tmp_path), ["skip.md"]).collect()}
+    import hashlib
+
+    assert got == {n.rsplit("/", 1)[-1]: (n.encode(), hashlib.sha256(n.encode()).hexdigest()) for n in ("a/x.md", "a/y.TXT", "b.html")}
+
+
+def test_run_files(spark):
+    from sparkloom.sources import runs
+
+    run = spark.createDataFrame([("q", "d1", 1, 0.5), ("q", "d2", 2, 0.25)], "qid string, id string, rank int, score double")
+    lines = runs.run_lines(run, "tag").unionByName(spark.createDataFrame([("  ",)], "value string"))
+    assert sorted(tuple(r) for r in runs.parse_run(lines).collect()) == [("q", "d1", 1, 0.5, "tag"), ("q", "d2", 2, 0.25, "tag")]
+    for bad in ("q Q0 d 1 0.5", "q Q0 d one 0.5 t", "q Q0 d 1 nan t", "q X d 1 0.5 t"):
+        with pytest.raises(Exception, match="not a run line"):
+            runs.parse_run(spark.createDataFrame([(bad,)], "value string")).collect()
+
+
+def test_jsonl_sink(spark, tmp_path):
+    from sparkloom.sources import jsonl
+
+    d = spark.createDataFrame([("a", i, "x" * 9) for i in range(30)] + [("b", 0, None)], "sink string, seq long, line string")
+    jsonl.write_jsonl(d, f"{tmp_path}/out", most_bytes=50, keep=2)
+    files = sorted(p.name for p in (tmp_path / "out" / "sink=a").iterdir())
+    assert files == ["file=3", "file=4", "file=5"]
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "out" / "sink=a" / "file=4").glob("*.txt")) == 5
+
+
+def test_windows_and_cursors():
+    import random
+
+    from sparkloom.operators import documents as D
+
+    r = random.Random(2)
+    for _ in range(60):
+        segments = [{"kind": "prose", "node_path": f"n{i}", "chunk_index": i, "node_type": "paragraph", "content": "x" * r.choice([0, 3, 40, 900])} for i in range(r.randint(1, 9))]
+        w = D.Windows(segments, r.choice([60, 90, 2000]), "c", "file", "s", separator="\n\n")
+        anchor = f"n{r.randrange(len(segments))}"
+        pages = w.walk(anchor)
+        assert all(p["returned"] <= w.most for p in pages)
+        seen = [x["node_path"] for p in pages for x in p["items"]]
+        assert sorted(seen) == sorted(s["node_path"] for s in segments)
+        for x in (x for p in pages for x in p["items"]):
+            assert x["oversized"] == (w.count(segments[x["chunk_index"]]["content"]) > w.most) and (x["content"] is None) == x["oversized"]
+    one = w.around(anchor)
+    assert one["before"] == (one["items"][0]["node_path"] != "n0")
+    with pytest.raises(D.WindowError, match="anchor_not_in_scope"):
+        w.around("elsewhere")
+    state = {"v": 1, "collection": "c", "scope": "file", "sourceKey": "k", "anchorNodeId": None, "totalSegments": 3, "dir": "after", "edgeIndex": 1}
+    assert D.decode_cursor(D.encode_cursor(state)) == state
+    for bad in ({"dir": "up"}, {"edgeIndex": 3}, {"v": "1"}, {"scope": "x"}, {"anchorNodeId": 3}):
+        assert D.decode_cursor(D.encode_cursor(state | bad)) is None
+    assert D.decode_cursor("ac1.%%%") is None and D.decode_cursor(None) is None
+    with pytest.raises(D.WindowError, match="invalid_cursor"):
+        w.next_page(D.encode_cursor(state), None)
+
+
+def test_assembly_warnings():
+    from sparkloom.operators.documents import assemble_scope
+
+    chunk = lambda i, kind, text, refs=(), path=None, whole=None: {"chunk_index": i, "node_path": path or f"f#{kind}-{i}", "node_type": kind, "section": "s", "text": text, "raw_content": text, "entity_path": whole, "refs": [{"placeholder": p, "node_path": n} for p, n in refs]}
+    mark = "[table node: f#t — a | b]"
+    table = chunk(1, "table", "| a | b |", path="f#t")
+    twice = [(mark, "f#t"), (mark, "f#t")]
+    mode, segments, warnings = assemble_scope([chunk(0, "paragraph", f"one\n\n{mark}\n\n\ntwo\n\n{mark}", twice), table])
+    assert mode == "entity_refs" and warnings == [] and [s["content"] for s in segments] == ["one\n\ntwo", "| a | b |"]
+    mode, segments, warnings = assemble_scope([chunk(0, "paragraph", f"one\n{mark}\n{mark}", twice[:1]), table])
+    assert mode == "placeholder_fallback" and [w["code"] for w in warnings] == ["placeholder_fallback"] and segments[0]["content"] == "one"
+    mode, segments, warnings = assemble_scope([chunk(0, "paragraph", "one", twice[:1]), chunk(2, "paragraph", mark), table])
+    assert [w["code"] for w in warnings] == ["placeholder_fallback", "ref_placeholder_not_found"] and len(segments) == 2
+    mode, segments, warnings = assemble_scope([chunk(0, "paragraph", f"one\n{mark}", twice[:1])])
+    assert mode == "entity_refs" and [w["code"] for w in warnings] == ["ref_entity_missing"] and mark in segments[0]["content"]
+    mode, segments, warnings = assemble_scope([chunk(0, "paragraph", f"one\n{mark}")])
+    assert mode == "placeholder_fallback" and [w["code"] for w in warnings] == ["placeholder_fallback", "orphan_placeholder"]
+    part = chunk(1, "table", "| a | b |", path="f#t/fragment-1", whole="f#t")
+    assert assemble_scope([chunk(0, "paragraph", f"one\n{mark}", twice[:1]), part])[2] == []
+    plain = [c | {"node_path": None, "node_type": None} for c in (chunk(0, "paragraph", "a"), chunk(1, "paragraph", ""))]
+    assert assemble_scope(plain)[0] == "plain_chunks" and len(assemble_scope(plain)[1]) == 2
+
+
+def test_plugins(spark):
+    from sparkloom import plugins as P
+
+    assert isinstance(P.HashedEmbedder(), P.Embedder) and isinstance(P.FirstSentence(), P.Generator) and isinstance(P.WordOverlap(), P.Reranker)
+    P.validate_generator(P.FirstSentence())
+    with pytest.raises(TypeError, match="list_collections"):
+        P.validate_adapter(P.FirstSentence())
+    assert P.resolve({"RRF_K": "99", "TAG_GEN": "1"})["RRF_K"] == 99
+    with pytest.raises(KeyError):
+        P.resolve({"NO_SUCH": "1"})
+    assert P.SETTINGS["RRF_K"].validate(0) and not P.SETTINGS["RRF_K"].validate(5) and P.SETTINGS["TAG_GEN"].validate("true")
+    good = {"name": "look_up", "description": "d", "parameters": {"type": "object", "properties": {"q": {"type": "string", "enum": ["a"]}, "n": {"type": "array", "items": {"type": "integer"}}}, "required": ["q"]}}
+    P.validate_tools([good])
+    deep = {"type": "string"}
+    for _ in range(5):
+        deep = {"type": "object", "properties": {"x": deep}}
+    for bad, code in (({"name": "1x"}, "invalid_name"), ({"parameters": {"type": "object", "pattern": "x"}}, "unsupported_schema_keyword"), ({"parameters": deep}, "schema_too_deep"), ({"parameters": {"type": "object", "properties": {"q": {"type": "string", "enum": [1]}}}}, "invalid_enum"), ({"parameters": {"type": "object", "required": ["z"]}}, "invalid_required")):
+        with pytest.raises(P.ToolError) as e:
+            P.validate_tools([good | bad])
+        assert e.value.code == code
+    with pytest.raises(P.ToolError):
+        P.validate_tools([good, good])
+    v = P.HashedEmbedder(16).embed_for_search(spark.createDataFrame([(1, "some words here")], "k long, text string"), "k").first()["vec"]
+    assert len(v) == 16 and sum(x * x for x in v) == pytest.approx(1)
+
+
 def test_tiny_code_whole_reads_past_the_first_characters(spark, tmp_path):
     from sparkloom.plans import chunk_queries as Q
 
