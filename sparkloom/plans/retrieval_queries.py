@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evaluation as E
+from ..operators import guards as G
 from ..operators import retrieval as R
 from ..operators import search as H
 from .fixtures import CHUNKS, DENSE, chunks, dense, table
@@ -235,6 +236,37 @@ def colbert_guard(spark, sf_dir):
     return R.blend_guard(hits).select("qid", "id", "blend", F.col("new_rank").cast("bigint").alias("new_rank"))
 
 
+def guard_hits(spark, sf_dir):
+    """The sparse lane's first ten, and a second order of them by id; documents of a source are a named file's."""
+    d = table(spark, sf_dir, "documents")
+    name = F.when(F.col("source") == "src1", "providers.md").when(F.col("source") == "src2", "config-env.md").when(F.col("source") == "src3", "project-structure.md").otherwise(F.concat("source", F.lit(".md")))
+    docs = d.select(F.col("doc_id").alias("id"), name.alias("source_file"), F.col("lang").alias("section"), "text")
+    h = sparse_lane(spark, sf_dir, 10).select("qid", "id", "rank").join(docs, "id")
+    h = h.withColumn("ce_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.xxhash64("id"), "id")))
+    kinds = F.array(F.lit("enable the provider"), F.lit("where is"), F.lit("config.json"), F.lit("getValue"), F.lit(""))
+    q = asked(spark, sf_dir).select("qid", F.concat_ws(" ", F.element_at(kinds, (F.col("qid") % 5 + 1).cast("int")), "text").alias("query"), F.lit(None).cast("string").alias("label"))
+    return h.join(q, "qid")
+
+
+def guard_query(variant):
+    @query(f"ce_guard_{variant.replace('-', '_')}")
+    def run(spark, sf_dir):
+        return G.ce_guard(guard_hits(spark, sf_dir), variant)
+
+
+for _variant in G.VARIANTS:
+    guard_query(_variant)
+
+
+@query("ce_guard_oracle", f"""{SPARSE}, {QRELS}, h AS (SELECT qid, id, rank FROM sparse_run WHERE rank <= 10), c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY id) AS ce FROM h), p AS (SELECT c.*, rank <= 3 AND ce > 3 AND EXISTS (SELECT 1 FROM qrels q WHERE q.qid = c.qid AND q.id = c.id) AS far FROM c)
+  SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN far THEN 1 WHEN n <= 2 THEN 0 ELSE 2 END, CASE WHEN far THEN -ce ELSE ce END) AS new_rank, bool_or(far) OVER (PARTITION BY qid) AS fired
+  FROM (SELECT *, CASE WHEN far THEN NULL ELSE row_number() OVER (PARTITION BY qid, far ORDER BY ce) END AS n FROM p)""")
+def ce_guard_oracle(spark, sf_dir):
+    h = sparse_lane(spark, sf_dir, 10).select("qid", "id", "rank")
+    h = h.withColumn("ce_rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
+    return G.oracle_guard(h, judged(spark, sf_dir).withColumn("rel", F.lit(3))).select("qid", "id", "new_rank", "fired")
+
+
 @query("stable_sort", f"{CHUNKS} SELECT source_file, chunk_index, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, source_file, chunk_index) AS rank FROM chunks")
 def stable_sort(spark, sf_dir):
     w = Window.partitionBy("lang").orderBy(F.desc(F.length("text")), "source_file", "chunk_index")

@@ -380,6 +380,39 @@ def test_plugins(spark):
     assert len(v) == 16 and sum(x * x for x in v) == pytest.approx(1)
 
 
+def test_guard_orders():
+    from sparkloom.operators import guards as G
+
+    order, first = list("abcdefg"), list("fgcabde")
+    assert G.put_back(order, first, {"f", "g"}, False) == list("abgfcde")
+    assert G.put_back(order, first, {"f", "g"}, True) == list("fgabcde")
+    assert G.put_back(order, first, {"a", "f", "g"}, True) == list("afgbcde")
+    assert G.put_back(order, first, {"a", "b", "c", "f"}, True) == list("abfcdeg")
+    assert G.put_back(order, first, set(), True) == order and G.put_back(order, first, {"a"}, False) == order
+    assert G.lift(order, ["c"]) == list("acbdefg") and G.lift(order, ["d"]) == order
+
+
+def test_guard_rules(spark):
+    from sparkloom.operators import guards as G
+
+    columns = "qid long, id string, rank long, ce_rank long, query string, label string, source_file string, section string, text string"
+    table = "| A | B |\n| C | D |\nUSER_NAME USER_PASS"
+    rows = [
+        # an activation query: the guide is kept, the table of variables is not while a guide is about
+        *[(1, i, r, c, "enable the bge-m3-onnx provider now", None, f, "s", t) for i, r, c, f, t in (("a", 1, 4, "providers.md", "enable provider"), ("b", 2, 5, "config-env.md", f"enable provider {table}"), ("c", 3, 1, "x.md", "the provider now"), ("d", 4, 2, "y.md", ""), ("e", 5, 3, "z.md", ""))],
+        # exact tokens: only the best of the first three
+        *[(2, i, r, c, "getValue isSet", None, f, "s", t) for i, r, c, f, t in (("a", 1, 5, "x.md", "getvalue isset"), ("b", 2, 4, "project-structure.md", "getvalue isset"), ("c", 3, 1, "x.md", ""), ("d", 4, 2, "x.md", ""), ("e", 5, 3, "x.md", ""))],
+        # nothing is kept for a semantic query
+        *[(3, i, r, 6 - r, "how do i wash it", None, "x.md", "s", "wash it how do") for r, i in enumerate("abcde", 1)],
+    ]
+    d = spark.createDataFrame(rows, columns)
+    order = lambda v: {q: "".join(r["id"] for r in sorted(G.ce_guard(d, v).collect(), key=lambda r: r["new_rank"]) if r["qid"] == q) for q in (1, 2, 3)}
+    assert order("v1") == {1: "cdaeb", 2: "cdabe", 3: "edcba"}
+    assert order("v3") == {1: "cdaeb", 2: "cdbea", 3: "edcba"}
+    assert order("v4")[1] == "cadeb"
+    assert order("v2")[1] == "acdeb"
+
+
 def test_tiny_code_whole_reads_past_the_first_characters(spark, tmp_path):
     from sparkloom.plans import chunk_queries as Q
 
