@@ -59,11 +59,14 @@ def _words(items: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in items])
 
 
+def sparse_words(text: Column) -> Column:
+    """Lower case, other than letters, digits and space as spaces, split into words."""
+    return F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " "), r"\s+")
+
+
 def sparse_tokens(text: Column) -> Column:
-    """Lower case, other than letters, digits and space as spaces, words of two or more that are no stop
-    words."""
-    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " ")
-    return F.filter(F.split(spaced, r"\s+"), lambda t: (F.length(t) > 1) & ~F.array_contains(_words(SPARSE_STOP_WORDS), t))
+    """The words of two characters or more that are no stop words."""
+    return F.filter(sparse_words(text), lambda t: (F.length(t) > 1) & ~F.array_contains(_words(SPARSE_STOP_WORDS), t))
 
 
 def is_technical(token: Column) -> Column:

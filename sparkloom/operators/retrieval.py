@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_bucket, query_tokens, sparse_tokens
+from ..functions.text import SPARSE_STOP_WORDS, hash_bucket, query_tokens, sparse_words
 
 # BM25 saturation, fusion and rerank weights.
 K1, B = 1.5, 0.75
@@ -17,21 +17,18 @@ INTRO_PENALTY, PROTECT, FILE_PENALTY = 0.02, 0.05, (0.0, 0.05, 0.10, 0.15)
 SPECIAL_IDS = (0, 1, 2, 3, 250001)
 
 
-def _buckets(terms: DataFrame) -> DataFrame:
-    """(term, bucket) of the distinct terms: each is hashed once, however many rows have it."""
-    return terms.select("term").distinct().select("term", hash_bucket(F.col("term")).alias("bucket"))
+def sparse_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term): a row for each of a text's sparse tokens. Words are exploded first and filtered as rows, by a hash set
+    in compiled code, not as elements of an array."""
+    words = docs.select(key, F.explode(sparse_words(F.col(text))).alias("term"))
+    return words.filter((F.length("term") > 1) & ~F.col("term").isin(*SPARSE_STOP_WORDS))
 
 
 def sparse_encode(docs: DataFrame, key: str, text: str = "text", avg_length: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """(key, bucket, weight): saturated term frequencies, colliding buckets added up. With ``avg_length``
     lengths are normalised by the corpus mean; without it the norm is 1. ``wanted`` (bucket): only these
-    buckets are encoded, and terms of others go before anything is counted."""
-    tokens = docs.select(key, F.explode(sparse_tokens(F.col(text))).alias("term"))
-    dictionary = _buckets(tokens)
-    if wanted is not None:
-        dictionary = dictionary.join(wanted.select("bucket").distinct(), "bucket", "left_semi")
-    rows = tokens if avg_length or wanted is None else tokens.join(dictionary.select("term"), "term", "left_semi")
-    terms = rows.groupBy(key, "term").agg(F.count("*").alias("f"))
+    buckets are encoded. A text's terms are counted before they are hashed, and texts are read once."""
+    terms = sparse_terms(docs, key, text).groupBy(key, "term").agg(F.count("*").alias("f"))
     norm: Column = F.lit(1.0)
     if avg_length:
         n = terms.groupBy(key).agg(F.sum("f").alias("n"))
@@ -39,13 +36,16 @@ def sparse_encode(docs: DataFrame, key: str, text: str = "text", avg_length: boo
         terms = terms.join(n, key)
         norm = 1 - B + B * F.col("n") / F.lit(mean)
     weight = F.col("f") * (K1 + 1) / (F.col("f") + K1 * norm)
-    return terms.withColumn("w", weight).join(dictionary, "term").groupBy(key, "bucket").agg(F.sum("w").alias("weight"))
+    hashed = terms.select(key, hash_bucket(F.col("term")).alias("bucket"), weight.alias("w"))
+    if wanted is not None:
+        hashed = hashed.join(wanted.select("bucket").distinct(), "bucket", "left_semi")
+    return hashed.groupBy(key, "bucket").agg(F.sum("w").alias("weight"))
 
 
 def bm25_idf(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(term, df, idf)."""
     n = docs.agg(F.count("*").alias("n"))
-    df = docs.select(key, F.explode(F.array_distinct(sparse_tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = sparse_terms(docs.withColumn("__row", F.monotonically_increasing_id()), "__row", text).distinct().groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 

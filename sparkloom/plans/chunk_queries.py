@@ -85,9 +85,10 @@ def skeleton_chunk(spark, sf_dir):
     return d.select("source_file", "above_budget", F.when(F.col("marks") >= 1, 0).otherwise(1).alias("orphans"), "tables", "checklists", F.when(F.col("prose") - F.col("kept") <= F.col("may_go"), 0).otherwise(1).alias("lost_prose"), "gaps")
 
 
-@query("node_policy")
+@query("node_policy", f"""{PLAIN} SELECT node_type, CASE node_type WHEN 'paragraph' THEN 'chunk_text' WHEN 'unknown' THEN 'chunk_text' WHEN 'code_block' THEN 'merge_with_parent' ELSE 'payload_raw_embed_context' END AS policy, CASE WHEN node_type <> 'code_block' THEN 'retrieval_content' END AS point_kind, count(*) AS n FROM nodes GROUP BY node_type""")
 def node_policy(spark, sf_dir):
-    return C.node_policy(C.md_skeleton(markdown(spark, sf_dir))).groupBy("node_type", "policy", "point_kind").agg(F.count("*").alias("n"))
+    """Code blocks are tiny here."""
+    return C.node_policy(C.md_skeleton(plain_markdown(spark, sf_dir))).groupBy("node_type", "policy", "point_kind").agg(F.count("*").alias("n"))
 
 
 @query("tiny_code", "SELECT doc_id, NOT ((len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 12) OR len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 16) AS tiny FROM (SELECT doc_id, left(text, 90) AS code FROM documents)")

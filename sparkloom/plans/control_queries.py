@@ -15,14 +15,29 @@ def events(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", ts.alias("ts"), F.unix_millis(ts).alias("ts_ms"), F.col("value").alias("cost"), F.col("event_type").alias("state"), "props")
 
 
-@query("rate_limit")
+def bucket_sql(cost: str, capacity: float, per_ms: str) -> str:
+    """A token bucket as a recursion over each key's events in order; what is given back does not refill it."""
+    take = "CASE WHEN cost < 0 THEN least({cap}, r - cost) WHEN cost <= {cap} AND r >= cost THEN r - cost ELSE r END".format(cap=capacity)
+    said = f"cost < 0 OR (cost <= {capacity} AND r >= cost) AS allowed, CASE WHEN cost < 0 THEN 0 WHEN cost > {capacity} THEN NULL WHEN r >= cost THEN 0 ELSE CAST(ceil((cost - r) / ({per_ms})) AS BIGINT) END AS wait"
+    return f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) // 1000 AS t, CAST({cost} AS DOUBLE) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+  b AS (SELECT key, event_id, i, t AS since, {take} AS tokens, {said} FROM (SELECT *, CAST({capacity} AS DOUBLE) AS r FROM e WHERE i = 1)
+    UNION ALL SELECT key, event_id, i, since, {take}, {said.replace(' AS allowed', '').replace(' AS wait', '')}
+    FROM (SELECT e.*, CASE WHEN e.cost < 0 THEN b.since ELSE e.t END AS since, CASE WHEN e.cost < 0 THEN b.tokens ELSE least({capacity}, b.tokens + (e.t - b.since) * ({per_ms})) END AS r FROM b JOIN e ON e.key = b.key AND e.i = b.i + 1))
+  SELECT key, event_id, allowed, round(tokens, 4) AS remaining, wait AS retry_after_ms FROM b"""
+
+
+def rounded(d):
+    return d.withColumn("remaining", F.round("remaining", 4))
+
+
+@query("rate_limit", bucket_sql("1", 5, "30e0 / 60000"))
 def rate_limit(spark, sf_dir):
-    return K.token_bucket(events(spark, sf_dir).withColumn("cost", F.lit(1.0)), K.RATE_BURST, K.RATE_PER_MINUTE / 60_000)
+    return rounded(K.token_bucket(events(spark, sf_dir).withColumn("cost", F.lit(1.0)), K.RATE_BURST, K.RATE_PER_MINUTE / 60_000))
 
 
-@query("token_budget")
+@query("token_budget", bucket_sql("value * 100", 40_000, "200000e0 / 3600000"))
 def token_budget(spark, sf_dir):
-    return K.token_bucket(events(spark, sf_dir).withColumn("cost", F.col("cost") * 100), K.TOKENS_BURST, K.TOKENS_PER_HOUR / 3_600_000)
+    return rounded(K.token_bucket(events(spark, sf_dir).withColumn("cost", F.col("cost") * 100), K.TOKENS_BURST, K.TOKENS_PER_HOUR / 3_600_000))
 
 
 @query("budget_ledger", "SELECT user_id AS key, event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 6) AS spent, count(*) OVER w <= 5 AND round(sum(value) OVER w, 6) <= 60000 AS within FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -30,11 +45,11 @@ def budget_ledger(spark, sf_dir):
     return K.budget_ledger(events(spark, sf_dir))
 
 
-@query("token_budget_release")
+@query("token_budget_release", bucket_sql("CASE WHEN event_id % 3 = 0 THEN -value * 50 ELSE value * 400 END", 40_000, "200000e0 / 3600000"))
 def token_budget_release(spark, sf_dir):
     """Every third event gives back half of what it names."""
     cost = F.when(F.col("event_id") % 3 == 0, -F.col("cost") * 50).otherwise(F.col("cost") * 400)
-    return K.token_bucket(events(spark, sf_dir).withColumn("cost", cost), K.TOKENS_BURST, K.TOKENS_PER_HOUR / 3_600_000)
+    return rounded(K.token_bucket(events(spark, sf_dir).withColumn("cost", cost), K.TOKENS_BURST, K.TOKENS_PER_HOUR / 3_600_000))
 
 
 LEDGER = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, event_id % 2 = 0 AS reserve, round(value * 100, 2) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),

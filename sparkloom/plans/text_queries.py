@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..functions import text as X
+from ..operators import retrieval as R
 from .fixtures import CHUNKS, chunks, table
 from .registry import query
 
@@ -147,7 +148,7 @@ on_table("evaluation_id", "benchmark", "item_id", lambda: I.evaluation_id("q", F
 @query("hash_bucket", f"WITH t AS (SELECT DISTINCT unnest({SPARSE_SQL}) AS token FROM documents) SELECT token, CAST(abs({BUCKET_SQL.format('token')}) % 1048576 AS BIGINT) AS bucket FROM t")
 def hash_bucket(spark, sf_dir):
     """Each distinct term's bucket: terms are made distinct before they are hashed."""
-    tokens = table(spark, sf_dir, "documents").select(F.explode(X.sparse_tokens(F.col("text"))).alias("token")).distinct()
+    tokens = R.sparse_terms(table(spark, sf_dir, "documents"), "doc_id").select(F.col("term").alias("token")).distinct()
     return tokens.select("token", X.hash_bucket(F.col("token")).alias("bucket"))
 
 
@@ -168,12 +169,21 @@ def is_technical(spark, sf_dir):
     return words.select("token", X.is_technical(F.col("token")).alias("technical"))
 
 
-@query("sanitize_summary")
+#: Answers whose fate is stated.
+SUMMARIES = [
+    ('Summary: "A plain and useful sentence."', "A plain and useful sentence."), ("Sure, here it is, the whole summary", None), ("too short", None), ("word " * 30, None),
+    ("# A heading that is markup", None), ("Some **bold** words of a summary", None), ("«Quoted words of a plain summary»", "Quoted words of a plain summary"), ("x" * 700, None), (" as plain as the sentence before it ", "as plain as the sentence before it"),
+]
+
+
+@query("sanitize_summary", "SELECT doc_id, [" + ", ".join("NULL" if w is None else f"'{w}'" for _, w in SUMMARIES) + f"][1 + doc_id % {len(SUMMARIES)}] AS summary FROM documents")
 def sanitize_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.sanitize_summary(F.col("text")).alias("summary"))
+    raw = F.element_at(F.array(*[F.lit(r) for r, _ in SUMMARIES]), (F.col("doc_id") % len(SUMMARIES) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.sanitize_summary(raw).alias("summary"))
 
 
-@query("safe_last_tokens")
+@query("safe_last_tokens", """SELECT doc_id, CASE WHEN length(text) <= 160 THEN text WHEN regexp_matches(substr(text, length(text) - 160, 1), '^\\s$') OR regexp_matches(substr(right(text, 160), 1, 1), '^\\s$') THEN ltrim(right(text, 160))
+  ELSE regexp_extract(right(text, 160), '\\s+([\\s\\S]*)$', 1) END AS tail FROM documents""")
 def safe_last_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.safe_last_tokens(F.col("text"), 40).alias("tail"))
 
