@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Pre-tokens whose encoding a worker remembers; when it holds as many, it starts anew.
-MEMO = 700_000
+#: Pre-tokens whose encoding a worker remembers, and their characters; when it holds as many of either, it starts anew.
+MEMO, MEMO_CHARS = 700_000, 8_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -108,6 +108,7 @@ class Tokenizer:
         self.rank = {t: i for i, t in enumerate(self.entries)}
         self.text = [str(i) for i in range(len(self.entries))]
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def __getstate__(self) -> dict:
         return {"entries": self.entries, "pattern": self.pattern, "hash": self.hash}
@@ -154,13 +155,15 @@ class Tokenizer:
         if not new:
             return
         for part, token, at in zip(new, raw, self.hash.find(raw).tolist(), strict=True):
+            self.held += len(part)
             self.memo[part] = (at,) if at >= 0 and self.entries[at] == token else self.merge(token)
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a whole text; null counts as empty."""
         parts = self.find(text or "")
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
         try:
             return list(chain.from_iterable(map(self.memo.__getitem__, parts)))
         except KeyError:
