@@ -106,9 +106,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     roots = materialize(connected_components(edges), "url-roots")
     # an edge's far end may be no page of the table: rules judge it all the same
     far = roots.select("node", "root", match_rule(host_of(F.col("node")), path_of(F.col("node")), rules).alias("own"))
-    rooted = judged.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    said = rooted.select("root", "own").unionByName(far.select("root", "own")).filter("root is not null and own is not null")
+    # urls that are no node have no alias: they would share one key of the joins
+    nodes, others = judged.filter("node is not null"), judged.filter("node is null")
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    said = rooted.select("root", "own").unionByName(far.select("root", "own")).filter("own is not null")
     said = said.groupBy("root").agg(F.max(F.col("own.verdict") == "allow").alias("allow"), F.max(F.col("own.verdict") == "block").alias("block"))
     method = F.when(F.col("allow"), F.lit("allow")).when(F.col("block"), F.lit("block")).otherwise(F.lit(default))
-    out = rooted.join(materialize(said, "url-said"), "root", "left")
+    alone = others.withColumns({"root": F.lit(None).cast("string"), "allow": F.lit(None).cast("boolean"), "block": F.lit(None).cast("boolean")})
+    out = rooted.join(materialize(said, "url-said"), "root", "left").unionByName(alone)
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", method).alias("verdict"), F.col("root").alias("alias_root"))

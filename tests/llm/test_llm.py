@@ -669,6 +669,54 @@ def test_warc_looks_up_many_keys_in_blocks(spark, tmp_path):
     assert len(list(built.blocks(warc.surt("http://hot.com/")))) > 10 > len(list(built.blocks(warc.surt("http://h6.com/"))))
 
 
+def test_bpe_of_repeated_rows_and_a_small_memo(spark, tokens, monkeypatch):
+    path, enc = tokens
+    monkeypatch.setattr(bpe, "MEMO_CHARS", 20)
+    t = bpe.Tokenizer(bpe.read_ranks(path), public_tokenizers.PATTERN)
+    for text in ("some words", "x" * 500, "other words 漢字", "some words"):
+        assert t.encode(text) == enc.encode_ordinary(text) and t.held <= 20 + len(text)
+    d = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (None, "c")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("ids", "n_tokens")})
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in bpe.encode_documents(d, path, public_tokenizers.PATTERN).collect())
+    assert got == sorted((str(i), len(enc.encode_ordinary(t or ""))) for i, t in [(1, "a b"), (1, "a b"), (1, None), (None, "c")])
+
+
+def test_url_filters_of_nulls(spark):
+    data = [(None, None, "<link rel=canonical href='http://a.com/en/1'>"), (1, "http://q.fr/", None), (1, "http://q.fr/", None), (2, "", ""), (3, "http://q.fr/a", "<link rel=canonical href=''>")]
+    d = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("node", "rule", "verdict")})
+    got = sorted((str(r["page_id"]), r["host"], r["verdict"]) for r in url_filters.filter_urls(d, URL_RULES).collect())
+    assert got == [("1", "q.fr", "allow"), ("1", "q.fr", "allow"), ("2", "", "allow"), ("3", "q.fr", "allow"), ("None", "", "allow")]
+
+
+def test_long_texts(spark):
+    long = prose(60_000, 77)  # a quarter of a million characters
+    d = spark.createDataFrame([(1, long, "en", "a", 1), (2, long + " end", "en", "a", 1), (3, prose(200, 78), "en", "a", 1)], SCHEMA)
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(d, keep=["doc_id"]).collect()}
+    assert got[1]["n_words"] == 60_000 and got[1]["word_chars"] == len(long.replace(" ", ""))
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(d).collect()}
+    assert got[1]["n_chars"] == len(long) and got[1]["near_next"] > 0.9
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(d).collect()}
+    assert got[1]["n_removed"] == len(long) and got[2]["n_removed"] >= len(long) and got[3]["n_removed"] == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    none = spark.createDataFrame([], SCHEMA)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    good = prose(90, 900)
+    odd = spark.createDataFrame([(None, good, "en", "s", 1), (5, prose(90, 901), None, None, None), (5, prose(90, 902), "en", "s", 1), (6, None, "en", "s", 0), (7, "", "en", "s", 0), (8, good, "en", "s", 1)], SCHEMA).withColumns({c: F.lit("x") for c in ("__row", "kept", "spans", "grp")})
+    docs = odd
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd.columns
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k == 1:
+            assert sorted(r["text"] for r in docs.collect()) == sorted([good, prose(90, 901), prose(90, 902)])
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 0
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline as P
 
