@@ -115,7 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n0, n1 = by.get(0, 0), by.get(1, 0)
     counts = sample.select("text", "y").mapInArrow(count, "feature bigint, c0 bigint, c1 bigint")
     counts = counts.groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(F.col("c0") + F.col("c1") >= LEAST)
-    # at most 2**BITS rows
+    # only features that tell the labels apart come to the driver: those whose ratio is clear, with room for rounding
+    told = F.log((F.col("c1") + 1) / (n1 + 2)) - F.log((F.col("c0") + 1) / (n0 + 2))
+    counts = counts.filter(F.abs(told) * F.sqrt(F.col("c0") + F.col("c1")) >= CLEAR - 1e-6)
     counts = counts.toPandas().sort_values("feature")
     c0, c1 = counts["c0"].to_numpy(), counts["c1"].to_numpy()
     ratio = log_count_ratio(c0, c1, n0, n1)
