@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .training import Adam, held_out, sample_ids, sample_rows, sigmoid
 
 #: Trusted positives and unlabelled rows that training takes at most.
-MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
+MOST_POSITIVE, MOST_UNLABELLED = 2000, 4000
 SHAPES = 14
 #: Hashed inputs: as many of words as of character 3-grams.
 HASHED = 512
@@ -223,14 +223,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = vectors(b.column(1).to_pylist())
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, WIDTH, dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], names=["doc_id", "y", "x"])
+            x = vectors(b.column(1).to_pylist()).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([row.tobytes() for row in x], pa.binary())], names=["doc_id", "y", "x"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = sample.mapInArrow(run, f"doc_id {kind}, y int, x array<float>").toPandas().sort_values("doc_id")
-    x = np.vstack(list(rows["x"])).astype(np.float32) if len(rows) else vectors([])
-    positive, unlabelled = x[(rows["y"] & 1).to_numpy() == 1], x[(rows["y"] & 2).to_numpy() == 2]
+    # some 2 kB a row of a bounded number of rows, in half precision
+    rows = sample.mapInArrow(run, f"doc_id {kind}, y int, x binary").toPandas().sort_values("doc_id")
+    mark = rows["y"].to_numpy()
+    x = np.frombuffer(b"".join(rows.pop("x")), dtype=np.float16).reshape(-1, WIDTH).astype(np.float32)
+    positive, unlabelled = x[mark & 1 == 1], x[mark & 2 == 2]
+    del x, rows
     if len(positive) < 2 or not len(unlabelled):
         return _blank()
     half = np.arange(len(positive)) % 2 == 1
