@@ -36,7 +36,7 @@ PACK = 8
 #: Suffixes of a collection at which the next key starts a new one.
 BATCH = 400_000
 #: A key with more distinct segments than this is split by a longer piece.
-HOT = 1000
+HOT = 4000
 _CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
