@@ -15,9 +15,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.control import Bucket
 
 
-def rate_limit_stream(events: DataFrame, capacity: float, per_ms: float) -> DataFrame:
-    """(key, event_id, allowed, remaining, retry_after_ms) for a stream of (key, event_id, ts_ms, cost). A
-    bucket's state goes after it has been idle for as long as it takes to fill, which changes no decision."""
+def rate_limit_stream(events: DataFrame, capacity: float, per_ms: float, late: str = "10 minutes") -> DataFrame:
+    """(key, event_id, allowed, remaining, retry_after_ms) for a stream of (key, event_id, ts_ms, cost).
+
+    Everything goes by the events' own clock: a bucket's state goes when the watermark (``late`` behind the newest event)
+    has passed the time at which it would be full again, so that replayed events find the bucket they left, and no
+    decision depends on when they are processed. Events beyond the watermark are not judged.
+    """
     idle = int(capacity / per_ms) + 1
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -29,11 +33,13 @@ def rate_limit_stream(events: DataFrame, capacity: float, per_ms: float) -> Data
         bucket = Bucket(capacity, per_ms, at, tokens)
         rows = [(key[0], e, *bucket.take(int(t), float(c))) for e, t, c in zip(p["event_id"], p["ts_ms"], p["cost"], strict=True)]
         state.update((bucket.tokens, bucket.at))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(max(bucket.at + idle + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["key", "event_id", "allowed", "remaining", "retry_after_ms"]).astype({"retry_after_ms": "Int64"})
 
-    return events.groupBy("key").applyInPandasWithState(
-        step, "key bigint, event_id bigint, allowed boolean, remaining double, retry_after_ms bigint", "tokens double, at bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+    # the first watermark is the epoch, at which an event would be late
+    timed = events.withColumn("ts", F.timestamp_millis(F.col("ts_ms") + 1)).withWatermark("ts", late)
+    return timed.groupBy("key").applyInPandasWithState(
+        step, "key bigint, event_id bigint, allowed boolean, remaining double, retry_after_ms bigint", "tokens double, at bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

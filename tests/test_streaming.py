@@ -18,6 +18,20 @@ def test_rate_limit_stream(spark, tmp_path):
     assert got == sorted(map(tuple, K.token_bucket(d, 3, 1 / 200_000).collect()))
 
 
+def test_rate_limits_go_by_the_events_clock(spark, tmp_path):
+    # the second batch comes long after the first by its own clock for one key, at once for the other
+    rows = [(1, i, i, 1.0) for i in range(5)] + [(1, 5, 10, 1.0)] + [(2, i, i, 1.0) for i in range(10, 15)] + [(2, 15, 3_000_000, 1.0)]
+    d = spark.createDataFrame(rows, "key long, event_id long, ts_ms long, cost double")
+    for part, keep in (("a", "event_id not in (5, 15)"), ("b", "event_id in (5, 15)")):
+        d.filter(keep).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+        stream = spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in/*")
+        out = S.rate_limit_stream(stream, 3, 1 / 1000).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        out.option("checkpointLocation", f"{tmp_path}/c").trigger(once=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == sorted(map(tuple, K.token_bucket(d, 3, 1 / 1000).collect()))
+    assert {r[1]: r[2] for r in got}[5] is False and {r[1]: r[2] for r in got}[15] is True
+
+
 def test_windowed_counts(spark, tmp_path):
     d = spark.range(100).select(F.timestamp_seconds(36000 + F.col("id") * 120).alias("ts"), F.lit("view").alias("event_type"), F.col("id").alias("event_id"))
     d.unionByName(d).coalesce(1).write.parquet(f"{tmp_path}/in")
