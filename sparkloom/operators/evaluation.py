@@ -201,7 +201,7 @@ def exact_ranks(runs: DataFrame, qrels: DataFrame, least: int = 3) -> DataFrame:
     """(mode, qid, best): the first rank of a document graded ``least`` or more, for the queries that have one; null
     where a mode does not find it."""
     good = qrels.filter(F.col("rel") >= least).select("qid", "id").distinct()
-    every = runs.select("mode").distinct().join(F.broadcast(good.select("qid").distinct()))  # a few modes
+    every = good.select("qid").distinct().join(F.broadcast(runs.select("mode").distinct()))  # a few modes
     best = runs.join(good, ["qid", "id"], "left_semi").groupBy("mode", "qid").agg(F.min("rank").cast("bigint").alias("best"))
     return every.join(best, ["mode", "qid"], "left")
 
@@ -211,7 +211,7 @@ def routing_metrics(runs: DataFrame, qrels: DataFrame, k: int = 10, by: list[str
     support recall (grade 2 or more), mrr10 and nDCG with exponential gain, over queries that have the grades asked for."""
     by = list(by)
     grades = qrels.groupBy("qid", *by).agg(F.max("rel").alias("top"))
-    every = runs.select("mode").distinct().join(F.broadcast(grades))  # a few modes
+    every = grades.join(F.broadcast(runs.select("mode").distinct()))  # a few modes
     hits = runs.join(qrels.select("qid", "id", "rel"), ["qid", "id"]).groupBy("mode", "qid").agg(
         F.min(F.when(F.col("rel") >= 3, F.col("rank"))).alias("best"),
         F.min(F.when(F.col("rel") >= 2, F.col("rank"))).alias("support"),

@@ -131,7 +131,8 @@ def summary_rollup(directories: DataFrame, files: DataFrame, generate: Generate)
 
 def collection_summary(collection: str, files: DataFrame, top: DataFrame | None = None, generate: Generate | None = None) -> DataFrame:
     """One row (collection, summary, summary_kind, n_files): the inventory, or with a generator an overview of the top
-    level (name, summary), after which the files (source_file, summary) are told unless they are the top level."""
+    level (name, summary), after which the files (source_file, summary) are told unless they are the top level. What the
+    generator is given is one text, so a collection of very many files should be given by its top level alone."""
     n = files.agg(F.count("*").alias("n_files"))
     inventory = F.concat(F.lit(f"{collection} — "), F.col("n_files").cast("string"), F.when(F.col("n_files") == 1, " file").otherwise(" files"))
     if generate is None:
