@@ -77,9 +77,10 @@ def query_tokens(text: Column) -> Column:
     """map<string, boolean>: each lower-cased word that is no stop word, and whether its last occurrence looks
     technical."""
     raw = F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), 0), lambda t: ~F.array_contains(_words(QUERY_STOP_WORDS), F.lower(t)))
-    pairs = F.transform(raw, lambda t: F.struct(F.lower(t).alias("w"), is_technical(t).alias("t")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["w"] == p["w"]))
-    return F.map_from_entries(last)
+    # sorted by word, the last occurrence first: what follows an equal word goes
+    placed = F.array_sort(F.transform(raw, lambda t, i: F.struct(F.lower(t).alias("w"), (-i).alias("i"), is_technical(t).alias("t"))))
+    last = bound(placed, lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["w"] != x["w"])))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["w"], x["t"])))
 
 
 def guard_tokens(text: Column) -> Column:
