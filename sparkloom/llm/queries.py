@@ -19,6 +19,7 @@ from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
 from .url_filters import filter_urls
 from .warc import round_trip
+from .whitening import whiten
 
 #: (verdict, host, path): the contract's rules.
 URL_RULES = [
@@ -74,6 +75,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing_sources": op2_mixing_sources,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL = {"op5_url_filters": oracle_sql.URLS, "op2_mixing_sources": oracle_sql.MIXING, "op10_warc": oracle_sql.WARC}
