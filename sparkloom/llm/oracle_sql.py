@@ -66,3 +66,34 @@ mine AS (SELECT page_id, first_value(verdict) OVER w AS verdict, first_value(h |
 SELECT p.page_id, p.host, p.path, mine.rule, coalesce(mine.verdict, CASE WHEN said.allowed IS NULL OR said.allowed THEN 'allow' ELSE 'block' END) AS verdict, coalesce(root.root, keyed.node) AS alias_root
 FROM p LEFT JOIN mine ON mine.page_id = p.page_id AND i = 1 LEFT JOIN keyed ON keyed.url = p.url LEFT JOIN root ON root.node = keyed.node LEFT JOIN said ON said.root = coalesce(root.root, keyed.node)
 """
+
+PHRASES = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS BIGINT) AS f FROM x, range(1, 5) ks(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM g WHERE f >= 30),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM often WHERE k > 1),
+cut AS (SELECT lang, phrase, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail, f FROM c, range(1, 4) js(j) WHERE j < k),
+part AS (SELECT cut.lang, cut.phrase, j, cut.f AS a, h.f AS l, t.f AS r, CAST(CAST(2000000 AS HUGEINT) * cut.f // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM cut JOIN often h ON h.lang = cut.lang AND h.phrase = head JOIN often t ON t.lang = cut.lang AND t.phrase = tail),
+low AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS most FROM c, range(1, 4) it(i), range(2, 4) mt(m) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+ranked AS (SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank, low.phrase, a, l, r, score
+  FROM low LEFT JOIN held ON held.lang = low.lang AND held.phrase = low.phrase WHERE most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+PASSAGES = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+at AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i FROM d),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM at JOIN d USING (doc_id)),
+hit AS (SELECT doc_id, i FROM x JOIN (SELECT s, min(doc_id) AS least FROM x GROUP BY s) m ON m.s = x.s WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hit, range(0, 13) js(j)),
+lost AS (SELECT doc_id, list(i) AS lost FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lost), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN lost IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(lost, z[2])), lambda z: z[1]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""

@@ -12,6 +12,7 @@ from .bpe import encode_documents
 from .common import read_table
 from .fingerprints import fingerprint_edits
 from .mixing import mix_sources
+from .phrases import collocations
 from .quality_classifier import quality
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -75,6 +76,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"))
 
@@ -90,7 +95,13 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
-ORACLE_SQL = {"op5_url_filters": oracle_sql.URLS, "op2_mixing_sources": oracle_sql.MIXING, "op10_warc": oracle_sql.WARC}
+ORACLE_SQL = {
+    "op2_mixing_sources": oracle_sql.MIXING,
+    "op5_url_filters": oracle_sql.URLS,
+    "op10_warc": oracle_sql.WARC,
+    "op12_phrase_collocations": oracle_sql.PHRASES,
+}
