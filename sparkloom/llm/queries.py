@@ -12,6 +12,7 @@ from .bpe import encode_documents
 from .common import read_table
 from .fingerprints import fingerprint_edits
 from .mixing import mix_sources
+from .passages import remove_passages
 from .phrases import collocations
 from .quality_classifier import quality
 from .quality_rules import quality_rules
@@ -76,6 +77,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
@@ -103,5 +109,6 @@ ORACLE_SQL = {
     "op2_mixing_sources": oracle_sql.MIXING,
     "op5_url_filters": oracle_sql.URLS,
     "op10_warc": oracle_sql.WARC,
+    "op11_substring_dedup": oracle_sql.PASSAGES,
     "op12_phrase_collocations": oracle_sql.PHRASES,
 }
