@@ -88,8 +88,8 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked
 
 PASSAGES = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-at AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i FROM d),
-x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM at JOIN d USING (doc_id)),
+pos AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i FROM d),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM pos JOIN d USING (doc_id)),
 hit AS (SELECT doc_id, i FROM x JOIN (SELECT s, min(doc_id) AS least FROM x GROUP BY s) m ON m.s = x.s WHERE least < doc_id),
 gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hit, range(0, 13) js(j)),
 lost AS (SELECT doc_id, list(i) AS lost FROM gone GROUP BY doc_id)

@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remove, written
 
 LEAST = 30
 LONGEST = 4
 TOP = 2000
 #: Words at which a block is closed, and bytes of texts that are split into words at once.
-BLOCK, SLICE = 1 << 21, 4 << 20
+BLOCK, SLICE = 1 << 20, 4 << 20
 #: Candidates of a language that one task ranks.
 RANKED = 200_000
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -78,6 +78,13 @@ def pair_block(seq: np.ndarray, at: np.ndarray, names: np.ndarray) -> tuple[np.n
     return squeeze(following), names[pairs // max(1, len(at))], names[pairs % max(1, len(at))], counts
 
 
+def _numbered(seq: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """Columns seq, pos and c of a block: its sequence in a first row, then a row for each item."""
+    rows, first = 1 + len(counts), np.arange(1 + len(counts)) == 0
+    pos = pa.array(np.arange(-1, rows - 1, dtype=np.int32), mask=first)
+    return [pa.concat_arrays([pa.array([seq.tobytes()]), pa.nulls(len(counts), pa.binary())]), pos, pa.array(np.concatenate(([0], counts)), mask=first)]
+
+
 def _word_blocks(docs: DataFrame, lang: str, text: str, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
@@ -89,10 +96,9 @@ def _word_blocks(docs: DataFrame, lang: str, text: str, block: int) -> DataFrame
             seq, items, counts = word_block(pa.concat_arrays(held.pop(of)))
             del size[of]
             made += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(TaskContext.get().partitionId() << 32) + made]), pa.array([of]), pa.array([int(counts.sum())]), pa.array([seq.tobytes()]), pa.array([items.cast(pa.string())], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
-                names=["block", "lang", "n", "seq", "items", "counts"],
-            )
+            rows = 1 + len(items)
+            number, words = np.full(rows, (TaskContext.get().partitionId() << 32) + made), pa.concat_arrays([pa.nulls(1, pa.string()), items.cast(pa.string())])
+            return pa.RecordBatch.from_arrays([pa.array(number), pa.array([of]).take(pa.array(np.zeros(rows, dtype=np.int64))), *_numbered(seq, counts), words], names=["block", "lang", "seq", "pos", "c", "phrase"])
 
         for b in batches:
             for of in pc.unique(b.column(0)).to_pylist():
@@ -112,7 +118,7 @@ def _word_blocks(docs: DataFrame, lang: str, text: str, block: int) -> DataFrame
         for of in list(held):
             yield close(of)
 
-    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text)).mapInArrow(run, "block bigint, lang string, n bigint, seq binary, items array<string>, counts array<bigint>")
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text)).mapInArrow(run, "block bigint, lang string, seq binary, pos int, c bigint, phrase string")
 
 
 def _next_blocks(blocks: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -121,11 +127,12 @@ def _next_blocks(blocks: DataFrame, mapping: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         seq = np.frombuffer(left["seq"][0].as_py(), dtype=np.int32)
         following, lefts, rights, counts = pair_block(seq, right["pos"].to_numpy(), right["id"].to_numpy())
-        longs = pa.list_(pa.int64())
-        return pa.table({"block": left["block"], "seq": pa.array([following.tobytes()]), "lefts": pa.array([lefts], longs), "rights": pa.array([rights], longs), "counts": pa.array([counts], longs)})
+        sides = [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x)]) for x in (lefts, rights)]
+        number = pa.array(np.full(1 + len(counts), left["block"][0].as_py()))
+        return pa.Table.from_arrays([number, *_numbered(following, counts), *sides], names=["block", "seq", "pos", "c", "left", "right"])
 
-    made = blocks.select("block", "seq").groupBy("block").cogroup(mapping.withColumnRenamed("block", "of").groupBy("of"))
-    return made.applyInArrow(run, "block bigint, seq binary, lefts array<bigint>, rights array<bigint>, counts array<bigint>")
+    made = blocks.filter("seq is not null").select("block", "seq").groupBy("block").cogroup(mapping.withColumnRenamed("block", "of").groupBy("of"))
+    return made.applyInArrow(run, "block bigint, seq binary, pos int, c bigint, left bigint, right bigint")
 
 
 def _named(counted: DataFrame, least: int, level: int) -> DataFrame:
@@ -136,16 +143,18 @@ def phrase_names(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     """((lang, n): words of each language; for each length from 1, the phrases with ``least`` occurrences: (id, lang,
     phrase, last, f, left, right, heads, tails)), where left and right are the ids of the phrase without its last and its
     first word, ``last`` is its last word, and heads and tails hold the counts of its first and last 1, 2, ... words."""
-    blocks = materialize(_word_blocks(docs, lang, text, block), "phrase-blocks-1")
-    totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-    items = blocks.select("block", "lang", F.posexplode(F.arrays_zip("items", "counts")).alias("pos", "x")).select("block", "pos", "lang", F.col("x.items").alias("phrase"), F.col("x.counts").alias("c"))
+    blocks, path = written(_word_blocks(docs, lang, text, block), "phrase-blocks-1")
+    items = blocks.filter("pos is not null").select("block", "pos", "lang", "phrase", "c")
+    totals = materialize(items.groupBy("lang").agg(F.sum("c").alias("n")), "phrase-totals")
     names = _named(items.groupBy("lang", "phrase").agg(F.sum("c").alias("f")), least, 1)
     mapping = items.join(names.select("lang", "phrase", "id"), ["lang", "phrase"]).select("block", "pos", "id")
     null = F.lit(None).cast("bigint")
     found = [names.select("id", "lang", "phrase", F.col("phrase").alias("last"), "f", null.alias("left"), null.alias("right"), F.array("f").alias("heads"), F.array("f").alias("tails"))]
     for level in range(2, longest + 1):
-        blocks = materialize(_next_blocks(blocks, mapping), f"phrase-blocks-{level}")
-        items = blocks.select("block", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("c"))
+        blocks, next_path = written(_next_blocks(blocks, mapping), f"phrase-blocks-{level}")
+        remove(docs.sparkSession, path)
+        path = next_path
+        items = blocks.filter("pos is not null").select("block", "pos", "left", "right", "c")
         names = _named(items.groupBy("left", "right").agg(F.sum("c").alias("f")), least, level)
         mapping = items.join(names.select("left", "right", "id"), ["left", "right"]).select("block", "pos", "id")
         first = found[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("heads").alias("h"))
