@@ -5,10 +5,11 @@ least hash); consecutive windows with the same piece form a segment. Equal windo
 occurs once are settled, and of each key only the distinct segments go on, with the least id that holds each.
 
 Reference shards. Keys are dealt to shards of a bounded number of words. The distinct segments of a shard are its
-reference: they make one suffix automaton over words, in which a state knows the least id that holds its strings. The
-automaton is sent to every block of segments of its shard, and the blocks stream through it: matching statistics cut at
-the window's length tell for each window where the earliest equal one starts. A key with too many words for a shard is
-split beforehand, by keying its segments anew with a longer piece, at last by the whole window.
+reference: they make one suffix automaton over words, in which a state knows the least id that holds its strings, and
+stream through it: matching statistics cut at the window's length tell for each window where the earliest equal one
+starts. Only segments of the shard's keys can match there, so a shard's automaton goes to these, not to every task: the
+reference is all documents, and no part of it that every task would hold has a bounded size. A key with too many words
+for a shard is split beforehand, by keying its segments anew with a longer piece, at last by the whole window.
 """
 
 from __future__ import annotations
@@ -20,20 +21,22 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, numbered
+from .common import materialize, numbered, remove, written
 
 WINDOW = 13
 PIECE = 4
-#: Words of an automaton's reference on average; words of distinct segments from which a key is split; words that stream
-#: through a copy of an automaton.
-SHARD, HOT, BLOCK = 100_000, 50_000, 400_000
+#: Words of an automaton's reference on average, and words of distinct segments from which a key is split.
+SHARD, HOT = 100_000, 50_000
 _PLACE = np.uint64((1 << 26) - 1)
 _STEP = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once, a random odd number for each byte, and which bytes part words.
+_RUN = 1 << 20
+_VALUE = np.random.default_rng(21).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,16 +46,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts in order, number of words of each text)."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    words = split.flatten()
-    real = pc.greater(pc.binary_length(words), 0)
-    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
-    offsets = split.offsets.to_numpy()
-    coded = words.filter(real).dictionary_encode()
-    digest = xxhash.xxh3_64_intdigest
-    each = np.array([digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
-    return each[coded.indices.to_numpy()] if len(each) else np.empty(0, dtype=np.uint64), np.diff(before[offsets - offsets[0]])
+    """(hash of each word of all texts in order, number of words of each text). A hash is the polynomial of the word's
+    bytes, each by a random odd number, mixed with its length."""
+    filled = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(filled.buffers()[1], dtype=np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    data = filled.buffers()[2]
+    b = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, dtype=np.uint8)
+    offsets = offsets - offsets[0]
+    inside = np.zeros(len(b) + 1, dtype=bool)
+    inside[:-1] = ~_WHITE[b]
+    start, end = inside[:-1].copy(), inside[:-1].copy()
+    start[1:] &= ~inside[:-2]
+    end &= ~inside[1:]
+    border = offsets[1:-1]
+    border = border[(border > 0) & (border < len(b))]  # words of two texts may touch
+    start[border] = inside[border]
+    end[border - 1] = inside[border - 1]
+    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
+    up, down = Powers.upto(_RUN)
+    hashes = np.empty(len(first), dtype=np.uint64)
+    at = 0
+    while at < len(first):  # by runs of about as many bytes as there are powers
+        to = max(at + 1, int(np.searchsorted(last, first[at] + _RUN, side="right")))
+        n = int(last[to - 1] - first[at])
+        if n > len(up):
+            up, down = Powers.upto(n)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[b[first[at] : last[to - 1]]] * up[:n], out=total[1:])
+        i, j = first[at:to] - first[at], last[at:to] - first[at]
+        hashes[at:to] = mixed((total[j] - total[i]) * down[i] + (j - i).astype(np.uint64))
+        at = to
+    return hashes, np.diff(np.searchsorted(first, offsets))
 
 
 class Powers:
@@ -110,29 +134,48 @@ class Automaton:
 
     @classmethod
     def of(cls, strings: list[list[int]], ranks: list[int], symbols: int) -> Automaton:
-        """Of strings over 0..symbols - 1, each with its holder's rank."""
+        """Of strings over 0..symbols - 1, each with its holder's rank, which never falls from one string to the next."""
         step, link, length, holder = [{}], [-1], [0], [1 << 62]
+
+        def copied(to: int, n: int, p: int, c: int) -> int:
+            """A copy of state ``to`` for its strings of up to ``n`` symbols, to which p and its suffixes lead by c."""
+            copy = len(step)
+            step.append(step[to].copy())
+            length.append(n)
+            link.append(link[to])
+            holder.append(holder[to])
+            link[to] = copy
+            while p >= 0 and step[p].get(c) == to:
+                step[p][c] = copy
+                p = link[p]
+            return copy
+
         for string, rank in zip(strings, ranks, strict=True):
-            last = 0
+            last = n = 0
             for c in string:
-                to = step[last].get(c)
-                if to is None:
-                    new = len(step)
-                    step.append({})
-                    length.append(length[last] + 1)
-                    holder.append(rank)
-                    link.append(0)
-                    p = last
-                    while p >= 0 and c not in step[p]:
-                        step[p][c] = new
-                        p = link[p]
-                    if p >= 0:
-                        link[new] = cls._state(step, link, length, holder, p, c)
-                    last = new
+                out = step[last]
+                to = out.get(c)
+                n = length[last] + 1
+                if to is not None:
+                    last = to if length[to] == n else copied(to, n, last, c)
+                    continue
+                new = len(step)
+                step.append({})
+                length.append(n)
+                holder.append(rank)
+                link.append(0)
+                p = last
+                while to is None:
+                    out[c] = new
+                    p = link[p]
+                    if p < 0:
+                        break
+                    out = step[p]
+                    to = out.get(c)
                 else:
-                    last = cls._state(step, link, length, holder, last, c)
-                    if holder[last] > rank:
-                        holder[last] = rank
+                    n = length[p] + 1
+                    link[new] = to if length[to] == n else copied(to, n, p, c)
+                last = new
         lengths, links, held = np.array(length, dtype=np.int32), np.array(link, dtype=np.int32), np.array(holder, dtype=np.int64)
         longest_first = np.argsort(-lengths, kind="stable")[:-1]
         for these in np.split(longest_first, np.flatnonzero(np.diff(lengths[longest_first])) + 1):
@@ -144,23 +187,6 @@ class Automaton:
         by = np.argsort(keys)
         return cls(keys[by], targets[by], lengths, links, held, symbols)
 
-    @staticmethod
-    def _state(step: list[dict], link: list[int], length: list[int], holder: list[int], p: int, c: int) -> int:
-        """The state of p's longest string and c: the one that is there, or a copy of it for the shorter strings."""
-        to = step[p][c]
-        if length[to] == length[p] + 1:
-            return to
-        copy = len(step)
-        step.append(dict(step[to]))
-        length.append(length[p] + 1)
-        link.append(link[to])
-        holder.append(holder[to])
-        link[to] = copy
-        while p >= 0 and step[p].get(c) == to:
-            step[p][c] = copy
-            p = link[p]
-        return copy
-
     def first_holders(self, strings: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
         """For rows of symbols (-1: unknown, or beyond the row's length), longest first: the rank of the first holder of
         the window that ends at each place, or -1."""
@@ -213,70 +239,62 @@ def _strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, wants in zip(b.column(0), b.column(1), strict=True):
+            wants = b.column(1)
+            sizes, inner = np.diff(wants.offsets.to_numpy()).tolist(), wants.flatten()
+            starts, lengths = inner.field("start").to_pylist(), inner.field("size").to_pylist()
+            raw, at = [], 0
+            for text, n in zip(b.column(0), sizes, strict=True):
                 words = text.as_buffer().to_pybytes().split()
-                got = wants.values
-                starts, sizes = got.field("start").to_pylist(), got.field("size").to_pylist()
-                raw = pa.array([b" ".join(words[i : i + n]) for i, n in zip(starts, sizes, strict=True)]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*(got.field(n) for n in schema.names[:-1]), raw], names=schema.names)
+                raw += [b" ".join(words[i : i + k]) for i, k in zip(starts[at : at + n], lengths[at : at + n], strict=True)]
+                at += n
+            yield pa.RecordBatch.from_arrays([*(inner.field(n) for n in schema.names[:-1]), pa.array(raw, pa.binary()).cast(pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _automata(strings: DataFrame) -> DataFrame:
-    """One row for each shard: its automaton, the words that its symbols stand for, and the ids that its ranks do."""
-    arrays = ("keys", "targets", "length", "link", "holder")
-    schema = T.StructType([T.StructField("of", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("ids", T.ArrayType(strings.schema["least"].dataType)), *[T.StructField(n, T.BinaryType()) for n in arrays]])
-
-    def build(table: pa.Table) -> pa.Table:
-        ids = table["least"].to_pylist()
-        known = sorted({i for i in ids if i is not None})
-        ranks = {i: r for r, i in enumerate(known)} | {None: len(known)}
-        symbols: dict[str, int] = {}
-        rows = sorted(zip([ranks[i] for i in ids], table["raw"].to_pylist(), strict=True))
-        strings = [[symbols.setdefault(w, len(symbols)) for w in raw.split(" ")] for _, raw in rows]
-        made = Automaton.of(strings, [r for r, _ in rows], len(symbols))
-        columns = [table["shard"].slice(0, 1), pa.array([list(symbols)], pa.list_(pa.string())), pa.array([known], pa.list_(table.schema.field("least").type))]
-        return pa.Table.from_arrays([*columns, *(pa.array([getattr(made, n).tobytes()]) for n in arrays)], names=schema.names)
-
-    return strings.select("shard", "least", "raw").groupBy("shard").applyInArrow(build, schema)
-
-
-def _streamed(strings: DataFrame, automata: DataFrame, window: int) -> DataFrame:
+def first_holders(strings: list[str], holders: np.ndarray, window: int) -> np.ndarray:
+    """For each string and place: the rank of the first holder of the window that ends there, or -1. The strings are the
+    reference and stream through its automaton."""
+    symbols: dict[str, int] = {}
+    add = symbols.setdefault
+    rows = [[add(w, len(symbols)) for w in s.split(" ")] for s in strings]
+    order = np.argsort(holders, kind="stable").tolist()
+    automaton = Automaton.of([rows[i] for i in order], holders[order].tolist(), len(symbols))
+    sizes = np.array(list(map(len, rows)))
+    by = np.argsort(-sizes, kind="stable")
+    grid = np.full((len(rows), int(sizes.max())), -1, dtype=np.int64)
+    grid[np.arange(grid.shape[1]) < sizes[by][:, None]] = np.fromiter(chain.from_iterable(rows[i] for i in by), dtype=np.int64)
+    found = np.empty_like(grid)
+    found[by] = automaton.first_holders(grid, sizes[by], window)
+    return found
+
+
+def _matched(strings: DataFrame, window: int) -> DataFrame:
     """(anchor, digest, from, to, first): runs of windows of the segments of which the first equal one is of ``first``.
-    Runs of a segment that one row alone holds, and no earlier one, are left out."""
-    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("first", strings.schema["least"].dataType)])
-
-    def stream(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = lambda n, kind: np.frombuffer(right[n][0].as_py(), dtype=kind)
-        symbols = {w: i for i, w in enumerate(right["words"][0].as_py())}
-        automaton = Automaton(held("keys", np.int64), held("targets", np.int32), held("length", np.int32), held("link", np.int32), held("holder", np.int64), len(symbols))
-        ids = right["ids"][0].as_py()
-        ranks = {i: r for r, i in enumerate(ids)} | {None: len(ids)}
-        rows = [[symbols.get(w, -1) for w in raw.split(" ")] for raw in left["raw"].to_pylist()]
-        sizes = np.array(list(map(len, rows)))
-        by = np.argsort(-sizes, kind="stable")
-        grid = np.full((len(rows), int(sizes.max())), -1, dtype=np.int64)
-        grid[np.arange(grid.shape[1]) < sizes[by][:, None]] = np.fromiter(chain.from_iterable(rows[i] for i in by), dtype=np.int64)
-        first = automaton.first_holders(grid, sizes[by], window)
-        own = np.array([ranks[i] for i in left["least"].to_pylist()])[by]
-        shared = left["shared"].to_numpy()[by]
-        first[(first >= own[:, None]) & ~shared[:, None]] = -1
+    Runs of a segment that one id alone holds, and no earlier one, are left out."""
+    least = strings.schema["least"].dataType
+    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("first", least)])
+
+    def match(table: pa.Table) -> pa.Table:
+        values = table["least"].to_pylist()
+        ids = sorted({i for i in values if i is not None})
+        rank = {i: r for r, i in enumerate(ids)} | {None: len(ids)}
+        own = np.array([rank[i] for i in values])
+        first = first_holders(table["raw"].to_pylist(), own, window)
+        first[(first >= own[:, None]) & ~table["shared"].to_numpy()[:, None]] = -1
         first[first == len(ids)] = -1  # nobody comes after those without ids
         # runs of one first holder, along each row
         padded = np.full((first.shape[0], first.shape[1] + 2), -1, dtype=np.int64)
         padded[:, 1:-1] = first
-        edge = np.diff(padded, axis=1) != 0
-        row, at = np.nonzero(edge)
+        row, at = np.nonzero(np.diff(padded, axis=1) != 0)
         value = padded[row, at + 1]
-        begin = np.flatnonzero(value >= 0)  # the next edge of the row ends the run
-        pick = pa.array(by[row[begin]])
-        return pa.Table.from_arrays(
-            [left["anchor"].take(pick), left["digest"].take(pick), pa.array((at[begin] - window + 1).astype(np.int32)), pa.array(at[begin + 1].astype(np.int32)), pa.array(ids, left.schema.field("least").type).take(pa.array(value[begin]))],
-            names=schema.names,
-        )
+        begin = np.flatnonzero(value >= 0)  # the row's next edge ends the run
+        pick = pa.array(row[begin])
+        holder = pa.array(ids, table.schema.field("least").type).take(pa.array(value[begin]))
+        spans = (pa.array((at[begin] - window + 1).astype(np.int32)), pa.array(at[begin + 1].astype(np.int32)))
+        return pa.Table.from_arrays([table["anchor"].take(pick), table["digest"].take(pick), *spans, holder], names=schema.names)
 
-    return strings.groupBy("shard").cogroup(automata.groupBy("of")).applyInArrow(stream, schema)
+    return strings.select("shard", "anchor", "digest", "shared", "least", "raw").groupBy("shard").applyInArrow(match, schema)
 
 
 def longer_piece(piece: int, window: int) -> int:
@@ -287,9 +305,11 @@ def longer_piece(piece: int, window: int) -> int:
 def earlier_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(k, from, to, first): runs of words of ``docs`` (k, id, text) that lie in windows of which an equal one starts in a
     row with a smaller id; ``first`` is the smallest. k tells rows apart."""
-    found = materialize(_segments(docs, window, piece), "passage-segments")
-    keys = materialize(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "passage-keys")
+    found, path = written(_segments(docs, window, piece), "passage-segments")
+    ids = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("lacks"))
+    keys = materialize(ids.filter("least <> most or lacks and least is not null").select("anchor"), "passage-keys")
     hits = materialize(found.join(keys, "anchor"), "passage-hits")
+    remove(docs.sparkSession, path)
     distinct = hits.groupBy("anchor", "digest", "size").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("lacks"), F.min(F.struct("k", "start")).alias("one"))
     shared = F.coalesce(F.col("least") != F.col("most"), F.lit(False)) | (F.col("lacks") & F.col("least").isNotNull())
     distinct = materialize(distinct.select("anchor", "digest", "size", "least", shared.alias("shared"), "one.*"), "passage-distinct")
@@ -300,7 +320,7 @@ def earlier_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, sha
     strings = materialize(strings.withColumn("n", F.monotonically_increasing_id()), "passage-strings")
     words = distinct.agg(F.sum("size")).first()[0] or 0
     plain = strings.filter("not hot").withColumn("shard", F.pmod("anchor", F.lit(1 + words // shard)))
-    parts = _streamed(plain, materialize(_automata(plain), "passage-automata"), window)
+    parts = _matched(plain, window)
     if many.take(1):
         # equal windows lie in segments of one key: keyed anew, those of hot keys are texts of their own
         split = strings.filter("hot")

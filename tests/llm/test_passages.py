@@ -91,6 +91,16 @@ def test_equal_windows_have_equal_keys():
     assert len(covered) == sum(max(0, c - 12) for c in counts) and len(of) == len(words)
 
 
+def test_word_hashes(monkeypatch):
+    texts = ["ab c", "d\x0be  ", None, "", "d", " \n", "ab漢 \xa0 漢ab", "e" * 90, "e" * 90 + " e"]
+    for run in (1 << 20, 7):
+        monkeypatch.setattr(passages, "_RUN", run)
+        hashes, counts = passages.word_hashes(pa.array(["x", *texts]).slice(1))
+        words = [w for t in texts for w in WORD.findall(t or "")]
+        assert counts.tolist() == [len(WORD.findall(t or "")) for t in texts]
+        assert len(hashes) == len(words) and len({(h, w) for h, w in zip(hashes.tolist(), words, strict=True)}) == len(set(words)) == len(set(hashes.tolist()))
+
+
 def test_automaton_knows_first_holders():
     r = random.Random(9)
     strings = [[r.randrange(3) for _ in range(r.randint(1, 25))] for _ in range(40)]
