@@ -106,7 +106,8 @@ def with_next(docs: DataFrame, doc_id: str, text: str, buckets: int | None = Non
     bounds = sorted({b for b in (row["q"] or []) if b != row["low"]})
     own = _bucket(F.col("doc_id"), bounds)
     first_id = F.col("doc_id").isNull() if row["nulls"] else F.col("doc_id") == F.lit(row["low"])
-    is_bound = F.col("doc_id").isin(bounds) if len(bounds) <= 10 else F.array_contains(F.lit(bounds), F.col("doc_id"))
+    # the greatest bound that is no larger than the id is the one before its bucket
+    is_bound = F.coalesce(F.get(F.lit(bounds or [0]).cast("array<bigint>"), own - 1) == F.col("doc_id"), F.lit(False))
     ghost = F.when(first_id, F.lit(len(bounds))).when(is_bound, own - 1)
     places = F.array_compact(F.array(F.struct(own.alias("bucket"), F.lit(False).alias("ghost")), F.when(ghost.isNotNull(), F.struct(ghost.alias("bucket"), F.lit(True).alias("ghost")))))
     return d.withColumn("__p", F.explode(places)).select("doc_id", "text", F.col("__p.bucket").alias("bucket"), F.col("__p.ghost").alias("ghost"))

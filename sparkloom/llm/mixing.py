@@ -108,7 +108,7 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, most_times: int) -> l
     return [sum(flow.room[e ^ 1] for e in arcs) for arcs in taken]
 
 
-def _fill(drawn: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def _fill(drawn: DataFrame) -> DataFrame:
     """``drawn`` with ``more`` 1 also for the largest undrawn row that fits what its pattern is still due,
     and so on until no undrawn row with a word fits; of equal sizes the first in the seeded order.
 
@@ -140,7 +140,7 @@ def _fill(drawn: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     picks = materialize(picks.select("sources", "size", F.lit(True).alias("picked")).join(cuts, ["sources", "size"], "left"), "mix-cuts")
     rows = drawn.withColumn("part", part).join(picks, ["sources", "size"], "left")
     at_cut = F.coalesce((F.col("more") == 0) & (F.col("part") == F.col("cut")), F.lit(False))
-    walk = Window.partitionBy("sources", "size").orderBy("draw", "doc_id", *keep)
+    walk = Window.partitionBy("sources", "size").orderBy("draw", "doc_id", "tie")
     ranked = rows.filter(at_cut).withColumn("more", (F.row_number().over(walk) <= F.col("rest")).cast("bigint"))
     taken = F.coalesce(F.col("picked") & (F.col("cut").isNull() | (F.col("part") < F.col("cut"))), F.lit(False))
     others = rows.filter(~at_cut).withColumn("more", F.greatest("more", taken.cast("bigint")))
@@ -164,7 +164,8 @@ def mix_sources(
     the row's sources. A row's size is its words (null text: 0). Passes are whole
     but for a pattern's last, which takes documents in the order of a seeded digest as long as they fit
     what is due, then the largest that fits the rest, again and again until none is left that does. A null or empty membership is the null source. Rows that repeat an
-    id have one digest and stand in order of size. Reruns agree; an empty table gives an empty result.
+    id have one digest and stand in order of size, then of a digest of their text and other columns, so that only rows
+    that are the same in all of them could change places: reruns agree, however the rows are dealt; an empty table gives an empty result.
 
     The driver holds one row per distinct membership pattern, which is metadata, not data; the flow among them
     takes a search for each path it fills and suits some thousands of patterns.
@@ -179,6 +180,7 @@ def mix_sources(
             members.alias("sources"),
             F.size(words_of(F.col(text))).cast("bigint").alias("size"),
             draw.alias("draw"),
+            F.sha2(F.concat_ws(":", F.sha2(F.col(text), 256), F.to_json(F.struct(*[c for c in docs.columns if c not in (*keep, text)]))), 256).alias("tie"),
         ),
         "mix-sizes",
     )
@@ -221,12 +223,12 @@ def mix_sources(
     )
     limits = materialize(plan.join(cuts, "sources", "left").join(ends, "sources", "left"), "mix-limits")
     rows = d.withColumn("part", part).join(limits, "sources")
-    walk = Window.partitionBy("sources").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    walk = Window.partitionBy("sources").orderBy("draw", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.filter(F.col("part") == F.col("cut"))
     inside = inside.withColumn("more", (F.col("before") + F.sum("size").over(walk) <= F.col("due")).cast("bigint"))
     outside = rows.filter(~F.col("part").eqNullSafe(F.col("cut"))).withColumn("more", (F.col("part") <= F.coalesce("last", F.lit(-1))).cast("bigint"))
-    drawn = materialize(inside.unionByName(outside).select("doc_id", *keep, "sources", "size", "draw", "source_size", "target", "passes", "due", "more"), "mix-drawn")
-    drawn = _fill(drawn, keep)
+    drawn = materialize(inside.unionByName(outside).select("doc_id", *keep, "sources", "size", "draw", "tie", "source_size", "target", "passes", "due", "more"), "mix-drawn")
+    drawn = _fill(drawn)
     times = F.col("passes") + F.col("more")
     return drawn.select("doc_id", *keep, "sources", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 WINDOW = 200
 PIECE = 64
@@ -257,14 +257,13 @@ def _sorted_windows(strings: DataFrame, window: int, batch: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor bigint, digest bigint, from bigint, to bigint")
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
-    """(k, doc_id, text): k is the id where ids are all there and distinct, else a hash of id and text (equal
-    rows then share a key, and with it the result)."""
+def _keyed(docs: DataFrame, doc_id: str) -> DataFrame:
+    """``docs`` with k, which tells rows apart: the id where ids are integers, all there and distinct, which saves a copy
+    of the texts, else a number of each row of a written copy."""
     ids = docs.select(F.col(doc_id).alias("i"))
     n, there, least = ids.groupBy("i").count().agg(F.sum("count"), F.count("i"), F.max(F.col("i").isNull())).first()
     unique = (n or 0) == there and not least and docs.schema[doc_id].dataType.typeName() in ("long", "integer", "short", "byte")
-    k = F.col(doc_id).cast("bigint") if unique else F.xxhash64(F.col(doc_id), F.col(doc_id).isNull(), F.col(text))
-    return docs.select(k.alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *more)
+    return docs.withColumn("__row", F.col(doc_id).cast("bigint")) if unique else numbered(docs, "suffix-docs")
 
 
 def longer_piece(piece: int, window: int) -> int:
@@ -317,14 +316,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     covered by a ``window``-byte string which also starts anywhere else in the collection is removed.
 
     Texts are their UTF-8 bytes, a null text has none; matches never cross rows, overlaps count, and strings
-    are judged on the input. A text shorter than ``window`` stays as it is; rows that repeat
+    are judged on the input. Segments are told apart by 128 bits of hashes (key and digest), not byte by byte. A text shorter than ``window`` stays as it is; rows that repeat
     each other are copies like any others. ``kept``: the remaining bytes as a text, where a character that
     lost some of its bytes goes (null stays null), and all other columns of ``docs`` in a struct.
     """
-    keyed = _keyed(docs, doc_id, text)
-    found = materialize(repeated_spans(keyed, window, piece, batch, hot), "suffix-spans")
-    if kept:
-        keyed = _keyed(docs, doc_id, text, F.struct(*[c for c in docs.columns if c != text]).alias("row"))
+    names = [F.col("__row").alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")]
+    told = _keyed(docs, doc_id)
+    found = materialize(repeated_spans(told.select(*names), window, piece, batch, hot), "suffix-spans")
+    keyed = told.select(*names, *([F.struct(*[c for c in docs.columns if c != text]).alias("row")] if kept else []))
     rows = keyed.join(found, "k", "left").select("doc_id", "text", "spans", *["row"] * kept)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept]
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), *[T.StringType()] * kept]

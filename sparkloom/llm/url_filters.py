@@ -103,15 +103,15 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     judged = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     judged = judged.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), url_key(F.col("url")).alias("node"))
     judged = materialize(judged.withColumn("own", match_rule(F.col("host"), F.col("path"), rules)), "url-judged")
-    roots = materialize(connected_components(edges), "url-roots")
-    # an edge's far end may be no page of the table: rules judge it all the same
-    far = roots.select("node", "root", match_rule(host_of(F.col("node")), path_of(F.col("node")), rules).alias("own"))
-    # urls that are no node have no alias: they would share one key of the joins
-    nodes, others = judged.filter("node is not null"), judged.filter("node is null")
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    said = rooted.select("root", "own").unionByName(far.select("root", "own")).filter("own is not null")
-    said = said.groupBy("root").agg(F.max(F.col("own.verdict") == "allow").alias("allow"), F.max(F.col("own.verdict") == "block").alias("block"))
-    method = F.when(F.col("allow"), F.lit("allow")).when(F.col("block"), F.lit("block")).otherwise(F.lit(default))
-    alone = others.withColumns({"root": F.lit(None).cast("string"), "allow": F.lit(None).cast("boolean"), "block": F.lit(None).cast("boolean")})
-    out = rooted.join(materialize(said, "url-said"), "root", "left").unionByName(alone)
-    return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", method).alias("verdict"), F.col("root").alias("alias_root"))
+    roots = connected_components(edges)
+    # rules judge each node of the graph, be it a page or not; what a component's nodes say is as small as the graph
+    nodes = materialize(roots.select("node", "root", match_rule(host_of(F.col("node")), path_of(F.col("node")), rules).alias("own")), "url-roots")
+    said = nodes.filter("own is not null").groupBy("root").agg(F.max(F.col("own.verdict") == "allow").alias("allow"), F.max(F.col("own.verdict") == "block").alias("block"))
+    known = materialize(nodes.select("node", "root").join(said, "root", "left"), "url-said")
+    method = F.when(F.col("allow"), F.lit("allow")).when(F.col("block"), F.lit("block"))
+    alone = match_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]  # a url outside the graph speaks for itself
+    # urls that are no url have no node: they would share one key of the join
+    out = judged.filter("node is not null").join(known, "node", "left").withColumn("method", F.coalesce(F.when(F.col("root").isNull(), alone).otherwise(method), F.lit(default)))
+    out = out.withColumn("root", F.coalesce("root", "node")).select("page_id", "host", "path", "own", "method", "root")
+    out = out.unionByName(judged.filter("node is null").select("page_id", "host", "path", "own", F.lit(default).alias("method"), F.lit(None).cast("string").alias("root")))
+    return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "method").alias("verdict"), F.col("root").alias("alias_root"))

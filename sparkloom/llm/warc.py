@@ -96,6 +96,8 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
         f"Content-Length: {len(block)}",
         f"Page-ID: {'' if page_id is None else page_id}",
     ]
+    if _target(url) != url:  # null, or with characters that a target may not have: the url itself, which reading gives back
+        lines.append(f"Page-URL: {json.dumps(url)}")
     if refers_to is not None:
         first, first_url = refers_to
         lines += [
@@ -127,7 +129,7 @@ def parse(raw: bytes) -> dict:
     return {
         "record_id": fields["WARC-Record-ID"],
         "page_id": number(fields.get("Page-ID")),
-        "url": unquote(fields["WARC-Target-URI"]),
+        "url": json.loads(fields["Page-URL"]) if "Page-URL" in fields else fields["WARC-Target-URI"],
         "payload": payload if kind == "response" else None,
         "payload_bytes": size,
         "payload_digest": digest,

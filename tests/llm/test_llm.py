@@ -745,3 +745,43 @@ def test_pipeline(spark, rows, tmp_path):
     last = P.STAGES[-1][1](spark, docs, str(tmp_path))
     assert last.count() == docs.count() and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert P.run(spark, str(tmp_path)).count() == last.count()
+
+
+def test_warc_gives_urls_back(spark, tmp_path):
+    urls = ["http://x.com/a%20b", "http://x.com/a%2Fb?q=%26", "http://x.com/é ü", "http://x.com/%zz%", "http://x.com/a\tb\r\nc", "", None, "%25", "plain"]
+    rows = [(i, u, f"page {i}") for i, u in enumerate(urls)]
+    for i, u, html in rows:
+        raw = html.encode()
+        assert warc.parse(warc.record(i, u, raw, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), None))["url"] == u
+    folder = f"file://{tmp_path}/archives"
+    captures = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    assert {r["page_id"]: r["url"] for r in warc.read_archives(captures, folder, payload=True).collect()} == dict(enumerate(urls))
+
+
+def test_mixing_does_not_follow_row_order(spark):
+    """Seven rows of one id and one size, of which the mix takes some: the same ones however the rows are dealt."""
+    texts = [" ".join(f"w{i}{j}" for j in range(10)) for i in range(7)]
+    rows = [(1, t, "en", "a", n) for n, t in enumerate(texts)] + [(2, "x " * 400, "en", "b", 5), (2, "x " * 400, "en", "b", 5)]
+    mixes = set()
+    for seed in range(4):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        docs = spark.createDataFrame(shuffled, SCHEMA).repartition(1 + seed)
+        mixed = mixing.mixed_rows(docs, F.array("source"), weights=(1, 60))
+        mixes.add(tuple(sorted(map(tuple, mixed.collect()), key=str)))
+    assert len(mixes) == 1
+    times = collections.Counter(r[1] for r in mixes.pop() if r[3] == "a")
+    assert 0 < sum(times.values()) and len({times[t] for t in texts}) > 1
+
+
+def test_suffix_dedup_tells_text_ids_apart(spark):
+    rows = [(None, "p" * 10 + "q" * 250), ("a", "x"), ("a", "q" * 230), (None, None), ("b", "y" * 199)]
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()]
+    assert sorted((r[0] or "", *r[1:4]) for r in got) == [("", 0, 0, 0), ("", 260, 250, 1), ("a", 1, 0, 0), ("a", 230, 230, 1), ("b", 199, 0, 0)]
+
+
+def test_urls_outside_the_graph_keep_their_own_verdict(spark):
+    page = lambda i, u, to=None: (i, u, f'<link rel="canonical" href="{to}">' if to else "x")
+    rows = [page(1, "http://a.org/es/1", "http://b.io/z"), page(2, "http://b.io/z"), page(3, "http://c.io/"), page(4, "http://q.org/es/"), page(5, "http://q.org/es/"), page(6, "nothing"), page(7, "http://b.io/z")]
+    rules = [("block", "org", "/es/")]
+    got = {r["page_id"]: (r["verdict"], r["rule"]) for r in url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: ("block", "org/es/"), 2: ("block", None), 3: ("allow", None), 4: ("block", "org/es/"), 5: ("block", "org/es/"), 6: ("allow", None), 7: ("block", None)}
