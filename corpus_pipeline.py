@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix to the sources' target weights takes it.
 
     A null source is a source of its own; a text without a word is never taken. Reruns agree, ties are broken by a
-    seeded digest of the id, then the id and the row. Columns are those of the input.
+    seeded digest of the id, then the id, the size and a digest of the text and the other columns. Columns are those of the input.
     """
     return mixed_rows(docs, F.array("source"))
 
