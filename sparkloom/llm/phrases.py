@@ -10,6 +10,7 @@ give the counts of every cut's parts and the phrases that a longer one contains.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,28 +65,35 @@ def word_block(words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return seq, entries.filter(pa.array(real)), np.bincount(seq[seq >= 0], minlength=int(real.sum()))
 
 
-def pair_block(seq: np.ndarray, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(next sequence, lefts, rights, counts): the pairs of adjacent items that have names; item ``at[i]`` has
-    ``names[i]``."""
-    known = np.full(int(seq.max(initial=-1)) + 2, -1, dtype=np.int64)  # the last one is for breaks
-    known[at] = np.arange(len(at))
-    named = known[seq]
-    a, b = named[:-1], named[1:]
+def pair_block(seq: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence of pairs, lefts, rights, counts) of the adjacent items of a sequence of indices into ``names``."""
+    m = max(1, len(names))
+    a, b = seq[:-1].astype(np.int64), seq[1:]
     ok = (a >= 0) & (b >= 0)
-    pairs, inverse, counts = np.unique(a[ok] * max(1, len(at)) + b[ok], return_inverse=True, return_counts=True)
+    pairs, inverse, counts = np.unique(a[ok] * m + b[ok], return_inverse=True, return_counts=True)
     following = np.full(len(ok), -1, dtype=np.int32)
     following[ok] = inverse
-    return squeeze(following), names[pairs // max(1, len(at))], names[pairs % max(1, len(at))], counts
+    return following, names[pairs // m], names[pairs % m], counts
+
+
+def named_block(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sequence in which item ``at[i]`` is i, and every other one a break."""
+    known = np.full(int(seq.max(initial=-1)) + 2, -1, dtype=np.int32)  # the last one is for breaks
+    known[at] = np.arange(len(at))
+    return squeeze(known[seq])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
 
 
-def _numbered(seq: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
-    """Columns seq, pos and c of a block: its sequence in a first row, then a row for each item."""
-    rows, first = 1 + len(counts), np.arange(1 + len(counts)) == 0
-    pos = pa.array(np.arange(-1, rows - 1, dtype=np.int32), mask=first)
-    return [pa.concat_arrays([pa.array([seq.tobytes()]), pa.nulls(len(counts), pa.binary())]), pos, pa.array(np.concatenate(([0], counts)), mask=first)]
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype=kind)
 
 
 def _word_blocks(docs: DataFrame, lang: str, text: str, block: int) -> DataFrame:
+    """(block, lang, seq, words, counts), each block of whole texts of one language."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.Array]] = {}
         size: dict[str, int] = {}
@@ -93,12 +101,11 @@ def _word_blocks(docs: DataFrame, lang: str, text: str, block: int) -> DataFrame
 
         def close(of: str) -> pa.RecordBatch:
             nonlocal made
-            seq, items, counts = word_block(pa.concat_arrays(held.pop(of)))
+            seq, words, counts = word_block(pa.concat_arrays(held.pop(of)))
             del size[of]
             made += 1
-            rows = 1 + len(items)
-            number, words = np.full(rows, (TaskContext.get().partitionId() << 32) + made), pa.concat_arrays([pa.nulls(1, pa.string()), items.cast(pa.string())])
-            return pa.RecordBatch.from_arrays([pa.array(number), pa.array([of]).take(pa.array(np.zeros(rows, dtype=np.int64))), *_numbered(seq, counts), words], names=["block", "lang", "seq", "pos", "c", "phrase"])
+            columns = [[(TaskContext.get().partitionId() << 32) + made], [of], [_packed(seq)], pa.array([words.cast(pa.string())], pa.list_(pa.string())), [_packed(counts)]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "lang", "seq", "words", "counts"])
 
         for b in batches:
             for of in pc.unique(b.column(0)).to_pylist():
@@ -118,48 +125,78 @@ def _word_blocks(docs: DataFrame, lang: str, text: str, block: int) -> DataFrame
         for of in list(held):
             yield close(of)
 
-    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text)).mapInArrow(run, "block bigint, lang string, seq binary, pos int, c bigint, phrase string")
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text)).mapInArrow(run, "block bigint, lang string, seq binary, words array<string>, counts binary")
 
 
-def _next_blocks(blocks: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Blocks of the next level: ``mapping`` (block, pos, id) names the frequent items of ``blocks``."""
+def _word_items(blocks: DataFrame) -> DataFrame:
+    """(block, pos, lang, phrase, c): a row for each distinct word of a block."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        seq = np.frombuffer(left["seq"][0].as_py(), dtype=np.int32)
-        following, lefts, rights, counts = pair_block(seq, right["pos"].to_numpy(), right["id"].to_numpy())
-        sides = [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(x)]) for x in (lefts, rights)]
-        number = pa.array(np.full(1 + len(counts), left["block"][0].as_py()))
-        return pa.Table.from_arrays([number, *_numbered(following, counts), *sides], names=["block", "seq", "pos", "c", "left", "right"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, lang, words, raw in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+                n = len(words.values)
+                columns = [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), pa.array([lang.as_py()]).take(pa.array(np.zeros(n, dtype=np.int64))), words.values, pa.array(_unpacked(raw, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "pos", "lang", "phrase", "c"])
+
+    return blocks.select("block", "lang", "words", "counts").mapInArrow(run, "block bigint, pos int, lang string, phrase string, c bigint")
 
-    made = blocks.filter("seq is not null").select("block", "seq").groupBy("block").cogroup(mapping.withColumnRenamed("block", "of").groupBy("of"))
-    return made.applyInArrow(run, "block bigint, seq binary, pos int, c bigint, left bigint, right bigint")
 
+def _pair_items(blocks: DataFrame) -> DataFrame:
+    """(block, pos, left, right, c): a row for each distinct pair of a block (block, seq, names)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, seq, names in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                _, *sides, counts = pair_block(_unpacked(seq.as_py(), np.int32), _unpacked(names.as_py(), np.int64))
+                columns = [np.full(len(counts), number), np.arange(len(counts), dtype=np.int32), *sides, counts]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "pos", "left", "right", "c"])
+
+    return blocks.mapInArrow(run, "block bigint, pos int, left bigint, right bigint, c bigint")
+
+
+def _named(items: DataFrame, by: list[str], least: int, level: int) -> DataFrame:
+    """(block, pos, *by, f, id, first): the items that occur ``least`` times in all blocks, and their names, written;
+    ``first`` is set in one row of each. Items are dealt once, and a common one has a row for each of its blocks only."""
+    each = Window.partitionBy(*by)
+    often = items.withColumn("f", F.sum("c").over(each)).filter(F.col("f") >= least)
+    marked = often.withColumn("n", F.monotonically_increasing_id()).withColumn("id", F.min("n").over(each))
+    return materialize(marked.select("block", "pos", *by, "f", "id", (F.col("n") == F.col("id")).alias("first")), f"phrase-names-{level}")
+
+
+def _named_blocks(blocks: DataFrame, names: DataFrame, pairs: bool) -> tuple[DataFrame, str]:
+    """(block, seq, names) of the next level, written, and where: the items of ``blocks``, which are its words or the
+    pairs of its names, under the names that ``names`` has for them."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        seq = _unpacked(left["seq"][0].as_py(), np.int32)
+        if pairs:
+            seq = pair_block(seq, _unpacked(left["names"][0].as_py(), np.int64))[0]
+        made = [_packed(named_block(seq, right["pos"].to_numpy())), _packed(right["id"].to_numpy().astype(np.int64))]
+        return pa.Table.from_arrays([left["block"].combine_chunks(), *(pa.array([m]) for m in made)], names=["block", "seq", "names"])
 
-def _named(counted: DataFrame, least: int, level: int) -> DataFrame:
-    return materialize(counted.filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), f"phrase-names-{level}")
+    known = names.select(F.col("block").alias("of"), "pos", "id").groupBy("of")
+    made = blocks.select("block", "seq", *["names"] * pairs).groupBy("block").cogroup(known)
+    return written(made.applyInArrow(run, "block bigint, seq binary, names binary"), "phrase-blocks")
 
 
 def phrase_names(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """((lang, n): words of each language; for each length from 1, the phrases with ``least`` occurrences: (id, lang,
     phrase, last, f, left, right, heads, tails)), where left and right are the ids of the phrase without its last and its
     first word, ``last`` is its last word, and heads and tails hold the counts of its first and last 1, 2, ... words."""
-    blocks, path = written(_word_blocks(docs, lang, text, block), "phrase-blocks-1")
-    items = blocks.filter("pos is not null").select("block", "pos", "lang", "phrase", "c")
-    totals = materialize(items.groupBy("lang").agg(F.sum("c").alias("n")), "phrase-totals")
-    names = _named(items.groupBy("lang", "phrase").agg(F.sum("c").alias("f")), least, 1)
-    mapping = items.join(names.select("lang", "phrase", "id"), ["lang", "phrase"]).select("block", "pos", "id")
+    spark = docs.sparkSession
+    blocks, path = written(_word_blocks(docs, lang, text, block), "phrase-blocks")
+    totals = materialize(_word_items(blocks).groupBy("lang").agg(F.sum("c").alias("n")), "phrase-totals")
+    named = _named(_word_items(blocks), ["lang", "phrase"], least, 1)
     null = F.lit(None).cast("bigint")
-    found = [names.select("id", "lang", "phrase", F.col("phrase").alias("last"), "f", null.alias("left"), null.alias("right"), F.array("f").alias("heads"), F.array("f").alias("tails"))]
+    found = [named.filter("first").select("id", "lang", "phrase", F.col("phrase").alias("last"), "f", null.alias("left"), null.alias("right"), F.array("f").alias("heads"), F.array("f").alias("tails"))]
     for level in range(2, longest + 1):
-        blocks, next_path = written(_next_blocks(blocks, mapping), f"phrase-blocks-{level}")
-        remove(docs.sparkSession, path)
+        blocks, next_path = _named_blocks(blocks, named, level > 2)
+        remove(spark, path)
         path = next_path
-        items = blocks.filter("pos is not null").select("block", "pos", "left", "right", "c")
-        names = _named(items.groupBy("left", "right").agg(F.sum("c").alias("f")), least, level)
-        mapping = items.join(names.select("left", "right", "id"), ["left", "right"]).select("block", "pos", "id")
+        named = _named(_pair_items(blocks), ["left", "right"], least, level)
         first = found[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("heads").alias("h"))
         rest = found[-1].select(F.col("id").alias("right"), "last", F.col("tails").alias("t"))
-        whole = names.join(first, "left").join(rest, "right")
+        whole = named.filter("first").select("id", "left", "right", "f").join(first, "left").join(rest, "right")
         whole = whole.select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", "left", "right", F.concat("h", F.array("f")).alias("heads"), F.concat("t", F.array("f")).alias("tails"))
         found.append(materialize(whole, f"phrase-table-{level}"))
     return totals, found

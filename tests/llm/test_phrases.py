@@ -76,7 +76,8 @@ def test_blocks():
     named = [None if i < 0 else items[int(i)].as_py() for i in seq]
     assert named == ["a", "b", None, "b", None, "b", "c", None, "c"]
     assert dict(zip(items.to_pylist(), counts.tolist(), strict=True)) == {"a": 1, "b": 3, "c": 2}
-    seq = np.array([-1, 0, 1, 0, 1, -1, 2, 0], dtype=np.int32)
-    following, lefts, rights, counts = phrases.pair_block(seq, np.array([1, 0]), np.array([70, 50]))
+    seq = phrases.named_block(np.array([-1, 0, 1, 0, 1, 3, -1, 2, 0], dtype=np.int32), np.array([1, 0]))
+    assert seq.tolist() == [1, 0, 1, 0, -1, 1]
+    following, lefts, rights, counts = phrases.pair_block(seq, np.array([70, 50]))
     assert sorted(zip(lefts.tolist(), rights.tolist(), counts.tolist(), strict=True)) == [(50, 70, 2), (70, 50, 1)]
-    assert [(int(lefts[i]) if i >= 0 else None) for i in following] == [50, 70, 50, None]
+    assert [(int(lefts[i]) if i >= 0 else None) for i in following] == [50, 70, 50, None, None]
