@@ -135,28 +135,6 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return s.select("key", F.col("w.start").alias("start"), "last", "n")
 
 
-def open_sessions(sessions: DataFrame, ttl: str, per_key: int, overall: int, bucket: str = "1 hour") -> DataFrame:
-    """``sessions`` (key, start, last, n) with ``mine`` and ``all``: how many of the key and of all are open as each
-    starts, itself included, and ``outcome``: ok, or principal_limit or store_full where that is above the ceiling. A
-    session is open until ``ttl`` after its last event; every session counts, refused or not.
-
-    The count over all keys is summed by time buckets first, so no window holds more than one bucket's marks.
-    """
-    closes = F.col("last") + F.expr(f"INTERVAL {ttl}")
-    marks = F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(closes.alias("t"), F.lit(-1).alias("d")))
-    m = sessions.select("*", F.explode(marks).alias("m")).select("*", "m.t", "m.d")
-    m = m.withColumn("b", F.window("t", bucket)["start"])
-    # a session that closes as another starts is closed
-    order = [F.col("t"), F.col("d"), F.col("key"), F.col("start")]
-    so_far = lambda by: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumns({"mine": F.sum("d").over(so_far("key")), "inside": F.sum("d").over(so_far("b"))})
-    sums = m.groupBy("b").agg(F.sum("d").alias("s"))
-    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("before"))  # a row for each time bucket
-    d = m.filter("d = 1").join(before, "b").withColumn("all", F.col("inside") + F.col("before"))
-    outcome = F.when(F.col("all") > overall, "store_full").when(F.col("mine") > per_key, "principal_limit").otherwise("ok")
-    return d.select(*sessions.columns, "mine", "all", outcome.alias("outcome"))
-
-
 # The states of a job and what may follow each.
 NEXT_STATES = {
     "queued": ("running", "cancelling", "failed", "cancelled"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import continuations as R
 from ..operators import control as K
 from ..sources import jsonl as J
 from .fixtures import table
@@ -97,14 +98,62 @@ def ring_log(spark, sf_dir):
     return K.ring_log(events(spark, sf_dir).select("key", "ts", "event_id"), "key", ["ts", "event_id"], 20).select("key", "event_id")
 
 
-@query("open_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events),
-  n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g), s AS (SELECT user_id AS key, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS z FROM n GROUP BY user_id, s),
-  m AS (SELECT key, a AS start, a AS t, 1 AS d FROM s UNION ALL SELECT key, a, z, -1 FROM s), o AS (SELECT *, sum(d) OVER (PARTITION BY key ORDER BY t, d, start ROWS UNBOUNDED PRECEDING) AS mine, sum(d) OVER (ORDER BY t, d, key, start ROWS UNBOUNDED PRECEDING) AS total FROM m)
-  SELECT key, CAST(epoch_us(start) AS BIGINT) AS start_us, CAST(mine AS BIGINT) AS mine, CAST(total AS BIGINT) AS total, CASE WHEN total > 40 THEN 'store_full' WHEN mine > 2 THEN 'principal_limit' ELSE 'ok' END AS outcome FROM o WHERE d = 1""")
+SESSIONS_ASK = """WITH RECURSIVE g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+  n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g),
+  s AS (SELECT user_id % 8 AS store, user_id AS key, epoch_us(min(ts)) AS a, epoch_us(max(ts)) + 43200000000 AS z FROM n GROUP BY user_id, s),
+  e AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY a, key) AS i FROM s),
+  r AS (SELECT DISTINCT store, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS key, CAST(0 AS BIGINT) AS a, '' AS outcome, CAST([] AS STRUCT(key BIGINT, z BIGINT)[]) AS held FROM e
+    UNION ALL SELECT store, i, key, a, outcome, CASE WHEN outcome = 'ok' THEN list_append(held, {'key': key, 'z': z}) ELSE held END FROM (
+      SELECT *, CASE WHEN len(held) >= 12 THEN 'store_full' WHEN len(list_filter(held, lambda x: x.key = q.key)) >= 2 THEN 'principal_full' ELSE 'ok' END AS outcome
+      FROM (SELECT e.*, list_filter(r.held, lambda x: x.z > e.a) AS held FROM r JOIN e ON e.store = r.store AND e.i = r.i + 1) q))
+  SELECT key, a AS start_us, outcome, CAST(len(list_filter(held, lambda x: x.key = r.key)) AS BIGINT) AS mine, CAST(len(held) AS BIGINT) AS "all" FROM r WHERE i > 0"""
+
+
+@query("open_sessions", SESSIONS_ASK)
 def open_sessions(spark, sf_dir):
     s = K.sessions(events(spark, sf_dir), "10 minutes")
-    o = K.open_sessions(s, "6 HOURS", 2, 40)
-    return o.select("key", F.unix_micros("start").alias("start_us"), "mine", F.col("all").alias("total"), "outcome")
+    return R.open_sessions(s, 43_200_000, 2, 12, F.col("key") % 8).select("key", "start_us", "outcome", "mine", "all")
+
+
+RUNS_SQL = """WITH RECURSIVE v AS (SELECT event_id // 4 AS run, event_id, epoch_us(ts) // 1000 AS t, CASE WHEN event_id % 7 = 0 THEN user_id ELSE event_id // 4 % 10 END AS key,
+    ['create', 'claim', 'release', 'close'][1 + event_id % 4] AS kind, CASE WHEN event_id % 4 <> 2 OR event_id % 9 > 1 THEN CAST(round(value * 1000) AS BIGINT) END AS bytes,
+    CASE WHEN event_id % 4 = 1 AND event_id % 5 = 0 THEN ['a', 'a'] WHEN event_id % 3 = 0 THEN ['b', 'a'] ELSE ['a', 'b'] END AS calls, event_type FROM events),
+  e AS (SELECT run % 16 AS store, *, row_number() OVER (PARTITION BY run % 16 ORDER BY t, event_id) AS i FROM v WHERE kind <> 'close' OR event_type = 'purchase'),
+  s AS (SELECT DISTINCT store, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, CAST([] AS STRUCT(run BIGINT, key BIGINT, bytes BIGINT, until BIGINT, busy BOOLEAN, calls VARCHAR[])[]) AS held FROM e
+    UNION ALL SELECT store, i, event_id, outcome,
+      CASE WHEN kind = 'create' AND outcome = 'ok' THEN list_append(held, {'run': run, 'key': key, 'bytes': bytes, 'until': t + 36000000, 'busy': false, 'calls': list_sort(calls)})
+        WHEN kind = 'claim' AND outcome = 'ok' THEN list_append(others, {'run': run, 'key': key, 'bytes': mine.bytes, 'until': mine.until, 'busy': true, 'calls': mine.calls})
+        WHEN kind = 'release' AND outcome = 'ok' AND bytes IS NOT NULL THEN list_append(others, {'run': run, 'key': key, 'bytes': bytes, 'until': t + 36000000, 'busy': false, 'calls': list_sort(calls)})
+        WHEN kind IN ('release', 'close') AND outcome IN ('ok', 'run_too_large') THEN others ELSE held END
+    FROM (SELECT *, CASE
+        WHEN kind = 'create' THEN CASE WHEN mine IS NOT NULL THEN 'run_exists' WHEN len(held) >= 6 THEN 'store_full' WHEN len(list_filter(held, lambda x: x.key = q.key)) >= 2 THEN 'principal_full'
+          WHEN bytes > 150000 THEN 'run_too_large' WHEN total + bytes > 250000 THEN 'memory_full' ELSE 'ok' END
+        WHEN mine IS NULL OR mine.key <> key THEN 'run_not_found'
+        WHEN kind = 'claim' THEN CASE WHEN mine.busy THEN 'run_busy' WHEN list_sort(calls) <> mine.calls THEN 'results_mismatch' ELSE 'ok' END
+        WHEN kind = 'release' THEN CASE WHEN NOT mine.busy THEN 'not_claimed' WHEN bytes > 150000 OR total - mine.bytes + bytes > 250000 THEN 'run_too_large' ELSE 'ok' END
+        ELSE 'ok' END AS outcome
+      FROM (SELECT *, list_filter(held, lambda x: x.run = p.run)[1] AS mine, list_filter(held, lambda x: x.run <> p.run) AS others, coalesce(list_sum(list_transform(held, lambda x: x.bytes)), 0) AS total
+        FROM (SELECT e.*, list_filter(s.held, lambda x: x.busy OR x.until > e.t) AS held FROM s JOIN e ON e.store = s.store AND e.i = s.i + 1) p) q))
+  SELECT store, event_id, outcome, CAST(len(held) AS BIGINT) AS runs, CAST(coalesce(list_sum(list_transform(held, lambda x: x.bytes)), 0) AS BIGINT) AS bytes FROM s WHERE i > 0"""
+
+
+@query("run_stores", RUNS_SQL)
+def run_stores(spark, sf_dir):
+    """Every four events are one run's: it is created, claimed, released and (some) closed, now and then by another key or
+    with other results. Sixteen stores with tight ceilings."""
+    e, n = events(spark, sf_dir), F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("create", "claim", "release", "close")]), (n % 4 + 1).cast("int"))
+    pair = lambda a, b: F.array(F.lit(a), F.lit(b))
+    run = (n / 4).cast("bigint")
+    rows = e.select(
+        (run % 16).alias("store"), "event_id", "ts_ms", kind.alias("kind"), run.alias("run"),
+        F.when(n % 7 == 0, F.col("key")).otherwise(run % 10).alias("key"),
+        F.when((n % 4 != 2) | (n % 9 > 1), F.round(F.col("cost") * 1000)).alias("bytes"),
+        F.when((n % 4 == 1) & (n % 5 == 0), pair("a", "a")).when(n % 3 == 0, pair("b", "a")).otherwise(pair("a", "b")).alias("calls"),
+        "state",
+    )
+    asked = rows.filter((F.col("kind") != "close") | (F.col("state") == "purchase"))
+    return R.run_stores(asked, ttl_ms=36_000_000, most=6, most_of_key=2, run_bytes=150_000, all_bytes=250_000)
 
 
 AUDIT_CASES = [
