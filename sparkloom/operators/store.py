@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Point kinds that retrieval leaves out, and the fields of a stored identity.
 NAV_KINDS = ("skeleton_nav", "entity_raw")
@@ -213,3 +216,8 @@ def backfill_refs_plan(points: DataFrame, resolved: DataFrame) -> DataFrame:
 def collated(*columns: str) -> list[Column]:
     """An order by language rules, as people sort names (a, A, b, B), and by code points among equals."""
     return [x for c in columns for x in (F.collate(F.col(c), "UNICODE"), F.col(c))]
+
+
+def schema_of(text: str) -> T.StructType:
+    """A schema from its JSON form."""
+    return T.StructType.fromJson(json.loads(text))
