@@ -95,3 +95,62 @@ def test_an_empty_collection(spark, tmp_path):
     assert c.read().collect() == [] and c.page().rows == []
     c.upsert(spark.createDataFrame(rows_of(45), SCHEMA))
     assert ids(c.read()) == list(range(45)) and max(b.rows for b in c.manifest().buckets) <= 20
+
+
+def test_data_source_round_trip(spark, tmp_path):
+    from sparkloom.sources import collection_source as D
+
+    D.register(spark)
+    path = f"file://{tmp_path}/d"
+    rows = spark.createDataFrame([*rows_of(300), (None, "n", None)], SCHEMA).repartition(3)
+    rows.write.format("collection").option("path", path).option("key", "id").mode("append").save()
+    load = lambda **o: spark.read.format("collection").options(path=path, **o).load()
+    assert sorted(map(str, load().collect())) == sorted(map(str, rows.collect()))
+    c = Collection(spark, path, bucket_rows=40)
+    c.compact()  # three files become one, which is split
+    assert len(c.manifest().buckets) >= 5 and c.read().count() == 301
+    spark.createDataFrame([(i, "again", "y") for i in (3, 299, 1000)], SCHEMA).write.format("collection").option("path", path).mode("append").save()
+    want = {i: s for i, s, _ in rows_of(300)} | dict.fromkeys((3, 299, 1000), "again") | {None: "n"}
+    assert {r["id"]: r["source"] for r in load().collect()} == want == {r["id"]: r["source"] for r in c.read().collect()}
+    assert load(version=1).count() == 301
+    assert ids(load().filter("id >= 290 and source = 'again'")) == [299, 1000]
+    assert ids(load().filter("id in (1, 3)")) == [1, 3] and ids(load().filter("source = 's1' and id < 10")) == [1, 6]
+
+
+def test_filters_leave_buckets_out(made):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringContains
+
+    from sparkloom.sources.collection_source import CollectionReader
+
+    def left(*filters):
+        r = CollectionReader(made.path, None, made.read().schema)
+        rest = list(r.pushFilters(list(filters)))
+        return len(r.partitions()), len(rest)
+
+    whole = len(made.manifest().buckets)
+    assert left() == (whole, 0)
+    assert left(EqualTo(("id",), 500)) == (1, 0) and left(In(("id",), (3, 999))) == (2, 0)
+    assert left(GreaterThan(("id",), 900))[0] < whole / 3 and left(LessThanOrEqual(("id",), 10))[0] <= 2
+    assert left(EqualTo(("source",), "s1"), StringContains(("text",), "x")) == (whole, 1)
+
+
+def test_a_failed_task_leaves_nothing(spark, made):
+    from pyspark.sql.functions import udf
+
+    from sparkloom.sources import collection_source as D
+
+    D.register(spark)
+    fs, root = C.file_system(made.path)
+    listing = lambda: sorted(f.path for f in fs.get_file_info(D.C.pafs.FileSelector(root, recursive=True)) if f.is_file)
+    before, version = listing(), made.manifest().version
+
+    @udf("string")
+    def fails(i):
+        if i == 37:
+            raise ValueError("on purpose")
+        return "x"
+
+    bad = spark.range(0, 100, 1, 4).select("id", F.lit("s").alias("source"), fails("id").alias("text"))
+    with pytest.raises(Exception, match="on purpose"):
+        bad.write.format("collection").option("path", made.path).mode("append").save()
+    assert listing() == before and made.manifest().version == version and made.read().count() == 1000
