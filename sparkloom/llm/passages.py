@@ -307,17 +307,18 @@ def earlier_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, sha
     row with a smaller id; ``first`` is the smallest. k tells rows apart."""
     found, path = written(_segments(docs, window, piece), "passage-segments")
     ids = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("lacks"))
-    keys = materialize(ids.filter("least <> most or lacks and least is not null").select("anchor"), "passage-keys")
+    keys, keys_path = written(ids.filter("least <> most or lacks and least is not null").select("anchor"), "passage-keys")
     hits = materialize(found.join(keys, "anchor"), "passage-hits")
-    remove(docs.sparkSession, path)
+    for done in (path, keys_path):
+        remove(docs.sparkSession, done)
     distinct = hits.groupBy("anchor", "digest", "size").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("lacks"), F.min(F.struct("k", "start")).alias("one"))
     shared = F.coalesce(F.col("least") != F.col("most"), F.lit(False)) | (F.col("lacks") & F.col("least").isNotNull())
-    distinct = materialize(distinct.select("anchor", "digest", "size", "least", shared.alias("shared"), "one.*"), "passage-distinct")
+    distinct, distinct_path = written(distinct.select("anchor", "digest", "size", "least", shared.alias("shared"), "one.*"), "passage-distinct")
     sums = distinct.groupBy("anchor").agg(F.sum("size").alias("words"))
     many = materialize(sums.filter(F.col("words") > (hot if piece < window else 1 << 62)).select("anchor", F.lit(True).alias("hot")), "passage-many")
     wanted = distinct.join(many, "anchor", "left").select("k", F.struct("anchor", "digest", "least", "shared", F.coalesce("hot", F.lit(False)).alias("hot"), "start", "size").alias("s"))
     strings = _strings(docs, wanted.groupBy("k").agg(F.collect_list("s").alias("s")))
-    strings = materialize(strings.withColumn("n", F.monotonically_increasing_id()), "passage-strings")
+    strings, strings_path = written(strings.withColumn("n", F.monotonically_increasing_id()), "passage-strings")
     words = distinct.agg(F.sum("size")).first()[0] or 0
     plain = strings.filter("not hot").withColumn("shard", F.pmod("anchor", F.lit(1 + words // shard)))
     parts = _matched(plain, window)
@@ -329,6 +330,8 @@ def earlier_spans(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, sha
         again = split.select(F.col("n").alias("k"), "anchor", "digest").join(again, "k").select("anchor", "digest", "from", "to", "first")
         parts = parts.unionByName(again).unionByName(own.select("anchor", "digest", "from", "to", "first"))
     parts = materialize(parts, "passage-parts")
+    for done in (distinct_path, strings_path):
+        remove(docs.sparkSession, done)
     spans = hits.join(parts, ["anchor", "digest"]).filter("first is not null and (id is null or first < id)")
     return spans.select("k", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"), "first")
 
