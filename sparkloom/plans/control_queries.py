@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import continuations as R
 from ..operators import control as K
+from ..operators.asof import asof_join, refilled
 from ..sources import jsonl as J
 from .fixtures import table
 from .registry import query
@@ -235,3 +236,20 @@ def sse_frames(spark, sf_dir):
 def event_windows(spark, sf_dir):
     w = events(spark, sf_dir).groupBy("state", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
     return w.select(F.col("state").alias("event_type"), F.unix_micros("w.start").alias("start_us"), "n")
+
+
+ASOF = """WITH p AS (SELECT user_id, ts, max(event_id) AS last_event FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts),
+  r AS (SELECT p.user_id, p.ts, last_event, least(e.value, 5) AS tokens FROM p JOIN events e ON e.event_id = p.last_event)
+SELECT e.event_id, r.last_event, round(coalesce(least(5e0, r.tokens + (epoch_us(e.ts) // 1000 - epoch_us(r.ts) // 1000) * (30e0 / 6000000)), 5e0), 6) AS tokens
+FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN r ON r.user_id = e.user_id AND r.ts <= e.ts"""
+
+
+@query("asof_refill", ASOF)
+def asof_refill(spark, sf_dir):
+    """What each event finds in its user's bucket, which the last purchase before left with its value."""
+    e = events(spark, sf_dir)
+    bought = e.filter("state = 'purchase'").select("key", "ts", "event_id", "ts_ms", F.least("cost", F.lit(5.0)).alias("tokens"))
+    asked = e.filter("state <> 'purchase'").select("key", "ts", "event_id", "ts_ms")
+    d = asof_join(asked, bought, ["key"], "ts", ["event_id"])
+    tokens = refilled(F.col("last_tokens"), F.col("ts_ms") - F.col("last_ts_ms"), 5, 30 / 6_000_000)
+    return d.select("event_id", F.col("last_event_id").alias("last_event"), F.round(tokens, 6).alias("tokens"))

@@ -10,6 +10,8 @@ from ..operators import control as K
 from ..operators import navigation as N
 from ..operators import profiles as P
 from ..operators import store as S
+from ..sources import collection_source as CS
+from ..sources import collections as Q
 from .fixtures import CHUNKS, chunks, table
 from .registry import query
 from .text_queries import quoted, uuid_sql
@@ -392,3 +394,55 @@ def empty_section(spark, sf_dir):
     return chunks(spark, sf_dir).groupBy("source_file").agg(F.count_if(is_empty).alias("empty"), F.count_if(~is_empty).alias("filled"))
 
 
+
+
+STORED = """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN upper(source) ELSE source END AS source, lang, CAST(length(text) AS BIGINT) AS size FROM documents
+  UNION ALL SELECT doc_id + 1000000000, source, 'new', 0 FROM documents WHERE doc_id % 25 = 0)
+SELECT doc_id, source, CASE WHEN lang = 'fr' THEN NULL ELSE lang END AS lang, CASE WHEN lang = 'de' THEN -1 ELSE size END AS size FROM d WHERE NOT (lang = 'es' AND size > 2000)"""
+
+
+def stored_documents(spark, sf_dir, tag):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.length("text").cast("bigint").alias("size"))
+    return d, Q.Collection.create(d, Q.scratch_folder(spark, tag), "doc_id", bucket_rows=20_000)
+
+
+@query("stored_changes", STORED)
+def stored_changes(spark, sf_dir):
+    """A stored collection after an upsert of changed and added rows, a payload set, a key taken out and a delete."""
+    d, c = stored_documents(spark, sf_dir, "stored")
+    changed = d.filter("doc_id % 100 = 7").withColumn("source", F.upper("source"))
+    added = d.filter("doc_id % 25 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "source", F.lit("new").alias("lang"), F.lit(0).cast("bigint").alias("size"))
+    c.upsert(changed.unionByName(added))
+    c.delete((F.col("lang") == "es") & (F.col("size") > 2000))
+    c.set_payload(F.col("lang") == "de", {"size": F.lit(-1).cast("bigint")})
+    c.delete_payload_keys(F.col("lang") == "fr", ["lang"])
+    return c.read()
+
+
+@query("stored_version", "SELECT doc_id, source FROM documents")
+def stored_version(spark, sf_dir):
+    """Readers of an old version see none of what came after it."""
+    d, c = stored_documents(spark, sf_dir, "version")
+    c.delete(F.col("doc_id") % 3 == 0)
+    return c.read(version=1).select("doc_id", "source")
+
+
+@query("scroll_pages", "WITH p AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 250 AS page FROM documents WHERE lang = 'en') SELECT page, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM p GROUP BY page")
+def scroll_pages(spark, sf_dir):
+    """The pages of a filtered scan, and the key from which each is read on."""
+    _, c = stored_documents(spark, sf_dir, "pages")
+    p = c.page_numbers(250, F.col("lang") == "en")
+    return p.groupBy("page").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@query("collection_source", "SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN 'again' ELSE source END AS source FROM documents WHERE doc_id >= 100 AND lang = 'en'")
+def collection_source(spark, sf_dir):
+    """Written and read as a data source; what is written again counts."""
+    CS.register(spark)
+    path = Q.scratch_folder(spark, "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    write = lambda rows: rows.write.format("collection").option("path", path).option("key", "doc_id").mode("append").save()
+    write(d)
+    Q.Collection(spark, path, bucket_rows=20_000).compact()
+    write(d.filter("doc_id % 40 = 0").withColumn("source", F.lit("again")))
+    return spark.read.format("collection").option("path", path).load().filter("doc_id >= 100 and lang = 'en'").select("doc_id", "source")
