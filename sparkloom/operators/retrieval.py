@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import SPARSE_STOP_WORDS, hash_bucket, query_tokens, sparse_words
 
@@ -65,48 +69,66 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-#: Queries that are collected and shipped to the corpus at a time.
-QUERY_BLOCK = 4096
+#: Queries of a tile, and rows of a slice of the corpus, that meet in one task; rows that are scored at once.
+TILE, SLICE, STEP = 8192, 65_536, 4096
+
+
+def tiled(queries: DataFrame, corpus: DataFrame, work: Callable[[pa.Table, pa.Table], dict], schema: str, tile: int = TILE, part: int = SLICE) -> DataFrame:
+    """``work(queries, rows)`` for each tile of the queries and slice of the corpus, of bounded sizes on average. Both are dealt
+    by hashes and copied to the pairs they belong to by a list of numbers, so nothing passes through the driver but two
+    counts, and the plan is the same for any number of queries."""
+    tiles, slices = (max(1, -(-d.count() // n)) for d, n in ((queries, tile), (corpus, part)))
+    spread = lambda d, n: F.pmod(F.xxhash64(*[c for c in d.columns if d.schema[c].dataType.typeName() != "map"]), F.lit(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(spread(queries, tiles).alias("__tile"), numbers(slices).alias("__slice"), *queries.columns)
+    c = corpus.select(numbers(tiles).alias("__t"), spread(corpus, slices).alias("__s"), *[F.col(n).alias(f"__c_{n}") for n in corpus.columns])  # columns of one name would be mixed up
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
+        found = work(left, right.rename_columns([n.removeprefix("__c_") for n in right.column_names]))
+        return pa.table({n: pa.array(found[n], t) for n, t in zip(names, kinds, strict=True)})
+
+    kinds = [f.type for f in to_arrow_schema(corpus.sparkSession.createDataFrame([], schema).schema)]
+    return q.groupBy("__tile", "__slice").cogroup(c.groupBy("__t", "__s")).applyInArrow(run, schema)
+
+
+def _matrix(table: pa.Table, column: str = "vec") -> np.ndarray:
+    return np.vstack(table[column].to_numpy()).astype(np.float64)
 
 
-def _query_blocks(queries: DataFrame, columns: list[str], block: int):
-    """(qids, unit vectors, other columns) of ``queries``, a bounded block at a time."""
-    q = queries.select("qid", "vec", *columns)
-    blocks = max(1, -(-q.count() // block))
-    for i in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else q
-        rows = part.orderBy("qid").collect()
-        if rows:
-            v = np.array([r["vec"] for r in rows], dtype=np.float64)
-            yield np.array([r["qid"] for r in rows]), v / np.linalg.norm(v, axis=1, keepdims=True), [np.array([r[c] for r in rows]) for c in columns]
+def _units(table: pa.Table) -> np.ndarray:
+    m = _matrix(table)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _cosines(vectors, q: np.ndarray, digits: int) -> np.ndarray:
-    m = np.vstack(vectors).astype(np.float64)
-    return np.round((m / np.linalg.norm(m, axis=1, keepdims=True)) @ q.T, digits)
+def best_of(scores: Callable[[int, int], np.ndarray], rows: int, queries: int, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, score) of what may be among a query's first ``k`` rows, ties included, of scores(from, to) of rows by
+    queries; of all pairs without ``k``. What lies below a query's k-th best so far is dropped as soon as it is scored."""
+    found: list[tuple] = []
+    floor = np.full(queries, -np.inf)
+    for at in range(0, rows, STEP):
+        s = scores(at, min(rows, at + STEP))
+        if k is not None and len(s) >= k:
+            floor = np.maximum(floor, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+        row, col = np.nonzero(s >= floor)
+        found.append((row + at, col, s[row, col]))
+    row, col, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    last = score >= floor[col]
+    return row[last], col[last], score[last]
 
 
-def dense_scores(queries: DataFrame, corpus: DataFrame, digits: int = 6, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, id, score): exact cosines of a stated query set against every row, in blocks of queries and batches
-    of the corpus. With ``k`` a batch hands on only what may be among a query's first k (ties included)."""
-    spark = corpus.sparkSession
-    out = spark.createDataFrame([], "qid bigint, id bigint, score double")
-    for ids, q, _ in _query_blocks(queries, [], block):
-        shipped = spark.sparkContext.broadcast((ids, q))
+def dense_scores(queries: DataFrame, corpus: DataFrame, digits: int = 6, k: int | None = None, tile: int = TILE, part: int = SLICE) -> DataFrame:
+    """(qid, id, score): exact cosines of a stated query set against every row, by tiles of queries and slices of the corpus.
+    With ``k`` a slice hands on only what may be among a query's first k (ties included)."""
 
-        def run(batches, shipped=shipped):
-            ids, q = shipped.value
-            for b in batches:
-                if len(b):
-                    s = _cosines(b["vec"].to_numpy(), q, digits)
-                    if k is not None and len(b) > k:
-                        row, col = np.nonzero(s >= np.partition(s, len(b) - k, axis=0)[len(b) - k])
-                    else:
-                        row, col = np.nonzero(np.ones(s.shape, dtype=bool))
-                    yield pd.DataFrame({"qid": ids[col], "id": b["id"].to_numpy()[row], "score": s[row, col]})
+    def work(left: pa.Table, right: pa.Table) -> dict:
+        q, m = _units(left), _units(right)
+        row, col, score = best_of(lambda i, j: np.round(m[i:j] @ q.T, digits), len(m), len(q), k)
+        return {"qid": left["qid"].to_numpy()[col], "id": right["id"].to_numpy()[row], "score": score}
 
-        out = out.unionByName(corpus.select("id", "vec").mapInPandas(run, "qid bigint, id bigint, score double"))
-    return out
+    return tiled(queries.select("qid", "vec"), corpus.select("id", "vec"), work, "qid bigint, id bigint, score double", tile, part)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -114,45 +136,57 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return ranked(dense_scores(queries, corpus, k=k), [F.desc("score"), F.asc("id")], limit=k)
 
 
-def dense_best_ranks(queries: DataFrame, corpus: DataFrame, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+def maxsim_topk(queries: DataFrame, corpus: DataFrame, k: int, width: int = 16, digits: int = 6, tile: int = TILE // 4, part: int = SLICE) -> DataFrame:
+    """(qid, id, score, rank): the first ``k`` rows of each query by late interaction, ties by id. A vector is a list of parts of
+    ``width`` entries; each part of the query counts with its best dot product among a row's parts, and the score is the mean."""
+
+    def work(left: pa.Table, right: pa.Table) -> dict:
+        q, m = _matrix(left), _matrix(right)
+        parts = [slice(i, i + width) for i in range(0, q.shape[1], width)]
+
+        def scores(i: int, j: int) -> np.ndarray:
+            return np.round(sum(np.maximum.reduce([m[i:j, b] @ q[:, a].T for b in parts]) for a in parts) / len(parts), digits)
+
+        row, col, score = best_of(scores, len(m), len(q), k)
+        return {"qid": left["qid"].to_numpy()[col], "id": right["id"].to_numpy()[row], "score": score}
+
+    found = tiled(queries.select("qid", "vec"), corpus.select("id", "vec"), work, "qid bigint, id bigint, score double", tile, part)
+    return ranked(found, [F.desc("score"), F.asc("id")], limit=k)
+
+
+def dense_best_ranks(queries: DataFrame, corpus: DataFrame, digits: int = 6, tile: int = TILE, part: int = SLICE) -> DataFrame:
     """(qid, best): the rank of the first row that has its query's label, for queries (qid, vec, q_label) and a corpus
     (id, vec, label); a query without such a row is left out. Ranks are counted, not sorted: a pass finds
     each query's best such row, another counts the rows before it."""
-    spark = corpus.sparkSession
-    out = spark.createDataFrame([], "qid bigint, best bigint")
-    for ids, q, (labels,) in _query_blocks(queries, ["q_label"], block):
-        shipped = spark.sparkContext.broadcast((ids, q, labels))
-
-        def first(batches, shipped=shipped):
-            ids, q, labels = shipped.value
-            for b in batches:
-                s = _cosines(b["vec"].to_numpy(), q, digits)
-                s[b["label"].to_numpy()[:, None] != labels[None, :]] = -np.inf
-                order = np.argsort(b["id"].to_numpy(), kind="stable")
-                at = order[np.argmax(s[order], axis=0)]  # of equal scores the least id
-                score = s[at, np.arange(len(ids))]
-                there = np.isfinite(score)
-                yield pd.DataFrame({"qid": ids[there], "score": score[there], "id": b["id"].to_numpy()[at][there]})
-
-        found = corpus.select("id", "vec", "label").mapInPandas(first, "qid bigint, score double, id bigint")
-        best = found.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("qid", "b.s", "b.id").collect()
-        at = {r["qid"]: (-r["s"], r["id"]) for r in best}  # a row for each query of the block
-        keep = np.array([i in at for i in ids.tolist()], dtype=bool)
-        if not keep.any():
-            continue
-        marks = spark.sparkContext.broadcast((ids[keep], q[keep], np.array([at[i][0] for i in ids[keep].tolist()]), np.array([at[i][1] for i in ids[keep].tolist()])))
-
-        def before(batches, marks=marks):
-            ids, q, score, mark = marks.value
-            total = np.zeros(len(ids), dtype=np.int64)
-            for b in batches:
-                s = _cosines(b["vec"].to_numpy(), q, digits)
-                total += ((s > score) | ((s == score) & (b["id"].to_numpy()[:, None] < mark))).sum(axis=0)
-            yield pd.DataFrame({"qid": ids, "n": total})
-
-        counts = corpus.select("id", "vec").mapInPandas(before, "qid bigint, n bigint")
-        out = out.unionByName(counts.groupBy("qid").agg((F.sum("n") + 1).alias("best")))
-    return out
+
+    def first(left: pa.Table, right: pa.Table) -> dict:
+        q, m, ids = _units(left), _units(right), right["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        score, at = np.full(len(q), -np.inf), np.zeros(len(q), dtype=np.int64)
+        for i in range(0, len(order), STEP):  # of equal scores the least id
+            some = order[i : i + STEP]
+            s = np.round(m[some] @ q.T, digits)
+            s[right["label"].to_numpy()[some][:, None] != left["q_label"].to_numpy()[None, :]] = -np.inf
+            top = np.argmax(s, axis=0)
+            better = s[top, np.arange(len(q))] > score
+            score[better], at[better] = s[top, np.arange(len(q))][better], ids[some[top]][better]
+        there = np.isfinite(score)
+        return {"qid": left["qid"].to_numpy()[there], "score": score[there], "id": at[there]}
+
+    def before(left: pa.Table, right: pa.Table) -> dict:
+        q, m, ids = _units(left), _units(right), right["id"].to_numpy()
+        score, mark, total = left["score"].to_numpy(), left["mark"].to_numpy(), np.zeros(len(q), dtype=np.int64)
+        for i in range(0, len(m), STEP):
+            s = np.round(m[i : i + STEP] @ q.T, digits)
+            total += ((s > score) | ((s == score) & (ids[i : i + STEP, None] < mark))).sum(axis=0)
+        return {"qid": left["qid"].to_numpy(), "n": total}
+
+    asked, rows = queries.select("qid", "vec", "q_label"), corpus.select("id", "vec", "label")
+    found = tiled(asked, rows, first, "qid bigint, score double, id bigint", tile, part)
+    best = found.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("qid", (-F.col("b.s")).alias("score"), F.col("b.id").alias("mark"))
+    marked = asked.select("qid", "vec").join(best, "qid")
+    counts = tiled(marked, rows.select("id", "vec"), before, "qid bigint, n bigint", tile, part)
+    return counts.groupBy("qid").agg((F.sum("n") + 1).alias("best"))
 
 
 def sparse_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:

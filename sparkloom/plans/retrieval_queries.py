@@ -211,20 +211,15 @@ def rerank_ce(spark, sf_dir):
     return out.select("qid", "id", F.col("new_rank").cast("bigint").alias("new_rank"))
 
 
-@query("colbert_maxsim", f"{DENSE} SELECT qid, id, round((greatest(list_dot_product(q.vec[1:16], c.vec[1:16]), list_dot_product(q.vec[1:16], c.vec[17:32])) + greatest(list_dot_product(q.vec[17:32], c.vec[1:16]), list_dot_product(q.vec[17:32], c.vec[17:32]))) / 2, 6) AS score FROM dense_q q, dense_c c")
+PARTS = "[q.vec[1:16], q.vec[17:32], q.vec[33:48], q.vec[49:64]]"
+MAXSIM = f"""{DENSE}, m AS (SELECT qid, id, round(list_sum(list_transform({PARTS}, lambda a: list_max(list_transform({PARTS.replace('q.', 'c.')}, lambda b: list_dot_product(a, b))))) / 4, 6) AS score FROM dense_q q, dense_c c),
+  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM m) SELECT * FROM r WHERE rank <= 10"""
+
+
+@query("colbert_maxsim", MAXSIM)
 def colbert_maxsim(spark, sf_dir):
-    """Every pair, which is what this query reports: a block of queries is shipped to the rows."""
-    queries, vectors = dense(spark, sf_dir)
-    parts = lambda v: F.array(F.slice(v, 1, 16), F.slice(v, 17, 16))
-    out = spark.createDataFrame([], "qid bigint, id bigint, score double")
-    n = queries.count()
-    blocks = max(1, -(-n // R.QUERY_BLOCK))
-    for i in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        asked = F.broadcast(part.agg(F.collect_list(F.struct("qid", parts("vec").alias("q"))).alias("qs")))  # one row of at most QUERY_BLOCK queries
-        both = vectors.select("id", parts("vec").alias("d")).join(asked).select("id", "d", F.explode("qs").alias("x"))
-        out = out.unionByName(both.select(F.col("x.qid").alias("qid"), "id", F.round(R.maxsim(F.col("x.q"), F.col("d")), 6).alias("score")))
-    return out
+    """Whole vectors, as four parts each."""
+    return R.maxsim_topk(*dense(spark, sf_dir), 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("colbert_guard", f"""{DENSE}, h AS (SELECT qid, id, rank, CAST(id % 17 AS DOUBLE) AS second FROM dense_run WHERE rank <= 20),

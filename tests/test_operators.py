@@ -159,9 +159,9 @@ def test_dense_topk_in_blocks_and_batches(spark):
     for i in range(0, 300, 50):
         order = sorted(range(300), key=lambda j, i=i: (-round(float(unit[j] @ unit[i]), 6), j))
         want[i], best[i] = order[:9], next(k for k, j in enumerate(order, 1) if j % 7 == i % 7)
-    got = R.ranked(R.dense_scores(q, d, k=9, block=2), [F.desc("score"), F.asc("id")], limit=9).collect()
+    got = R.ranked(R.dense_scores(q, d, k=9, tile=2, part=7), [F.desc("score"), F.asc("id")], limit=9).collect()
     assert {i: [x["id"] for x in sorted(got, key=lambda x: x["rank"]) if x["qid"] == i] for i in want} == want
-    assert {x["qid"]: x["best"] for x in R.dense_best_ranks(q, d, block=4).collect()} == best
+    assert {x["qid"]: x["best"] for x in R.dense_best_ranks(q, d, tile=4, part=9).collect()} == best
 
 
 def test_search_requests():
@@ -419,3 +419,20 @@ def test_tiny_code_whole_reads_past_the_first_characters(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 100 + " b" * 20), (2, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["tiny"] for r in Q.tiny_code_whole(spark, str(tmp_path)).collect()} == {1: False, 2: True}
     assert {r["doc_id"]: r["tiny"] for r in Q.tiny_code(spark, str(tmp_path)).collect()} == {1: True, 2: True}
+
+
+def test_maxsim_by_tiles(spark):
+    import numpy as np
+
+    from sparkloom.operators import retrieval as R
+
+    v = np.random.default_rng(2).integers(-3, 4, (90, 8)).astype(float)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>").repartition(3)
+    q = d.filter("id % 30 = 0").select(F.col("id").alias("qid"), "vec")
+    want = {}
+    for i in range(0, 90, 30):
+        score = {j: round(sum(max(float(v[i, a : a + 4] @ v[j, b : b + 4]) for b in (0, 4)) for a in (0, 4)) / 2, 6) for j in range(90)}
+        want[i] = [(j, score[j]) for j in sorted(score, key=lambda j: (-score[j], j))[:6]]
+    for tile, part in ((2048, 65_536), (1, 11)):
+        got = R.maxsim_topk(q, d, 6, width=4, tile=tile, part=part).collect()
+        assert {i: [(x["id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["qid"] == i] for i in want} == want
