@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import answers as J
+from ..operators import languages as L
 from ..operators import retrieval as R
 from ..operators import store as S
 from ..operators import summaries as N
@@ -216,3 +217,30 @@ def sorted_tags(spark, sf_dir):
     """Tags by number, then in collated order; a row per tag."""
     t = chunks(spark, sf_dir).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
     return t.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), *S.collated("tag"))).cast("bigint"))
+
+
+GRAMS = r"""WITH d AS (SELECT doc_id, lang, length(text) AS size, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
+  c AS (SELECT doc_id, lang, size, string_split(t, '') AS c FROM d WHERE t <> '  '),
+  u AS (SELECT doc_id, lang, size, unnest(c) AS a, unnest(list_append(c[2:], '')) AS b, unnest(list_concat(c[3:], ['', ''])) AS e FROM c),
+  g AS MATERIALIZED (SELECT doc_id, any_value(lang) AS lang, any_value(size) AS size, gram, count(*) AS n FROM (
+      SELECT doc_id, lang, size, a AS gram FROM u UNION ALL SELECT doc_id, lang, size, a || b FROM u WHERE b <> '' UNION ALL SELECT doc_id, lang, size, a || b || e FROM u WHERE e <> '') WHERE gram <> ' ' GROUP BY doc_id, gram),
+  p AS (SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS rank FROM g WHERE lang IS NOT NULL GROUP BY lang, gram QUALIFY rank <= 300)"""
+
+
+@query("language_profiles", f"{GRAMS} SELECT lang, rank, gram, n FROM p")
+def language_profiles(spark, sf_dir):
+    return L.language_profiles(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "language_by_profile",
+    f"""{GRAMS}, m AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS r FROM g WHERE size >= 100 QUALIFY r <= 300),
+  far AS (SELECT doc_id, l.lang, CAST(sum(CASE WHEN p.rank IS NULL THEN 300 ELSE abs(p.rank - m.r) END) AS BIGINT) AS distance
+    FROM m CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = m.gram GROUP BY doc_id, l.lang),
+  b AS (SELECT doc_id, lang AS found, distance FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) = 1)
+  SELECT documents.doc_id, found, distance FROM documents LEFT JOIN b ON b.doc_id = documents.doc_id""",
+)
+def language_by_profile(spark, sf_dir):
+    """Every document under the profiles of all of them."""
+    d = table(spark, sf_dir, "documents")
+    return L.language_by_profile(d, L.language_profiles(d), "doc_id")
