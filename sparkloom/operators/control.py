@@ -80,6 +80,58 @@ def token_bucket(events: DataFrame, capacity: float, per_ms: float) -> DataFrame
     return fold_in_order(rows, "key", ["ts_ms", "event_id"], lambda row: Bucket(capacity, per_ms, int(row[2])), step, "key bigint, event_id bigint, allowed boolean, remaining double, retry_after_ms bigint")
 
 
+class Account:
+    """A key's bucket with its open reservations. The bucket's capacity and rate are those of the event that made it; one that
+    was not asked for as long as it takes to fill is gone, with all that was open."""
+
+    def __init__(self) -> None:
+        self.bucket: Bucket | None = None
+        self.last = 0
+        self.open: dict[int, float] = {}
+
+    def idle_ms(self) -> int:
+        return math.ceil(self.bucket.capacity / self.bucket.per_ms)
+
+    def sweep(self, now: int) -> None:
+        if self.bucket is not None and now - self.last >= self.idle_ms():
+            self.bucket, self.open = None, {}
+
+    def act(self, kind: str, now: int, number: int, cost: float, capacity: float, per_ms: float) -> tuple[str, float | None]:
+        """(outcome, left): reserve is ok, wait or too_large; release gives back what a reservation did not take and is
+        refunded, unknown_reservation, or no_bucket where there is none to give to."""
+        self.sweep(now)
+        if kind == "release":
+            if self.bucket is None:
+                return "no_bucket", None
+            reserved = self.open.pop(number, None)
+            if reserved is None:
+                return "unknown_reservation", self.bucket.tokens
+            self.bucket.give(max(0.0, reserved - cost))
+            return "refunded", self.bucket.tokens
+        if self.bucket is None:
+            self.bucket = Bucket(capacity, per_ms, now)
+        allowed, left, wait = self.bucket.take(now, cost)
+        self.last = max(self.last, now)
+        if allowed:
+            self.open[number] = cost
+        return ("ok" if allowed else "too_large" if wait is None else "wait"), left
+
+
+RESERVATIONS = "key bigint, event_id bigint, outcome string, remaining double"
+
+
+def token_reservations(events: DataFrame) -> DataFrame:
+    """(key, event_id, outcome, remaining) of events (key, event_id, ts_ms, kind, number, cost, capacity, per_ms) in order of time:
+    ``reserve`` asks for tokens under a number, ``release`` of that number tells what was really taken."""
+
+    def step(account: Account, row: tuple) -> tuple:
+        key, event, now, kind, number, cost, capacity, per_ms = row
+        return key, event, *account.act(kind, now, number, cost, capacity, per_ms)
+
+    rows = events.select("key", "event_id", "ts_ms", "kind", "number", *[F.col(c).cast("double").alias(c) for c in ("cost", "capacity", "per_ms")])
+    return fold_in_order(rows, "key", ["ts_ms", "event_id"], lambda _: Account(), step, RESERVATIONS)
+
+
 class Ledger:
     """A request's calls and reserved tokens under ceilings; a reservation is settled by what it really took."""
 

@@ -253,3 +253,32 @@ def asof_refill(spark, sf_dir):
     d = asof_join(asked, bought, ["key"], "ts", ["event_id"])
     tokens = refilled(F.col("last_tokens"), F.col("ts_ms") - F.col("last_ts_ms"), 5, 30 / 6_000_000)
     return d.select("event_id", F.col("last_event_id").alias("last_event"), F.round(tokens, 6).alias("tokens"))
+
+
+RESERVED = """WITH RECURSIVE e AS (SELECT event_id // 2 % 40 AS key, event_id, epoch_us(ts) // 1000 AS t, event_id % 2 = 0 AS ask, CASE WHEN event_id % 2 = 0 THEN event_id // 2 ELSE event_id // 2 - CASE WHEN event_id % 3 = 0 THEN 0 ELSE 40 END END AS number,
+    value AS cost, 300e0 + event_id % 3 * 100 AS cap, row_number() OVER (PARTITION BY event_id // 2 % 40 ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+  s AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, CAST(NULL AS DOUBLE) AS tokens, CAST(NULL AS BIGINT) AS since, CAST(NULL AS DOUBLE) AS cap, CAST([] AS STRUCT(number BIGINT, cost DOUBLE)[]) AS held FROM e
+    UNION ALL SELECT key, i, event_id, outcome,
+      CASE WHEN outcome = 'ok' THEN now - cost WHEN outcome = 'refunded' THEN least(c, now + greatest(0, mine - cost)) ELSE now END,
+      CASE WHEN ask THEN t ELSE since END, c,
+      CASE WHEN outcome = 'ok' THEN list_append(list_filter(held, lambda x: x.number <> q.number), {'number': number, 'cost': cost}) ELSE CASE WHEN outcome = 'refunded' THEN list_filter(held, lambda x: x.number <> q.number) ELSE held END END
+    FROM (SELECT *, CASE WHEN ask THEN CASE WHEN cost > c THEN 'too_large' WHEN now >= cost THEN 'ok' ELSE 'wait' END WHEN now IS NULL THEN 'no_bucket' WHEN mine IS NULL THEN 'unknown_reservation' ELSE 'refunded' END AS outcome
+      FROM (SELECT key, i, event_id, t, ask, number, cost, since, held, CASE WHEN gone AND ask THEN own WHEN NOT gone THEN had END AS c,
+          CASE WHEN gone AND ask THEN own WHEN NOT gone AND ask THEN least(had, tokens + (t - since) * (1e0 / 90000)) WHEN NOT gone THEN tokens END AS now, list_filter(held, lambda x: x.number = p.number)[1].cost AS mine
+        FROM (SELECT e.key, e.i, e.event_id, e.t, e.ask, e.number, e.cost, e.cap AS own, s.cap AS had, s.tokens, s.since, s.cap IS NULL OR e.t - s.since >= ceil(s.cap / (1e0 / 90000)) AS gone,
+            CASE WHEN s.cap IS NULL OR e.t - s.since >= ceil(s.cap / (1e0 / 90000)) THEN [] ELSE s.held END AS held FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1) p)) q)
+  SELECT key, event_id, outcome, round(tokens, 4) AS remaining FROM s WHERE i > 0"""
+
+
+def reservation_events(spark, sf_dir):
+    """Pairs of events: the first reserves, the second releases the same number or that of the key's pair before."""
+    n = F.col("event_id")
+    pair = F.expr("event_id div 2")
+    number = F.when((n % 2 == 0) | (n % 3 == 0), pair).otherwise(pair - 40)
+    e = events(spark, sf_dir).select((pair % 40).alias("key"), "event_id", "ts_ms", F.when(n % 2 == 0, "reserve").otherwise("release").alias("kind"), number.alias("number"), "cost")
+    return e.withColumns({"capacity": 300.0 + n % 3 * 100, "per_ms": F.lit(1 / 90_000)})
+
+
+@query("token_reservations", RESERVED)
+def token_reservations(spark, sf_dir):
+    return rounded(K.token_reservations(reservation_events(spark, sf_dir)))

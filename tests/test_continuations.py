@@ -67,3 +67,16 @@ def test_a_run_at_work_does_not_expire():
     assert len(s.runs) == 1 and s.claim(100, "r", "k", ("c",)) == "run_busy"
     assert s.release(101, "r", "k", 7, ("d",)) == "ok" and s.size == 7
     assert s.claim(110, "r", "k", ("c",)) == "results_mismatch" and s.close(111, "r", "k") == "run_not_found" and s.size == 0
+
+
+def test_accounts():
+    from sparkloom.operators.control import Account
+
+    a = Account()
+    assert a.act("release", 0, 1, 5.0, 10.0, 1.0) == ("no_bucket", None)
+    assert a.act("reserve", 0, 1, 8.0, 10.0, 1.0) == ("ok", 2.0)
+    assert a.act("reserve", 1, 2, 8.0, 99.0, 9.0) == ("wait", 3.0)  # the first event's limits hold
+    assert a.act("reserve", 1, 3, 50.0, 99.0, 9.0) == ("too_large", 3.0)
+    assert a.act("release", 2, 2, 1.0, 0, 0) == ("unknown_reservation", 3.0)
+    assert a.act("release", 2, 1, 3.0, 0, 0) == ("refunded", 8.0) and a.act("release", 2, 1, 3.0, 0, 0)[0] == "unknown_reservation"
+    assert a.act("reserve", 11, 4, 50.0, 99.0, 9.0) == ("ok", 49.0)  # idle for 10 ms: a new bucket, with the event's limits

@@ -50,3 +50,31 @@ def test_incremental_index(spark, tmp_path):
     S.incremental_index(stream, f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
     table = spark.read.parquet(f"{tmp_path}/t")
     assert sorted(map(tuple, S.latest(table).collect())) == [("a", "1"), ("b", "2")]
+
+
+def test_negative_costs_give_back_up_to_the_capacity(spark, tmp_path):
+    d = spark.createDataFrame([(1, i, i, c) for i, c in enumerate([2.0, -9.0, 3.0, 1.0, -1.0, 1.0])], "key long, event_id long, ts_ms long, cost double")
+    d.coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    stream = spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in/*")
+    out = S.rate_limit_stream(stream, 3, 1e-9).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    out.option("checkpointLocation", f"{tmp_path}/c").trigger(once=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, K.token_bucket(d, 3, 1e-9).collect()))
+
+
+def test_reservations_on_state_equal_the_batch(spark, tmp_path):
+    from sparkloom.plans.control_queries import reservation_events
+
+    d = reservation_events(spark, "/root/testdata/sf0.001")
+    n, before = d.count(), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in range(3):  # each run goes on from the state that the last one left
+            d.filter(F.col("event_id").between(part * n // 3 + (part > 0), (part + 1) * n // 3)).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+            stream = spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in/*")
+            out = S.reservation_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+            out.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    rows = lambda x: sorted((r[0], r[1], r[2], None if r[3] is None else round(r[3], 6)) for r in x.collect())
+    got, want = rows(spark.read.parquet(f"{tmp_path}/out")), rows(K.token_reservations(d))
+    assert got == want and {r[2] for r in got} >= {"ok", "refunded", "unknown_reservation"}
