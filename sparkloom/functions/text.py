@@ -89,14 +89,29 @@ def guard_tokens(text: Column) -> Column:
 
 
 def hash_bucket(token: Column) -> Column:
-    """djb2 over code units in 32 bits, folded to 2**20 buckets."""
-    step = lambda a, c: F.shiftright(F.shiftleft(a * 33, 32), 32).bitwiseXOR(c)
+    """djb2 over UTF-16 code units in 32 bits, folded to 2**20 buckets; a character beyond U+FFFF is two units."""
+    unit = lambda a, c: F.shiftright(F.shiftleft(a * 33, 32), 32).bitwiseXOR(c)
+    high, low = (lambda c: F.shiftright(c - 0x10000, 10) + 0xD800), (lambda c: (c - 0x10000).bitwiseAND(0x3FF) + 0xDC00)
+    step = lambda a, c: F.when(c > 0xFFFF, unit(unit(a, high(c)), low(c))).otherwise(unit(a, c))
     codes = F.transform(F.split(token, ""), lambda c: F.ascii(c).cast("bigint"))
     return F.abs(F.aggregate(codes, F.lit(5381).cast("bigint"), step)) % SPARSE_BUCKETS
 
 
+def utf16_length(text: Column) -> Column:
+    """How many UTF-16 code units a text has: a character beyond U+FFFF counts twice."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
+
+
+def left_units(text: Column, most: int) -> Column:
+    """The first ``most`` UTF-16 code units; a character of which only a half would fit is left out."""
+    raw = F.encode(text, "UTF-16BE")
+    halved = F.hex(F.substring(raw, 2 * most - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.substring(raw, F.lit(1), F.when(halved, 2 * most - 2).otherwise(2 * most)), "UTF-16BE")
+    return F.when(F.length(text) * 2 <= most, text).when(utf16_length(text) == F.length(text), F.substring(text, 1, most)).otherwise(cut)
+
+
 def heuristic_tokens(text: Column) -> Column:
-    return F.ceil(F.length(text) / 4)
+    return F.ceil(utf16_length(text) / 4)
 
 
 def script_tokens(text: Column) -> Column:
@@ -119,7 +134,7 @@ def safe_last_tokens(text: Column, most: int) -> Column:
 
 
 def truncate_to_budget(text: Column, most: int) -> Column:
-    return F.substring(text, 1, 4 * most)
+    return left_units(text, 4 * most)
 
 
 def sentences(text: Column) -> Column:
@@ -237,7 +252,7 @@ def sanitize_header(text: Column) -> Column:
 
 
 def compact_snippet(text: Column, most: int = 150) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    return F.when(utf16_length(text) > most, F.concat(left_units(text, most), F.lit("..."))).otherwise(text)
 
 
 def dir_prefix(path: Column, depth: int) -> Column:

@@ -436,3 +436,26 @@ def test_maxsim_by_tiles(spark):
     for tile, part in ((2048, 65_536), (1, 11)):
         got = R.maxsim_topk(q, d, 6, width=4, tile=tile, part=part).collect()
         assert {i: [(x["id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["qid"] == i] for i in want} == want
+
+
+def test_utf16_units(spark):
+    from sparkloom.functions import text as X
+
+    def units(t):
+        raw = t.encode("utf-16-be")
+        return [raw[i] << 8 | raw[i + 1] for i in range(0, len(raw), 2)]
+
+    def bucket(t):
+        h = 5381
+        for u in units(t):
+            h = ((h * 33) & 0xFFFFFFFF) ^ u
+        return abs(h - (1 << 32) if h >> 31 else h) % (1 << 20)
+
+    texts = ["plain", "😀", "a😀b𝒜", "漢字", "", "x" * 9 + "😀" * 5, "😀" * 9]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = F.col("t")
+    for r in d.select("t", X.hash_bucket(c).alias("h"), X.utf16_length(c).alias("n"), X.heuristic_tokens(c).alias("k"), X.compact_snippet(c, 10).alias("s"), X.truncate_to_budget(c, 1).alias("b")).collect():
+        n = len(units(r["t"]))
+        assert (r["h"], r["n"], r["k"]) == (bucket(r["t"]) if r["t"] else r["h"], n, -(-n // 4))
+        cut = lambda m, t=r["t"]: t.encode("utf-16-be")[: 2 * m].decode("utf-16-be", "ignore")
+        assert r["s"] == (cut(10) + "..." if n > 10 else r["t"]) and r["b"] == cut(4)
