@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import continuations as R
 from ..operators import control as K
 from ..operators.asof import asof_join, refilled
+from ..operators.quantiles import exact_quantiles
 from ..sources import jsonl as J
 from .fixtures import table
 from .registry import query
@@ -282,3 +283,8 @@ def reservation_events(spark, sf_dir):
 @query("token_reservations", RESERVED)
 def token_reservations(spark, sf_dir):
     return rounded(K.token_reservations(reservation_events(spark, sf_dir)))
+
+
+@query("exact_quantiles", "SELECT event_type, CAST(0.5 AS DOUBLE) AS share, quantile_disc(value, 0.5) AS value FROM events GROUP BY event_type UNION ALL SELECT event_type, CAST(0.95 AS DOUBLE), quantile_disc(value, 0.95) FROM events GROUP BY event_type")
+def exact_quantile_values(spark, sf_dir):
+    return exact_quantiles(events(spark, sf_dir).select("state", "cost"), ["state"], "cost", [0.5, 0.95]).select(F.col("state").alias("event_type"), "share", "value")
