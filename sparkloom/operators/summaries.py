@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.collections import scratch_folder
 from .chunking import outline
 
 Generate = Callable[[Column, Column], Column]
@@ -107,11 +108,13 @@ def directory_points(files: DataFrame, collection: str) -> DataFrame:
 def summary_rollup(directories: DataFrame, files: DataFrame, generate: Generate) -> DataFrame:
     """``directories`` with ``inventory``, summary and summary_kind, deepest first: without a known child or with one that
     has an inventory only, the inventory stays; one child's real summary is taken over; of two or more a new one is made.
-    ``files``: (node_path, summary, summary_kind). A level of folders is a join, and there are as many as folders nest."""
+    ``files``: (node_path, summary, summary_kind). A level of folders is a join with the files and the level below, which is
+    written and read back, so no plan grows with how deep folders nest."""
     depth = F.size(F.split("path", "/"))
     deepest = directories.agg(F.max(depth)).first()[0] or 0
-    known = files.select("node_path", F.regexp_replace("node_path", "#file$", "").alias("name"), "summary", "summary_kind")
-    out = None
+    spark, folder = directories.sparkSession, scratch_folder(directories.sparkSession, "rollup")
+    leaves = files.select("node_path", F.regexp_replace("node_path", "#file$", "").alias("name"), "summary", "summary_kind")
+    known, empty = leaves, None
     for level in range(deepest, 0, -1):
         d = directories.filter(depth == level)
         c = d.select("path", F.posexplode("children").alias("i", "node_path")).join(known, "node_path")
@@ -124,9 +127,13 @@ def summary_rollup(directories: DataFrame, files: DataFrame, generate: Generate)
         made = F.when(n >= 2, generate(label, F.transform("l", lambda x: x["line"])))
         kind = F.when(taken.isNotNull(), "propagated").when(made.isNotNull(), "rollup").otherwise("inventory")
         d = d.select("path", "node_path", "parent", "children", F.col("summary").alias("inventory"), F.coalesce(taken, made, F.col("summary")).alias("summary"), kind.alias("summary_kind"))
-        known = known.unionByName(d.select("node_path", F.col("node_path").alias("name"), "summary", "summary_kind"))
-        out = d if out is None else out.unionByName(d)
-    return out
+        d.write.parquet(f"{folder}/level={level}")
+        below = spark.read.schema(d.schema).parquet(f"{folder}/level={level}")
+        known, empty = leaves.unionByName(below.select("node_path", F.col("node_path").alias("name"), "summary", "summary_kind")), d.schema
+    if empty is None:
+        text = F.lit(None).cast("string")
+        return directories.select("path", "node_path", "parent", "children", F.col("summary").alias("inventory"), "summary", text.alias("summary_kind"))
+    return spark.read.schema(empty).parquet(*[f"{folder}/level={i}" for i in range(deepest, 0, -1)])
 
 
 def collection_summary(collection: str, files: DataFrame, top: DataFrame | None = None, generate: Generate | None = None) -> DataFrame:

@@ -459,3 +459,16 @@ def test_utf16_units(spark):
         assert (r["h"], r["n"], r["k"]) == (bucket(r["t"]) if r["t"] else r["h"], n, -(-n // 4))
         cut = lambda m, t=r["t"]: t.encode("utf-16-be")[: 2 * m].decode("utf-16-be", "ignore")
         assert r["s"] == (cut(10) + "..." if n > 10 else r["t"]) and r["b"] == cut(4)
+
+
+def test_rollup_of_deep_folders(spark):
+    """Fifty folders in one another: a file's summary goes all the way up, in a plan that is no larger for it."""
+    from sparkloom.operators import summaries as N
+
+    deep = "/".join(f"d{i}" for i in range(50))
+    files = spark.createDataFrame([(f"{deep}/a.md",)], "source_file string")
+    known = spark.createDataFrame([(f"{deep}/a.md#file", "what a says", "generated")], "node_path string, summary string, summary_kind string")
+    out = N.summary_rollup(N.directory_points(files, "main"), known, lambda label, lines: F.concat(label, F.lit("!")))
+    got = out.collect()
+    assert len(got) == 50 and {(r["summary"], r["summary_kind"]) for r in got} == {("what a says", "propagated")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\n") < 20
