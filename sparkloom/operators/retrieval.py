@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import SPARSE_STOP_WORDS, hash_bucket, query_tokens, sparse_words
+from ..sources.collections import written
 
 # BM25 saturation, fusion and rerank weights.
 K1, B = 1.5, 0.75
@@ -31,8 +32,9 @@ def sparse_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def sparse_encode(docs: DataFrame, key: str, text: str = "text", avg_length: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """(key, bucket, weight): saturated term frequencies, colliding buckets added up. With ``avg_length``
     lengths are normalised by the corpus mean; without it the norm is 1. ``wanted`` (bucket): only these
-    buckets are encoded. A text's terms are counted before they are hashed, and texts are read once."""
-    terms = sparse_terms(docs, key, text).groupBy(key, "term").agg(F.count("*").alias("f"))
+    buckets are encoded. Texts are dealt by key before they are split, so that all counts and sums of a text are made where
+    it is: what moves is each text once, not its terms."""
+    terms = sparse_terms(docs.select(key, text).repartition(key), key, text).groupBy(key, "term").agg(F.count("*").alias("f"))
     norm: Column = F.lit(1.0)
     if avg_length:
         n = terms.groupBy(key).agg(F.sum("f").alias("n"))
@@ -353,6 +355,21 @@ def hashed_embedding(docs: DataFrame, key: str, text: str = "text", size: int =
     return v.join(n, key).select(key, "dim", (F.col("v") / F.col("n")).alias("value"))
 
 
+def folded_vectors(encoded: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """(key, vec): sparse encodings (key, bucket, weight) folded to unit vectors of ``size`` dimensions."""
+    folded = encoded.repartition(key).groupBy(key, (F.col("bucket") % size).cast("int").alias("dim")).agg(F.sum("weight").alias("v"))
+    by = folded.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("n")).alias("vec"))
+
+
+def both_lanes(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int | None, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The dense and the sparse scores (qid, id, score) of text queries, both from one encoding of the documents, which is
+    written once. ``k``: the depth to which dense scores are wanted."""
+    q = written(sparse_encode(queries, query_key, text).withColumnRenamed(query_key, "qid"), "query-terms")
+    d = written(sparse_encode(docs, doc_key, text).withColumnRenamed(doc_key, "id"), "terms")
+    return dense_scores(folded_vectors(q, "qid"), folded_vectors(d, "id"), k=k), sparse_scores(q, d)
+
+
 def dense_vectors(long: DataFrame, key: str, size: int = 64) -> DataFrame:
     """(key, vec) of the long form (key, dim, value); missing dimensions are 0. A vector of other than ``size``
     dimensions is an error."""

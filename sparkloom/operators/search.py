@@ -127,6 +127,8 @@ def lanes_of(collection: Collection, queries: DataFrame, which: Column, top: int
     """The dense and the sparse lane of text queries (qid, text), both over the documents that ``which`` holds.
     The sparse lane is None where the profile has none."""
     docs = collection.documents.filter(which)
+    if embed is None and collection.vectors is None and collection.profile.get("sparse"):
+        return R.both_lanes(queries.select("qid", "text"), docs.select("id", "text"), "qid", "id", prefetch(top))
     if embed is None:
         embed = lambda d, key: R.dense_vectors(R.hashed_embedding(d, key), key)
     vectors = collection.vectors

@@ -10,6 +10,7 @@ from ..operators import evaluation as E
 from ..operators import guards as G
 from ..operators import retrieval as R
 from ..operators import search as H
+from ..sources.collections import written
 from .fixtures import CHUNKS, DENSE, chunks, dense, table
 from .registry import query
 from .text_queries import BUCKET_SQL, SPARSE_SQL, TECH_SQL, quoted
@@ -47,14 +48,10 @@ def sparse_lane(spark, sf_dir, k=None):
     return R.ranked(scores, [F.desc("score"), F.asc("id")], limit=k)
 
 
-def hashed(d, key):
-    return R.dense_vectors(R.hashed_embedding(d, key), key)
-
-
-def text_dense_lane(spark, sf_dir, k):
-    """The dense lane of the benchmark's passages over the documents, by hashed embeddings of both."""
-    scores = R.dense_scores(hashed(asked(spark, sf_dir), "qid"), hashed(corpus(spark, sf_dir), "id"), k=k)
-    return R.ranked(scores, [F.desc("score"), F.asc("id")], limit=k)
+def text_lanes(spark, sf_dir, k):
+    """The dense and the sparse lane of the benchmark's passages over the documents, from one encoding of these."""
+    dense, sparse = R.both_lanes(asked(spark, sf_dir), corpus(spark, sf_dir), "qid", "id", k)
+    return tuple(R.ranked(lane, [F.desc("score"), F.asc("id")], limit=k) for lane in (dense, sparse))
 
 
 def dense_lane(spark, sf_dir, k):
@@ -143,14 +140,14 @@ def run_search(spark, sf_dir):
 
 @query("rrf_rank_base", f"""{LANES}, u AS (SELECT qid, id, 1e0 / (2 + rank) AS s FROM lane_d WHERE rank <= 20 UNION ALL SELECT qid, id, 1e0 / (2 + rank) FROM sparse_run WHERE rank <= 20) SELECT qid, id, round(sum(s), 9) AS score FROM u GROUP BY qid, id""")
 def rrf_rank_base(spark, sf_dir):
-    return R.fuse_rrf([text_dense_lane(spark, sf_dir, 20), sparse_lane(spark, sf_dir, 20)], k=2, rank_base=1)
+    return R.fuse_rrf([*text_lanes(spark, sf_dir, 20)], k=2, rank_base=1)
 
 
 @query("weighted_rrf", f"""{LANES}, d AS (SELECT * FROM lane_d WHERE rank <= 50), t AS (SELECT * FROM sparse_run WHERE rank <= 50),
   f AS (SELECT coalesce(d.qid, t.qid) AS qid, coalesce(d.id, t.id) AS id, d.rank AS d_rank, t.rank AS s_rank, round(coalesce(1e0 / (60 + d.rank - 1), 0) + coalesce(1e0 / (60 + t.rank / (1e0 / (60 * 3e0 + 1)) - 1), 0), 9) AS score
   FROM d FULL JOIN t ON d.qid = t.qid AND d.id = t.id), r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d_rank NULLS LAST, s_rank NULLS LAST, id) AS rank FROM f) SELECT * FROM r WHERE rank <= 20""")
 def weighted_rrf(spark, sf_dir):
-    fused = R.weighted_rrf(text_dense_lane(spark, sf_dir, 50), sparse_lane(spark, sf_dir, 50), 60, 0.25)
+    fused = R.weighted_rrf(*text_lanes(spark, sf_dir, 50), 60, 0.25)
     return R.rank_weighted(fused, 20).select("qid", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -333,7 +330,7 @@ def judged(spark, sf_dir):
     long = F.size("runs") > 0
     inner = b.select("qid", "passage", F.explode("runs").alias("run"))
     in_docs = d.select("id", F.explode(X.word_runs(F.col("text"), SHINGLE)).alias("run"))
-    in_docs = in_docs.join(inner.select("run").distinct(), "run", "left_semi")
+    in_docs = written(in_docs.join(inner.select("run").distinct(), "run", "left_semi"), "runs")  # read twice
     often = in_docs.groupBy("run").agg(F.count("*").alias("n"))
     rarest = inner.join(often, "run", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r"))
     pairs = rarest.filter("r.n > 0").select("qid", "r.run").join(in_docs, "run").select("qid", "id")
@@ -359,13 +356,13 @@ def aggregate_metrics(spark, sf_dir):
 
 @query("lane_overlap", f"{LANES}, b AS (SELECT d.qid, count(*) AS shared FROM lane_d d JOIN sparse_run t ON d.qid = t.qid AND d.id = t.id WHERE d.rank <= 10 AND t.rank <= 10 GROUP BY d.qid) SELECT q.qid, coalesce(shared, 0) AS shared FROM ql q LEFT JOIN b ON b.qid = q.qid")
 def lane_overlap(spark, sf_dir):
-    return E.lane_overlap(text_dense_lane(spark, sf_dir, 10), sparse_lane(spark, sf_dir, 10), 10)
+    return E.lane_overlap(*text_lanes(spark, sf_dir, 10), 10)
 
 
 @query("relevant_overlap", f"""{LANES}, {QRELS}, m AS (SELECT q.qid, d.id IS NOT NULL AS x, t.id IS NOT NULL AS y FROM qrels q LEFT JOIN (SELECT * FROM lane_d WHERE rank <= 10) d ON d.qid = q.qid AND d.id = q.id LEFT JOIN (SELECT * FROM sparse_run WHERE rank <= 10) t ON t.qid = q.qid AND t.id = q.id)
   SELECT count(*) FILTER (WHERE x AND NOT y) AS first_only, count(*) FILTER (WHERE y AND NOT x) AS second_only, count(*) FILTER (WHERE x AND y) AS both, count(*) FILTER (WHERE NOT x AND NOT y) AS neither FROM m""")
 def relevant_overlap(spark, sf_dir):
-    return E.relevant_overlap(text_dense_lane(spark, sf_dir, 10), sparse_lane(spark, sf_dir, 10), judged(spark, sf_dir), 10)
+    return E.relevant_overlap(*text_lanes(spark, sf_dir, 10), judged(spark, sf_dir), 10)
 
 
 @query("window_recall", f"""{HITS}, want AS (SELECT doc_id % 50 AS qid, source_file, chunk_index FROM chunks WHERE chunk_index = 1)
@@ -390,7 +387,7 @@ scored AS (SELECT one.mode, one.qid, round(CASE WHEN idcg > 0 THEN dcg / idcg EL
 
 def modes(spark, sf_dir, depth=10):
     """(mode, qid, id, rank) of the dense lane, the sparse lane and their fusion."""
-    d, t = text_dense_lane(spark, sf_dir, max(20, depth)), sparse_lane(spark, sf_dir, max(20, depth))
+    d, t = text_lanes(spark, sf_dir, max(20, depth))
     fused = R.ranked(R.fuse_rrf([d.filter("rank <= 20"), t.filter("rank <= 20")]), [F.desc("score"), F.asc("id")], limit=10)
     of = lambda run, mode, n: run.filter(F.col("rank") <= n).select(F.lit(mode).alias("mode"), "qid", "id", F.col("rank").cast("bigint").alias("rank"))
     return of(d, "dense", depth).unionByName(of(t, "sparse", depth)).unionByName(of(fused, "hybrid", 10))
@@ -603,15 +600,16 @@ GRID = [(k, r) for k in (2, 60) for r in (0.1, 0.25, 0.5, 0.75, 1.0)]
   SELECT *, row_number() OVER (ORDER BY safe DESC, gain DESC, k, ratio) AS place FROM r""")
 def fusion_grid(spark, sf_dir):
     """Reciprocal first ranks of the weighted fusion against the dense lane, per setting; the best safe one first."""
-    d, t = text_dense_lane(spark, sf_dir, 20), sparse_lane(spark, sf_dir, 20)
+    d, t = text_lanes(spark, sf_dir, 20)
     good = judged(spark, sf_dir).select("qid", "id", F.lit(True).alias("good"))
-    out = None
-    for k, ratio in GRID:  # ten settings
-        run = R.ranked(R.weighted_rrf(d, t, k, ratio), [F.desc("score"), F.asc_nulls_last("d_rank"), F.asc_nulls_last("s_rank"), F.asc("id")])
-        best = lambda c: F.coalesce(F.max(F.when(F.col("good") & (F.col(c) <= 10), 1.0 / F.col(c))), F.lit(0.0))
-        one = run.join(good, ["qid", "id"], "left").groupBy("qid").agg(best("rank").alias("fused"), best("d_rank").alias("base"))
-        one = one.select(F.lit(k).alias("k"), F.lit(ratio).alias("ratio"), (F.col("qid") % 2).alias("grp"), "base", "fused")
-        out = one if out is None else out.unionByName(one)
+    settings = F.broadcast(spark.createDataFrame([(k, r, 1 / (k * (1 / r - 1) + 1)) for k, r in GRID], "k int, ratio double, w double"))  # ten rows
+    both = written(R.weighted_rrf(d, t, 60, 0.5).drop("score").join(good, ["qid", "id"], "left"), "fusion")  # ranked once, for all settings
+    worth = lambda rank, w: F.coalesce(1.0 / (F.col("k") + F.col(rank) / w - 1), F.lit(0.0))
+    run = both.crossJoin(settings).withColumn("score", F.round(worth("d_rank", F.lit(1.0)) + worth("s_rank", F.col("w")), 9))
+    place = F.row_number().over(Window.partitionBy("k", "ratio", "qid").orderBy(F.desc("score"), F.asc_nulls_last("d_rank"), F.asc_nulls_last("s_rank"), F.asc("id")))
+    best = lambda c: F.coalesce(F.max(F.when(F.col("good") & (F.col(c) <= 10), 1.0 / F.col(c))), F.lit(0.0))
+    out = run.withColumn("rank", place).groupBy("k", "ratio", "qid").agg(best("rank").alias("fused"), best("d_rank").alias("base"))
+    out = out.select("k", "ratio", (F.col("qid") % 2).alias("grp"), "base", "fused")
     return E.safe_candidates(out, ["grp"]).withColumn("place", F.col("place").cast("bigint"))
 
 

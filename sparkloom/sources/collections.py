@@ -29,6 +29,13 @@ def scratch_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def written(rows: DataFrame, tag: str) -> DataFrame:
+    """``rows`` written to a scratch folder and read back: what several plans read is made once."""
+    path = scratch_folder(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def bucket_of(key: Column, bounds: list) -> Column:
     """How many of the sorted ``bounds`` are at most ``key``, by binary search; a null key is below all."""
     if not bounds:
