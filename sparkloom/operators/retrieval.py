@@ -390,6 +390,23 @@ def check_dimensions(vectors: DataFrame, size: int, column: str = "vec") -> Data
 BATCH_BOUNDS = (16, 32, 64, 128, 256)
 
 
+def numbered_by(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``, their number from 1 within ``by`` in ``order``, which is total. Rows are dealt by ranges of both, so
+    a large group is spread over tasks; each ranks its own, and counts of the ranges before (a row for each range and
+    group) are added."""
+    keys = [F.col(c) for c in by]
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id())
+    dealt = written(dealt, "ranges")  # numbers of partitions hold for what is written
+    counts = dealt.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by).orderBy("__p")) - F.col("__n")).drop("__n")
+    same = F.col("__p") == F.col("__q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    before = before.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__p").alias("__q"), "__before")
+    ranked_rows = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order)))
+    return ranked_rows.join(before, same).withColumn(name, (F.col(name) + F.col("__before")).cast("bigint")).select(*rows.columns, name)
+
+
 def bucketed_batches(texts: DataFrame, by: list[str], order: str, tokens: Column, most: int = 8) -> DataFrame:
     """``texts`` with ``bucket`` (0 to 5 by length), ``batch`` (from 0 in each bucket, at most ``most`` rows) and ``place``: the
     number in the original order, by which results are put back."""
@@ -397,5 +414,6 @@ def bucketed_batches(texts: DataFrame, by: list[str], order: str, tokens: Column
     for i in reversed(range(len(BATCH_BOUNDS))):
         bucket = F.when(tokens <= BATCH_BOUNDS[i], i).otherwise(bucket)
     d = texts.withColumn("bucket", bucket.cast("bigint"))
-    in_bucket = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy(order)) - 1
-    return d.withColumns({"batch": F.floor(in_bucket / most), "place": (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("bigint")})
+    d = numbered_by(d, [*by, "bucket"], [F.col(order)], "__at")
+    d = numbered_by(d, by, [F.col(order)], "__place")
+    return d.select(*texts.columns, "bucket", F.floor((F.col("__at") - 1) / most).alias("batch"), (F.col("__place") - 1).alias("place"))

@@ -150,13 +150,10 @@ def payload_consistency(points: DataFrame, fields: list[str], key: str) -> DataF
     least ``key`` whose identity is not that of the least key of all (null where all agree)."""
     one = F.to_json(F.struct(*[F.col(f) for f in fields]), {"ignoreNullFields": "false"})
     by = points.select(F.col(key), one.alias("one")).groupBy("one").agg(F.count("*").alias("n"), F.min(F.col(key)).alias("k"))
-    out = by.agg(F.sum("n").alias("n"), F.count("*").alias("identities"), F.sort_array(F.collect_list(F.struct("k", "one"))).alias("firsts"))
-    return out.select(
-        F.coalesce("n", F.lit(0)).alias("n"),
-        "identities",
-        (F.col("identities") <= 1).alias("consistent"),
-        F.get("firsts", F.lit(1))["k"].alias("first_other"),
-    )
+    first = by.agg(F.min(F.struct("k", "one")).alias("first"))  # one row
+    other = F.min(F.when(F.col("one") != F.col("first.one"), F.col("k")))
+    out = by.crossJoin(F.broadcast(first)).agg(F.sum("n").alias("n"), F.count("*").alias("identities"), other.alias("first_other"))
+    return out.select(F.coalesce("n", F.lit(0)).alias("n"), "identities", (F.col("identities") <= 1).alias("consistent"), "first_other")
 
 
 def whole_number(value: Column) -> Column:

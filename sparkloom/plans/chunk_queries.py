@@ -91,9 +91,9 @@ def node_policy(spark, sf_dir):
     return C.node_policy(C.md_skeleton(plain_markdown(spark, sf_dir))).groupBy("node_type", "policy", "point_kind").agg(F.count("*").alias("n"))
 
 
-@query("tiny_code", "SELECT doc_id, NOT ((len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 12) OR len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 16) AS tiny FROM (SELECT doc_id, left(text, 90) AS code FROM documents)")
+@query("tiny_code", "SELECT doc_id, NOT ((len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 12) OR len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 16) AS tiny FROM (SELECT doc_id, text AS code FROM documents)")
 def tiny_code(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.tiny_code(F.lit("code_block"), F.substring("text", 1, 90)).alias("tiny"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.tiny_code(F.lit("code_block"), F.col("text")).alias("tiny"))
 
 
 @query("tiny_code_whole", "SELECT doc_id, NOT ((len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 12) OR len(list_filter(regexp_split_to_array(trim(code), '\\s+'), lambda x: x <> '')) >= 16) AS tiny FROM (SELECT doc_id, text AS code FROM documents)")

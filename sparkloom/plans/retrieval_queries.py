@@ -130,12 +130,20 @@ def dense_only_fallback(spark, sf_dir):
     return H.run_search({"main": found}, H.validate_search_request({"collection": "main", "query": "passages", "top": 10}), asked(spark, sf_dir))
 
 
-@query("run_search", "SELECT * FROM (VALUES ('absent', 'collection_not_found'), ('blank', 'embedding_unresolved'), ('other', 'embedding_unsupported')) AS t(collection, error)")
+@query("run_search", """SELECT item_id AS qid, ['main', 'absent', 'blank', 'other'][1 + item_id % 4] AS collection, [NULL, 'collection_not_found', 'embedding_unresolved', 'embedding_unsupported'][1 + item_id % 4] AS error,
+  CASE WHEN item_id % 4 = 0 THEN least(3, (SELECT count(*) FROM documents)) ELSE 0 END AS hits FROM benchmark""")
 def run_search(spark, sf_dir):
-    """What stands in the way of a search, by collection."""
-    known = {"blank": H.Collection(corpus(spark, sf_dir), profile=None), "other": H.Collection(corpus(spark, sf_dir), profile={"dense": "model-x", "sparse": None})}
-    errors = [(c, H.run_search(known, H.SearchRequest(c, "q"), asked(spark, sf_dir)).error) for c in ("absent", "blank", "other")]
-    return spark.createDataFrame(errors, "collection string, error string")
+    """Each passage asks one of four collections: it gets hits, or what stands in the way."""
+    docs, out = corpus(spark, sf_dir), None
+    known = {"main": H.Collection(docs), "blank": H.Collection(docs, profile=None), "other": H.Collection(docs, profile={"dense": "model-x", "sparse": None})}
+    for i, name in enumerate(("main", "absent", "blank", "other")):
+        mine = asked(spark, sf_dir).filter(F.col("qid") % 4 == i)
+        found = H.run_search(known, H.SearchRequest(name, "q"), mine)
+        error = F.lit(found.error if isinstance(found, H.SearchError) else None).cast("string")
+        hits = mine.select("qid", F.lit(0).alias("n")) if isinstance(found, H.SearchError) else found.groupBy("qid").agg(F.count("*").alias("n"))
+        one = mine.join(hits, "qid", "left").select("qid", F.lit(name).alias("collection"), error.alias("error"), F.coalesce("n", F.lit(0)).cast("bigint").alias("hits"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("rrf_rank_base", f"""{LANES}, u AS (SELECT qid, id, 1e0 / (2 + rank) AS s FROM lane_d WHERE rank <= 20 UNION ALL SELECT qid, id, 1e0 / (2 + rank) FROM sparse_run WHERE rank <= 20) SELECT qid, id, round(sum(s), 9) AS score FROM u GROUP BY qid, id""")
@@ -261,8 +269,8 @@ def ce_guard_oracle(spark, sf_dir):
 
 @query("stable_sort", f"{CHUNKS} SELECT source_file, chunk_index, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, source_file, chunk_index) AS rank FROM chunks")
 def stable_sort(spark, sf_dir):
-    w = Window.partitionBy("lang").orderBy(F.desc(F.length("text")), "source_file", "chunk_index")
-    return chunks(spark, sf_dir).select("source_file", "chunk_index", F.row_number().over(w).cast("bigint").alias("rank"))
+    d = chunks(spark, sf_dir).select("source_file", "chunk_index", "lang", F.length("text").alias("n"))
+    return R.numbered_by(d, ["lang"], [F.desc("n"), F.col("source_file"), F.col("chunk_index")], "rank").select("source_file", "chunk_index", "rank")
 
 
 @query("collapse_to_docs", f"{DENSE} SELECT qid, nullif(label, 0) AS doc_id, max(score) AS score, count(*) AS chunk_count FROM dense_run WHERE rank <= 50 GROUP BY 1, 2")

@@ -472,3 +472,20 @@ def test_rollup_of_deep_folders(spark):
     got = out.collect()
     assert len(got) == 50 and {(r["summary"], r["summary_kind"]) for r in got} == {("what a says", "propagated")}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("\n") < 20
+
+
+def test_numbers_over_ranges(spark):
+    """One group of most rows, null groups and ties in the first column of the order."""
+    import random
+
+    from sparkloom.operators import retrieval as R
+
+    r = random.Random(4)
+    rows = [(r.choice(["a"] * 9 + ["b", None]), r.randrange(5), i) for i in range(400)]
+    d = spark.createDataFrame(r.sample(rows, 400), "k string, n long, i long").repartition(6)
+    got = {x["i"]: x["at"] for x in R.numbered_by(d, ["k"], [F.desc("n"), F.col("i")], "at").collect()}
+    want = {}
+    for k in ("a", "b", None):
+        for at, (_, _, i) in enumerate(sorted((x for x in rows if x[0] == k), key=lambda x: (-x[1], x[2])), 1):
+            want[i] = at
+    assert got == want
