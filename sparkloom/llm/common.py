@@ -13,11 +13,15 @@ WHITE = " \t\n\x0b\x0c\r"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or (where that is
-    unset, as in tests) one in the warehouse, which they share as well."""
+    unset, as in tests) one in the warehouse, which they share as well. A warehouse on a machine's own disk is shared by
+    a local session only: on a cluster it is refused."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share; the warehouse is on a local disk")
+    return warehouse + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

@@ -785,3 +785,21 @@ def test_urls_outside_the_graph_keep_their_own_verdict(spark):
     rules = [("block", "org", "/es/")]
     got = {r["page_id"]: (r["verdict"], r["rule"]) for r in url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
     assert got == {1: ("block", "org/es/"), 2: ("block", None), 3: ("allow", None), 4: ("block", "org/es/"), 5: ("block", "org/es/"), 6: ("allow", None), 7: ("block", None)}
+
+
+def test_scratch_is_never_on_a_machines_own_disk():
+    from types import SimpleNamespace
+
+    from sparkloom.llm.common import shared_dir
+
+    def session(master, **conf):
+        get = {k.replace("_", "."): v for k, v in conf.items()}.get
+        return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=SimpleNamespace(master=master))
+
+    warehouse = {"spark_sql_warehouse_dir": "file:/w"}
+    assert shared_dir(session("local[4]", **warehouse)) == "file:/w/_scratch"
+    assert shared_dir(session("yarn", spark_sql_warehouse_dir="s3a://b/w")) == "s3a://b/w/_scratch"
+    assert shared_dir(session("yarn", spark_checkpoint_dir="hdfs:///c/", **warehouse)) == "hdfs:///c"
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_dir(session(master, **warehouse))
