@@ -210,6 +210,39 @@ def backfill_refs_plan(points: DataFrame, resolved: DataFrame) -> DataFrame:
     return d.select("point_id", F.when(F.col("have") == F.col("want"), "unchanged").when(F.size("want") == 0, "clear").otherwise("set").alias("action"))
 
 
+def _content(points: DataFrame) -> DataFrame:
+    """Content chunks with a whole index: what the reads below give."""
+    return points.filter(content_only() & (F.col("chunk_index") == F.floor("chunk_index")))
+
+
+def fetch_window(points: DataFrame, requests: DataFrame, width: int) -> DataFrame:
+    """For each request (request, source_file, chunk_index): the content chunks of its file at most ``width`` places from it,
+    with ``is_center``. Places are listed, so this is an equi-join; none lies before 0."""
+    near = requests.select("request", "source_file", F.col("chunk_index").alias("__c"), F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("chunk_index") - width), F.greatest(F.lit(0).cast("bigint"), F.col("chunk_index")) + width)).alias("chunk_index"))
+    near = near.filter(F.col("chunk_index") <= F.col("__c") + width)
+    return near.join(_content(points), ["source_file", "chunk_index"]).withColumn("is_center", F.col("chunk_index") == F.col("__c")).drop("__c")
+
+
+def file_chunks(points: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each request (request, source_file): all content chunks of the file, with ``place``, their order by index from 1."""
+    place = F.row_number().over(Window.partitionBy("request").orderBy("chunk_index"))
+    return requests.select("request", "source_file").join(_content(points), "source_file").withColumn("place", place.cast("bigint"))
+
+
+def section_chunks(points: DataFrame, requests: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """For each request (request, parent): all content chunks directly under one node, by its id and never by its heading, which
+    may repeat in a file; with ``place``, their order by index from 1."""
+    place = F.row_number().over(Window.partitionBy("request").orderBy("chunk_index"))
+    return requests.select("request", parent).join(_content(points), parent).withColumn("place", place.cast("bigint"))
+
+
+def first_in_section(points: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """The content chunk with the least index under each node."""
+    rest = [c for c in points.columns if c != parent]
+    first = _content(points).groupBy(parent).agg(F.min_by(F.struct(*rest), "chunk_index").alias("r"))
+    return first.select(parent, *[F.col("r")[c].alias(c) for c in rest])
+
+
 def collated(*columns: str) -> list[Column]:
     """An order by language rules, as people sort names (a, A, b, B), and by code points among equals."""
     return [x for c in columns for x in (F.collate(F.col(c), "UNICODE"), F.col(c))]

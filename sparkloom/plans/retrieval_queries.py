@@ -10,6 +10,7 @@ from ..operators import evaluation as E
 from ..operators import guards as G
 from ..operators import retrieval as R
 from ..operators import search as H
+from ..operators import store as S
 from ..sources.collections import written
 from .fixtures import CHUNKS, DENSE, chunks, dense, table
 from .registry import query
@@ -300,14 +301,38 @@ def expand_window(spark, sf_dir):
     return out.select("qid", F.col("rank").cast("bigint").alias("rank"), "source_file", "chunk_index", "is_match")
 
 
-@query("fetch_window", f"{CHUNKS} SELECT source_file, chunk_index, text FROM chunks WHERE chunk_index BETWEEN 3 AND 7")
+CONTENT_CHUNKS = f"{CHUNKS}, content AS (SELECT * FROM chunks WHERE coalesce(point_kind, '') NOT IN ('skeleton_nav', 'entity_raw'))"
+
+
+@query("fetch_window", f"""{CONTENT_CHUNKS}, r AS (SELECT DISTINCT doc_id AS request, source_file, total_chunks // 2 AS center FROM chunks)
+  SELECT request, c.chunk_index, c.chunk_index = center AS is_center, text FROM r JOIN content c ON c.source_file = r.source_file AND c.chunk_index BETWEEN center - 3 AND center + 3""")
 def fetch_window(spark, sf_dir):
-    return chunks(spark, sf_dir).filter(F.col("chunk_index").between(3, 7)).select("source_file", "chunk_index", "text")
+    """The window around the middle of each file."""
+    c = chunks(spark, sf_dir)
+    asked_for = c.groupBy(F.col("doc_id").alias("request"), "source_file").agg(F.expr("max(total_chunks) div 2").alias("chunk_index"))
+    return S.fetch_window(c, asked_for, 3).select("request", "chunk_index", "is_center", "text")
+
+
+@query("file_chunks", f"{CONTENT_CHUNKS} SELECT doc_id AS request, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS place FROM content WHERE lang = 'fr'")
+def file_chunks(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    asked_for = c.filter("lang = 'fr'").select(F.col("doc_id").alias("request"), "source_file").distinct()
+    return S.file_chunks(c, asked_for).select("request", "chunk_index", "place")
+
+
+@query("section_chunks", f"""{CONTENT_CHUNKS}, p AS (SELECT *, source_file || '#' || section AS parent_id FROM content), r AS (SELECT DISTINCT source_file || '#' || section AS parent_id FROM chunks WHERE chunk_index % 8 = 5)
+  SELECT parent_id AS request, chunk_index, row_number() OVER (PARTITION BY parent_id ORDER BY chunk_index) AS place FROM p JOIN r USING (parent_id)""")
+def section_chunks(spark, sf_dir):
+    """The sections in which every eighth chunk stands."""
+    c = chunks(spark, sf_dir).withColumn("parent_id", F.concat("source_file", F.lit("#"), "section"))
+    asked_for = c.filter("chunk_index % 8 = 5").select(F.col("parent_id").alias("request"), "parent_id").distinct()
+    return S.section_chunks(c, asked_for).select("request", "chunk_index", "place")
 
 
-@query("first_in_section", f"{CHUNKS} SELECT source_file, section, arg_min(text, chunk_index) AS text FROM chunks GROUP BY source_file, section")
+@query("first_in_section", f"{CONTENT_CHUNKS} SELECT source_file, section, arg_min(text, chunk_index) AS text FROM content GROUP BY source_file, section")
 def first_in_section(spark, sf_dir):
-    return chunks(spark, sf_dir).groupBy("source_file", "section").agg(F.min_by("text", "chunk_index").alias("text"))
+    c = chunks(spark, sf_dir).withColumn("parent_id", F.struct("source_file", "section"))
+    return S.first_in_section(c).select("source_file", "section", "text")
 
 
 def metric_sql(run: str, gain: str, none: str) -> str:

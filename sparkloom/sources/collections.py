@@ -22,10 +22,11 @@ _PARTS = 1 << 24
 def scratch_folder(spark: SparkSession, tag: str) -> str:
     """A fresh folder in the one that driver and executors share (``spark.checkpoint.dir``, where it is unset the warehouse, but on
     a cluster no warehouse of a machine's own disk), deleted when the application ends."""
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or warehouse + "/_scratch"
-    if shared.startswith(warehouse) and warehouse.startswith(("file:", "/")) and spark.sparkContext.master.partition("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share; the warehouse is on a local disk")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if shared.startswith(("file:", "/")) and spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share; the warehouse is on a local disk")
     path = f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
