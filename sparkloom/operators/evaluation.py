@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieval import numbered_by
+
 
 def _gain(rel: Column, kind: str) -> Column:
     return F.pow(F.lit(2.0), rel) - 1 if kind == "exp" else rel.cast("double")
@@ -80,36 +82,44 @@ def bootstrap_word(seed: str, word: int) -> int:
     return int.from_bytes(block[4 * (word % 8) : 4 * (word % 8) + 4], "big")
 
 
+#: Draws of a resample that are made at once.
+DRAWS = 1 << 16
+
+
 def paired_bootstrap(pairs: DataFrame, seed: str = "seed", rounds: int = 2000) -> DataFrame:
-    """One row of (n, mean, low, high, wins, losses, ties, verdict) from per-query (qid, a, b).
+    """One row of (n, mean, low, high, wins, losses, ties, verdict) from per-query (qid, a, b), with ends of the middle 95 % of
+    ``rounds`` resampled means.
 
-    The per-query values, one row per judged query, are collected and shipped; resamples run in
-    parallel, each from its own place in the stream.
+    Queries are numbered by id over ranges. A resample's draws are made in parts, each from its own place in the stream,
+    as how often they name each number, and joined to the differences; what comes to the driver is a mean for each round.
     """
-    rows = pairs.filter("a is not null and b is not null").orderBy("qid").collect()
-    delta = np.array([r["b"] - r["a"] for r in rows])
-    n = len(delta)
     schema = "n bigint, mean double, low double, high double, wins bigint, losses bigint, ties bigint, verdict string"
     spark = pairs.sparkSession
+    d = numbered_by(pairs.filter("a is not null and b is not null").select("qid", (F.col("b") - F.col("a")).alias("delta")), [], [F.col("qid")], "at")
+    d = d.select((F.col("at") - 1).alias("at"), "delta")
+    told = d.agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") < 0).alias("losses")).first()
+    n, wins, losses = told["n"], told["wins"], told["losses"]
     if not n:
         return spark.createDataFrame([(0, None, None, None, 0, 0, 0, "INCONCLUSIVE")], schema)
+    parts = -(-n // DRAWS)
 
     def run(batches):
         for b in batches:
-            means = []
             for i in b["id"].to_numpy():
-                first = int(i) * n
-                blocks = range(first // 8, (first + n - 1) // 8 + 1)
+                of, part = divmod(int(i), parts)
+                first = of * n + part * DRAWS
+                size = min(DRAWS, n - part * DRAWS)
+                blocks = range(first // 8, (first + size - 1) // 8 + 1)
                 stream = np.frombuffer(b"".join(hashlib.sha256(f"{seed}:{x}".encode()).digest() for x in blocks), dtype=">u4")
-                words = stream[first - 8 * (first // 8) :][:n].astype(np.int64)
-                means.append(float(delta[words % n].mean()))
-            yield pd.DataFrame({"mean": means})
+                drawn, times = np.unique(stream[first - 8 * (first // 8) :][:size].astype(np.int64) % n, return_counts=True)
+                yield pd.DataFrame({"round": np.full(len(drawn), of), "at": drawn, "times": times})
 
-    means = sorted(r["mean"] for r in spark.range(rounds).mapInPandas(run, "mean double").collect())
+    draws = spark.range(rounds * parts).mapInPandas(run, "round bigint, at bigint, times bigint")
+    sums = draws.join(d, "at").groupBy("round").agg((F.sum(F.col("delta") * F.col("times")) / n).alias("mean"))
+    means = sorted(round(r["mean"], 12) for r in sums.collect())
     low, high = means[int(0.025 * rounds)], means[int(np.ceil(0.975 * rounds)) - 1]
-    wins, losses = int((delta > 0).sum()), int((delta < 0).sum())
     verdict = "B_BETTER" if low > 0 else "A_BETTER" if high < 0 else "MIXED" if wins and losses else "INCONCLUSIVE"
-    return spark.createDataFrame([(n, float(delta.mean()), float(low), float(high), wins, losses, n - wins - losses, verdict)], schema)
+    return spark.createDataFrame([(n, float(told["mean"]), float(low), float(high), wins, losses, n - wins - losses, verdict)], schema)
 
 
 def graded(run: DataFrame, qrels: DataFrame, k: int, least: int = 3) -> DataFrame:

@@ -489,3 +489,21 @@ def test_numbers_over_ranges(spark):
         for at, (_, _, i) in enumerate(sorted((x for x in rows if x[0] == k), key=lambda x: (-x[1], x[2])), 1):
             want[i] = at
     assert got == want
+
+
+def test_paired_bootstrap(spark, monkeypatch):
+    import math
+    import random
+
+    from sparkloom.operators import evaluation as E
+
+    monkeypatch.setattr(E, "DRAWS", 7)  # a resample is drawn in parts
+    r = random.Random(8)
+    rows = [(i, r.random(), r.random() + 0.1) for i in range(30)] + [(99, None, 1.0)]
+    d = spark.createDataFrame(r.sample(rows, 31), "qid long, a double, b double").repartition(4)
+    delta = [b - a for _, a, b in rows[:30]]
+    means = sorted(round(sum(delta[E.bootstrap_word("s", i * 30 + j) % 30] for j in range(30)) / 30, 9) for i in range(40))
+    got = E.paired_bootstrap(d, "s", 40).first()
+    assert (got["n"], got["wins"], got["losses"], got["ties"]) == (30, sum(x > 0 for x in delta), sum(x < 0 for x in delta), 0)
+    assert math.isclose(got["mean"], sum(delta) / 30) and (round(got["low"], 9), round(got["high"], 9)) == (means[1], means[38])
+    assert E.paired_bootstrap(d.filter("a is null")).first()["verdict"] == "INCONCLUSIVE"
