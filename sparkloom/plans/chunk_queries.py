@@ -396,14 +396,16 @@ def anchored_content(spark, sf_dir):
 
 
 def assembly_chunks(spark, sf_dir):
-    """Chunks of plain pages; those of even documents have stored references, those of every seventh a stale one."""
+    """Chunks of plain pages; those of even documents have stored references, those of every seventh a stale one in its first
+    prose, which comes after the table where a text is too short to be a chunk."""
     c = K.skeleton_chunks(plain_markdown(spark, sf_dir, without="#"), 512).filter("chunk_index is not null")
     number = F.regexp_extract("source_file", r"doc-(\d+)\.md$", 1).cast("bigint")
     mark = F.regexp_extract_all("text", F.lit(r"(?m)^(\[(?:table|checklist) node: .*\])$"), 1)
     stored = F.transform(mark, lambda m: F.struct(m.alias("placeholder"), F.regexp_extract(m, r"node: ([^ ]+)", 1).alias("node_path")))
     stale = F.array(F.struct(F.lit("[table node: gone]").alias("placeholder"), F.lit("gone").alias("node_path")))
     empty = F.array().cast("array<struct<placeholder:string,node_path:string>>")
-    refs = F.concat(F.when(number % 2 == 0, stored).otherwise(empty), F.when((number % 7 == 0) & (F.col("chunk_index") == 0), stale).otherwise(empty))
+    first = F.col("node_path").endswith("/overview/paragraph-1")
+    refs = F.concat(F.when(number % 2 == 0, stored).otherwise(empty), F.when((number % 7 == 0) & first, stale).otherwise(empty))
     return c.withColumn("refs", refs).withColumnRenamed("source_file", "scope")
 
 
@@ -413,7 +415,7 @@ def assemble(spark, sf_dir):
     """Whole pages from their chunks: each entity once, at its place, and no placeholder left in the prose."""
     d = D.assemble(assembly_chunks(spark, sf_dir))
     prose = F.filter("segments", lambda x: x["kind"] == "prose")
-    left = F.aggregate(prose, F.lit(0), lambda n, x: n + F.size(F.regexp_extract_all(x["content"], F.lit(r"(\[(?:table|checklist) node: )"), 1)))
+    left = F.aggregate(prose, F.lit(0), lambda n, x: n + F.size(F.regexp_extract_all(x["content"], F.lit(r"(?m)^(\[(?:table|checklist) node: .*\])$"), 1)))
     return d.select(
         "scope",
         "mode",

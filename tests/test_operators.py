@@ -507,3 +507,14 @@ def test_paired_bootstrap(spark, monkeypatch):
     assert (got["n"], got["wins"], got["losses"], got["ties"]) == (30, sum(x > 0 for x in delta), sum(x < 0 for x in delta), 0)
     assert math.isclose(got["mean"], sum(delta) / 30) and (round(got["low"], 9), round(got["high"], 9)) == (means[1], means[38])
     assert E.paired_bootstrap(d.filter("a is null")).first()["verdict"] == "INCONCLUSIVE"
+
+
+def test_assemble_of_short_and_mark_like_texts(spark, tmp_path):
+    """A text too short to be a chunk puts the table first; a mark within a line is prose."""
+    from sparkloom.plans import chunk_queries as Q
+
+    texts = {7: "a", 14: "", 21: "one two three four", 28: "see [table node: x]"}
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["scope"]: r for r in Q.assemble(spark, str(tmp_path)).collect()}
+    assert set(got) == {f"en/doc-{i}.md" for i in texts}
+    assert all(r["warnings"].endswith("ref_entity_missing") and r["entities"] == 2 and r["marks_left"] == 0 for r in got.values())
