@@ -138,18 +138,29 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return ranked(dense_scores(queries, corpus, k=k), [F.desc("score"), F.asc("id")], limit=k)
 
 
-def maxsim_topk(queries: DataFrame, corpus: DataFrame, k: int, width: int = 16, digits: int = 6, tile: int = TILE // 4, part: int = SLICE) -> DataFrame:
-    """(qid, id, score, rank): the first ``k`` rows of each query by late interaction, ties by id. A vector is a list of parts of
-    ``width`` entries; each part of the query counts with its best dot product among a row's parts, and the score is the mean."""
+def _late(q: np.ndarray, m: np.ndarray, width: int, digits: int) -> np.ndarray:
+    """Late interaction of rows by queries: a vector is a list of parts of ``width`` entries; each part of the query counts with
+    its best dot product among a row's parts, and the score is the mean."""
+    parts = [slice(i, i + width) for i in range(0, q.shape[1], width)]
+    return np.round(sum(np.maximum.reduce([m[:, b] @ q[:, a].T for b in parts]) for a in parts) / len(parts), digits)
+
+
+def maxsim_scores(queries: DataFrame, corpus: DataFrame, width: int = 16, digits: int = 6, tile: int = 512, part: int = 4096) -> DataFrame:
+    """(qid, id, score) by late interaction of every query with every row. What a task gives is its tile times its slice."""
 
     def work(left: pa.Table, right: pa.Table) -> dict:
-        q, m = _matrix(left), _matrix(right)
-        parts = [slice(i, i + width) for i in range(0, q.shape[1], width)]
+        score = _late(_matrix(left), _matrix(right), width, digits)
+        return {"qid": np.tile(left["qid"].to_numpy(), len(right)), "id": np.repeat(right["id"].to_numpy(), len(left)), "score": score.ravel()}
+
+    return tiled(queries.select("qid", "vec"), corpus.select("id", "vec"), work, "qid bigint, id bigint, score double", tile, part)
+
 
-        def scores(i: int, j: int) -> np.ndarray:
-            return np.round(sum(np.maximum.reduce([m[i:j, b] @ q[:, a].T for b in parts]) for a in parts) / len(parts), digits)
+def maxsim_topk(queries: DataFrame, corpus: DataFrame, k: int, width: int = 16, digits: int = 6, tile: int = TILE // 4, part: int = SLICE) -> DataFrame:
+    """(qid, id, score, rank): the first ``k`` rows of each query by late interaction, ties by id."""
 
-        row, col, score = best_of(scores, len(m), len(q), k)
+    def work(left: pa.Table, right: pa.Table) -> dict:
+        q, m = _matrix(left), _matrix(right)
+        row, col, score = best_of(lambda i, j: _late(q, m[i:j], width, digits), len(m), len(q), k)
         return {"qid": left["qid"].to_numpy()[col], "id": right["id"].to_numpy()[row], "score": score}
 
     found = tiled(queries.select("qid", "vec"), corpus.select("id", "vec"), work, "qid bigint, id bigint, score double", tile, part)

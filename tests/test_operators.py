@@ -518,3 +518,16 @@ def test_assemble_of_short_and_mark_like_texts(spark, tmp_path):
     got = {r["scope"]: r for r in Q.assemble(spark, str(tmp_path)).collect()}
     assert set(got) == {f"en/doc-{i}.md" for i in texts}
     assert all(r["warnings"].endswith("ref_entity_missing") and r["entities"] == 2 and r["marks_left"] == 0 for r in got.values())
+
+
+def test_maxsim_of_every_pair(spark, tmp_path):
+    import numpy as np
+
+    from sparkloom.plans import retrieval_queries as Q
+
+    v = np.random.default_rng(3).integers(-3, 4, (110, 64)).astype(float)
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = v.reshape(110, 4, 16)
+    want = {(i, j): round(sum(max(float(a @ b) for b in p[j]) for a in p[i]) / 4, 6) for i in (0, 50, 100) for j in range(110)}
+    got = Q.colbert_maxsim(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["qid"], r["id"]): r["score"] for r in got} == want
