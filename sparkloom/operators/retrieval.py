@@ -29,12 +29,23 @@ def sparse_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return words.filter((F.length("term") > 1) & ~F.col("term").isin(*SPARSE_STOP_WORDS))
 
 
+#: Bytes of texts, and rows of their encodings, that one task counts on average, whatever the settings of the session are.
+TASK_TEXT, TASK_TERMS = 4 << 20, 500_000
+
+
+def dealt(rows: DataFrame, by: str, size: Column, most: int) -> DataFrame:
+    """``rows`` dealt by a key to as many tasks as keep the sum of ``size`` in a task at ``most`` on average. The number is
+    stated, so tasks are not put together again, and what a task holds does not grow with the input."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return rows.repartition(max(1, -(-int(total) // most)), by)
+
+
 def sparse_encode(docs: DataFrame, key: str, text: str = "text", avg_length: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """(key, bucket, weight): saturated term frequencies, colliding buckets added up. With ``avg_length``
     lengths are normalised by the corpus mean; without it the norm is 1. ``wanted`` (bucket): only these
     buckets are encoded. Texts are dealt by key before they are split, so that all counts and sums of a text are made where
-    it is: what moves is each text once, not its terms."""
-    terms = sparse_terms(docs.select(key, text).repartition(key), key, text).groupBy(key, "term").agg(F.count("*").alias("f"))
+    it is: what moves is each text once, not its terms. A task counts ``TASK_TEXT`` bytes of texts on average."""
+    terms = sparse_terms(dealt(docs.select(key, text), key, F.octet_length(text), TASK_TEXT), key, text).groupBy(key, "term").agg(F.count("*").alias("f"))
     norm: Column = F.lit(1.0)
     if avg_length:
         n = terms.groupBy(key).agg(F.sum("f").alias("n"))
@@ -368,17 +379,19 @@ def hashed_embedding(docs: DataFrame, key: str, text: str = "text", size: int =
 
 def folded_vectors(encoded: DataFrame, key: str, size: int = 64) -> DataFrame:
     """(key, vec): sparse encodings (key, bucket, weight) folded to unit vectors of ``size`` dimensions."""
-    folded = encoded.repartition(key).groupBy(key, (F.col("bucket") % size).cast("int").alias("dim")).agg(F.sum("weight").alias("v"))
+    folded = dealt(encoded, key, F.lit(1), TASK_TERMS).groupBy(key, (F.col("bucket") % size).cast("int").alias("dim")).agg(F.sum("weight").alias("v"))
     by = folded.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
     return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("n")).alias("vec"))
 
 
 def both_lanes(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int | None, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The dense and the sparse scores (qid, id, score) of text queries, both from one encoding of the documents, which is
-    written once. ``k``: the depth to which dense scores are wanted."""
+    written once. ``k``: the depth to which dense scores are wanted. Only the queries' buckets go on to the sparse lane, dealt by
+    document, so that its sums are made where they are."""
     q = written(sparse_encode(queries, query_key, text).withColumnRenamed(query_key, "qid"), "query-terms")
     d = written(sparse_encode(docs, doc_key, text).withColumnRenamed(doc_key, "id"), "terms")
-    return dense_scores(folded_vectors(q, "qid"), folded_vectors(d, "id"), k=k), sparse_scores(q, d)
+    shared = d.join(q.select("bucket").distinct(), "bucket", "left_semi").select(*d.columns)
+    return dense_scores(folded_vectors(q, "qid"), folded_vectors(d, "id"), k=k), sparse_scores(q, dealt(shared, "id", F.lit(1), TASK_TERMS))
 
 
 def dense_vectors(long: DataFrame, key: str, size: int = 64) -> DataFrame:

@@ -531,3 +531,24 @@ def test_maxsim_of_every_pair(spark, tmp_path):
     want = {(i, j): round(sum(max(float(a @ b) for b in p[j]) for a in p[i]) / 4, 6) for i in (0, 50, 100) for j in range(110)}
     got = Q.colbert_maxsim(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r["qid"], r["id"]): r["score"] for r in got} == want
+
+
+def test_encoding_tasks_grow_in_number(spark, tmp_path, monkeypatch):
+    """More text is more tasks, not larger ones, however few partitions a shuffle has; scores stay as they are."""
+    from sparkloom.operators import retrieval as R
+
+    rows = [(i, " ".join(f"word{(i * j) % 37} other{j % 5}" for j in range(30))) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, text string")
+    q = spark.createDataFrame([(1, "word3 other2"), (2, "word5 word36")], "qid long, text string")
+
+    def found():
+        return [sorted(map(tuple, x.collect())) for x in (R.sparse_search(q, d, "qid", "id"), *R.both_lanes(q, d, "qid", "id", None))]
+
+    whole = found()
+    monkeypatch.setattr(R, "TASK_TEXT", sum(len(t) for _, t in rows) // 12)
+    monkeypatch.setattr(R, "TASK_TERMS", 100)
+    assert R.sparse_encode(d, "id").rdd.getNumPartitions() >= 12
+    assert R.folded_vectors(R.sparse_encode(d, "id"), "id").rdd.getNumPartitions() >= 12
+    again = found()
+    assert [[r[:2] for r in x] for x in again] == [[r[:2] for r in x] for x in whole]
+    assert all(abs(a[2] - b[2]) < 2e-6 for x, y in zip(again, whole, strict=True) for a, b in zip(x, y, strict=True))
