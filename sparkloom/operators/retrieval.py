@@ -373,8 +373,9 @@ def hashed_embedding(docs: DataFrame, key: str, text: str = "text", size: int =
     """(key, dim, value): a deterministic unit vector, the sparse weights folded to ``size`` dimensions; the default
     where no embedding model is given."""
     v = sparse_encode(docs, key, text).groupBy(key, (F.col("bucket") % size).alias("dim")).agg(F.sum("weight").alias("v"))
-    n = v.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    return v.join(n, key).select(key, "dim", (F.col("v") / F.col("n")).alias("value"))
+    # a vector's entries are held together, so that texts are encoded once; a null key has no vector
+    by = v.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("dim", "v")).alias("e"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    return by.select(key, F.explode("e").alias("e"), "n").select(key, F.col("e.dim").alias("dim"), (F.col("e.v") / F.col("n")).alias("value"))
 
 
 def folded_vectors(encoded: DataFrame, key: str, size: int = 64) -> DataFrame:
