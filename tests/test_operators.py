@@ -552,3 +552,17 @@ def test_encoding_tasks_grow_in_number(spark, tmp_path, monkeypatch):
     again = found()
     assert [[r[:2] for r in x] for x in again] == [[r[:2] for r in x] for x in whole]
     assert all(abs(a[2] - b[2]) < 2e-6 for x, y in zip(again, whole, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_modes_are_scored_from_one_encoding(spark, monkeypatch):
+    """However many modes are compared, lanes and judgements are made once."""
+    from sparkloom.operators import retrieval as R
+    from sparkloom.plans import retrieval_queries as Q
+
+    made = []
+    for module, name in ((R, "both_lanes"), (Q, "judged")):
+        monkeypatch.setattr(module, name, lambda *args, f=getattr(module, name), name=name: made.append(name) or f(*args))
+    for query in (Q.overall_verdict, Q.rescue_harm, Q.representative_cases, Q.metric_parity, Q.oracle_max):
+        made.clear()
+        assert query(spark, "/root/testdata/sf0.001").count() > 0
+        assert sorted(made) == ["both_lanes", "judged"], query.__name__
