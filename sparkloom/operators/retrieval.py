@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import SPARSE_STOP_WORDS, hash_bucket, query_tokens, sparse_words
+from ..functions.text import SPARSE_BUCKETS, SPARSE_STOP_WORDS, hash_bucket, query_tokens, sparse_words
 from ..sources.collections import written
 
 # BM25 saturation, fusion and rerank weights.
@@ -59,6 +61,76 @@ def sparse_encode(docs: DataFrame, key: str, text: str = "text", avg_length: boo
     return hashed.groupBy(key, "bucket").agg(F.sum("w").alias("weight"))
 
 
+def _buckets(terms: pa.Array) -> np.ndarray:
+    """``hash_bucket`` of an array of terms: a step for each place of a code unit, over the terms that reach it."""
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(terms).to_numpy())]).astype(np.int64)
+    whole = "".join(terms.to_pylist())
+    byte, code = np.frombuffer(whole.encode(), np.uint8), np.frombuffer(whole.encode("utf-16-le"), "<u2")
+    # a character's first byte stands for its units: one, or two beyond U+FFFF
+    ends = np.concatenate([[0], np.cumsum((byte & 0xC0 != 0x80).astype(np.int64) + (byte >= 0xF0))])[ends]
+    length = np.diff(ends)
+    order = np.argsort(-length, kind="stable")
+    start = ends[:-1][order]
+    h = np.full(len(length), 5381, np.int32)
+    for i, n in enumerate(np.searchsorted(-length[order], -np.arange(length.max(initial=0)))):
+        h[:n] = (h[:n] * np.int32(33)) ^ code[start[:n] + i]
+    out = np.empty(len(length), np.int64)
+    out[order] = np.abs(h.astype(np.int64)) % SPARSE_BUCKETS
+    return out
+
+
+def encoded_vectors(docs: DataFrame, key: str, wanted: DataFrame, text: str = "text", size: int = 64) -> DataFrame:
+    """(key, vec, buckets, weights), a row for each text with a term: its sparse encoding as ``sparse_encode`` gives it, folded to
+    a unit vector of ``size`` dimensions, and its weights in the ``wanted`` buckets (bucket), which are ``SPARSE_BUCKETS`` at most.
+    Texts are dealt by key and cleaned by Spark, with one space between words; the words are counted, hashed and added up a batch of
+    texts at a time, in arrays. Rows of one key are one text."""
+    kind = docs.schema[key].dataType
+    schema = f"__key {kind.simpleString()}, vec array<double>, buckets array<bigint>, weights array<double>"
+    asked = np.zeros(SPARSE_BUCKETS, dtype=bool)
+    asked[wanted.select("bucket").distinct().toArrow()["bucket"].to_numpy()] = True
+    asked = np.packbits(asked)
+
+    def encode(rows: pa.Table, inside: np.ndarray) -> pa.RecordBatch:
+        keys, words = rows["__key"].combine_chunks().dictionary_encode("encode"), pc.split_pattern(rows["words"].combine_chunks(), " ")
+        found, n = words.flatten().dictionary_encode(), len(keys.dictionary)
+        terms, at = found.dictionary, found.indices.to_numpy()
+        of = np.repeat(keys.indices.to_numpy().astype(np.int64), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        good = (pc.utf8_length(terms).to_numpy() > 1) & ~pc.is_in(terms, pa.array(SPARSE_STOP_WORDS, terms.type)).to_numpy(zero_copy_only=False)
+        pair, f = np.unique((of * len(terms) + at)[good[at]], return_counts=True)
+        of, term = np.divmod(pair, max(1, len(terms)))
+        bucket, w = _buckets(terms)[term], f * (K1 + 1) / (f + K1)
+        vec = np.bincount(of * size + bucket % size, w, n * size).reshape(n, size)
+        norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+        some = inside[bucket]
+        cell, place = np.unique((of * SPARSE_BUCKETS + bucket)[some], return_inverse=True)
+        ends = pa.array(np.searchsorted(cell, np.arange(n + 1) * SPARSE_BUCKETS), pa.int32())
+        there = norm[:, 0] > 0
+        unit = (vec[there] / norm[there]).ravel()
+        out = [
+            keys.dictionary.filter(pa.array(there)),
+            pa.ListArray.from_arrays(pa.array(np.arange(there.sum() + 1) * size, pa.int32()), pa.array(unit, pa.float64())),
+            pa.ListArray.from_arrays(ends, pa.array(cell % SPARSE_BUCKETS, pa.int64())).filter(pa.array(there)),
+            pa.ListArray.from_arrays(ends, pa.array(np.bincount(place, w[some], len(cell)), pa.float64())).filter(pa.array(there)),
+        ]
+        return pa.RecordBatch.from_arrays(out, ["__key", "vec", "buckets", "weights"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, held = np.unpackbits(asked).astype(bool), None
+        for b in chain(batches, [None]):
+            rows = held
+            if b is not None:  # the last key's rows wait, as more of them may follow
+                rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+                code = rows["__key"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+                last = int(np.argmax(code == code[-1])) if len(code) else 0
+                rows, held = rows.slice(0, last), rows.slice(last)
+            if rows is not None and len(rows):
+                yield encode(rows, inside)
+
+    texts = dealt(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", F.octet_length("__text"), TASK_TEXT)
+    words = texts.sortWithinPartitions("__key").select("__key", F.regexp_replace(F.lower("__text"), r"[^\p{L}\p{N}]+", " ").alias("words"))  # the words of ``sparse_words``
+    return words.mapInArrow(run, schema).withColumnRenamed("__key", key)
+
+
 def bm25_idf(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(term, df, idf)."""
     n = docs.agg(F.count("*").alias("n"))
@@ -390,9 +462,10 @@ def both_lanes(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str
     written once. ``k``: the depth to which dense scores are wanted. Only the queries' buckets go on to the sparse lane, dealt by
     document, so that its sums are made where they are."""
     q = written(sparse_encode(queries, query_key, text).withColumnRenamed(query_key, "qid"), "query-terms")
-    d = written(sparse_encode(docs, doc_key, text).withColumnRenamed(doc_key, "id"), "terms")
-    shared = d.join(q.select("bucket").distinct(), "bucket", "left_semi").select(*d.columns)
-    return dense_scores(folded_vectors(q, "qid"), folded_vectors(d, "id"), k=k), sparse_scores(q, dealt(shared, "id", F.lit(1), TASK_TERMS))
+    d = written(encoded_vectors(docs, doc_key, q, text).withColumnRenamed(doc_key, "id"), "encoded")
+    shared = dealt(d.select("id", "buckets", "weights"), "id", F.size("buckets"), TASK_TERMS)
+    shared = shared.select("id", F.inline(F.arrays_zip("buckets", "weights"))).toDF("id", "bucket", "weight")
+    return dense_scores(folded_vectors(q, "qid"), d.select("id", "vec"), k=k), sparse_scores(q, shared)
 
 
 def dense_vectors(long: DataFrame, key: str, size: int = 64) -> DataFrame:

@@ -351,6 +351,16 @@ RUN100 = "run AS (SELECT * FROM sparse_run WHERE rank <= 100)"
 SHINGLE = 3
 
 
+def all_runs(d):
+    """(id, run): every run of ``SHINGLE`` words of a text, as often as it occurs. Words are zipped with those after them and joined as
+    rows, in compiled code, not as elements of an array."""
+    words = d.select("id", F.array_remove(F.split("text", r"\s+"), "").alias("w"))
+    after = [F.slice("w", F.lit(i + 1), F.size("w")) for i in range(1, SHINGLE)]
+    parts = [f"__{i}" for i in range(SHINGLE)]
+    rows = words.select("id", F.inline(F.arrays_zip("w", *after))).toDF("id", *parts)
+    return rows.filter(F.col(parts[-1]).isNotNull()).select("id", F.concat_ws(" ", *parts).alias("run"))
+
+
 def judged(spark, sf_dir):
     """(qid, id, rel): the documents that hold a passage word for word.
 
@@ -362,8 +372,8 @@ def judged(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     long = F.size("runs") > 0
     inner = b.select("qid", "passage", F.explode("runs").alias("run"))
-    in_docs = d.select("id", F.explode(X.word_runs(F.col("text"), SHINGLE)).alias("run"))
-    in_docs = written(in_docs.join(inner.select("run").distinct(), "run", "left_semi"), "runs")  # read twice
+    in_docs = all_runs(d).join(inner.select("run").distinct(), "run", "left_semi").distinct()
+    in_docs = written(in_docs, "runs")  # read twice
     often = in_docs.groupBy("run").agg(F.count("*").alias("n"))
     rarest = inner.join(often, "run", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r"))
     pairs = rarest.filter("r.n > 0").select("qid", "r.run").join(in_docs, "run").select("qid", "id")

@@ -566,3 +566,38 @@ def test_modes_are_scored_from_one_encoding(spark, monkeypatch):
         made.clear()
         assert query(spark, "/root/testdata/sf0.001").count() > 0
         assert sorted(made) == ["both_lanes", "judged"], query.__name__
+
+
+def test_encoded_vectors_are_the_sparse_encoding(spark):
+    """The encoding in arrays has the buckets and weights of the encoding by rows, also where rows of a key come in several batches."""
+    from sparkloom.operators import retrieval as R
+
+    texts = [(1, "a an"), (2, None), (3, ""), (4, "x" * 3000 + " 𝒜𝒷c 𝒜𝒷c ünï ЇЖАК"), (5, "alpha beta"), (5, "beta gamma"), (5, "beta"), (None, "no id one"), (None, "no id two"), (6, "ǅungla İstanbul ß ﬁ 12 3\u000b45 67 it's")]
+    d = spark.createDataFrame(texts + [(i, f"word{i % 7} word{i % 3} other, other") for i in range(10, 40)], "id long, text string")
+    want = R.sparse_encode(d, "id").cache()
+    asked = want.filter("bucket % 2 = 0")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        got = R.encoded_vectors(d, "id", asked).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    vectors = {r["id"]: r["vec"] for r in R.folded_vectors(want, "id").collect()}
+    assert len(got) == len(vectors) and {r["id"] for r in got} == set(vectors) == {None, 4, 5, 6, *range(10, 40)}
+    assert all(r["vec"] == pytest.approx(vectors[r["id"]]) for r in got)
+    weights = {(r["id"], b): w for r in got for b, w in zip(r["buckets"], r["weights"], strict=True)}
+    assert weights == pytest.approx({(r["id"], r["bucket"]): r["weight"] for r in asked.collect()})
+
+
+def test_judged_pairs_once(spark, tmp_path):
+    """A run of words that occurs again in a text makes no second pair; null and short texts have no runs."""
+    from sparkloom.plans import retrieval_queries as Q
+
+    docs = [(1, " one two three four five one two three four five "), (2, "two three"), (3, None), (4, ""), (5, "xone two three four fivey"), (6, "one two three five four")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(10, "one two three four five"), (11, "two three"), (12, "six seven eight nine ten")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["qid"], r["id"]) for r in Q.judged(spark, str(tmp_path)).collect())
+    assert got == [(10, 1), (10, 5), (11, 1), (11, 2), (11, 5), (11, 6)]
+    runs = Q.all_runs(spark.createDataFrame(docs, "id long, text string")).collect()
+    assert sorted(r["run"] for r in runs if r["id"] == 6) == ["one two three", "three five four", "two three five"] and not [r for r in runs if r["id"] in (2, 3, 4)]
